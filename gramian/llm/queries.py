@@ -4,14 +4,28 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gramian.llm import bpe, secrets
+from gramian.llm import batches, bpe, langid, quality, secrets
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_quality_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = quality.fit(docs, _read(spark, sf_dir, "labels").where(batches.bucket(F.col("doc_id"), 5) != 0))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", (batches.bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    network = langid.fit(docs.where(batches.bucket(F.col("doc_id"), 5) != 0))
+    return langid.predict(docs, network).select("doc_id", (batches.bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(_read(spark, sf_dir, "documents")))
 
@@ -20,6 +34,6 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op7_secret_scans, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op4_quality_attention_mil, op5_language_id, op7_secret_scans, op10_byte_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
