@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramian.llm import batches, bpe, langid, quality, secrets
+from gramian.llm import batches, bpe, langid, quality, secrets, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, network).select("doc_id", (batches.bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.group(simhash.fingerprints(_read(spark, sf_dir, "documents"), words=4), distance=4)
+    return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(_read(spark, sf_dir, "documents")))
 
@@ -34,6 +39,6 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_attention_mil, op5_language_id, op7_secret_scans, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op4_quality_attention_mil, op5_language_id, op6_simhash_near_dedup, op7_secret_scans, op10_byte_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
