@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramian.llm import batches, bpe, langid, quality, secrets, simhash
+from gramian.llm import batches, bpe, langid, lattice, quality, secrets, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lattice_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op4_quality_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = quality.fit(docs, _read(spark, sf_dir, "labels").where(batches.bucket(F.col("doc_id"), 5) != 0))
@@ -39,6 +43,6 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_attention_mil, op5_language_id, op6_simhash_near_dedup, op7_secret_scans, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_lattice_lm_scoring, op4_quality_attention_mil, op5_language_id, op6_simhash_near_dedup, op7_secret_scans, op10_byte_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
