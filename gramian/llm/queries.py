@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramian.llm import batches, bpe, langid, lattice, quality, secrets, simhash, substrings
+from gramian.llm import batches, bpe, decontaminate, langid, lattice, quality, secrets, simhash, substrings
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,10 +43,15 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(_read(spark, sf_dir, "documents"), length=50)
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return decontaminate.find(docs, decontaminate.fit(docs, _read(spark, sf_dir, "benchmark")))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_lattice_lm_scoring, op4_quality_attention_mil, op5_language_id, op6_simhash_near_dedup, op7_secret_scans, op8_substring_dedup, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_lattice_lm_scoring, op4_quality_attention_mil, op5_language_id, op6_simhash_near_dedup, op7_secret_scans, op8_substring_dedup, op9_benchmark_decontamination, op10_byte_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
