@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramian.llm import batches, bpe, decontaminate, langid, lattice, quality, secrets, simhash, substrings
+from gramian.llm import batches, bpe, chat, decontaminate, hamming, langid, lattice, quality, secrets, simhash, substrings
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,15 @@ def op1_lattice_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.score(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op2_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = hamming.sign_codes(_read(spark, sf_dir, "embeddings"))
+    return hamming.nearest(codes, codes.where("id % 20 = 0"), k=10)
+
+
+def op3_chat_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.conversations(chat.from_turns(_read(spark, sf_dir, "conversations")), chat.SCHEMAS)
+
+
 def op4_quality_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = quality.fit(docs, _read(spark, sf_dir, "labels").where(batches.bucket(F.col("doc_id"), 5) != 0))
@@ -52,6 +61,44 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_lattice_lm_scoring, op4_quality_attention_mil, op5_language_id, op6_simhash_near_dedup, op7_secret_scans, op8_substring_dedup, op9_benchmark_decontamination, op10_byte_bpe)}
-
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_lattice_lm_scoring, op2_hamming_top_k, op3_chat_tool_calls, op4_quality_attention_mil, op5_language_id, op6_simhash_near_dedup, op7_secret_scans, op8_substring_dedup, op9_benchmark_decontamination, op10_byte_bpe)}
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_hamming_top_k": """
+        WITH codes AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits FROM embeddings),
+        pairs AS (
+            SELECT q.vec_id AS query_id, d.vec_id AS neighbour_id,
+                   CAST(list_sum(list_transform(range(1, len(q.bits) + 1), lambda j: abs(q.bits[j] - d.bits[j]))) AS BIGINT) AS distance
+            FROM codes q JOIN codes d ON q.vec_id <> d.vec_id WHERE q.vec_id % 20 = 0),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS rank FROM pairs)
+        SELECT query_id, rank, neighbour_id, distance FROM ranked WHERE rank <= 10
+    """,
+    "op3_chat_tool_calls": """
+        WITH turns AS (
+            SELECT *, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (
+                PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM conversations),
+        calls AS (
+            SELECT c.conv_id, c.turn, c.text, c.earlier, length(c.text) % 7 <> 0 AS valid, r.text AS content, r.turn IS NOT NULL AS answered,
+                   row_number() OVER (PARTITION BY c.conv_id ORDER BY c.turn) - 1 AS level
+            FROM turns c LEFT JOIN conversations r ON r.conv_id = c.conv_id AND r.turn = c.turn + 1 AND r.role = 'assistant'
+            WHERE c.role = 'user'),
+        lines AS (
+            SELECT conv_id, level, turn, 'call' AS kind, answered, valid,
+                   '{"arguments":{' || coalesce('"after":"call_' || conv_id || '_' || earlier || '",', '') || '"limit":'
+                   || CASE WHEN valid THEN CAST(length(text) % 10 AS VARCHAR) ELSE '"' || (length(text) % 10) || '"' END
+                   || ',"query":' || to_json(text) || '},"content":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null')
+                   || ',"id":"call_' || conv_id || '_' || turn || '","name":"' || CASE WHEN turn % 4 = 0 THEN 'search' ELSE 'lookup' END
+                   || '","valid":' || CASE WHEN valid THEN 'true' ELSE 'false' END || '}' AS json
+            FROM calls
+            UNION ALL
+            SELECT t.conv_id, coalesce((SELECT max(c.level) FROM calls c WHERE c.conv_id = t.conv_id AND c.turn < t.turn), 0), t.turn,
+                   CASE WHEN t.role = 'assistant' THEN 'orphan' ELSE 'message' END, false, false,
+                   '{"content":' || to_json(t.text) || ',"role":' || to_json(t.role) || '}'
+            FROM turns t WHERE t.role <> 'user' AND NOT (t.role = 'assistant' AND EXISTS (
+                SELECT 1 FROM calls c WHERE c.conv_id = t.conv_id AND c.turn = t.turn - 1)))
+        SELECT conv_id, CAST(count(*) FILTER (kind = 'call') AS BIGINT) AS n_calls, CAST(count(*) FILTER (answered) AS BIGINT) AS n_linked,
+               CAST(count(*) FILTER (valid) AS BIGINT) AS n_valid, CAST(count(*) FILTER (kind = 'orphan') AS BIGINT) AS n_orphans,
+               '[' || string_agg(json, ',' ORDER BY level, turn, kind) || ']' AS messages
+        FROM lines GROUP BY conv_id
+    """,
+}
