@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gramian.llm import batches, sampling
 
@@ -182,7 +183,7 @@ def predict(df: DataFrame, network: Network | None, id_col: str = "doc_id", text
 def annotate(df: DataFrame, network: Network | None, text_col: str = "text") -> DataFrame:
     """``df`` with the columns lang_pred and score put in place of any of these names."""
     df = df.drop("lang_pred", "score")
-    schema = df.schema.add("lang_pred", "string").add("score", "double")
+    schema = T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return df.mapInArrow(_predictor(network, df.columns.index(text_col), whole=True), schema)
 
 
