@@ -17,6 +17,7 @@ import json
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -233,7 +234,7 @@ def redact(df: DataFrame, text_col: str = "text", mark: str = "[REDACTED]") -> D
     """``df`` with the secrets in its texts replaced; null texts stay null, other columns as they are."""
 
     @F.pandas_udf("string")
-    def clean(texts: "pandas.Series") -> "pandas.Series":  # noqa: F821
+    def clean(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: t if t is None else redacted(t, mark))
 
     return df.withColumn(text_col, clean(F.col(text_col)))
