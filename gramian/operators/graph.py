@@ -42,3 +42,49 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
         before = tuple(state)
     roots = star.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("component"))
+
+
+def _spread(values: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, value): the greatest value that reaches each node along the edges, its own included."""
+    before = None
+    while True:
+        offered = edges.join(values.select(F.col("node").alias("src"), "value"), "src").select(F.col("dst").alias("node"), "value")
+        values = cut(values.unionAll(offered).groupBy("node").agg(F.max("value").alias("value")))
+        state = tuple(values.agg(F.sum(F.xxhash64("node", "value").cast("decimal(38,0)"))).first())
+        if state == before:
+            return values
+        before = state
+
+
+def strong_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """(node, component): the smallest node of each strongly connected component of a directed edge table.
+
+    Nodes without an edge in or out are trimmed off.  The rest get as colour the greatest node that reaches them;
+    inside a colour, what reaches that node is its component.  Components found go, and the rest goes on.
+    """
+    pairs = cut(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src is not null and dst is not null").distinct())
+    nodes = cut(pairs.select(F.col("src").alias("node")).unionAll(pairs.select("dst")).distinct())
+    done, left = None, pairs.where("src <> dst")
+    while True:
+        while True:  # trim
+            inner = left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst")
+            n, left = left.count(), cut(inner)
+            if left.count() == n:
+                break
+        if left.isEmpty():
+            break
+        alive = left.select(F.col("src").alias("node")).distinct()
+        colours = _spread(alive.select("node", F.col("node").alias("value")), left)
+        c = colours.withColumnRenamed("value", "colour")
+        same = left.join(c.select(F.col("node").alias("src"), F.col("colour").alias("cs")), "src").join(c.select(F.col("node").alias("dst"), F.col("colour").alias("cd")), "dst")
+        back = cut(same.where("cs = cd").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        reached = _spread(c.select("node", F.when(F.col("node") == F.col("colour"), 1).otherwise(0).alias("value")), back)
+        found = cut(reached.where("value = 1").select("node").join(c, "node"))
+        done = found if done is None else done.unionAll(found)
+        gone = found.select("node")
+        left = cut(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
+    if done is None:
+        return nodes.select("node", F.col("node").alias("component"))
+    least = done.groupBy("colour").agg(F.min("node").alias("component"))
+    named = done.join(least, "colour").select("node", "component")
+    return nodes.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
