@@ -10,6 +10,8 @@ both halves of which are repeated are extended to twice that, and so on until no
 
 Between levels only hashes and ids are shuffled, pre-aggregated in the task that made them, so that a
 passage in very many documents is one row for each of them and no group of documents meets anywhere.
+A text that equals one under a smaller id takes no part: all its windows are there, so it loses every word, or
+none if it is shorter than a window.
 
 Null texts have no words.  Rows without an id lose nothing and take nothing from others.  Rows that share
 an id are judged against other ids only, each by its own text.  Other columns are ignored.
@@ -21,6 +23,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,7 +106,7 @@ def _member(hashes: np.ndarray, rows: np.ndarray, held: pa.Array) -> np.ndarray:
 def _anchor_keys(texts: DataFrame, length: int) -> DataFrame:
     def run(it):
         for batch in it:
-            for part in batches.slices(batch):
+            for part in batches.slices(_own(batch)):
                 words = Words(part.column(1))
                 h, chosen, _ = words.anchors(length)
                 yield _keys(words.row[: len(h)][chosen], h[chosen], part.column(0))
@@ -111,41 +114,54 @@ def _anchor_keys(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInArrow(run, _KEYS)
 
 
+def _own(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The rows with an id that aren't copies.  They are chosen here, not by a filter, which Spark would apply before the
+    texts are dealt out: then each use would deal out texts of its own."""
+    return batch.filter(pc.and_(pc.is_valid(batch.column(0)), pc.invert(batch.column(2))))
+
+
 def _extended_keys(texts: DataFrame, length: int, from_anchors: bool) -> DataFrame:
     """Windows of ``length`` that the repeated keys in the column keys allow: those around an anchor, or
     those both halves of which are repeated."""
 
     def run(it):
         for batch in it:
-            for part in batches.slices(batch):
+            batch = _own(batch)
+            for part in batches.slices(batch.filter(pc.is_valid(batch.column(3)))):
                 words = Words(part.column(1))
                 h, inside = words.windows(length)
                 if from_anchors:
                     _, _, least = words.anchors(length)
-                    take = inside & _member(least, words.row[: len(h)], part.column(2))
+                    take = inside & _member(least, words.row[: len(h)], part.column(3))
                 else:
                     halves, within = words.windows(length // 2)
-                    good = within & _member(halves, words.row[: len(halves)], part.column(2))
+                    good = within & _member(halves, words.row[: len(halves)], part.column(3))
                     take = inside & good[: len(h)] & good[length // 2 :][: len(h)]
                 yield _keys(words.row[: len(h)][take], h[take], part.column(0))
 
     return texts.mapInArrow(run, _KEYS)
 
 
-def _with_keys(texts: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    return texts.join(_of_documents(keys), "doc_id", how).select("doc_id", "text", "keys")
+def _with_keys(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    return texts.join(_of_documents(keys), "doc_id", "left").select("doc_id", "text", "copy", "keys")
 
 
 def _shuffled(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The texts dealt out by id once; every join by id in the query reuses that exchange."""
-    return batches.by_id_text(df, id_col, text_col).repartition("doc_id")
+    """(doc_id, text, copy): the texts dealt out by id once; every later join by id reuses that exchange.
+    copy: an equal text has a smaller id."""
+    rows = batches.by_id_text(df, id_col, text_col)
+    marks = rows.where("doc_id is not null").select("doc_id", F.md5("text").alias("mark"))
+    groups = marks.groupBy("mark").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id")
+    copies = marks.join(groups, "mark").where("first_id < doc_id").groupBy("doc_id").agg(F.collect_set("mark").alias("marks"))
+    is_copy = F.coalesce(F.array_contains("marks", F.md5("text")), F.lit(False))
+    return rows.repartition("doc_id").join(copies, "doc_id", "left").select("doc_id", "text", is_copy.alias("copy"))
 
 
-def _level(df: DataFrame, texts: DataFrame, length: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+def _level(texts: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """The windows of ``length`` around repeated anchors, and those of them that are repeated."""
-    anchors = _anchor_keys(batches.by_id_text(df, id_col, text_col).where("doc_id is not null"), length)
+    anchors = _anchor_keys(texts, length)
     survivors = anchors.join(_repeated(anchors), "key").select("doc_id", "key")
-    keys = _extended_keys(_with_keys(texts, survivors, "inner"), length, True)
+    keys = _extended_keys(_with_keys(texts, survivors), length, True)
     return keys, _repeated(keys)
 
 
@@ -161,7 +177,7 @@ def digests(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: s
 
 def _removed(df: DataFrame, length: int, id_col: str, text_col: str, column: str, show) -> DataFrame:
     texts = _shuffled(df, id_col, text_col)
-    keys, repeated = _level(df, texts, length, id_col, text_col)
+    keys, repeated = _level(texts, length)
     doomed = keys.join(repeated, "key").where("first_id < doc_id").select("doc_id", "key")
 
     def run(it):
@@ -169,7 +185,8 @@ def _removed(df: DataFrame, length: int, id_col: str, text_col: str, column: str
             for part in batches.slices(batch):
                 words = Words(part.column(1))
                 h, inside = words.windows(length)
-                start = inside & _member(h, words.row[: len(h)], part.column(2))
+                copy = np.asarray(part.column(2).to_numpy(zero_copy_only=False), bool)
+                start = inside & (_member(h, words.row[: len(h)], part.column(3)) | copy[words.row[: len(h)]])
                 depth = np.zeros(len(words.hashes) + 1, np.int64)
                 depth[:-1][: len(h)] += start
                 depth[length:][: len(h)] -= start
@@ -181,7 +198,7 @@ def _removed(df: DataFrame, length: int, id_col: str, text_col: str, column: str
                     kept.append(show(b" ".join([raw[s:e] for s, e in zip(words.starts[stay].tolist(), words.ends[stay].tolist())])))
                 yield pa.record_batch([part.column(0), pa.array(np.diff(words.first)), pa.array(np.diff(n_gone)), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", column.split()[0]])
 
-    return _with_keys(texts, doomed, "left").mapInArrow(run, f"doc_id long, n_words long, n_removed long, {column}")
+    return _with_keys(texts, doomed).mapInArrow(run, f"doc_id long, n_words long, n_removed long, {column}")
 
 
 def longest(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,8 +206,8 @@ def longest(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: s
     starts under another id; documents without any are left out.  Ends when no candidate survives."""
     from gramian.runtime import cut
 
-    texts = _shuffled(df, id_col, text_col)
-    keys, repeated = _level(df, texts, length, id_col, text_col)
+    texts = batches.by_id_text(df, id_col, text_col).repartition("doc_id").withColumn("copy", F.lit(False))
+    keys, repeated = _level(texts, length)
     out = None
     while True:
         survivors = cut(keys.join(repeated, "key").select("doc_id", "key"))
@@ -199,7 +216,7 @@ def longest(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: s
         level = survivors.select("doc_id", F.lit(length).cast("long").alias("longest")).distinct()
         out = level if out is None else out.unionAll(level)
         length *= 2
-        keys = _extended_keys(_with_keys(texts, survivors, "inner"), length, False)
+        keys = _extended_keys(_with_keys(texts, survivors), length, False)
         repeated = _repeated(keys)
     if out is None:
         return batches.by_id_text(df, id_col, text_col).limit(0).select("doc_id", F.lit(0).cast("long").alias("longest"))
