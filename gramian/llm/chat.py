@@ -3,13 +3,13 @@
 Native: DataFrame functions only.
 
 Messages are rows (conv_id, seq, kind, call_id, name, arguments, content), kind being ``call``, ``result`` or
-``message``.  A call needs the calls whose ids stand in its argument ``after`` (a string or an array of them).  In a
-conversation's JSON a call comes after the calls it needs; otherwise by ``seq``.
+``message``.  A call needs the calls of its conversation whose ids stand in its argument ``after`` (a string or an array of
+them).  In a conversation's JSON messages stand by ``seq``, but a call that needs a later one comes after it.
 
 Defined results: of calls, or results, that repeat an id the one with the smallest (seq, content) is linked, the
 others are kept as messages.  A result without a call is an ``orphan``; a call without a result has a null content.
 Arguments that aren't a JSON object, lack a required field, or have one of another type or not in the schema
-are not valid; neither is a call of an unknown tool, without an id, or on a circle of needs (these come last).
+are not valid; neither is a call of an unknown tool, without an id, or on a circle of needs.
 Needs that name no call are passed over.  Null text is null in the JSON.  A null conv_id is a conversation of its own.
 """
 
@@ -54,23 +54,33 @@ def valid(arguments: Column, name: Column, schemas: dict[str, dict[str, tuple[st
     return F.coalesce(is_object & fits, F.lit(False))
 
 
-def levels(calls: DataFrame) -> DataFrame:
-    """(call_id, level): 0 for calls that need none, else one more than the greatest level needed; calls on
-    circles, and what needs them, have none.  One round for each level."""
-    ids = calls.select("call_id")
-    needs = calls.select("call_id", F.explode("needs").alias("need")).distinct()
-    open_needs = cut(needs.join(ids.withColumnRenamed("call_id", "need"), "need", "left_semi"))
-    waiting, done, level = cut(ids), None, 0
-    while True:
-        ready = cut(waiting.join(open_needs.select("call_id").distinct(), "call_id", "left_anti"))
-        if ready.isEmpty():
+def placed(calls: DataFrame) -> DataFrame:
+    """(call_id, at, sub, circular): by (at, sub, seq) every call comes after those it needs.
+
+    ``at`` is the greatest seq of the call and all it needs, near or far, and ``sub`` tells those apart that share it.  Where all
+    needs come earlier this is the seq itself.  Only conversations with a need that comes later are worked
+    through, in as many rounds as needs hang together; a call that moves after more rounds than a conversation has
+    calls is on a circle, or needs one that is, and every such call moves once in as many rounds again.
+    """
+    needs = calls.select("conv_id", "call_id", "seq", F.explode("needs").alias("need")).distinct()
+    of = calls.select(F.col("call_id").alias("need"), F.col("conv_id").alias("need_conv"), F.col("seq").alias("need_seq"))
+    edges = needs.join(of, "need").where(F.col("conv_id").eqNullSafe(F.col("need_conv")))
+    late = cut(edges.where("need_seq >= seq").select("conv_id").distinct())
+    start = calls.select("call_id", "conv_id", F.col("seq").alias("at"), F.lit(0).alias("sub"), F.lit(False).alias("circular"))
+    if late.isEmpty():
+        return start.drop("conv_id")
+    concerned = F.col("a.conv_id").eqNullSafe(F.col("b.conv_id"))
+    pick = lambda df, how: df.alias("a").join(late.alias("b"), concerned, how)
+    edges, state = cut(pick(edges, "left_semi").select("call_id", "need")), cut(pick(start, "left_semi").withColumn("moved", F.lit(False)))
+    most = state.groupBy("conv_id").count().agg(F.max("count")).first()[0] + 1
+    for r in range(2 * most):
+        reached = edges.join(state.select(F.col("call_id").alias("need"), F.struct("at", (F.col("sub") + 1).alias("sub")).alias("k")), "need").groupBy("call_id").agg(F.max("k").alias("k"))
+        moves = F.coalesce(F.col("k") > F.struct("at", "sub"), F.lit(False))
+        new = state.join(reached, "call_id", "left").select("call_id", "conv_id", F.when(moves, F.col("k.at")).otherwise(F.col("at")).alias("at"), F.when(moves, F.col("k.sub")).otherwise(F.col("sub")).alias("sub"), (F.col("circular") | (moves & F.lit(r >= most))).alias("circular"), moves.alias("moved"))
+        state = cut(new)
+        if state.where("moved").isEmpty():
             break
-        at = ready.select("call_id", F.lit(level).alias("level"))
-        done = at if done is None else done.unionAll(at)
-        waiting = cut(waiting.join(ready, "call_id", "left_anti"))
-        open_needs = cut(open_needs.join(ready.select(F.col("call_id").alias("need")), "need", "left_anti"))
-        level += 1
-    return ids.limit(0).select("call_id", F.lit(0).alias("level")) if done is None else done
+    return pick(start, "left_anti").unionByName(state.drop("moved")).drop("conv_id")
 
 
 def conversations(messages: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:
@@ -83,25 +93,22 @@ def conversations(messages: DataFrame, schemas: dict[str, dict[str, tuple[str, b
     after = F.try_variant_get(parsed, "$.after", "variant")
     needs = F.coalesce(F.try_variant_get(after, "$", "array<string>"), F.array(F.try_variant_get(after, "$", "string")))
     calls = calls.select("conv_id", "call_id", "seq", "name", F.to_json(parsed).alias("canonical"), valid(parsed, F.col("name"), schemas).alias("fits"), F.filter(F.coalesce(needs, F.array().cast("array<string>")), lambda x: x.isNotNull()).alias("needs"))
-    linked = calls.join(results.select("call_id", F.col("content"), F.lit(True).alias("answered")), "call_id", "left").join(levels(calls), "call_id", "left")
-    linked = linked.select("conv_id", "seq", "level", F.lit("call").alias("kind"), F.coalesce("answered", F.lit(False)).alias("answered"), (F.col("fits") & F.col("level").isNotNull()).alias("valid"), _call_json().alias("json"))
+    linked = calls.join(results.select("call_id", F.col("content"), F.lit(True).alias("answered")), "call_id", "left").join(placed(calls), "call_id", "left")
+    linked = linked.withColumn("valid", F.col("fits") & ~F.col("circular"))
+    linked = linked.select("conv_id", "at", "sub", "seq", F.lit("call").alias("kind"), F.coalesce("answered", F.lit(False)).alias("answered"), "valid", _call_json().alias("json"))
 
     is_linked_call = messages.where("kind = 'call'").join(calls.select("call_id", F.col("seq").alias("first_seq"), F.col("conv_id").alias("first_conv")), "call_id", "left")
     again = is_linked_call.where("first_seq is null or not (seq <=> first_seq and conv_id <=> first_conv)")
     orphans = messages.where("kind = 'result'").join(calls.select("call_id"), "call_id", "left_anti")
-    plain = lambda df, kind: df.select("conv_id", "seq", F.lit(None).cast("int").alias("level"), F.lit(kind).alias("kind"), F.lit(False).alias("answered"), F.lit(False).alias("valid"), _plain_json().alias("json"))
+    plain = lambda df, kind: df.select("conv_id", F.col("seq").alias("at"), F.lit(0).alias("sub"), "seq", F.lit(kind).alias("kind"), F.lit(False).alias("answered"), F.lit(False).alias("valid"), _plain_json().alias("json"))
     rows = linked.unionByName(plain(messages.where("kind not in ('call', 'result') or kind is null"), "message")).unionByName(plain(orphans, "orphan")).unionByName(plain(again, "message"))
-    # A plain message stays behind the calls before it: it has the greatest level so far.
-    before = Window.partitionBy("conv_id").orderBy("seq", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    at = F.when((F.col("kind") == "call") & F.col("level").isNull(), F.lit(2147483647)).otherwise(F.coalesce("level", F.max("level").over(before), F.lit(0)))
-    rows = rows.withColumn("level", at)
     count = lambda c: F.count_if(c).alias
-    ordered = F.array_sort(F.collect_list(F.struct("level", "seq", "kind", "json")))
+    ordered = F.array_sort(F.collect_list(F.struct("at", "sub", "seq", "kind", "json")))
     return rows.groupBy("conv_id").agg(count(F.col("kind") == "call")("n_calls"), count(F.col("answered"))("n_linked"), count(F.col("valid"))("n_valid"), count(F.col("kind") == "orphan")("n_orphans"), F.concat(F.lit("["), F.array_join(F.transform(ordered, lambda x: x["json"]), ","), F.lit("]")).alias("messages"))
 
 
 def _call_json() -> Column:
-    return F.concat(F.lit('{"arguments":'), F.coalesce("canonical", F.lit("null")), F.lit(',"content":'), quoted(F.col("content")), F.lit(',"id":'), quoted(F.col("call_id")), F.lit(',"name":'), quoted(F.col("name")), F.lit(',"valid":'), (F.col("fits") & F.col("level").isNotNull()).cast("string"), F.lit("}"))
+    return F.concat(F.lit('{"arguments":'), F.coalesce("canonical", F.lit("null")), F.lit(',"content":'), quoted(F.col("content")), F.lit(',"id":'), quoted(F.col("call_id")), F.lit(',"name":'), quoted(F.col("name")), F.lit(',"valid":'), F.col("valid").cast("string"), F.lit("}"))
 
 
 def _plain_json() -> Column:
