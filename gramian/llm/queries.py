@@ -78,12 +78,11 @@ ORACLE_SQL: dict[str, str] = {
             SELECT *, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (
                 PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM conversations),
         calls AS (
-            SELECT c.conv_id, c.turn, c.text, c.earlier, length(c.text) % 7 <> 0 AS valid, r.text AS content, r.turn IS NOT NULL AS answered,
-                   row_number() OVER (PARTITION BY c.conv_id ORDER BY c.turn) - 1 AS level
+            SELECT c.conv_id, c.turn, c.text, c.earlier, length(c.text) % 7 <> 0 AS valid, r.text AS content, r.turn IS NOT NULL AS answered
             FROM turns c LEFT JOIN conversations r ON r.conv_id = c.conv_id AND r.turn = c.turn + 1 AND r.role = 'assistant'
             WHERE c.role = 'user'),
         lines AS (
-            SELECT conv_id, level, turn, 'call' AS kind, answered, valid,
+            SELECT conv_id, turn, 'call' AS kind, answered, valid,
                    '{"arguments":{' || coalesce('"after":"call_' || conv_id || '_' || earlier || '",', '') || '"limit":'
                    || CASE WHEN valid THEN CAST(length(text) % 10 AS VARCHAR) ELSE '"' || (length(text) % 10) || '"' END
                    || ',"query":' || to_json(text) || '},"content":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null')
@@ -91,14 +90,13 @@ ORACLE_SQL: dict[str, str] = {
                    || '","valid":' || CASE WHEN valid THEN 'true' ELSE 'false' END || '}' AS json
             FROM calls
             UNION ALL
-            SELECT t.conv_id, coalesce((SELECT max(c.level) FROM calls c WHERE c.conv_id = t.conv_id AND c.turn < t.turn), 0), t.turn,
-                   CASE WHEN t.role = 'assistant' THEN 'orphan' ELSE 'message' END, false, false,
+            SELECT t.conv_id, t.turn, CASE WHEN t.role = 'assistant' THEN 'orphan' ELSE 'message' END, false, false,
                    '{"content":' || to_json(t.text) || ',"role":' || to_json(t.role) || '}'
             FROM turns t WHERE t.role <> 'user' AND NOT (t.role = 'assistant' AND EXISTS (
                 SELECT 1 FROM calls c WHERE c.conv_id = t.conv_id AND c.turn = t.turn - 1)))
         SELECT conv_id, CAST(count(*) FILTER (kind = 'call') AS BIGINT) AS n_calls, CAST(count(*) FILTER (answered) AS BIGINT) AS n_linked,
                CAST(count(*) FILTER (valid) AS BIGINT) AS n_valid, CAST(count(*) FILTER (kind = 'orphan') AS BIGINT) AS n_orphans,
-               '[' || string_agg(json, ',' ORDER BY level, turn, kind) || ']' AS messages
+               '[' || string_agg(json, ',' ORDER BY turn, kind) || ']' AS messages
         FROM lines GROUP BY conv_id
     """,
 }
