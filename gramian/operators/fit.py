@@ -14,7 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramian.operators.design import CORRECTOR, PREDICTOR, Design, poly_terms
+from gramian.operators.design import CORRECTOR, PREDICTOR, Design, Term, poly_terms, with_intercept
+from gramian.operators.windows import sorted_values
 
 
 def _dot(weights, cols) -> Column:
@@ -107,8 +108,6 @@ def gam_fit(obs: DataFrame, subjects: DataFrame, smoothers: dict[str, Design]) -
     Backfitting with mean-free components converges to least squares on the joined basis; so basis columns
     are centred, which makes the intercept the mean.
     """
-    from gramian.operators.design import Term, with_intercept
-
     design = Design(tuple(t for d in smoothers.values() for t in d.terms))
     means = subjects.agg(*[F.avg(t.column) for t in design.terms]).first()
     centred = Design(tuple(Term(t.name, f"(CAST({t.sql} AS DOUBLE) - {m!r}D)", t.role) for t, m in zip(design.terms, means)))
@@ -130,8 +129,6 @@ def curve(spark: SparkSession, params: DataFrame, subjects: DataFrame, feature:
     ``points`` = -1 takes the sorted values of the feature instead.
     """
     if points == -1:
-        from gramian.operators.windows import sorted_values
-
         grid = sorted_values(subjects, [feature]).select((F.col("rank") - 1).alias("point"), F.col(feature).alias(feature))
     else:
         row = subjects.agg(F.min(feature), F.max(feature)).first()
@@ -160,7 +157,5 @@ def fit_by_category(obs: DataFrame, subjects: DataFrame, design: Design) -> Data
     """(category, voxel_id, coefficients): an independent fit in each category."""
     cols = [t.column.alias(f"t{k}") for k, t in enumerate(design.terms)]
     rows = obs.join(subjects.select("subject_id", "category", *cols), "subject_id")
-    from gramian.operators.design import Term
-
     plain = Design(tuple(Term(n, f"t{k}") for k, n in enumerate(design.names)))
     return glm_fit_grouped(rows, ["category", "voxel_id"], "value", plain)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gramian.functions.distributions import f_cdf_column
+
 
 def sample_voxels(obs: DataFrame, m: int, least_variance: float, seed: int = 0, low: int = 0, high: int | None = None) -> DataFrame:
     """(voxel_id, variance): m variables of enough variance in low <= x < high, in the order of a hash of the id and seed."""
@@ -19,8 +21,6 @@ def param_grid(spark: SparkSession, values: dict[str, list]) -> DataFrame:
     """One row for each combination, numbered; the lists are parameters."""
     frames = [spark.createDataFrame([(float(v),) for v in vs], f"`{n}` double") for n, vs in values.items()]
     grid = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), frames)
-    from pyspark.sql import Window
-
     return grid.withColumn("combination", (F.row_number().over(Window.orderBy(*values)) - 1).cast("long"))
 
 
@@ -44,8 +44,6 @@ def anova_statistic(errors: DataFrame, keys: list[str], df: float) -> DataFrame:
 
 def anova_score(errors: DataFrame, keys: list[str], df: float, n: int) -> DataFrame:
     """(keys, score): the F law's share above the statistic."""
-    from gramian.functions.distributions import f_cdf_column
-
     return anova_statistic(errors, keys, df).select(*keys, (1 - f_cdf_column(F.col("f"), df, n - 1 - df)).alias("score"))
 
 
