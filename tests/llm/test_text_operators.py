@@ -115,7 +115,7 @@ def test_simhash_fingerprints(spark, corpus):
 def test_simhash_groups(spark, distance, heavy):
     rng = random.Random(distance)
     prints = []
-    for k in range(25):
+    for k in range(25 if heavy > 2 else 8):
         base = rng.getrandbits(64)
         for _ in range(rng.randrange(1, 9)):
             base ^= sum(1 << rng.randrange(64) for _ in range(rng.randrange(4)))  # chains
