@@ -13,6 +13,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Arrow batches that go to Python tasks have about so many bytes at most (one row at least).
+BATCH_BYTES = 8 << 20
+
 #: A slice of a batch holds about so many bytes of text (one row at least).
 SLICE_BYTES = 1 << 21
 
@@ -36,8 +39,16 @@ def bucket(id_col, modulus: int):
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))) % modulus
 
 
+def small_batches(spark) -> None:
+    """Bounds the bytes of Arrow batches in this session, as texts differ much in length."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) != str(BATCH_BYTES):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def by_id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns, under fixed names, so that other columns can't clash."""
+    small_batches(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
@@ -51,6 +62,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+    pa.default_memory_pool().release_unused()
 
 
 def byte_view(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

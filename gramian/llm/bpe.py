@@ -43,7 +43,7 @@ class Transducer:
     #: Last tokens are told apart only where more tokens than this have begun.
     MOST_BEGUN = 40
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 60_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 80_000):
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.length = {i: len(t) for t, i in ranks.items()}
@@ -99,7 +99,7 @@ class Transducer:
         if some token at the right edge of a and some at the left edge of b merge while both are there."""
         got = self.pairs.get((a, b))
         if got is None:
-            if len(self.pairs) >= 10 * self.max_states:
+            if len(self.pairs) >= 3 * self.max_states:
                 self.pairs.clear()
             right = self._spine(b, 0)
             got = bool(right)
@@ -122,7 +122,7 @@ class Transducer:
         token) for the tokens that end here, and which open positions stay (-1: the new end)."""
         move = self.moves.get((suffix, byte))
         if move is None:
-            if len(self.moves) >= 10 * self.max_states:
+            if len(self.moves) >= self.max_states:
                 self.moves.clear()
             old, longer = self._open(suffix), suffix + bytes([byte])
             ending = [(n, self.ranks[longer[k:]]) for n, k in enumerate(old) if longer[k:] in self.ranks]
@@ -136,7 +136,7 @@ class Transducer:
         """One token for all that may be followed by the same tokens that begin with ``begun``."""
         got = self.classes.get((last, begun))
         if got is None:
-            if len(self.classes) >= 10 * self.max_states:
+            if len(self.classes) >= 3 * self.max_states:
                 self.classes.clear()
                 self.stands.clear()
             a = bisect_left(self.sorted, begun)
@@ -199,7 +199,7 @@ class Transducer:
 class Encoder:
     """Splits a text by a pattern and encodes every match; keeps up to ``max_pieces`` recent results."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = 100_000):
         # Two generations of up to max_pieces results each: a full one becomes the old one.
         self.transducer = Transducer(ranks)
         self.split = regex.compile(pattern).findall

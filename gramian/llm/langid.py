@@ -182,6 +182,7 @@ def predict(df: DataFrame, network: Network | None, id_col: str = "doc_id", text
 
 def annotate(df: DataFrame, network: Network | None, text_col: str = "text") -> DataFrame:
     """``df`` with the columns lang_pred and score put in place of any of these names."""
+    batches.small_batches(df.sparkSession)
     df = df.drop("lang_pred", "score")
     schema = T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return df.mapInArrow(_predictor(network, df.columns.index(text_col), whole=True), schema)

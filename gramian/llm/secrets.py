@@ -232,6 +232,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 
 def redact(df: DataFrame, text_col: str = "text", mark: str = "[REDACTED]") -> DataFrame:
     """``df`` with the secrets in its texts replaced; null texts stay null, other columns as they are."""
+    batches.small_batches(df.sparkSession)
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
