@@ -398,3 +398,15 @@ def test_word_spans():
     starts, ends, first = batches.word_spans(data, offsets)
     assert [bytes(data[a:b]) for a, b in zip(starts, ends)] == [b"a", b"b", b"cd", b"e\x1cf"]
     assert first.tolist() == [0, 0, 2, 3, 4, 4]
+
+
+def test_leaks_of_many_items(spark):
+    """A benchmark far larger than one space: every item that stands in a text, by brute force, is found."""
+    rng = random.Random(12)
+    items = [(k, words_of(rng, 20, 9000)) for k in range(2400)]
+    rows = [(k, f"{words_of(rng, rng.randrange(60), 9000)} {t} {words_of(rng, 60, 9000)}", "") for k, t in items[::4]]
+    rows += [(5000 + k, words_of(rng, 150, 9000), "") for k in range(200)]
+    docs = table(spark, rows)
+    learnt = decontaminate.fit(docs, spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find(docs, learnt).collect()}
+    assert got == {(i, k) for i, text, _ in rows for k, t in items if f" {t} " in f" {text} "}
