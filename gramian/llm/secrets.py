@@ -37,7 +37,11 @@ LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 8, 16, 32
 ASSIGN_HINTS = (b"passw", b"secret", b"token", b"api")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([^-]*)-----END \1-----")
 TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-BLOB = re.compile(r"[A-Za-z0-9+/]+={0,2}|[A-Za-z0-9_-]+={0,2}")
+#: Base64's two alphabets; a candidate is a maximal run of one of them.
+ALPHABETS = ("A-Za-z0-9+/", "A-Za-z0-9_-")
+BLOBS = [re.compile(f"[{x}]+={{0,2}}") for x in ALPHABETS]
+#: The end of a line in one alphabet, such lines with what follows them, and one of them.
+WRAPPED = [tuple(re.compile(p.encode()) for p in (rf"[{x}]+\Z", rf"[{x}]+(?:[ \t]*\r?\n[ \t]*[{x}]+)+={{0,2}}", f"[{x}]+")) for x in ALPHABETS]
 ANY_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 #: A candidate has at least so many characters.
 LEAST_BLOB = 24
@@ -156,18 +160,65 @@ def _in_run(run: str, at: int) -> list[tuple[int, int, int]]:
             if kind:
                 out.append((at + m.start(), kind, at + m.end()))
                 seen.append((at + m.start(), at + m.end()))
-    for m in BLOB.finditer(run):
-        a, b = at + m.start(), at + m.end()
-        # A value may stand after an equals sign or a dot that belongs to the run, so each maximal blob is tried.
-        if b - a < LEAST_BLOB or any(x <= a and b <= y for x, y in seen):
+    # A value may stand after an equals sign or a dot that belongs to the run, so each maximal blob is tried; the longer first,
+    # as what is part of one alphabet's secret may be a blob of the other.
+    blobs = {(m.start(), m.end()) for pattern in BLOBS for m in pattern.finditer(run) if m.end() - m.start() >= LEAST_BLOB}
+    for a, b in sorted(blobs, key=lambda x: (x[0] - x[1], x)):
+        if any(x <= at + a and at + b <= y for x, y in seen):
             continue
-        data = _unbase64(m[0])
+        data = _unbase64(run[a:b])
         kind = data and (5 if is_der_key(data) or is_openssh_key(data) else 6 if _holds_secret(data) else None)
         if kind:
-            out.append((a, kind, b))
+            out.append((at + a, kind, at + b))
+            seen.append((at + a, at + b))
     return out
 
 
+def _in_lines(data: bytes, start: int, end: int) -> tuple[list[tuple[int, int, int]], int]:
+    """(start, kind, end) in bytes of base64 that is wrapped over lines, the first of which ends the run of candidate
+    characters data[start:end]; and where the lines end."""
+    out, last = [], end
+    for tail, block, line in WRAPPED:
+        first = tail.search(data, start, end)
+        if not first or end - first.start() < LEAST_BLOB:
+            continue
+        m = block.match(data, first.start())
+        if not m:
+            continue
+        last = max(last, m.end())
+        lines = [(x.start(), x.end()) for x in line.finditer(data, m.start(), m.end())]
+        ends = lambda n: m.end() if n == len(lines) - 1 else lines[n][1]
+        k = 0
+        while k < len(lines) - 1:
+            n, kind = _joined(data, lines, k)
+            if kind:
+                out.append((lines[k][0], kind, ends(n)))
+            k = n + 1 if kind else k + 1
+    return out, last
+
+
+def _joined(data: bytes, lines: list[tuple[int, int]], k: int) -> tuple[int, int | None]:
+    """The last of the lines that hold a key or a secret together with line ``k``, its first, and the kind."""
+    decoded = lambda n: _unbase64(b"".join(data[a:b] for a, b in lines[k : n + 1]).decode()) or b""
+    a, b = lines[k]
+    head = _unbase64(data[a : a + min(24, (b - a) & ~3)].decode()) or b""
+    got = _length(head, 1) if head[:1] == b"\x30" else None
+    if got:  # the length says how many characters there are
+        left = -(-8 * sum(got) // 6)
+        for n in range(k, len(lines)):
+            left -= lines[n][1] - lines[n][0]
+            if left <= 0:
+                return n, 5 if left == 0 and n > k and is_der_key(decoded(n)) else None
+    # What follows the last line of a value may be a word of the text; a text is tried from the first line on.
+    if k == 0 or head.startswith(b"openssh-key-v1"):
+        for n in (len(lines) - 1, len(lines) - 2):
+            whole = decoded(n) if n > k else b""
+            kind = 5 if is_openssh_key(whole) else 6 if whole and _holds_secret(whole) else None
+            if kind:
+                return n, kind
+    return k, None
+
+
 def spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points of everything found in one text."""
     raw = np.frombuffer(text.encode(), np.uint8)
@@ -186,17 +237,23 @@ def _long_runs(raw: np.ndarray) -> list[tuple[int, int]]:
 def _spans(text: str, raw: np.ndarray, runs: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
     data = raw.tobytes()
     out = _base(text, data)
-    before = at = 0  # code points before byte ``at``
-    for a, b in runs:
-        before += int(np.count_nonzero((raw[at:a] & 0xC0) != 0x80))
-        at = a
-        out += _in_run(data[a:b].decode(), before)
+    armoured = []
     if b"-----BEGIN " in data:
         for m in PEM.finditer(text):
             body = "".join(x for x in m[2].splitlines() if ":" not in x).replace(" ", "")
             key = _unbase64(body)
             if key and (is_der_key(key) or is_openssh_key(key) or "ENCRYPTED" in m[2]):
-                out.append((m.start(), 3, m.end()))
+                armoured.append((m.start(), 3, m.end()))
+    out += armoured
+    before = at = wrapped = 0  # before: code points before byte ``at``
+    for a, b in runs:
+        before += int(np.count_nonzero((raw[at:a] & 0xC0) != 0x80))
+        at = a
+        out += _in_run(data[a:b].decode(), before)
+        if a >= wrapped and data[b : b + 1] in (b"\n", b"\r", b" ", b"\t"):
+            found, wrapped = _in_lines(data, a, b)
+            found = [(before + x - a, kind, before + y - a) for x, kind, y in found]
+            out += [f for f in found if not any(x <= f[0] and f[2] <= y for x, _, y in armoured)]
     return [(KINDS[k], a, b) for a, k, b in sorted(set(out))]
 
 

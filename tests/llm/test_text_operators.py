@@ -287,6 +287,34 @@ def test_secret_spans():
     assert secrets.spans(hidden) == [("encoded", 0, len(hidden))]
 
 
+def test_secrets_in_url_safe_base64_and_in_lines():
+    from base64 import b64encode, urlsafe_b64encode
+
+    rng = random.Random(6)
+    fields = b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"", rng.randbytes(300)))
+    for key in (der(0x30, der(2, b"\0") + b"".join(der(2, bytes([k + 1]) + rng.randbytes(59)) for k in range(8))), b"openssh-key-v1\0" + fields):
+        standard, safe = b64encode(key).decode(), urlsafe_b64encode(key).decode()
+        assert "-" in safe and "_" in safe
+        for blob in (safe, safe.rstrip("=")):
+            assert secrets.spans("é: " + blob + " x") == [("key", 3, 3 + len(blob))]
+        for blob in (standard, safe):
+            for end in ("\n", "\r\n", "\n  "):
+                lines = end.join(blob[k : k + 64] for k in range(0, len(blob), 64))
+                assert ("key", 4, 4 + len(lines)) in secrets.spans("é:\n " + lines + "\n\nx")
+                assert secrets.redacted("é:\n" + lines + "\n\nx") == "é:\n[REDACTED]\n\nx"
+    key = der(0x30, der(2, b"\0") + b"".join(der(2, bytes([k + 1]) * 60) for k in range(9)))
+    blob = b64encode(key).decode().rstrip("=")
+    lines = "\n".join(blob[k : k + 76] for k in range(0, len(blob), 76))
+    assert ("key", 4, 4 + len(lines)) in secrets.spans("key=" + lines + "\nNext words")
+    hidden = urlsafe_b64encode(b"password = hunter222 >>?~~?>>~").decode()
+    assert "-" in hidden or "_" in hidden
+    assert secrets.spans(hidden) == [("encoded", 0, len(hidden))]
+    long = b64encode(b"nothing to see here, " * 4 + b"password: 'correcthorse'" + b" and more" * 9).decode()
+    lines = "\n".join(long[k : k + 60] for k in range(0, len(long), 60))
+    assert ("encoded", 0, len(lines)) in secrets.spans(lines + "\n")
+    assert secrets.spans("word" * 8 + "\n" + "Text" * 8 + "\nMore") == []
+
+
 def test_secret_base_patterns(spark):
     rng = random.Random(5)
     bits = ["password", "PassWd", "toKen", "api_key", "apikey", "secret", "token", " ", "=", ":", '"', "'", "abc", "12345678", "AKIA", "ABCDEFGH1234", "0123456789abcdef", "é", "\n", "AKIAAKIA", "f"]
