@@ -6,8 +6,9 @@ Messages are rows (conv_id, seq, kind, call_id, name, arguments, content), kind
 ``message``.  A call needs the calls of its conversation whose ids stand in its argument ``after`` (a string or an array of
 them).  In a conversation's JSON messages stand by ``seq``, but a call that needs a later one comes after it.
 
-Defined results: of calls, or results, that repeat an id the one with the smallest (seq, content) is linked, the
-others are kept as messages.  A result without a call is an ``orphan``; a call without a result has a null content.
+Defined results: an id belongs to its conversation.  Of calls, or results, that repeat an id there the one with the
+smallest (seq, content) is linked, the others are kept as messages, equal rows too.  A result without a call is an
+``orphan``; a call without a result has a null content.
 Arguments that aren't a JSON object, lack a required field, or have one of another type or not in the schema
 are not valid; neither is a call of an unknown tool, without an id, or on a circle of needs.
 Needs that name no call are passed over.  Null text is null in the JSON.  A null conv_id is a conversation of its own.
@@ -31,10 +32,20 @@ def quoted(col: Column) -> Column:
 
 
 def first_of_id(rows: DataFrame) -> DataFrame:
-    """The first row of each call_id; partial minima, so a frequent id isn't gathered."""
-    names = [c for c in rows.columns if c not in ("call_id", "seq", "content")]
-    least = F.min(F.struct("seq", "content", *names)).alias("r")
-    return rows.where("call_id is not null").groupBy("call_id").agg(least).select("call_id", "r.*")
+    """The first row of each call_id of a conversation, under ``key``, and the number ``n`` of rows; partial minima, so
+    a frequent id isn't gathered."""
+    least = F.min(F.struct("seq", "content", "conv_id", "call_id", "name", "arguments")).alias("r")
+    return rows.where("call_id is not null").groupBy("key").agg(least, F.count(F.lit(1)).alias("n")).select("key", "n", "r.*")
+
+
+def repeats(rows: DataFrame, first: DataFrame) -> DataFrame:
+    """The rows with an id that ``first_of_id`` passed over, equal rows as often as they stand there."""
+    several = first.where("n > 1")
+    whole = F.struct("seq", "content", "conv_id", "call_id", "name", "arguments").alias("row")
+    counted = rows.join(several.select("key"), "key", "left_semi").groupBy(whole).agg(F.count(F.lit(1)).alias("times"))
+    left = F.col("times") - F.coalesce("used", F.lit(0))
+    rest = counted.join(several.select(whole, F.lit(1).alias("used")), "row", "left")
+    return rest.select("row.*", F.explode(F.array_repeat(F.lit(0), left.cast("int")))).drop("col")
 
 
 def valid(arguments: Column, name: Column, schemas: dict[str, dict[str, tuple[str, bool]]]) -> Column:
@@ -55,51 +66,56 @@ def valid(arguments: Column, name: Column, schemas: dict[str, dict[str, tuple[st
 
 
 def placed(calls: DataFrame) -> DataFrame:
-    """(call_id, at, sub, circular): by (at, sub, seq) every call comes after those it needs.
+    """(key, at, sub, circular): by (at, sub, seq) every call comes after those it needs.
 
     ``at`` is the greatest seq of the call and all it needs, near or far, and ``sub`` tells those apart that share it.  Where all
     needs come earlier this is the seq itself.  Only conversations with a need that comes later are worked
     through, in as many rounds as needs hang together; a call that moves after more rounds than a conversation has
     calls is on a circle, or needs one that is, and every such call moves once in as many rounds again.
     """
-    needs = calls.select("conv_id", "call_id", "seq", F.explode("needs").alias("need")).distinct()
-    of = calls.select(F.col("call_id").alias("need"), F.col("conv_id").alias("need_conv"), F.col("seq").alias("need_seq"))
-    edges = needs.join(of, "need").where(F.col("conv_id").eqNullSafe(F.col("need_conv")))
+    needs = calls.select("key", "conv_id", "seq", F.explode("needs").alias("need")).distinct().withColumn("need", _key("conv_id", "need"))
+    edges = needs.join(calls.select(F.col("key").alias("need"), F.col("seq").alias("need_seq")), "need")
     late = cut(edges.where("need_seq >= seq").select("conv_id").distinct())
-    start = calls.select("call_id", "conv_id", F.col("seq").alias("at"), F.lit(0).alias("sub"), F.lit(False).alias("circular"))
+    start = calls.select("key", "conv_id", F.col("seq").alias("at"), F.lit(0).alias("sub"), F.lit(False).alias("circular"))
     if late.isEmpty():
         return start.drop("conv_id")
     concerned = F.col("a.conv_id").eqNullSafe(F.col("b.conv_id"))
     pick = lambda df, how: df.alias("a").join(late.alias("b"), concerned, how)
-    edges, state = cut(pick(edges, "left_semi").select("call_id", "need")), cut(pick(start, "left_semi").withColumn("moved", F.lit(False)))
+    edges, state = cut(pick(edges, "left_semi").select("key", "need")), cut(pick(start, "left_semi").withColumn("moved", F.lit(False)))
     most = state.groupBy("conv_id").count().agg(F.max("count")).first()[0] + 1
     for r in range(2 * most):
-        reached = edges.join(state.select(F.col("call_id").alias("need"), F.struct("at", (F.col("sub") + 1).alias("sub")).alias("k")), "need").groupBy("call_id").agg(F.max("k").alias("k"))
+        reached = edges.join(state.select(F.col("key").alias("need"), F.struct("at", (F.col("sub") + 1).alias("sub")).alias("k")), "need").groupBy("key").agg(F.max("k").alias("k"))
         moves = F.coalesce(F.col("k") > F.struct("at", "sub"), F.lit(False))
-        new = state.join(reached, "call_id", "left").select("call_id", "conv_id", F.when(moves, F.col("k.at")).otherwise(F.col("at")).alias("at"), F.when(moves, F.col("k.sub")).otherwise(F.col("sub")).alias("sub"), (F.col("circular") | (moves & F.lit(r >= most))).alias("circular"), moves.alias("moved"))
+        new = state.join(reached, "key", "left").select("key", "conv_id", F.when(moves, F.col("k.at")).otherwise(F.col("at")).alias("at"), F.when(moves, F.col("k.sub")).otherwise(F.col("sub")).alias("sub"), (F.col("circular") | (moves & F.lit(r >= most))).alias("circular"), moves.alias("moved"))
         state = cut(new)
         if state.where("moved").isEmpty():
             break
     return pick(start, "left_anti").unionByName(state.drop("moved")).drop("conv_id")
 
 
+def _key(conv_id: str, call_id: str) -> Column:
+    """An id within its conversation; a null conversation equals itself, as a field of a struct."""
+    return F.struct(F.col(conv_id).alias("conv_id"), F.col(call_id).alias("call_id"))
+
+
 def conversations(messages: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:
     """(conv_id, n_calls, n_linked, n_valid, n_orphans, messages): one row for each conversation, messages as canonical
     JSON: no spaces, keys in order, one object for each call with its result's content."""
-    messages = messages.select(F.col("conv_id").cast("long"), F.col("seq").cast("long"), "kind", F.col("call_id").cast("string"), F.col("name").cast("string"), F.col("arguments").cast("string"), F.col("content").cast("string"))
-    calls = cut(first_of_id(messages.where("kind = 'call'").drop("kind")))
-    results = first_of_id(messages.where("kind = 'result'").drop("kind", "name", "arguments", "conv_id"))
+    messages = messages.select(F.col("conv_id").cast("long"), F.col("seq").cast("long"), "kind", F.col("call_id").cast("string"), F.col("name").cast("string"), F.col("arguments").cast("string"), F.col("content").cast("string")).withColumn("key", _key("conv_id", "call_id"))
+    first_calls = cut(first_of_id(messages.where("kind = 'call'")))
+    results = messages.where("kind = 'result'")
+    first_results = cut(first_of_id(results))
     parsed = F.try_parse_json("arguments")
     after = F.try_variant_get(parsed, "$.after", "variant")
     needs = F.coalesce(F.try_variant_get(after, "$", "array<string>"), F.array(F.try_variant_get(after, "$", "string")))
-    calls = calls.select("conv_id", "call_id", "seq", "name", F.to_json(parsed).alias("canonical"), valid(parsed, F.col("name"), schemas).alias("fits"), F.filter(F.coalesce(needs, F.array().cast("array<string>")), lambda x: x.isNotNull()).alias("needs"))
-    linked = calls.join(results.select("call_id", F.col("content"), F.lit(True).alias("answered")), "call_id", "left").join(placed(calls), "call_id", "left")
+    calls = first_calls.select("key", "conv_id", "call_id", "seq", "name", F.to_json(parsed).alias("canonical"), valid(parsed, F.col("name"), schemas).alias("fits"), F.filter(F.coalesce(needs, F.array().cast("array<string>")), lambda x: x.isNotNull()).alias("needs"))
+    linked = calls.join(first_results.select("key", "content", F.lit(True).alias("answered")), "key", "left").join(placed(calls), "key", "left")
     linked = linked.withColumn("valid", F.col("fits") & ~F.col("circular"))
     linked = linked.select("conv_id", "at", "sub", "seq", F.lit("call").alias("kind"), F.coalesce("answered", F.lit(False)).alias("answered"), "valid", _call_json().alias("json"))
 
-    is_linked_call = messages.where("kind = 'call'").join(calls.select("call_id", F.col("seq").alias("first_seq"), F.col("conv_id").alias("first_conv")), "call_id", "left")
-    again = is_linked_call.where("first_seq is null or not (seq <=> first_seq and conv_id <=> first_conv)")
-    orphans = messages.where("kind = 'result'").join(calls.select("call_id"), "call_id", "left_anti")
+    again = repeats(messages.where("kind = 'call'"), first_calls).unionByName(messages.where("kind = 'call' and call_id is null").drop("key", "kind"))
+    again = again.unionByName(repeats(results, first_results.join(first_calls.select("key"), "key", "left_semi")))
+    orphans = results.join(first_calls.select("key"), "key", "left_anti")
     plain = lambda df, kind: df.select("conv_id", F.col("seq").alias("at"), F.lit(0).alias("sub"), "seq", F.lit(kind).alias("kind"), F.lit(False).alias("answered"), F.lit(False).alias("valid"), _plain_json().alias("json"))
     rows = linked.unionByName(plain(messages.where("kind not in ('call', 'result') or kind is null"), "message")).unionByName(plain(orphans, "orphan")).unionByName(plain(again, "message"))
     count = lambda c: F.count_if(c).alias

@@ -78,6 +78,34 @@ def test_conversations(spark):
     assert chat.conversations(spark.createDataFrame([], MESSAGES), chat.SCHEMAS).count() == 0
 
 
+def test_no_message_is_lost(spark):
+    ok = '{"query":"x","limit":1}'
+    rows = [
+        (1, 0, "call", "a", "search", ok, None, 0),
+        (1, 0, "call", "a", "search", ok, None, 0),
+        (1, 0, "call", "a", "lookup", ok, None, 0),
+        (1, 1, "result", "a", "tool", None, "first", 0),
+        (1, 1, "result", "a", "tool", None, "first", 0),
+        (1, 2, "result", "a", None, None, "second", 0),
+        (2, 0, "call", "a", "search", '{"query":"x","limit":1,"after":"b"}', None, 0),
+        (2, 1, "call", "b", "lookup", ok, None, 0),
+        (2, 2, "result", "a", "tool", None, "of the other", 0),
+        (3, 0, "result", "a", "tool", None, "without", 0),
+        (3, 1, "result", None, "tool", None, "no id", 0),
+        (None, 0, "call", "a", "search", ok, None, 0),
+        (None, 1, "result", "a", "tool", None, "of none", 0),
+        (None, 2, "result", "a", "tool", None, None, 0),
+        (None, 2, "result", "a", "tool", None, None, 0),
+    ]
+    got = {r.conv_id: r for r in chat.conversations(spark.createDataFrame(rows, MESSAGES), chat.SCHEMAS).collect()}
+    assert {i: tuple(r)[1:5] for i, r in got.items()} == {1: (1, 1, 1, 0), 2: (2, 1, 2, 0), 3: (0, 0, 0, 2), None: (1, 1, 1, 0)}
+    shown = {i: [(m.get("id"), m.get("role"), m["content"]) for m in json.loads(r.messages)] for i, r in got.items()}
+    assert sorted(shown[1], key=str) == sorted([("a", None, "first"), (None, "search", None), (None, "search", None), (None, "tool", "first"), (None, "unknown", "second")], key=str)
+    assert shown[2] == [("b", None, None), ("a", None, "of the other")]
+    assert shown[3] == [(None, "tool", "without"), (None, "tool", "no id")]
+    assert shown[None] == [("a", None, "of none"), (None, "tool", None), (None, "tool", None)]
+
+
 def test_long_chain_in_order(spark):
     rows = [(1, k, "call", f"c{k}", "search", json.dumps({"query": "x", "limit": 1, "after": f"c{k - 1}"}), None, 0) for k in range(300)]
     r = chat.conversations(spark.createDataFrame(rows, MESSAGES), chat.SCHEMAS).first()
