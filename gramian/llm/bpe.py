@@ -275,6 +275,11 @@ def decode_stream(tokens, bytes_of):
         yield piece
 
 
+def decoded_sha256(tokens, bytes_of) -> str:
+    """The SHA-256 of the text of a stream of ids, as UTF-8."""
+    return hashlib.sha256("".join(decode_stream(tokens, bytes_of)).encode()).hexdigest()
+
+
 _encoders: dict[int, Encoder] = {}
 
 
@@ -348,7 +353,7 @@ def digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text
                     ids = encoder.encode(text or "")
                     n.append(len(ids))
                     ids_sha.append(hashlib.sha256(" ".join([text_of[i] for i in ids]).encode()).hexdigest())
-                    decoded_sha.append(hashlib.sha256(b"".join([bytes_of[i] for i in ids])).hexdigest())
+                    decoded_sha.append(decoded_sha256(ids, bytes_of))
                 yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return batches.by_id_text(df, id_col, text_col).mapInArrow(run, schema)

@@ -386,6 +386,15 @@ def test_utf8_machine():
         assert "".join(out) + machine.close() == data.decode(errors="replace")
 
 
+def test_digest_is_of_the_decoded_stream(tiktoken_encoding):
+    library, ranks = tiktoken_encoding
+    bytes_of = {i: b for b, i in ranks.items()}
+    for text in ("", "plain words", "é 😀\n" * 50):
+        assert bpe.decoded_sha256(library.encode_ordinary(text), bytes_of) == hashlib.sha256(text.encode()).hexdigest()
+    cut = [ranks[b"a"], ranks[b"\xc3"], ranks[b"b"], ranks[b"\xf0"]]
+    assert bpe.decoded_sha256(cut, bytes_of) == hashlib.sha256("a\ufffdb\ufffd".encode()).hexdigest()
+
+
 # --- decontamination
 
 
