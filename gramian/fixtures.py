@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gramian.sources.volumes import explode_volume
@@ -33,8 +33,12 @@ def maps(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     return [g, g.selectExpr("voxel_id", "((voxel_id*7919)%1000)/1000.0D AS value"), g.selectExpr("voxel_id", "((voxel_id*104729)%1000)/1000.0D - 0.2D AS value")]
 
 
-def edges(spark: SparkSession, sf_dir: str, modulus: int) -> DataFrame:
-    return read(spark, sf_dir, "orders").where((F.col("o_orderkey") < 15000) & (F.col("o_orderkey") % modulus == 0)).selectExpr("o_custkey % 1009 AS src", "(o_orderkey*7919) % 1009 AS dst")
+def edges(spark: SparkSession, sf_dir: str, closed: bool) -> DataFrame:
+    """Orders of one customer, dealt into three sequences, each linked to the next one; ``closed``: with even customers the last to the first."""
+    sequence = Window.partitionBy("o_custkey", F.pmod(F.expr("o_orderkey div 4"), F.lit(3))).orderBy("o_orderkey")
+    first = F.min("o_orderkey").over(sequence.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    last = F.when(F.col("o_custkey") % 2 == 0, first) if closed else F.lit(None)
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("src"), F.coalesce(F.lead("o_orderkey").over(sequence), last).alias("dst"))
 
 
 #: The same tables as SQL.

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Kernel weights are summed over so many deviations to either side.
+REACH = 12
+
 
 def kernel_smooth(df: DataFrame, x: str, y: str, sigma: float, grid: DataFrame) -> DataFrame:
     """(g, value): Gaussian-weighted means at the points g of ``grid``."""
@@ -20,7 +23,9 @@ def kernel_df(df: DataFrame, x: str, sigma: float) -> DataFrame:
     """(df): the trace of S S' of the row-normalised kernel matrix.  Equal values of x are one point with a count, so
     the pairs are those of different values."""
     points = df.groupBy(F.col(x).alias("u")).agg(F.count("*").alias("n"))
-    pairs = points.crossJoin(points.select(F.col("u").alias("v"), F.col("n").alias("m"))).withColumn("w", F.exp(-((F.col("u") - F.col("v")) ** 2) / (2 * sigma**2)))
+    # Beyond REACH deviations a weight is under 1e-31, which is nothing beside a point's own weight of 1.
+    near = band_join(points, "u", points.select(F.col("u").alias("g"), F.col("n").alias("m")), REACH * sigma)
+    pairs = near.withColumn("w", F.exp(-((F.col("u") - F.col("g")) ** 2) / (2 * sigma**2)))
     rows = pairs.groupBy("u", "n").agg((F.sum(F.col("m") * F.col("w") ** 2) / F.sum(F.col("m") * F.col("w")) ** 2).alias("s"))
     return rows.agg(F.sum(F.col("n") * F.col("s")).alias("df"))
 
@@ -29,13 +34,20 @@ def band_join(df: DataFrame, x: str, grid: DataFrame, span: float) -> DataFrame:
     """Rows of ``df`` with the grid points within ``span`` of x.  Both are put in bins as wide as the span, and a grid point
     also in the bins beside its own, so the join has an equal key."""
     bin_of = lambda c: F.floor(F.col(c) / span).cast("long")
-    near = grid.select("g", F.explode(F.array(*[bin_of("g") + k for k in (-1, 0, 1)])).alias("bin"))
+    near = grid.withColumn("bin", F.explode(F.array(*[bin_of("g") + k for k in (-1, 0, 1)])))
     return df.withColumn("bin", bin_of(x)).join(near, "bin").where(F.abs(F.col("g") - F.col(x)) <= span).drop("bin")
 
 
-def lowess(df: DataFrame, x: str, y: str, span: float, grid: DataFrame, degree: int = 1) -> DataFrame:
-    """(g, value): local polynomials of degree 1 or 2 with tricube weights of what lies within ``span``; null where the
-    points don't determine one."""
+def span_of(df: DataFrame, x: str, percent: float) -> float:
+    """The distance that is ``percent`` of the range of x; 0 if there is none."""
+    low, high = df.agg(F.min(x), F.max(x)).first()
+    return 0.0 if low is None else float(high - low) * percent / 100
+
+
+def lowess(df: DataFrame, x: str, y: str, span: float, grid: DataFrame, degree: int = 1, percent: bool = False) -> DataFrame:
+    """(g, value): local polynomials of degree 1 or 2 with tricube weights of what lies within ``span`` (a distance, or with ``percent`` a
+    percentage of the range of x); null where the points don't determine one."""
+    span = (span_of(df, x, span) if percent else span) or 1.0
     rows = band_join(df.select(x, y), x, grid, span)
     d = F.col(x) - F.col("g")
     w = (1 - (F.abs(d) / span) ** 3) ** 3

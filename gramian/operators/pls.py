@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,12 +111,40 @@ def strengths(obs: DataFrame, subjects: DataFrame, features: Sequence[str], keys
 
 
 def permutation_p(obs: DataFrame, subjects: DataFrame, features: Sequence[str], n: int) -> DataFrame:
-    """(voxel_id, strength, p): share of n permutations of the observations over subjects with a strictly greater effect."""
-    seen = strengths(obs, subjects, features, ["voxel_id"])
-    moved = obs.withColumnRenamed("subject_id", "source").join(permutations(subjects, n), "source").select("perm_id", "voxel_id", "subject_id", "value")
-    drawn = strengths(moved, subjects, features, ["perm_id", "voxel_id"]).withColumnRenamed("strength", "drawn")
-    share = F.avg((F.col("drawn") > F.col("strength")).cast("double"))
-    return drawn.join(seen, "voxel_id").groupBy("voxel_id", "strength").agg(share.alias("p"))
+    """(voxel_id, strength, p): share of n permutations of the observations over subjects with a strictly greater effect.
+
+    Each subject has the features it would have in every permutation as one vector, so the observations are joined and summed
+    once, whatever n is; a vector sum is a partial aggregate.
+    """
+    means, gram, count = _centred(subjects, features)
+    r = range(len(features))
+    x = subjects.select("subject_id", *[(F.col(f) - m).alias(f"x{k}") for k, (f, m) in enumerate(zip(features, means))])
+    drawn = permutations(subjects, n).join(x, "subject_id").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("perm_id", *[f"x{k}" for k in r]))).alias("drawn"))
+    held = drawn.join(x.withColumnRenamed("subject_id", "source"), "source")
+    # The features as they are come first, then those of the permutations, feature by feature.
+    whole = F.concat(*[F.concat(F.array(f"x{k}"), F.col(f"drawn.x{k}")) for k in r])
+    vectors = held.select(F.col("source").alias("subject_id"), whole.alias("xs"))
+    moved = obs.join(vectors, "subject_id").select("voxel_id", "value", array_to_vector(F.transform("xs", lambda v: v * F.col("value"))).alias("moved"))
+    sums = moved.groupBy("voxel_id").agg(F.stddev_pop("value").alias("sd"), Summarizer.sum(F.col("moved")).alias("s")).withColumn("s", vector_to_array("s"))
+    s = lambda k, i: F.element_at("s", i + 1 + k * (n + 1))
+
+    def strength(i: Column) -> Column:
+        at = [s(k, i) for k in r]
+        return F.coalesce(sum((v * v for v in at), F.lit(0.0)) / (count - 1) / F.nullif(F.sqrt(_quadratic(at, gram, at) / count) * F.col("sd"), F.lit(0.0)), F.lit(0.0))
+
+    seen = sums.withColumn("strength", strength(F.lit(0)))
+    greater = F.size(F.filter(F.sequence(F.lit(1), F.lit(n)), lambda i: strength(i) > F.col("strength")))
+    return seen.select("voxel_id", "strength", (greater / F.lit(n)).alias("p"))
+
+
+def evaluate_latent(obs: DataFrame, subjects: DataFrame, features: Sequence[str], n: int, threshold: float | None = None) -> DataFrame:
+    """(voxel_id, strength, p, one rotation for each feature): the first latent effect of every variable.  Variables whose mean lies below ``threshold``
+    have strength 0, p 1 and rotations 0."""
+    types = pls_fit(obs, subjects, features, 1).select("voxel_id", "mean", *[F.col(f"rot_0_{f}").alias(f"rot_{f}") for f in features])
+    out = permutation_p(obs, subjects, features, n).join(types, "voxel_id")
+    masked = F.lit(False) if threshold is None else F.col("mean") < threshold
+    keep = lambda name, other: F.when(masked, F.lit(other)).otherwise(F.col(name)).alias(name)
+    return out.select("voxel_id", keep("strength", 0.0), keep("p", 1.0), *[keep(f"rot_{f}", 0.0) for f in features])
 
 
 def cluster_effect_type(types: DataFrame, k: int, seed: int = 42) -> DataFrame:

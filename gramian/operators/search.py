@@ -2,21 +2,65 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gramian.functions.distributions import f_cdf_column
-
-
-def sample_voxels(obs: DataFrame, m: int, least_variance: float, seed: int = 0, low: int = 0, high: int | None = None) -> DataFrame:
-    """(voxel_id, variance): m variables of enough variance in low <= x < high, in the order of a hash of the id and seed."""
-    rows = obs.where(F.col("x") >= low) if high is None else obs.where((F.col("x") >= low) & (F.col("x") < high))
+from gramian.operators.design import PREDICTOR, Design, Term, poly_terms, with_intercept
+from gramian.operators.fit import grouped_moments, solve_spd
+from gramian.runtime import cut
+
+
+def sample_voxels(obs: DataFrame, m: int, least_variance: float, seed: int = 0, box: dict[str, tuple[int | None, int | None]] | None = None) -> DataFrame:
+    """(voxel_id, variance): m variables of enough variance inside ``box`` ({axis: (low, high)}, low <= axis < high, None: open), in the order
+    of a hash of the id and seed."""
+    rows = obs
+    for axis, (low, high) in (box or {}).items():
+        rows = rows if low is None else rows.where(F.col(axis) >= low)
+        rows = rows if high is None else rows.where(F.col(axis) < high)
     v = rows.groupBy("voxel_id").agg(F.var_pop("value").alias("variance")).where(F.col("variance") > least_variance)
     return v.orderBy(((F.col("voxel_id") + 1) * 7919 + seed * 104729) % 100003, "voxel_id").limit(m)
 
 
+def grid_search(obs: DataFrame, iterations: int, m: int, least_variance: float, scores: Callable[[DataFrame], DataFrame], box: dict[str, tuple[int | None, int | None]] | None = None) -> DataFrame:
+    """(iteration, combination, error): in each iteration m sampled variables, and for every combination the sum of their scores over their variances.
+
+    ``scores`` gives (voxel_id, combination, score) of all combinations for the observations of the sampled variables, which are
+    a bounded number (iterations times m) and are written down once; so the whole table is read for the sampling and once more.
+    """
+    drawn = [sample_voxels(obs, m, least_variance, i, box).withColumn("iteration", F.lit(i)) for i in range(1, iterations + 1)]
+    voxels = cut(reduce(DataFrame.unionByName, drawn))
+    sampled = cut(obs.join(F.broadcast(voxels.select("voxel_id").distinct()), "voxel_id"))
+    return scores(sampled).join(F.broadcast(voxels), "voxel_id").groupBy("iteration", "combination").agg(F.sum(F.col("score") / F.col("variance")).alias("error"))
+
+
+def polynomial_scores(sampled: DataFrame, subjects: DataFrame, feature: str, degrees: Sequence[int]) -> DataFrame:
+    """(voxel_id, combination, score): the mean squared error of a polynomial of each degree, which is the combination; one aggregation
+    gives the moments of all of them, which lie inside those of the highest."""
+    top = max(degrees)
+    design = with_intercept(poly_terms(feature, top), PREDICTOR)
+    cols = [t.column.alias(f"t{k}") for k, t in enumerate(design.terms)]
+    rows = sampled.join(F.broadcast(subjects.select("subject_id", *cols)), "subject_id")
+    plain = Design(tuple(Term(f"b{k}", f"t{k}") for k in range(top + 1)))
+    # The intercept is where the design has it; the powers follow in order.
+    powers = [k for k in range(top + 1) if design.names[k] != "intercept"]
+    at = [next(k for k in range(top + 1) if design.names[k] == "intercept"), *powers]
+    moments = cut(grouped_moments(rows, ["voxel_id"], "value", plain).join(rows.groupBy("voxel_id").agg(F.sum(F.col("value") ** 2).alias("yy")), "voxel_id"))
+    out = []
+    for degree in degrees:
+        own = at[: degree + 1]
+        cell = lambda i, j: F.col(f"a_{max(i, j)}_{min(i, j)}")
+        part = moments.select("voxel_id", "n", "yy", *[cell(own[i], own[j]).alias(f"a_{i}_{j}") for i in range(degree + 1) for j in range(i + 1)], *[F.col(f"b_{k}").alias(f"b_{i}") for i, k in enumerate(own)])
+        names = [f"c{i}" for i in range(degree + 1)]
+        fit = part.join(solve_spd(part, ["voxel_id"], names), "voxel_id")
+        rss = F.col("yy") - sum((F.col(f"b_{i}") * F.col(f"c{i}") for i in range(degree + 1)), F.lit(0.0))
+        out.append(fit.select("voxel_id", F.lit(degree).alias("combination"), (rss / F.col("n")).alias("score")))
+    return reduce(DataFrame.unionByName, out)
+
+
 def param_grid(spark: SparkSession, values: dict[str, list]) -> DataFrame:
     """One row for each combination, numbered; the lists are parameters."""
     frames = [spark.createDataFrame([(float(v),) for v in vs], f"`{n}` double") for n, vs in values.items()]

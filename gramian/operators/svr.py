@@ -1,7 +1,7 @@
 """Support-vector regression of every variable, with one design for all.
 
 Each variable is a small problem of its own on the same features, so the kernel matrix of the subjects is made once and
-the variables are dealt out in groups; a task solves its variables by coordinate descent on the dual.
+the variables are dealt out in groups; a task solves the duals of its variables together.
 """
 
 from __future__ import annotations
@@ -13,56 +13,133 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gramian.runtime import cut
 
-def solve_dual(kernel: np.ndarray, y: np.ndarray, c: float, epsilon: float, rounds: int = 200, tolerance: float = 1e-4) -> np.ndarray:
-    """Dual coefficients a, |a| <= c, that minimise a'Ka/2 - y'a + epsilon |a|; the intercept is a constant in the kernel."""
-    a, g = np.zeros(len(y)), -np.asarray(y, float)  # g: Ka - y
-    diagonal = np.maximum(kernel.diagonal(), 1e-12)
+
+#: The kernel matrix of so many subjects at most is held by a task (200 MB); studies with more are refused.
+MOST_SUBJECTS = 5000
+
+
+def solve_dual(kernel: np.ndarray, y: np.ndarray, c: float, epsilon: float, rounds: int = 20_000, tolerance: float = 1e-4) -> np.ndarray:
+    """Dual coefficients a, |a| <= c, that minimise a'Ka/2 - y'a + epsilon |a|, for each column of ``y``; the intercept is a constant in the kernel.
+
+    Alternating directions: the quadratic part and the bounds take turns, tied by multipliers, and one factorisation serves
+    all columns and rounds.  A column is done when both parts agree, and have stopped moving, to ``tolerance`` (of c, and of the column's
+    deviation); one that isn't after so many rounds raises.
+    """
+    y = np.asarray(y, float)
+    flat = y.ndim == 1
+    y = y.reshape(len(y), -1)
+    spread = np.maximum(y.std(axis=0), 1e-12)
+    weight = float(np.median(spread)) / c
+    inverse = np.linalg.inv(kernel + weight * np.eye(len(y)))
+    out, live = np.zeros(y.shape), np.arange(y.shape[1])
+    bound, rest = np.zeros(y.shape), np.zeros(y.shape)  # the part inside the bounds, and the multipliers over ``weight``
     for _ in range(rounds):
-        moved = 0.0
-        for i in range(len(y)):
-            z = a[i] - g[i] / diagonal[i]
-            new = np.clip(np.sign(z) * max(abs(z) - epsilon / diagonal[i], 0.0), -c, c)
-            step = new - a[i]
-            if step:
-                g += step * kernel[:, i]
-                a[i] = new
-                moved = max(moved, abs(step))
-        if moved < tolerance * c:
-            break
-    return a
+        free = inverse @ (y[:, live] + weight * (bound - rest))
+        mixed = 1.6 * free - 0.6 * bound + rest
+        before, bound = bound, np.clip(np.sign(mixed) * np.maximum(np.abs(mixed) - epsilon / weight, 0.0), -c, c)
+        rest = mixed - bound
+        apart, moved = np.abs(free - bound).max(axis=0), weight * np.abs(bound - before).max(axis=0)
+        done = (apart <= tolerance * c) & (moved <= tolerance * spread[live])
+        if done.any():
+            out[:, live[done]] = bound[:, done]
+            live, bound, rest = live[~done], bound[:, ~done], rest[:, ~done]
+        if not len(live):
+            return out[:, 0] if flat else out
+    raise ArithmeticError(f"{len(live)} fits have not settled after {rounds} rounds")
 
 
 def kernel_matrix(x: np.ndarray, z: np.ndarray, gamma: float | None) -> np.ndarray:
     """Linear (gamma None) or Gaussian; one is added for the intercept."""
     if gamma is None:
         return x @ z.T + 1
-    return np.exp(-gamma * ((x[:, None, :] - z[None, :, :]) ** 2).sum(-1)) + 1
+    return np.exp(-gamma * ((x**2).sum(1)[:, None] + (z**2).sum(1)[None, :] - 2 * x @ z.T).clip(0)) + 1
+
+
+def _shared_features(subjects: DataFrame, features: Sequence[str]):
+    """The ids and scaled features of the subjects (a few numbers for each) for all tasks; their number is checked first."""
+    n = subjects.count()
+    if n > MOST_SUBJECTS:
+        raise ValueError(f"{n} subjects; a kernel matrix holds {MOST_SUBJECTS} at most")
+    rows = subjects.select("subject_id", *features).orderBy("subject_id").toPandas()
+    x = rows[list(features)].to_numpy(float)
+    x = (x - x.mean(0)) / np.where(x.std(0) > 0, x.std(0), 1)
+    return subjects.sparkSession.sparkContext.broadcast((rows["subject_id"].to_numpy(), x))
+
+
+def _solved(rows: pd.DataFrame, ids: np.ndarray, kernel: np.ndarray, c: float, epsilon: float):
+    """(voxels, subjects, values, coefficients) for the variables of one group; those with the same subjects are columns of one problem."""
+    wide = rows.pivot_table(index="subject_id", columns="voxel_id", values="value", aggfunc="first").reindex(ids)
+    held = wide.notna().to_numpy()
+    patterns, which = np.unique(held, axis=1, return_inverse=True)
+    for k in range(patterns.shape[1]):
+        at, columns = np.flatnonzero(patterns[:, k]), np.flatnonzero(which.ravel() == k)
+        y = wide.to_numpy(float)[np.ix_(at, columns)]
+        yield wide.columns.to_numpy()[columns], at, y, solve_dual(kernel[np.ix_(at, at)], y, c, epsilon)
 
 
 def svr_fit(obs: DataFrame, subjects: DataFrame, features: Sequence[str], c: float, epsilon: float, gamma: float | None = None, groups: int = 64) -> DataFrame:
     """(voxel_id, subject_id, alpha): dual coefficients; features are scaled to mean 0 and deviation 1.
 
-    The features of the subjects, a few numbers for each, go to every task; a task holds one variable's group at a time.
+    The variables are dealt into ``groups``; each makes the kernel matrix once.  More variables need more groups, so that a
+    group's observations fit in a task.
     """
-    rows = subjects.select("subject_id", *features).orderBy("subject_id").toPandas()
-    x = rows[list(features)].to_numpy(float)
-    x = (x - x.mean(0)) / np.where(x.std(0) > 0, x.std(0), 1)
-    ids = rows["subject_id"].to_numpy()
-    shared = obs.sparkSession.sparkContext.broadcast((ids, x))
+    shared = _shared_features(subjects, features)
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        ids, x = shared.value
+        kernel, out = kernel_matrix(x, x, gamma), []
+        for voxels, at, _, alpha in _solved(rows, ids, kernel, c, epsilon):
+            out.append(pd.DataFrame({"voxel_id": np.repeat(voxels, len(at)), "subject_id": np.tile(ids[at], len(voxels)), "alpha": alpha.T.ravel()}))
+        return pd.concat(out)
+
+    return _dealt(obs, groups).groupBy("g").applyInPandas(solve, "voxel_id long, subject_id long, alpha double")
+
+
+def _dealt(obs: DataFrame, groups: int) -> DataFrame:
+    return obs.select("voxel_id", "subject_id", "value").withColumn("g", F.pmod(F.xxhash64("voxel_id"), F.lit(groups)))
+
+
+def grid_scores(obs: DataFrame, subjects: DataFrame, features: Sequence[str], grid: DataFrame, groups: int = 16) -> DataFrame:
+    """(voxel_id, combination, score): the mean squared error of a fit with each combination of ``grid`` (combination, c, epsilon and, for
+    Gaussian fits, gamma), in one job over combinations and groups of variables."""
+    gaussian = "gamma" in grid.columns
+    shared = _shared_features(subjects, features)
+    at = grid.select("combination", "c", "epsilon", F.col("gamma") if gaussian else F.lit(None).cast("double").alias("gamma"))
 
-    def solve(voxels: pd.DataFrame) -> pd.DataFrame:
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        ids, x = shared.value
+        own, out = rows.iloc[0], []
+        kernel = kernel_matrix(x, x, own["gamma"] if gaussian else None)
+        for voxels, held, y, alpha in _solved(rows, ids, kernel, own["c"], own["epsilon"]):
+            error = y - kernel[np.ix_(held, held)] @ alpha
+            out.append(pd.DataFrame({"voxel_id": voxels, "combination": int(own["combination"]), "score": (error**2).mean(0)}))
+        return pd.concat(out)
+
+    return _dealt(obs, groups).crossJoin(F.broadcast(at)).groupBy("g", "combination").applyInPandas(solve, "voxel_id long, combination long, score double")
+
+
+def svr_correct(obs: DataFrame, subjects: DataFrame, correctors: Sequence[str], c: float, epsilon: float, gamma: float | None = None, groups: int = 64) -> DataFrame:
+    """(voxel_id, subject_id, value): observations without what a fit of the correctors alone predicts."""
+    shared = _shared_features(subjects, correctors)
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
         ids, x = shared.value
         kernel, out = kernel_matrix(x, x, gamma), []
-        for voxel, rows in voxels.groupby("voxel_id"):
-            values = rows.set_index("subject_id")["value"]
-            at = np.flatnonzero(np.isin(ids, values.index))
-            y = values.reindex(ids[at]).to_numpy(float)
-            out.append(pd.DataFrame({"voxel_id": voxel, "subject_id": ids[at], "alpha": solve_dual(kernel[np.ix_(at, at)], y, c, epsilon)}))
+        for voxels, at, y, alpha in _solved(rows, ids, kernel, c, epsilon):
+            rest = y - kernel[np.ix_(at, at)] @ alpha
+            out.append(pd.DataFrame({"voxel_id": np.repeat(voxels, len(at)), "subject_id": np.tile(ids[at], len(voxels)), "value": rest.T.ravel()}))
         return pd.concat(out)
 
-    dealt = obs.select("voxel_id", "subject_id", "value").withColumn("g", F.pmod(F.hash("voxel_id"), F.lit(groups)))
-    return dealt.groupBy("g", "voxel_id").applyInPandas(solve, "voxel_id long, subject_id long, alpha double")
+    return _dealt(obs, groups).groupBy("g").applyInPandas(solve, "voxel_id long, subject_id long, value double")
+
+
+def svr_two_stage(obs: DataFrame, subjects: DataFrame, correctors: Sequence[str], predictors: Sequence[str], c: float, epsilon: float, gamma: float | None = None, groups: int = 64) -> tuple[DataFrame, DataFrame]:
+    """The corrected observations, written down, and the fit (voxel_id, subject_id, alpha) of the predictors to them.  Without correctors
+    the observations stay as they are."""
+    rest = cut(svr_correct(obs, subjects, correctors, c, epsilon, gamma, groups)) if correctors else obs
+    return rest, svr_fit(rest, subjects, predictors, c, epsilon, gamma, groups)
 
 
 def linear_coefficients(alphas: DataFrame, scaled: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -16,7 +16,7 @@ from gramian.operators import design as dz
 from gramian.operators import fit as ft
 from gramian.operators import graph, local, maps, pls, score, search, summary, svr, windows
 from gramian.operators.design import CORRECTOR, PREDICTOR, Design, Term
-from gramian.runtime import checkpoint_dir
+from gramian.runtime import checkpoint_dir, cut
 from gramian.sources import metadata, results, volumes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -188,10 +188,10 @@ def p5(spark, d):
     return rounded(mm.select("*", *[c.alias(f"v{n}") for n, c in zip("xyz", fc.mm_to_voxel(tuple(F.col(f"m{a}") for a in "xyz"), _AFFINE))]))
 
 
-@query("p6_fill_non_finite", with_sql("obs") + "SELECT subject_id, voxel_id, CASE WHEN voxel_id % 3 = 0 OR value <= 0 THEN -1.0::DOUBLE ELSE round(ln(value), 6) END AS value FROM obs WHERE voxel_id < 8")
+@query("p6_fill_non_finite", with_sql("obs") + "SELECT subject_id, voxel_id, CASE WHEN voxel_id % 3 = 0 OR value <= 0 THEN -1.0::DOUBLE ELSE round(ln(value), 6) END AS value FROM obs")
 def p6(spark, d):
     odd = F.when(F.col("voxel_id") % 3 == 0, F.lit(float("nan"))).when(F.col("value") == 0, F.lit(float("-inf"))).when(F.col("value") > 0, F.log("value"))
-    return rounded(fx.observations(spark, d).where("voxel_id < 8").select("subject_id", "voxel_id", fc.fill_non_finite(odd, -1.0).alias("value")))
+    return rounded(fx.observations(spark, d).select("subject_id", "voxel_id", fc.fill_non_finite(odd, -1.0).alias("value")))
 
 
 @query("p7_mean_mask", with_sql("obs") + "SELECT voxel_id, CASE WHEN avg(value) < 0 THEN -9.0::DOUBLE ELSE round(max(value), 6) END AS value FROM obs GROUP BY voxel_id")
@@ -410,16 +410,16 @@ def g4(spark, d):
     return rounded(ft.two_stage_fit(fx.observations(spark, d), fx.subjects(spark, d), _ABC), 4)
 
 
-@query("g5_predict", _FITTED + "SELECT voxel_id, subject_id, round(predicted, 4) AS predicted FROM r WHERE voxel_id < 4")
+@query("g5_predict", _FITTED + "SELECT voxel_id, subject_id, round(predicted, 4) AS predicted FROM r")
 def g5(spark, d):
     obs, subj, params = _fitted(spark, d)
-    return rounded(ft.predict(obs.where("voxel_id < 4"), subj, params, BASE), 4)
+    return rounded(ft.predict(obs, subj, params, BASE), 4)
 
 
-@query("g6_correct", _FITTED + "SELECT voxel_id, subject_id, round(corrected, 4) AS value FROM r WHERE voxel_id < 4")
+@query("g6_correct", _FITTED + "SELECT voxel_id, subject_id, round(corrected, 4) AS value FROM r")
 def g6(spark, d):
     obs, subj, params = _fitted(spark, d)
-    return rounded(ft.correct(obs.where("voxel_id < 4"), subj, params, BASE), 4)
+    return rounded(ft.correct(obs, subj, params, BASE), 4)
 
 
 _GAM = "c AS (SELECT d.*, age - (SELECT avg(age) FROM subj) AS g1, biomarker - (SELECT avg(biomarker) FROM subj) AS g2, biomarker*biomarker - (SELECT avg(biomarker*biomarker) FROM subj) AS g3 FROM d)"
@@ -475,17 +475,29 @@ def g13(spark, d):
     return rounded(local.lowess(pts, "x", "y", 9, grid, degree=2), 3)
 
 
+_PERCENT_BAND = _BAND.replace("(x - g)/9", "(x - g)/sp").replace("JOIN gr ON abs(x - g) <= 9", "JOIN gr ON true JOIN (SELECT 0.2*(max(x) - min(x)) AS sp FROM pts) ON abs(x - g) <= sp")
+
+
+@query("g12_lowess_percent", with_sql(_PERCENT_BAND) + f"SELECT g, round(({_S(2)}*{_S(0, '*y')} - {_S(1)}*{_S(1, '*y')}) / ({_S(0)}*{_S(2)} - {_S(1)}*{_S(1)}), 3) AS value FROM band GROUP BY g")
+def g12b(spark, d):
+    pts, grid = _scatter(spark, d)
+    return rounded(local.lowess(pts, "x", "y", 20, grid, percent=True), 3)
+
+
+@query("g13_loess_percent", with_sql(_PERCENT_BAND, fit_sql("band", "g", ["1.0::DOUBLE", "dx", "dx*dx"], y="y", weight="w")) + "SELECT g, round(b0, 3) AS value FROM fit")
+def g13b(spark, d):
+    pts, grid = _scatter(spark, d)
+    return rounded(local.lowess(pts, "x", "y", 20, grid, degree=2, percent=True), 3)
+
+
 _SVR_FEATURES = ["age", "biomarker"]
 
 
 def _svr(spark, d, gamma=None):
-    """Observations of four variables and the scaled features; the fit's results are kept, as others follow from them."""
-    from gramian.runtime import cut
-
-    obs, subj = fx.observations(spark, d).where("voxel_id < 4"), fx.subjects(spark, d).where("subject_id % 5 = 0")
+    """Observations and scaled features; the fit's results are kept, as others follow from them."""
+    obs, subj = fx.observations(spark, d), fx.subjects(spark, d)
     scaled = dz.standard_scale(subj, _SVR_FEATURES).select("subject_id", *_SVR_FEATURES)
-    obs = obs.join(scaled.select("subject_id"), "subject_id")
-    return obs, scaled, cut(svr.svr_fit(obs, subj, _SVR_FEATURES, 1.0, 0.1, gamma))
+    return obs, scaled, cut(svr.svr_fit(obs, subj, _SVR_FEATURES, 1.0, 0.1, gamma, groups=16))
 
 
 @query("g14_poly_svr_fit")
@@ -529,6 +541,22 @@ def g19(spark, d):
     return svr.svr_df(rows.select("voxel_id", (F.col("value") - F.col("predicted")).alias("residual"), "alpha", F.lit(2.0).alias("k")), 1.0, 0.1)
 
 
+@query("g14_svr_two_stage")
+def g14b(spark, d):
+    """Correctors first, then the predictor on what they leave."""
+    return rounded(svr.svr_two_stage(fx.observations(spark, d), fx.subjects(spark, d), ["age", "sex"], ["biomarker"], 1.0, 0.1, groups=16)[1], 4)
+
+
+@query("g15_svr_correct")
+def g15b(spark, d):
+    return rounded(svr.svr_correct(fx.observations(spark, d), fx.subjects(spark, d), ["age", "sex"], 1.0, 0.1, groups=16), 4)
+
+
+@query("g18_gaussian_svr_correct")
+def g18b(spark, d):
+    return rounded(svr.svr_correct(fx.observations(spark, d), fx.subjects(spark, d), ["age", "sex"], 1.0, 0.1, 0.5, groups=16), 4)
+
+
 _X = ["age", "sex", "biomarker"]
 _PLS = with_sql("subj", "obs", _D, "c AS (SELECT d.voxel_id, d.subject_id, value, " + ", ".join(f"{f} - (SELECT avg({f}) FROM subj) AS x_{f}" for f in _X) + " FROM d)", "s AS (SELECT voxel_id, avg(value) AS mean, " + ", ".join(f"sum(x_{f}*value) AS s_{f}" for f in _X) + " FROM c GROUP BY voxel_id)", "w AS (SELECT voxel_id, mean, " + ", ".join(f"s_{f}/sqrt(s_age*s_age + s_sex*s_sex + s_biomarker*s_biomarker) AS w_{f}" for f in _X) + " FROM s)", "t AS (SELECT c.voxel_id, c.subject_id, mean, value - mean AS u, " + " + ".join(f"w_{f}*x_{f}" for f in _X) + " AS t, " + ", ".join(f"w_{f}" for f in _X) + " FROM c JOIN w USING (voxel_id))", "q AS (SELECT voxel_id, sum(t*u)/sum(t*t) AS q FROM t GROUP BY voxel_id)")
 
@@ -548,16 +576,16 @@ def _pls(spark, d):
     return obs, subj, pls.pls_fit(obs, subj, _X, 1)
 
 
-@query("g21_pls_predict", _PLS + "SELECT voxel_id, subject_id, round(mean + q*t, 4) AS predicted FROM t JOIN q USING (voxel_id) WHERE voxel_id < 4")
+@query("g21_pls_predict", _PLS + "SELECT voxel_id, subject_id, round(mean + q*t, 4) AS predicted FROM t JOIN q USING (voxel_id)")
 def g21(spark, d):
     obs, subj, params = _pls(spark, d)
-    return rounded(pls.pls_predict(obs.where("voxel_id < 4"), subj, _X, params), 4)
+    return rounded(pls.pls_predict(obs, subj, _X, params), 4)
 
 
-@query("g22_pls_transform", _PLS + "SELECT voxel_id, subject_id, round(t, 4) AS t_0, round(u, 4) AS u FROM t WHERE voxel_id < 4")
+@query("g22_pls_transform", _PLS + "SELECT voxel_id, subject_id, round(t, 4) AS t_0, round(u, 4) AS u FROM t")
 def g22(spark, d):
     obs, subj, params = _pls(spark, d)
-    return rounded(pls.pls_transform(obs.where("voxel_id < 4"), subj, _X, params, 1), 4)
+    return rounded(pls.pls_transform(obs, subj, _X, params, 1), 4)
 
 
 _CURVE = "ends AS (SELECT min(biomarker) AS lo, max(biomarker) AS hi FROM subj), cv AS (SELECT voxel_id, p AS point, lo + p*(hi - lo)/19 AS t, b3*(lo + p*(hi - lo)/19) + b4*pow(lo + p*(hi - lo)/19, 2) AS predicted FROM fit, ends, range(20) g(p))"
@@ -762,17 +790,17 @@ def c1(spark, d):
     return rounded(maps.clusterize(fx.grid_map(spark, d), lower=0.92, min_size=3))
 
 
-_EDGES = "e AS (SELECT DISTINCT o_custkey % 1009 AS src, (o_orderkey*7919) % 1009 AS dst FROM orders WHERE o_orderkey < 15000 AND o_orderkey % {m} = 0), n AS (SELECT src AS v FROM e UNION SELECT dst FROM e)"
+_SEQUENCES = "w AS (SELECT o_orderkey AS node, o_custkey, min(o_orderkey) OVER s AS least, count(*) OVER s AS n FROM orders WINDOW s AS (PARTITION BY o_custkey, (o_orderkey // 4) % 3))"
 
 
-@query("c2_connected_components", with_sql(_EDGES.format(m=37), "b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)", "reach AS (SELECT v, v AS w FROM n UNION SELECT reach.v, b.dst FROM reach JOIN b ON reach.w = b.src)") + "SELECT v AS node, min(w) AS component FROM reach GROUP BY v")
+@query("c2_connected_components", with_sql(_SEQUENCES) + "SELECT node, least AS component FROM w WHERE n > 1")
 def c2(spark, d):
-    return graph.components(fx.edges(spark, d, 37))
+    return graph.components(fx.edges(spark, d, False))
 
 
-@query("c3_strong_components", with_sql(_EDGES.format(m=11), "reach AS (SELECT v, v AS w FROM n UNION SELECT reach.v, e.dst FROM reach JOIN e ON reach.w = e.src)") + "SELECT a.v AS node, min(a.w) AS component FROM reach a JOIN reach b ON a.v = b.w AND a.w = b.v GROUP BY a.v")
+@query("c3_strong_components", with_sql(_SEQUENCES) + "SELECT node, CASE WHEN o_custkey % 2 = 0 THEN least ELSE node END AS component FROM w WHERE n > 1 OR o_custkey % 2 = 0")
 def c3(spark, d):
-    return graph.strong_components(fx.edges(spark, d, 11))
+    return graph.strong_components(fx.edges(spark, d, True))
 
 
 # --- latent models -------------------------------------------------------------------------------------------
@@ -786,10 +814,10 @@ def l1(spark, d):
     return rounded(pls.effect_strength(pls.pls_transform(obs, subj, _X, params, 1), 0), 5)
 
 
-_CORR = "sqrt(pow({s}1, 2) + pow({s}2, 2))"
+_PERMUTED = with_sql("subj", "obs", _PERM.format(n=20), "x AS (SELECT subject_id, age - (SELECT avg(age) FROM subj) AS x1, biomarker - (SELECT avg(biomarker) FROM subj) AS x2 FROM subj)", "xx AS (SELECT sum(x1*x1) AS a, sum(x1*x2) AS b, sum(x2*x2) AS c, CAST(count(*) AS DOUBLE) AS n FROM x)", "pall AS (SELECT 0 AS perm_id, subject_id, subject_id AS source FROM subj UNION ALL SELECT * FROM perm)", "s AS (SELECT perm_id, voxel_id, stddev_pop(value) AS sd, sum(x1*value) AS s1, sum(x2*value) AS s2 FROM obs JOIN pall ON obs.subject_id = pall.source JOIN x ON x.subject_id = pall.subject_id GROUP BY perm_id, voxel_id)", "st AS (SELECT perm_id, voxel_id, (s1*s1 + s2*s2)/(n - 1)/(sqrt((s1*s1*a + 2*s1*s2*b + s2*s2*c)/n)*sd) AS strength FROM s, xx)")
 
 
-@query("l2_permutation_p", with_sql("subj", "obs", _PERM.format(n=20), "x AS (SELECT subject_id, age - (SELECT avg(age) FROM subj) AS x1, biomarker - (SELECT avg(biomarker) FROM subj) AS x2 FROM subj)", "xx AS (SELECT sum(x1*x1) AS a, sum(x1*x2) AS b, sum(x2*x2) AS c, CAST(count(*) AS DOUBLE) AS n FROM x)", "pall AS (SELECT 0 AS perm_id, subject_id, subject_id AS source FROM subj UNION ALL SELECT * FROM perm)", "s AS (SELECT perm_id, voxel_id, stddev_pop(value) AS sd, sum(x1*value) AS s1, sum(x2*value) AS s2 FROM obs JOIN pall ON obs.subject_id = pall.source JOIN x ON x.subject_id = pall.subject_id GROUP BY perm_id, voxel_id)", "st AS (SELECT perm_id, voxel_id, (s1*s1 + s2*s2)/(n - 1)/(sqrt((s1*s1*a + 2*s1*s2*b + s2*s2*c)/n)*sd) AS strength FROM s, xx)") + "SELECT b.voxel_id, round(a.strength, 5) AS strength, round(avg(CASE WHEN b.strength > a.strength THEN 1.0 ELSE 0.0 END), 4) AS p FROM st a JOIN st b ON a.voxel_id = b.voxel_id AND a.perm_id = 0 AND b.perm_id > 0 GROUP BY b.voxel_id, a.strength")
+@query("l2_permutation_p", _PERMUTED + "SELECT b.voxel_id, round(a.strength, 5) AS strength, round(avg(CASE WHEN b.strength > a.strength THEN 1.0 ELSE 0.0 END), 4) AS p FROM st a JOIN st b ON a.voxel_id = b.voxel_id AND a.perm_id = 0 AND b.perm_id > 0 GROUP BY b.voxel_id, a.strength")
 def l2(spark, d):
     out = pls.permutation_p(fx.observations(spark, d), fx.subjects(spark, d), ["age", "biomarker"], 20)
     return out.select("voxel_id", F.round("strength", 5).alias("strength"), F.round("p", 4).alias("p"))
@@ -806,11 +834,13 @@ def l4(spark, d):
     return pls.cluster_effect_type(params.select("voxel_id", *[f"rot_0_{f}" for f in _X]), 3)
 
 
-@query("l5_evaluate_latent", _PLS + f"SELECT voxel_id, CASE WHEN avg(u + mean) < 0 THEN 0 ELSE round({_STRENGTH}, 5) END AS value FROM t GROUP BY voxel_id")
+_DRAWN = _PERMUTED.rstrip() + ", pv AS (SELECT b.voxel_id, a.strength, avg(CASE WHEN b.strength > a.strength THEN 1.0 ELSE 0.0 END) AS p FROM st a JOIN st b ON a.voxel_id = b.voxel_id AND a.perm_id = 0 AND b.perm_id > 0 GROUP BY b.voxel_id, a.strength), mv AS (SELECT voxel_id, avg(value) AS mean FROM obs GROUP BY voxel_id) "
+
+
+@query("l5_evaluate_latent", _DRAWN + "SELECT voxel_id, CASE WHEN mean < 0 THEN 0 ELSE round(strength, 5) END AS strength, CASE WHEN mean < 0 THEN 1 ELSE round(p, 4) END AS p, CASE WHEN mean < 0 THEN 0 ELSE round(s1/sqrt(s1*s1 + s2*s2), 4) END AS rot_age, CASE WHEN mean < 0 THEN 0 ELSE round(s2/sqrt(s1*s1 + s2*s2), 4) END AS rot_biomarker FROM pv JOIN mv USING (voxel_id) JOIN (SELECT voxel_id, s1, s2 FROM s WHERE perm_id = 0) USING (voxel_id)")
 def l5(spark, d):
-    obs, subj, params = _pls(spark, d)
-    strength = pls.effect_strength(pls.pls_transform(obs, subj, _X, params, 1), 0)
-    return rounded(fc.mean_mask(strength.select("voxel_id", fc.fill_non_finite(F.col("strength")).alias("value")), obs, 0.0), 5)
+    out = pls.evaluate_latent(fx.observations(spark, d), fx.subjects(spark, d), ["age", "biomarker"], 20, 0.0)
+    return out.select("voxel_id", F.round("strength", 5).alias("strength"), F.round("p", 4).alias("p"), *[(F.round(f"rot_{f}", 4) + 0.0).alias(f"rot_{f}") for f in ("age", "biomarker")])
 
 
 # --- search --------------------------------------------------------------------------------------------------
@@ -823,6 +853,11 @@ def h1(spark, d):
     return rounded(search.sample_voxels(fx.observations(spark, d), 10, 0.001, seed=1))
 
 
+@query("h1_sample_in_box", with_sql("obs") + "SELECT voxel_id, round(var_pop(value), 6) AS variance FROM obs WHERE x < 3 AND y >= 1 AND y < 3 AND z >= 1 GROUP BY voxel_id HAVING var_pop(value) > 0.001 ORDER BY ((voxel_id + 1)*7919 + 104729) % 100003, voxel_id LIMIT 8")
+def h1b(spark, d):
+    return rounded(search.sample_voxels(fx.observations(spark, d), 8, 0.001, seed=1, box={"x": (None, 3), "y": (1, 3), "z": (1, None)}))
+
+
 @query("h2_param_grid", "SELECT CAST(a AS DOUBLE) AS degree, CAST(b AS DOUBLE) / 10 AS gamma, a*3 + b - 3 AS combination, n FROM range(1, 3) t(a), range(3) u(b), (SELECT count(*) AS n FROM supplier)")
 def h2(spark, d):
     n = fx.read(spark, d, "supplier").agg(F.count("*").alias("n"))
@@ -866,17 +901,17 @@ def _search_sql() -> str:
 
 
 def _searched(spark, d):
-    from functools import reduce
+    subj = fx.subjects(spark, d)
+    return search.grid_search(fx.observations(spark, d), 2, 10, 0.001, lambda sampled: search.polynomial_scores(sampled, subj, "biomarker", (1, 2, 3)))
 
-    obs, subj = fx.observations(spark, d), fx.subjects(spark, d)
-    voxels = reduce(DataFrame.unionByName, [search.sample_voxels(obs, 10, 0.001, seed=i).withColumn("iteration", F.lit(i)) for i in (1, 2)])
-    sampled = obs.join(voxels.select("voxel_id").distinct(), "voxel_id")
-    scores = []
-    for degree in (1, 2, 3):
-        design = dz.with_intercept(dz.poly_terms("biomarker", degree), PREDICTOR)
-        per = score.evaluate(sampled, subj, ft.glm_fit(sampled, subj, design), design, ["mse"])
-        scores.append(per.select("voxel_id", F.col("mse").alias("score"), F.lit(degree).alias("combination")))
-    return search.weighted_scores(reduce(DataFrame.unionByName, scores).crossJoin(F.broadcast(spark.createDataFrame([(1,), (2,)], "iteration int"))), voxels)
+
+@query("h6_svr_grid_search")
+def h6s(spark, d):
+    """Eight combinations of C, epsilon and gamma over sampled variables of an inner box."""
+    subj = fx.subjects(spark, d)
+    grid = search.param_grid(spark, {"c": [0.5, 2.0], "epsilon": [0.05, 0.2], "gamma": [0.2, 1.0]})
+    box = {"x": (0, 3), "y": (1, 3), "z": (1, None)}
+    return rounded(search.grid_search(fx.observations(spark, d), 2, 4, 0.001, lambda sampled: svr.grid_scores(sampled, subj, _SVR_FEATURES, grid, groups=4), box), 4)
 
 
 @query("h6_grid_search", _search_sql() + "SELECT CAST(iteration AS BIGINT) AS iteration, CAST(combination AS BIGINT) AS combination, round(error, 4) AS error FROM es")
@@ -928,8 +963,8 @@ def x4(spark, d):
     return rounded(summary.box_stats(fx.groups(spark, d), "price", ["flag"]), 4)
 
 
-@query("x5_partial_residual", _FITTED + "SELECT r.voxel_id, r.subject_id, round(r.value - (b0 + b2*r.sex + fit.b3*r.biomarker), 4) AS value FROM r JOIN fit USING (voxel_id) WHERE r.voxel_id < 4")
+@query("x5_partial_residual", _FITTED + "SELECT r.voxel_id, r.subject_id, round(r.value - (b0 + b2*r.sex + fit.b3*r.biomarker), 4) AS value FROM r JOIN fit USING (voxel_id)")
 def x5(spark, d):
     obs, subj, params = _fitted(spark, d)
     other = Design(tuple(Term(t.name, t.sql, PREDICTOR if t.name == "age" else CORRECTOR) for t in BASE.terms))
-    return rounded(ft.correct(obs.where("voxel_id < 4"), subj, params, other), 4)
+    return rounded(ft.correct(obs, subj, params, other), 4)

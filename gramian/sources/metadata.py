@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gramian.operators.windows import ranked
+
 
 def read_metadata(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """A CSV file with a header; column names trimmed and in lower case, all values strings."""
@@ -23,13 +25,9 @@ def typed_rows(df: DataFrame, fields: dict[str, str]) -> DataFrame:
 
 
 def row_slice(df: DataFrame, order: str | Column, start: int, end: int) -> DataFrame:
-    """Rows start (0-based) to end, exclusive, by ``order``.
-
-    Row numbers need all rows in order, so the range is cut out by a top-k first: tasks pass on at most ``end`` rows.
-    """
-    first = df.orderBy(order).limit(end)
-    numbered = first.withColumn("__n", F.row_number().over(Window.orderBy(order)))
-    return numbered.where(F.col("__n") > start).drop("__n")
+    """Rows start (0-based) to end, exclusive, by ``order``; numbered range by range, so a slice deep in a large sheet is no task's alone."""
+    key = F.col(order) if isinstance(order, str) else order
+    return ranked(df.withColumn("__order", key), "__order", "__rank").where((F.col("__rank") > start) & (F.col("__rank") <= end)).select(*df.columns)
 
 
 def subject_table(df: DataFrame, id_field: str, category: str | None, predictors: list[str], correctors: list[str], folder: str = "", extension: str = "") -> DataFrame:

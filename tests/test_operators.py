@@ -9,7 +9,7 @@ from gramian.functions import columns as fc
 from gramian.functions import distributions as ds
 from gramian.operators import design as dz
 from gramian.operators import fit as ft
-from gramian.operators import graph, local, maps, pls, score, svr, windows
+from gramian.operators import graph, local, maps, pls, score, search, summary, svr, windows
 from gramian.operators.design import CORRECTOR, PREDICTOR
 from gramian.sources import metadata
 
@@ -140,6 +140,106 @@ def test_support_vectors(study):
         assert np.allclose(np.abs(r[free]), 0.1, atol=1e-3)
 
 
+@pytest.mark.parametrize("gamma", [None, 0.7])
+def test_support_vectors_of_all_variables(spark, study, gamma):
+    """Fits in groups are those of each variable alone, with missing observations too; errors over a grid follow from them."""
+    subj, obs, x, y = study
+    obs = obs.where("subject_id <> 3 or voxel_id <> 2")
+    z = (x[:, [0, 2]] - x[:, [0, 2]].mean(0)) / x[:, [0, 2]].std(0)
+    kernel = svr.kernel_matrix(z, z, gamma)
+    got = {(r.voxel_id, r.subject_id): r.alpha for r in svr.svr_fit(obs, subj, ["age", "biomarker"], 2.0, 0.1, gamma, groups=2).collect()}
+    grid = spark.createDataFrame([(0, 2.0, 0.1, gamma), (1, 0.5, 0.3, gamma)], "combination long, c double, epsilon double, gamma double")
+    scores = {(r.voxel_id, r.combination): r.score for r in svr.grid_scores(obs, subj, ["age", "biomarker"], grid if gamma else grid.drop("gamma"), groups=3).collect()}
+    rest = {(r.voxel_id, r.subject_id): r.value for r in svr.svr_correct(obs, subj, ["age", "biomarker"], 2.0, 0.1, gamma, groups=2).collect()}
+    for v in range(6):
+        at = [k for k in range(40) if (k, v) != (3, 2)]
+        own = kernel[np.ix_(at, at)]
+        alone = svr.solve_dual(own, y[at, v], 2.0, 0.1)
+        assert np.allclose(own @ [got[v, k] for k in at], own @ alone, atol=2e-2)
+        assert np.allclose([rest[v, k] for k in at], y[at, v] - own @ alone, atol=2e-2)
+        assert np.isclose(scores[v, 0], np.mean((y[at, v] - own @ alone) ** 2), rtol=1e-2)
+    assert len(scores) == 12
+
+
+def test_support_vectors_that_do_not_settle():
+    with pytest.raises(ArithmeticError):
+        svr.solve_dual(np.array([[1.0, 0.999], [0.999, 1.0]]), np.array([5.0, -5.0]), 1e6, 0.0, rounds=2)
+
+
+def test_too_many_subjects(study, monkeypatch):
+    monkeypatch.setattr(svr, "MOST_SUBJECTS", 10)
+    with pytest.raises(ValueError):
+        svr.svr_fit(study[1], study[0], ["age"], 1.0, 0.1)
+
+
+def test_two_stage_support_vectors(study):
+    subj, obs, _, _ = study
+    rest, alphas = svr.svr_two_stage(obs, subj, ["age", "sex"], ["biomarker"], 1.0, 0.1)
+    direct = {(r.voxel_id, r.subject_id): r.alpha for r in svr.svr_fit(rest, subj, ["biomarker"], 1.0, 0.1).collect()}
+    assert all(np.isclose(direct[r.voxel_id, r.subject_id], r.alpha, atol=1e-6) for r in alphas.collect())
+    assert svr.svr_two_stage(obs, subj, [], ["biomarker"], 1.0, 0.1)[0] is obs
+
+
+def test_grid_search_of_polynomials(study):
+    subj, obs, x, y = study
+    errors = {(r.iteration, r.combination): r.error for r in search.grid_search(obs, 2, 4, 0.0, lambda s: search.polynomial_scores(s, subj, "age", (1, 3))).collect()}
+    for i in (1, 2):
+        drawn = [r.voxel_id for r in search.sample_voxels(obs, 4, 0.0, i).collect()]
+        for degree in (1, 3):
+            fits = [np.polyval(np.polyfit(x[:, 0], y[:, v], degree), x[:, 0]) for v in drawn]
+            assert np.isclose(errors[i, degree], sum(np.mean((y[:, v] - f) ** 2) / y[:, v].var() for v, f in zip(drawn, fits)), rtol=1e-4)
+
+
+def test_latent_effects_against_numpy(study):
+    subj, obs, x, y = study
+    got = {r.voxel_id: r for r in pls.evaluate_latent(obs, subj, ["age", "biomarker"], 15, 0.0).collect()}
+    z = x[:, [0, 2]] - x[:, [0, 2]].mean(0)
+    order = {p: sorted(range(40), key=lambda s: ((s * 7919 * (p * 2 + 1) + p * 104729) % 1_000_003, s)) for p in range(1, 16)}
+
+    def strength(values):
+        w = z.T @ values
+        t = z @ (w / np.linalg.norm(w))
+        return (t @ (values - values.mean())) / 39 / (t.std() * values.std())
+
+    for v in range(6):
+        r = got[v]
+        if y[:, v].mean() < 0:
+            assert (r.strength, r.p, r.rot_age) == (0.0, 1.0, 0.0)
+            continue
+        assert np.isclose(r.strength, strength(y[:, v]))
+        assert np.isclose(r.p, np.mean([strength(y[order[p], v]) > strength(y[:, v]) for p in order]))
+        w = z.T @ y[:, v]
+        assert np.allclose([r.rot_age, r.rot_biomarker], w / np.linalg.norm(w))
+
+
+def test_box_stats_and_slices_by_ranks(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice("ab"), float(rng.randrange(40)), k) for k in range(301)] + [("c", 7.0, 400), ("a", None, 401)]
+    df = spark.createDataFrame(rows, "flag string, price double, k long")
+    for r in summary.box_stats(df, "price", ["flag"]).collect():
+        v = np.array([x[1] for x in rows if x[0] == r.flag and x[1] is not None])
+        q = np.percentile(v, [25, 50, 75])
+        inside = v[(v >= q[0] - 1.5 * (q[2] - q[0])) & (v <= q[2] + 1.5 * (q[2] - q[0]))]
+        assert np.allclose([r.q1, r.median, r.q3, r.low, r.high, r.outliers], [*q, inside.min(), inside.max(), len(v) - len(inside)])
+    assert [r.k for r in metadata.row_slice(df, "k", 290, 303).orderBy("k").collect()] == sorted(x[2] for x in rows)[290:303]
+    assert metadata.row_slice(df.limit(0), "k", 0, 5).count() == 0
+
+
+def test_kernel_degrees_of_freedom(spark):
+    x = [0.0, 0.0, 1.0, 2.5, 90.0, 91.0]
+    k = np.exp(-np.subtract.outer(x, x) ** 2 / 2)
+    s = k / k.sum(1, keepdims=True)
+    got = local.kernel_df(spark.createDataFrame([(v,) for v in x], "x double"), "x", 1.0).first().df
+    assert np.isclose(got, np.trace(s @ s.T))
+
+
+def test_span_of_a_percentage(spark):
+    df = spark.createDataFrame([(float(k), float(k * k % 7)) for k in range(41)], "x double, y double")
+    grid = spark.createDataFrame([(float(g),) for g in (5, 20)], "g double")
+    a, b = (sorted(map(tuple, local.lowess(df, "x", "y", span, grid, percent=p).collect())) for span, p in ((25, True), (10.0, False)))
+    assert np.allclose(a, b)
+
+
 def test_distributions():
     assert np.isclose(ds.f_cdf(4.9646, 1, 10), 0.95, atol=1e-4) and np.isclose(ds.f_cdf(2.7109, 5, 20), 0.95, atol=1e-4)
     assert np.isclose(ds.t_quantile(0.975, 10), 2.2281, atol=1e-4) and np.isclose(ds.t_cdf(-1.8125, 10), 0.05, atol=1e-4)

@@ -3,7 +3,7 @@ import numpy as np
 from gramian.operators import design as dz
 from gramian.operators.design import CORRECTOR
 from gramian.operators.fit import glm_fit_grouped
-from gramian.plans.study import Study
+from gramian.plans.study import Study, spaced
 from gramian.streaming.moments import fit_stream
 
 
@@ -18,6 +18,17 @@ def test_study(spark):
     assert all(np.isclose(a[v], b[v]) for v in a)
 
 
+def test_search_of_a_study(spark):
+    rng = np.random.default_rng(2)
+    subj = spark.createDataFrame([(k, k % 3, float(rng.normal())) for k in range(24)], "subject_id long, grp int, dose double")
+    obs = spark.createDataFrame([(k, v, float(rng.normal())) for k in range(24) for v in range(4)], "subject_id long, voxel_id long, value double")
+    study = Study(("dose",), category="grp", categories=(0, 1), hyperparameters={"c": spaced("logarithmic", -1, 1, 3), "epsilon": spaced("linear", 0.1, 0.2, 2)}, iterations=2, sample=3)
+    assert Study.from_json(study.to_json()) == study and study.members(subj).count() == 16
+    assert np.allclose(study.hyperparameters["c"], (0.1, 1, 10)) and len(spaced("random", 0, 1, 5)) == 5
+    got = study.search(obs, subj).collect()
+    assert len(got) == 12 and all(r.error > 0 for r in got) and {(r.c, r.epsilon) for r in got} == {(c, e) for c in study.hyperparameters["c"] for e in study.hyperparameters["epsilon"]}
+
+
 def test_stream(spark, tmp_path):
     rng = np.random.default_rng(1)
     rows = spark.createDataFrame([(k % 4, float(rng.normal()), float(rng.normal())) for k in range(80)], "grp long, x double, y double")
