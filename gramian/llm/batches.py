@@ -5,6 +5,8 @@ All functions treat a null text as an empty one.
 
 from __future__ import annotations
 
+import ctypes
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +27,15 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: glibc keeps freed memory unless it is told otherwise; other systems have no such function.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
+
 _BASE = 0x9E3779B97F4A7C15  # any large odd number
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Powers of the base are kept up to so many.
+_KEPT = 1 << 22
+#: Words of more bytes than this are hashed one by one: sums of powers modulo 2**64 are weak for long sequences made for it.
+_LONG = 64
 
 
 def lower_ascii(col):
@@ -62,7 +71,14 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+    release()
+
+
+def release() -> None:
+    """Gives memory that a batch has used and left back to the system, as workers are kept from stage to stage."""
     pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def byte_view(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -78,13 +94,16 @@ def byte_view(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the hash base modulo 2**64, and of its inverse."""
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            _powers[k] = np.cumprod(x, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
+    if len(_powers[0]) >= n:
+        return _powers[0][:n], _powers[1][:n]
+    size, made = 1 << (n - 1).bit_length(), []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        x = np.full(size, base, np.uint64)
+        x[0] = 1
+        made.append(np.cumprod(x, dtype=np.uint64))
+    if size <= _KEPT:
+        _powers[:] = made
+    return made[0][:n], made[1][:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -121,3 +140,13 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     h = (sums[ends] - sums[starts]) * down[starts]
     h += (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     return mix(h)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each word."""
+    import xxhash
+
+    h = span_hashes(data, starts, ends)
+    for k in np.flatnonzero(ends - starts > _LONG).tolist():
+        h[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]].tobytes())
+    return h

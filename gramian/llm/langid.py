@@ -16,13 +16,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gramian.llm import batches, sampling
 
 UNDETERMINED = "und"
+_letter = regex.compile(r"\p{L}").search
 
 
 @dataclass(frozen=True)
@@ -176,41 +177,40 @@ def fit(labelled: DataFrame, settings: Settings = Settings(), id_col: str = "doc
 
 def predict(df: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) of every whole text."""
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_predictor(network, 1), "doc_id long, lang_pred string, score double")
+
+    def run(it):
+        for batch in it:
+            for part in batches.slices(batch):
+                yield pa.record_batch([part.column(0), *_predicted(part.column(1), network)], names=["doc_id", "lang_pred", "score"])
+
+    return batches.by_id_text(df, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def annotate(df: DataFrame, network: Network | None, text_col: str = "text") -> DataFrame:
-    """``df`` with the columns lang_pred and score put in place of any of these names."""
+    """``df`` with the columns lang_pred and score put in place of any of these names; only the texts go to Python."""
     batches.small_batches(df.sparkSession)
     df = df.drop("lang_pred", "score")
-    schema = T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return df.mapInArrow(_predictor(network, df.columns.index(text_col), whole=True), schema)
 
-
-def _predictor(network: Network | None, at: int, whole: bool = False):
-    def run(it):
-        import regex
-
-        letter = regex.compile(r"\p{L}")
-        for batch in it:
-            name = batch.schema.names[at]
-            for part in batches.slices(batch, name):
-                text = part.column(at)
-                n = part.num_rows
-                best, score = np.zeros(n, np.int64), np.zeros(n)
-                known = np.array([t is not None and letter.search(t) is not None for t in text.to_pylist()], bool)
-                if network is None:
-                    known[:] = False
-                else:
-                    x, owner, held = windows(*batches.byte_view(text), network.settings.window)
-                    total = np.zeros((n, len(network.langs)))
-                    np.add.at(total, owner, network.probabilities(x) * held[:, None])
-                    total /= np.maximum(total.sum(axis=1, keepdims=True), 1e-300)
-                    best, score = total.argmax(axis=1), np.clip(total.max(axis=1), 0, 1)
-                langs = pa.array([network.langs[b] if k else UNDETERMINED for b, k in zip(best, known)], pa.string())
-                kept = part.columns if whole else [part.column(0)]
-                names = part.schema.names if whole else ["doc_id"]
-                yield pa.record_batch([*kept, langs, pa.array(np.where(known, score, 0.0))], names=[*names, "lang_pred", "score"])
-
-    return run
+    @F.arrow_udf("lang_pred string, score double")
+    def found(texts: pa.Array) -> pa.Array:
+        parts = [_predicted(part.column(0), network) for part in batches.slices(pa.record_batch([texts], names=["text"]))]
+        langs = pa.concat_arrays([pa.array([], pa.string()), *[p[0] for p in parts]])
+        return pa.StructArray.from_arrays([langs, pa.concat_arrays([pa.array([], pa.float64()), *[p[1] for p in parts]])], names=["lang_pred", "score"])
+
+    name = next(f"found{k}" for k in range(len(df.columns) + 1) if f"found{k}" not in df.columns)
+    return df.withColumn(name, found(F.col(text_col).cast("string"))).select(*df.columns, f"{name}.lang_pred", f"{name}.score")
+
+
+def _predicted(text: pa.Array, network: Network | None) -> tuple[pa.Array, pa.Array]:
+    """The language and the score of each text of a slice."""
+    known = np.array([t is not None and _letter(t) is not None for t in text.to_pylist()], bool)
+    if network is None:
+        known[:] = False
+    if not known.any():
+        return pa.array([UNDETERMINED] * len(text), pa.string()), pa.array(np.zeros(len(text)))
+    x, owner, held = windows(*batches.byte_view(text), network.settings.window)
+    total = np.zeros((len(text), len(network.langs)))
+    np.add.at(total, owner, network.probabilities(x) * held[:, None])
+    total /= np.maximum(total.sum(axis=1, keepdims=True), 1e-300)
+    best, score = total.argmax(axis=1), np.clip(total.max(axis=1), 0, 1)
+    return pa.array([network.langs[b] if k else UNDETERMINED for b, k in zip(best, known)], pa.string()), pa.array(np.where(known, score, 0.0))
