@@ -4,13 +4,14 @@ Native: DataFrame functions only.
 
 Messages are rows (conv_id, seq, kind, call_id, name, arguments, content), kind being ``call``, ``result`` or
 ``message``.  A call needs the calls of its conversation whose ids stand in its argument ``after`` (a string or an array of
-them).  In a conversation's JSON messages stand by ``seq``, but a call that needs a later one comes after it.
+them).  In a conversation messages stand by ``seq``, but a call that needs a later one comes after it.
 
 Defined results: an id belongs to its conversation.  Of calls, or results, that repeat an id there the one with the
 smallest (seq, content) is linked, the others are kept as messages, equal rows too.  A result without a call is an
 ``orphan``; a call without a result has a null content.
 Arguments that aren't a JSON object, lack a required field, or have one of another type or not in the schema
-are not valid; neither is a call of an unknown tool, without an id, or on a circle of needs.
+are not valid; neither is a call of an unknown tool, without an id, or on a circle of needs or behind one; such calls
+stand by ``seq``.  Arguments that don't parse are written as the string they are.
 Needs that name no call are passed over.  Null text is null in the JSON.  A null conv_id is a conversation of its own.
 """
 
@@ -68,29 +69,30 @@ def valid(arguments: Column, name: Column, schemas: dict[str, dict[str, tuple[st
 def placed(calls: DataFrame) -> DataFrame:
     """(key, at, sub, circular): by (at, sub, seq) every call comes after those it needs.
 
-    ``at`` is the greatest seq of the call and all it needs, near or far, and ``sub`` tells those apart that share it.  Where all
-    needs come earlier this is the seq itself.  Only conversations with a need that comes later are worked
-    through, in as many rounds as needs hang together; a call that moves after more rounds than a conversation has
-    calls is on a circle, or needs one that is, and every such call moves once in as many rounds again.
+    ``at`` is the greatest seq of the call and all it needs, near or far, and ``sub`` the longest way to that one.  Where all
+    needs come earlier this is the seq itself.  Otherwise ways are doubled: a round joins every call with those 1, 2, 4, ... steps
+    away, so the rounds grow with the logarithm of the calls of a conversation.  A call from which a way leads as long as its
+    conversation has calls is on a circle, or behind one.
     """
     needs = calls.select("key", "conv_id", "seq", F.explode("needs").alias("need")).distinct().withColumn("need", _key("conv_id", "need"))
-    edges = needs.join(calls.select(F.col("key").alias("need"), F.col("seq").alias("need_seq")), "need")
-    late = cut(edges.where("need_seq >= seq").select("conv_id").distinct())
-    start = calls.select("key", "conv_id", F.col("seq").alias("at"), F.lit(0).alias("sub"), F.lit(False).alias("circular"))
-    if late.isEmpty():
-        return start.drop("conv_id")
-    concerned = F.col("a.conv_id").eqNullSafe(F.col("b.conv_id"))
-    pick = lambda df, how: df.alias("a").join(late.alias("b"), concerned, how)
-    edges, state = cut(pick(edges, "left_semi").select("key", "need")), cut(pick(start, "left_semi").withColumn("moved", F.lit(False)))
-    most = state.groupBy("conv_id").count().agg(F.max("count")).first()[0] + 1
-    for r in range(2 * most):
-        reached = edges.join(state.select(F.col("key").alias("need"), F.struct("at", (F.col("sub") + 1).alias("sub")).alias("k")), "need").groupBy("key").agg(F.max("k").alias("k"))
+    edges = cut(needs.join(calls.select(F.col("key").alias("need"), F.col("seq").alias("need_seq")), "need").select("key", "need", (F.col("need_seq") >= F.col("seq")).alias("late")))
+    start = calls.select("key", F.col("seq").alias("at"), F.lit(0).cast("long").alias("sub"))
+    if edges.where("late").isEmpty():
+        return start.withColumn("circular", F.lit(False))
+    most = calls.groupBy("conv_id").count().agg(F.max("count")).first()[0]
+    state, ways, steps = start, edges.select("key", "need"), 1
+    while steps < most and not ways.isEmpty():
+        ahead = state.select(F.col("key").alias("need"), F.struct("at", (F.col("sub") + steps).alias("sub")).alias("k"))
+        reached = ways.join(ahead, "need").groupBy("key").agg(F.max("k").alias("k"))
         moves = F.coalesce(F.col("k") > F.struct("at", "sub"), F.lit(False))
-        new = state.join(reached, "key", "left").select("key", "conv_id", F.when(moves, F.col("k.at")).otherwise(F.col("at")).alias("at"), F.when(moves, F.col("k.sub")).otherwise(F.col("sub")).alias("sub"), (F.col("circular") | (moves & F.lit(r >= most))).alias("circular"), moves.alias("moved"))
-        state = cut(new)
-        if state.where("moved").isEmpty():
-            break
-    return pick(start, "left_anti").unionByName(state.drop("moved")).drop("conv_id")
+        state = cut(state.join(reached, "key", "left").select("key", F.when(moves, F.col("k.at")).otherwise(F.col("at")).alias("at"), F.when(moves, F.col("k.sub")).otherwise(F.col("sub")).alias("sub")))
+        ways = cut(ways.join(ways.select(F.col("key").alias("need"), F.col("need").alias("next")), "need").select("key", F.col("next").alias("need")).distinct())
+        steps *= 2
+    endless = ways.select("key").distinct().withColumn("circular", F.lit(True))
+    own = calls.select("key", "seq")
+    back = lambda name, home: F.when(F.col("circular"), home).otherwise(F.col(name)).alias(name)
+    out = state.join(endless, "key", "left").join(own, "key").withColumn("circular", F.coalesce("circular", F.lit(False)))
+    return out.select("key", back("at", F.col("seq")), back("sub", F.lit(0).cast("long")), "circular")
 
 
 def _key(conv_id: str, call_id: str) -> Column:
@@ -98,9 +100,10 @@ def _key(conv_id: str, call_id: str) -> Column:
     return F.struct(F.col(conv_id).alias("conv_id"), F.col(call_id).alias("call_id"))
 
 
-def conversations(messages: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:
-    """(conv_id, n_calls, n_linked, n_valid, n_orphans, messages): one row for each conversation, messages as canonical
-    JSON: no spaces, keys in order, one object for each call with its result's content."""
+def linked(messages: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:
+    """(conv_id, place, sub, seq, kind, call_id, answered, valid, json): every message once, a linked result inside its call; in a
+    conversation they stand by (place, sub, seq, kind, json).  JSON is canonical: no spaces, keys in order.  No conversation
+    is gathered anywhere."""
     messages = messages.select(F.col("conv_id").cast("long"), F.col("seq").cast("long"), "kind", F.col("call_id").cast("string"), F.col("name").cast("string"), F.col("arguments").cast("string"), F.col("content").cast("string")).withColumn("key", _key("conv_id", "call_id"))
     first_calls = cut(first_of_id(messages.where("kind = 'call'")))
     results = messages.where("kind = 'result'")
@@ -108,19 +111,29 @@ def conversations(messages: DataFrame, schemas: dict[str, dict[str, tuple[str, b
     parsed = F.try_parse_json("arguments")
     after = F.try_variant_get(parsed, "$.after", "variant")
     needs = F.coalesce(F.try_variant_get(after, "$", "array<string>"), F.array(F.try_variant_get(after, "$", "string")))
-    calls = first_calls.select("key", "conv_id", "call_id", "seq", "name", F.to_json(parsed).alias("canonical"), valid(parsed, F.col("name"), schemas).alias("fits"), F.filter(F.coalesce(needs, F.array().cast("array<string>")), lambda x: x.isNotNull()).alias("needs"))
-    linked = calls.join(first_results.select("key", "content", F.lit(True).alias("answered")), "key", "left").join(placed(calls), "key", "left")
-    linked = linked.withColumn("valid", F.col("fits") & ~F.col("circular"))
-    linked = linked.select("conv_id", "at", "sub", "seq", F.lit("call").alias("kind"), F.coalesce("answered", F.lit(False)).alias("answered"), "valid", _call_json().alias("json"))
+    calls = first_calls.select("key", "conv_id", "call_id", "seq", "name", _canonical().alias("canonical"), valid(parsed, F.col("name"), schemas).alias("fits"), F.filter(F.coalesce(needs, F.array().cast("array<string>")), lambda x: x.isNotNull()).alias("needs"))
+    whole = calls.join(first_results.select("key", "content", F.lit(True).alias("answered")), "key", "left").join(placed(calls), "key", "left")
+    whole = whole.withColumn("valid", F.col("fits") & ~F.col("circular"))
+    whole = whole.select("conv_id", F.col("at").alias("place"), "sub", "seq", F.lit("call").alias("kind"), "call_id", F.coalesce("answered", F.lit(False)).alias("answered"), "valid", _call_json().alias("json"))
 
     again = repeats(messages.where("kind = 'call'"), first_calls).unionByName(messages.where("kind = 'call' and call_id is null").drop("key", "kind"))
     again = again.unionByName(repeats(results, first_results.join(first_calls.select("key"), "key", "left_semi")))
     orphans = results.join(first_calls.select("key"), "key", "left_anti")
-    plain = lambda df, kind: df.select("conv_id", F.col("seq").alias("at"), F.lit(0).alias("sub"), "seq", F.lit(kind).alias("kind"), F.lit(False).alias("answered"), F.lit(False).alias("valid"), _plain_json().alias("json"))
-    rows = linked.unionByName(plain(messages.where("kind not in ('call', 'result') or kind is null"), "message")).unionByName(plain(orphans, "orphan")).unionByName(plain(again, "message"))
+    plain = lambda df, kind: df.select("conv_id", F.col("seq").alias("place"), F.lit(0).cast("long").alias("sub"), "seq", F.lit(kind).alias("kind"), "call_id", F.lit(False).alias("answered"), F.lit(False).alias("valid"), _plain_json().alias("json"))
+    return whole.unionByName(plain(messages.where("kind not in ('call', 'result') or kind is null"), "message")).unionByName(plain(orphans, "orphan")).unionByName(plain(again, "message"))
+
+
+def conversations(messages: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:
+    """(conv_id, n_calls, n_linked, n_valid, n_orphans, messages): ``linked`` with a row for each conversation and its messages
+    as one JSON array.  For conversations that fit in a row; ``linked`` has no such bound."""
     count = lambda c: F.count_if(c).alias
-    ordered = F.array_sort(F.collect_list(F.struct("at", "sub", "seq", "kind", "json")))
-    return rows.groupBy("conv_id").agg(count(F.col("kind") == "call")("n_calls"), count(F.col("answered"))("n_linked"), count(F.col("valid"))("n_valid"), count(F.col("kind") == "orphan")("n_orphans"), F.concat(F.lit("["), F.array_join(F.transform(ordered, lambda x: x["json"]), ","), F.lit("]")).alias("messages"))
+    ordered = F.array_sort(F.collect_list(F.struct("place", "sub", "seq", "kind", "json")))
+    return linked(messages, schemas).groupBy("conv_id").agg(count(F.col("kind") == "call")("n_calls"), count(F.col("answered"))("n_linked"), count(F.col("valid"))("n_valid"), count(F.col("kind") == "orphan")("n_orphans"), F.concat(F.lit("["), F.array_join(F.transform(ordered, lambda x: x["json"]), ","), F.lit("]")).alias("messages"))
+
+
+def _canonical() -> Column:
+    """The arguments as canonical JSON; what doesn't parse is a JSON string, null stays null."""
+    return F.coalesce(F.to_json(F.try_parse_json("arguments")), F.when(F.col("arguments").isNotNull(), quoted(F.col("arguments"))))
 
 
 def _call_json() -> Column:
@@ -128,22 +141,31 @@ def _call_json() -> Column:
 
 
 def _plain_json() -> Column:
-    return F.concat(F.lit('{"content":'), quoted(F.col("content")), F.lit(',"role":'), quoted(F.coalesce("name", F.lit("unknown"))), F.lit("}"))
+    """A message that isn't a linked call: its arguments and its id stand there if it has any."""
+    arguments = F.coalesce(F.concat(F.lit('"arguments":'), _canonical(), F.lit(",")), F.lit(""))
+    ident = F.when(F.col("call_id").isNotNull(), F.concat(F.lit(',"id":'), quoted(F.col("call_id")))).otherwise(F.lit(""))
+    return F.concat(F.lit("{"), arguments, F.lit('"content":'), quoted(F.col("content")), ident, F.lit(',"role":'), quoted(F.coalesce("name", F.lit("unknown"))), F.lit("}"))
 
 
 def from_turns(turns: DataFrame) -> DataFrame:
-    """Messages from (conv_id, turn, role, text): a user's turn is a call of a tool that needs the user's turn before, an
-    assistant's turn the result of the turn before it, any other a plain message.  Every seventh character
-    count of a user's text gives ``limit`` as a string, which the schema refuses."""
-    call = lambda turn: F.concat(F.lit("call_"), F.col("conv_id").cast("string"), F.lit("_"), turn.cast("string"))
+    """Messages from (conv_id, turn, role, text), by rule.  A user's turn is a call, ``call_`` and its turn being the id, and an assistant's turn
+    the result of the turn before it; any other is a plain message.  A call needs the user's turn before.  In every third
+    conversation the first user's turn needs the second instead, which has no need; but in every ninth it keeps its own, which makes a circle.
+    Every seventh character count of a user's text gives ``limit`` as a string, which the schema refuses; every eleventh a
+    second call with the same id; every fifth of an assistant's text a second result."""
+    call = lambda turn: F.concat(F.lit("call_"), turn.cast("string"))
     user, assistant = F.col("role") == "user", F.col("role") == "assistant"
-    earlier = F.last(F.when(user, F.col("turn")), ignorenulls=True).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1))
+    turns = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
+    of_user = F.when(user, F.col("turn"))
+    here = Window.partitionBy("conv_id").orderBy("turn")
+    turns = turns.withColumns({"earlier": F.last(of_user, ignorenulls=True).over(here.rowsBetween(Window.unboundedPreceding, -1)), "later": F.first(of_user, ignorenulls=True).over(here.rowsBetween(1, Window.unboundedFollowing)), "rank": F.count(of_user).over(here)})
+    third, ninth = (F.coalesce(F.col("conv_id") % k == 0, F.lit(False)) for k in (3, 9))
+    need = F.when(third & (F.col("rank") == 1), F.col("later")).when(third & ~ninth & (F.col("rank") == 2), F.lit(None)).otherwise(F.col("earlier"))
     tool = F.when(F.col("turn") % 4 == 0, F.lit("search")).otherwise(F.lit("lookup"))
     limit = F.length("text") % 10
     odd = F.length("text") % 7 == 0
-    arguments = lambda limit: F.to_json(F.struct(F.col("text").alias("query"), limit.alias("limit"), call(F.col("earlier")).alias("after")))
-    turns = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string")).withColumn("earlier", earlier)
-    return turns.select(
+    arguments = lambda limit: F.to_json(F.struct(F.col("text").alias("query"), limit.alias("limit"), call(need).alias("after")))
+    first = turns.select(
         "conv_id",
         F.col("turn").alias("seq"),
         F.when(user, "call").when(assistant, "result").otherwise("message").alias("kind"),
@@ -151,7 +173,14 @@ def from_turns(turns: DataFrame) -> DataFrame:
         F.when(user, tool).otherwise(F.col("role")).alias("name"),
         F.when(user & odd, arguments(limit.cast("string"))).when(user, arguments(limit)).alias("arguments"),
         F.when(~user | F.col("role").isNull(), F.col("text")).alias("content"),
+        F.coalesce((user & (F.length("text") % 11 == 0)) | (assistant & (F.length("text") % 5 == 0)), F.lit(False)).alias("twice"),
     )
+    # One pass: a row that comes twice is exploded into itself and its repeat.
+    both = first.withColumn("copy", F.explode(F.when(F.col("twice"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    repeated = F.col("copy") == 1
+    content = F.when(repeated & (F.col("kind") == "result"), F.concat("content", F.lit(" (again)"))).otherwise(F.col("content"))
+    name = F.when(repeated & (F.col("kind") == "call"), F.lit("zz_again")).otherwise(F.col("name"))
+    return both.select("conv_id", "seq", "kind", "call_id", name.alias("name"), F.when(~repeated, F.col("arguments")).alias("arguments"), content.alias("content"))
 
 
 #: The tools of ``from_turns``.

@@ -23,7 +23,7 @@ def op2_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chat_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.conversations(chat.from_turns(_read(spark, sf_dir, "conversations")), chat.SCHEMAS)
+    return chat.linked(chat.from_turns(_read(spark, sf_dir, "conversations")), chat.SCHEMAS)
 
 
 def op4_quality_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,29 +74,46 @@ ORACLE_SQL: dict[str, str] = {
         SELECT query_id, rank, neighbour_id, distance FROM ranked WHERE rank <= 10
     """,
     "op3_chat_tool_calls": """
-        WITH turns AS (
-            SELECT *, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (
-                PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM conversations),
+        WITH RECURSIVE turns AS (
+            SELECT *, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier,
+                   first_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later,
+                   count(CASE WHEN role = 'user' THEN 1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS nth
+            FROM conversations),
         calls AS (
-            SELECT c.conv_id, c.turn, c.text, c.earlier, length(c.text) % 7 <> 0 AS valid, r.text AS content, r.turn IS NOT NULL AS answered
+            SELECT c.conv_id, c.turn, c.text, length(c.text) % 7 <> 0 AS fits, r.text AS content, r.turn IS NOT NULL AS answered,
+                   CASE WHEN c.conv_id % 3 = 0 AND c.nth = 1 THEN c.later WHEN c.conv_id % 3 = 0 AND c.conv_id % 9 <> 0 AND c.nth = 2 THEN NULL ELSE c.earlier END AS need
             FROM turns c LEFT JOIN conversations r ON r.conv_id = c.conv_id AND r.turn = c.turn + 1 AND r.role = 'assistant'
             WHERE c.role = 'user'),
+        longest AS (SELECT max(n) AS most FROM (SELECT count(*) AS n FROM calls GROUP BY conv_id)),
+        ways AS (
+            SELECT conv_id, turn, turn AS reached, 0 AS steps FROM calls
+            UNION ALL
+            SELECT w.conv_id, w.turn, c.need, w.steps + 1 FROM ways w JOIN calls c ON c.conv_id = w.conv_id AND c.turn = w.reached, longest
+            WHERE c.need IS NOT NULL AND w.steps < most),
+        ends AS (SELECT conv_id, turn, max(reached) AS place, max(steps) >= (SELECT most FROM longest) AS circular FROM ways GROUP BY conv_id, turn),
+        placed AS (
+            SELECT e.conv_id, e.turn, CASE WHEN circular THEN e.turn ELSE place END AS place, circular,
+                   CASE WHEN circular OR place = e.turn THEN 0 ELSE (SELECT max(steps) FROM ways w WHERE w.conv_id = e.conv_id AND w.turn = e.turn AND w.reached = e.place) END AS sub
+            FROM ends e),
         lines AS (
-            SELECT conv_id, turn, 'call' AS kind, answered, valid,
-                   '{"arguments":{' || coalesce('"after":"call_' || conv_id || '_' || earlier || '",', '') || '"limit":'
-                   || CASE WHEN valid THEN CAST(length(text) % 10 AS VARCHAR) ELSE '"' || (length(text) % 10) || '"' END
+            SELECT c.conv_id, p.place, CAST(p.sub AS BIGINT) AS sub, c.turn AS seq, 'call' AS kind, 'call_' || c.turn AS call_id, answered, fits AND NOT circular AS valid,
+                   '{"arguments":{' || coalesce('"after":"call_' || need || '",', '') || '"limit":'
+                   || CASE WHEN fits THEN CAST(length(text) % 10 AS VARCHAR) ELSE '"' || (length(text) % 10) || '"' END
                    || ',"query":' || to_json(text) || '},"content":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null')
-                   || ',"id":"call_' || conv_id || '_' || turn || '","name":"' || CASE WHEN turn % 4 = 0 THEN 'search' ELSE 'lookup' END
-                   || '","valid":' || CASE WHEN valid THEN 'true' ELSE 'false' END || '}' AS json
-            FROM calls
+                   || ',"id":"call_' || c.turn || '","name":"' || CASE WHEN c.turn % 4 = 0 THEN 'search' ELSE 'lookup' END
+                   || '","valid":' || CASE WHEN fits AND NOT circular THEN 'true' ELSE 'false' END || '}' AS json
+            FROM calls c JOIN placed p ON p.conv_id = c.conv_id AND p.turn = c.turn
+            UNION ALL
+            SELECT conv_id, turn, 0, turn, 'message', 'call_' || turn, false, false, '{"content":null,"id":"call_' || turn || '","role":"zz_again"}'
+            FROM calls WHERE length(text) % 11 = 0
+            UNION ALL
+            SELECT conv_id, turn, 0, turn, 'message', NULL, false, false, '{"content":' || to_json(text) || ',"role":' || to_json(role) || '}'
+            FROM turns WHERE role NOT IN ('user', 'assistant')
             UNION ALL
-            SELECT t.conv_id, t.turn, CASE WHEN t.role = 'assistant' THEN 'orphan' ELSE 'message' END, false, false,
-                   '{"content":' || to_json(t.text) || ',"role":' || to_json(t.role) || '}'
-            FROM turns t WHERE t.role <> 'user' AND NOT (t.role = 'assistant' AND EXISTS (
-                SELECT 1 FROM calls c WHERE c.conv_id = t.conv_id AND c.turn = t.turn - 1)))
-        SELECT conv_id, CAST(count(*) FILTER (kind = 'call') AS BIGINT) AS n_calls, CAST(count(*) FILTER (answered) AS BIGINT) AS n_linked,
-               CAST(count(*) FILTER (valid) AS BIGINT) AS n_valid, CAST(count(*) FILTER (kind = 'orphan') AS BIGINT) AS n_orphans,
-               '[' || string_agg(json, ',' ORDER BY turn, kind) || ']' AS messages
-        FROM lines GROUP BY conv_id
+            SELECT t.conv_id, t.turn, 0, t.turn, CASE WHEN c.turn IS NULL THEN 'orphan' ELSE 'message' END, 'call_' || (t.turn - 1), false, false,
+                   '{"content":' || to_json(t.text || CASE WHEN k = 1 THEN ' (again)' ELSE '' END) || ',"id":"call_' || (t.turn - 1) || '","role":"assistant"}'
+            FROM turns t CROSS JOIN range(2) g(k) LEFT JOIN calls c ON c.conv_id = t.conv_id AND c.turn = t.turn - 1
+            WHERE t.role = 'assistant' AND (k = 0 OR length(t.text) % 5 = 0) AND (k = 1 OR c.turn IS NULL))
+        SELECT * FROM lines
     """,
 }
