@@ -3,7 +3,8 @@
 Base patterns give spans of their own.  Long runs of base64 or hex characters are candidates besides:
 they are reported only if, decoded, they hold together as a secret: a private key whose nested
 lengths fill it exactly, an OpenSSH key, a signed token whose header names an algorithm, or text in
-which a base pattern matches.  Armoured keys (BEGIN ... PRIVATE KEY) are decoded likewise.
+which a base pattern matches.  Armoured keys (BEGIN ... PRIVATE KEY) are decoded likewise.  A candidate has
+LEAST_BLOB characters or more: no key and hardly any password with its name has fewer.
 
 Whole texts are scanned, whatever their length.  Null texts count as empty and have no span; every
 row gives one row, repeated ids included; columns other than id and text are ignored.
@@ -15,6 +16,7 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pandas as pd
@@ -36,7 +38,8 @@ LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 8, 16, 32
 #: Without one of these no ASSIGN matches.
 ASSIGN_HINTS = (b"passw", b"secret", b"token", b"api")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([^-]*)-----END \1-----")
-TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+#: A token's header is a JSON object, with or without white space; its signature is not empty.
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]+")
 #: Base64's two alphabets; a candidate is a maximal run of one of them.
 ALPHABETS = ("A-Za-z0-9+/", "A-Za-z0-9_-")
 BLOBS = [re.compile(f"[{x}]+={{0,2}}") for x in ALPHABETS]
@@ -116,17 +119,48 @@ def is_openssh_key(data: bytes) -> bool:
 
 
 def is_signed_token(text: str) -> bool:
-    """A token of three parts whose first decodes to a JSON object that names an algorithm, the second to a JSON object."""
-    for n, part in enumerate(text.split(".")[:2]):
+    """A token of three parts whose first decodes to a JSON object that names an algorithm (other than ``none``), the second to a
+    JSON object, and whose third isn't empty."""
+    parts = text.split(".")
+    if len(parts) != 3 or not parts[2]:
+        return False
+    for n, part in enumerate(parts[:2]):
+        head = _unbase64(part[:4])
+        if not head or head[:1] not in b"{ \t\r\n":
+            return False
         try:
             value = json.loads((_unbase64(part) or b"").decode())
         except (ValueError, RecursionError):
             return False
-        if not isinstance(value, dict) or n == 0 and not isinstance(value.get("alg"), str):
+        if not isinstance(value, dict):
+            return False
+        if n == 0 and (not isinstance(value.get("alg"), str) or value["alg"].lower() in ("", "none")):
             return False
     return True
 
 
+class _Covered:
+    """Spans that were found, for asking whether one of them holds another; their unions would do, as no span lies across two."""
+
+    def __init__(self, spans):
+        self.starts, self.ends = [], []
+        for a, b in sorted(spans):
+            self.add(a, b)
+
+    def add(self, a: int, b: int) -> None:
+        k = bisect_right(self.starts, a)
+        if k and self.ends[k - 1] >= b:
+            return
+        while k < len(self.starts) and self.ends[k] <= b:
+            del self.starts[k], self.ends[k]
+        self.starts.insert(k, a)
+        self.ends.insert(k, b)
+
+    def __contains__(self, span: tuple[int, int]) -> bool:
+        k = bisect_right(self.starts, span[0])
+        return bool(k) and self.ends[k - 1] >= span[1]
+
+
 def _base(text: str, raw: bytes, start: int = 0) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the assign and access patterns."""
     out = []
@@ -150,27 +184,29 @@ def _in_run(run: str, at: int) -> list[tuple[int, int, int]]:
     """Hex spans and confirmed candidates in a long run of candidate characters that starts at ``at``."""
     out = [(at + m.start(), 2, at + m.end()) for m in HEX.finditer(run) if len(m[0]) >= LEAST_HEX]
     for m in TOKEN.finditer(run):
-        if is_signed_token(m[0]):
-            out.append((at + m.start(), 4, at + m.end()))
-    seen = [(a, b) for a, _, b in out]
+        # What stands before a compact header may be joined to it by a hyphen.
+        for a in {0, max(0, m[0].find("eyJ", 0, m[0].index(".")))}:
+            if is_signed_token(m[0][a:]):
+                out.append((at + m.start() + a, 4, at + m.end()))
+    seen = _Covered((a, b) for a, _, b in out)
     for m in ANY_HEX.finditer(run):
         if len(m[0]) >= LEAST_BLOB:
             data = bytes.fromhex(m[0][: len(m[0]) & ~1])
             kind = 5 if is_der_key(data) or is_openssh_key(data) else 6 if _holds_secret(data) else None
             if kind:
                 out.append((at + m.start(), kind, at + m.end()))
-                seen.append((at + m.start(), at + m.end()))
+                seen.add(at + m.start(), at + m.end())
     # A value may stand after an equals sign or a dot that belongs to the run, so each maximal blob is tried; the longer first,
     # as what is part of one alphabet's secret may be a blob of the other.
     blobs = {(m.start(), m.end()) for pattern in BLOBS for m in pattern.finditer(run) if m.end() - m.start() >= LEAST_BLOB}
     for a, b in sorted(blobs, key=lambda x: (x[0] - x[1], x)):
-        if any(x <= at + a and at + b <= y for x, y in seen):
+        if (at + a, at + b) in seen:
             continue
         data = _unbase64(run[a:b])
         kind = data and (5 if is_der_key(data) or is_openssh_key(data) else 6 if _holds_secret(data) else None)
         if kind:
             out.append((at + a, kind, at + b))
-            seen.append((at + a, at + b))
+            seen.add(at + a, at + b)
     return out
 
 
@@ -245,6 +281,7 @@ def _spans(text: str, raw: np.ndarray, runs: list[tuple[int, int]]) -> list[tupl
             if key and (is_der_key(key) or is_openssh_key(key) or "ENCRYPTED" in m[2]):
                 armoured.append((m.start(), 3, m.end()))
     out += armoured
+    held = _Covered((a, b) for a, _, b in armoured)
     before = at = wrapped = 0  # before: code points before byte ``at``
     for a, b in runs:
         before += int(np.count_nonzero((raw[at:a] & 0xC0) != 0x80))
@@ -253,7 +290,7 @@ def _spans(text: str, raw: np.ndarray, runs: list[tuple[int, int]]) -> list[tupl
         if a >= wrapped and data[b : b + 1] in (b"\n", b"\r", b" ", b"\t"):
             found, wrapped = _in_lines(data, a, b)
             found = [(before + x - a, kind, before + y - a) for x, kind, y in found]
-            out += [f for f in found if not any(x <= f[0] and f[2] <= y for x, _, y in armoured)]
+            out += [f for f in found if (f[0], f[2]) not in held]
     return [(KINDS[k], a, b) for a, k, b in sorted(set(out))]
 
 
