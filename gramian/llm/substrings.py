@@ -5,11 +5,13 @@ id.  Windows of half the length come first.  Of these only anchors are counted:
 half-windows that one long window covers, the one with the smallest hash.  Equal long windows have
 equal anchors, so a long window none of whose anchors occurs in two documents is not repeated.
 Windows around anchors that are repeated are extended to the full length and counted in turn; then windows
-both halves of which are repeated are extended to twice that, and so on until none survives
-(``longest``).  What is removed depends on ``length`` only: a longer repeat is a chain of windows.
+both halves of which are repeated are extended to twice that, and so on until none survives.  What is removed depends on
+``length`` only: a longer repeat is a chain of windows.  The levels after it give ``longest``, the length at which
+the last of a document's windows was repeated.
 
-Between levels only hashes and ids are shuffled, pre-aggregated in the task that made them, so that a
+Between levels only hashes, ids and places are shuffled, pre-aggregated in the task that made them, so that a
 passage in very many documents is one row for each of them and no group of documents meets anywhere.
+Windows of the full length are the same if two hashes of 64 bits are, which are made in different ways.
 A text that equals one under a smaller id takes no part: all its windows are there, so it loses every word, or
 none if it is shorter than a window.
 
@@ -40,13 +42,16 @@ def _sliding(best, x: np.ndarray, width: int) -> np.ndarray:
     return best(x[: len(x) - (width - size)], x[width - size :]) if width > size else x
 
 
+_OTHER = np.uint64(0xA0761D6478BD642F)  # any number
+
+
 class Words:
     """The words of a slice of rows: hashes, the row of each, and windows that stay inside a row."""
 
     def __init__(self, column: pa.Array):
         self.data, offsets = batches.byte_view(column)
         self.starts, self.ends, self.first = batches.word_spans(self.data, offsets)
-        self.hashes = batches.span_hashes(self.data, self.starts, self.ends)
+        self.hashes = batches.word_hashes(self.data, self.starts, self.ends)
         counts = np.diff(self.first)
         self.row = np.repeat(np.arange(len(counts)), counts)
         self.last = np.repeat(self.first[1:], counts)
@@ -59,6 +64,12 @@ class Words:
         at = np.arange(n)
         return batches.span_hashes(self.hashes, at, at + length), at + length <= self.last[:n]
 
+    def checks(self, length: int) -> np.ndarray:
+        """Another hash of each of these windows."""
+        n = max(0, len(self.hashes) - length + 1)
+        at = np.arange(n)
+        return batches.span_hashes(batches.mix(self.hashes ^ _OTHER), at, at + length)
+
     def anchors(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For windows of ``length``: the hash of each half-window, which of them are anchors, and for each
         window the smallest hash of a half-window in it (with whether it stays inside its row)."""
@@ -74,23 +85,18 @@ class Words:
         return h, chosen, least
 
 
-def _keys(rows: np.ndarray, hashes: np.ndarray, ids: pa.Array) -> pa.RecordBatch:
-    """Distinct (doc_id, key) of the given rows."""
-    pairs = np.unique(np.rec.fromarrays([rows, hashes], names="r,h"))
-    return pa.record_batch([ids.take(pa.array(pairs["r"])), pa.array(pairs["h"].view(np.int64))], names=["doc_id", "key"])
-
-
-_KEYS = "doc_id long, key long"
+def _keys(rows: np.ndarray, hashes: list[np.ndarray], ids: pa.Array) -> pa.RecordBatch:
+    """Distinct (doc_id, key), or (doc_id, key, check), of the given rows."""
+    found = np.unique(np.rec.fromarrays([rows, *hashes], names=["r", *_HASHES[: len(hashes)]]))
+    return pa.record_batch([ids.take(pa.array(found["r"])), *[pa.array(found[x].view(np.int64)) for x in _HASHES[: len(hashes)]]], names=["doc_id", *_HASHES[: len(hashes)]])
 
 
-def _repeated(keys: DataFrame) -> DataFrame:
-    """(key, first_id) of the keys that occur under two ids or more."""
-    return keys.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").select("key", "first_id")
+_HASHES = ("key", "check")
 
 
-def _of_documents(keys: DataFrame) -> DataFrame:
-    """(doc_id, keys): what each document has of them; as many as it has words at most."""
-    return keys.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+def _repeated(keys: DataFrame, *by: str) -> DataFrame:
+    """(by, first_id) of the keys that occur under two ids or more."""
+    return keys.groupBy(*by).agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").select(*by, "first_id")
 
 
 def _member(hashes: np.ndarray, rows: np.ndarray, held: pa.Array) -> np.ndarray:
@@ -110,9 +116,9 @@ def _anchor_keys(texts: DataFrame, length: int) -> DataFrame:
             for part in batches.slices(_own(batch)):
                 words = Words(part.column(1))
                 h, chosen, _ = words.anchors(length)
-                yield _keys(words.row[: len(h)][chosen], h[chosen], part.column(0))
+                yield _keys(words.row[: len(h)][chosen], [h[chosen]], part.column(0))
 
-    return texts.mapInArrow(run, _KEYS)
+    return texts.mapInArrow(run, "doc_id long, key long")
 
 
 def _own(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -121,73 +127,70 @@ def _own(batch: pa.RecordBatch) -> pa.RecordBatch:
     return batch.filter(pc.and_(pc.is_valid(batch.column(0)), pc.invert(batch.column(2))))
 
 
-def _extended_keys(texts: DataFrame, length: int, from_anchors: bool) -> DataFrame:
-    """Windows of ``length`` that the repeated keys in the column keys allow: those around an anchor, or
-    those both halves of which are repeated."""
+def _extended_keys(texts: DataFrame, length: int) -> DataFrame:
+    """(doc_id, key, check) of windows of ``length`` around the repeated anchors in the column keys."""
 
     def run(it):
         for batch in it:
             batch = _own(batch)
-            for part in batches.slices(batch.filter(pc.is_valid(batch.column(3)))):
+            for part in batches.slices(batch.filter(pc.is_valid(batch.column(4)))):
                 words = Words(part.column(1))
                 h, inside = words.windows(length)
-                if from_anchors:
-                    _, _, least = words.anchors(length)
-                    take = inside & _member(least, words.row[: len(h)], part.column(3))
-                else:
-                    halves, within = words.windows(length // 2)
-                    good = within & _member(halves, words.row[: len(halves)], part.column(3))
-                    take = inside & good[: len(h)] & good[length // 2 :][: len(h)]
-                yield _keys(words.row[: len(h)][take], h[take], part.column(0))
+                _, _, least = words.anchors(length)
+                take = inside & _member(least, words.row[: len(h)], part.column(4))
+                yield _keys(words.row[: len(h)][take], [h[take], words.checks(length)[take]], part.column(0))
 
-    return texts.mapInArrow(run, _KEYS)
+    return texts.mapInArrow(run, "doc_id long, key long, check long")
 
 
-def _with_keys(texts: DataFrame, keys: DataFrame) -> DataFrame:
-    return texts.join(_of_documents(keys), "doc_id", "left").select("doc_id", "text", "copy", "keys")
+def _with_keys(texts: DataFrame, keys: DataFrame, *sets) -> DataFrame:
+    """The texts with ``sets`` of keys of their documents; a document has as many as it has words at most."""
+    return texts.join(keys.groupBy("doc_id").agg(*sets), "doc_id", "left")
 
 
 def _shuffled(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text, copy): the texts dealt out by id once; every later join by id reuses that exchange.
-    copy: an equal text has a smaller id."""
+    """(doc_id, text, copy, shared): the texts dealt out by id once; every later join by id reuses that exchange.
+    copy: an equal text has a smaller id.  shared: an equal text has another id."""
     rows = batches.by_id_text(df, id_col, text_col)
     marks = rows.where("doc_id is not null").select("doc_id", F.md5("text").alias("mark"))
-    groups = marks.groupBy("mark").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id")
-    copies = marks.join(groups, "mark").where("first_id < doc_id").groupBy("doc_id").agg(F.collect_set("mark").alias("marks"))
-    is_copy = F.coalesce(F.array_contains("marks", F.md5("text")), F.lit(False))
-    return rows.repartition("doc_id").join(copies, "doc_id", "left").select("doc_id", "text", is_copy.alias("copy"))
+    groups = _repeated(marks, "mark")
+    later = F.when(F.col("first_id") < F.col("doc_id"), F.col("mark"))
+    copies = marks.join(groups, "mark").groupBy("doc_id").agg(F.collect_set("mark").alias("marks"), F.collect_set(later).alias("later"))
+    held = lambda of: F.coalesce(F.array_contains(of, F.md5("text")), F.lit(False)).alias
+    return rows.repartition("doc_id").join(copies, "doc_id", "left").select("doc_id", "text", held("later")("copy"), held("marks")("shared"))
 
 
-def _level(texts: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """The windows of ``length`` around repeated anchors, and those of them that are repeated."""
+def _level(texts: DataFrame, length: int) -> DataFrame:
+    """(doc_id, key, first_id): the repeated windows of ``length``, of which none lacks a repeated anchor, in each document."""
     anchors = _anchor_keys(texts, length)
-    survivors = anchors.join(_repeated(anchors), "key").select("doc_id", "key")
-    keys = _extended_keys(_with_keys(texts, survivors), length, True)
-    return keys, _repeated(keys)
+    survivors = anchors.join(_repeated(anchors, "key"), "key").select("doc_id", "key")
+    keys = _extended_keys(_with_keys(texts, survivors, F.collect_set("key").alias("keys")), length)
+    return keys.join(_repeated(keys, "key", "check"), ["key", "check"]).select("doc_id", "key", "first_id")
 
 
 def remove(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_removed, kept): every row's text without the words of removed windows, joined by one space."""
-    return _removed(df, length, id_col, text_col, "kept string", lambda kept: kept.decode())
+    """(doc_id, n_words, n_removed, kept, longest): every row's text without the words of removed windows, joined by one space;
+    longest: the greatest of length, 2*length, 4*length, ... at which a window of the document also starts under another id, or 0."""
+    return _removed(df, length, id_col, text_col, "kept", lambda kept: kept.decode())
 
 
 def digests(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256)."""
-    return _removed(df, length, id_col, text_col, "kept_sha256 string", lambda kept: hashlib.sha256(kept).hexdigest())
+    """(doc_id, n_words, n_removed, kept_sha256, longest)."""
+    return _removed(df, length, id_col, text_col, "kept_sha256", lambda kept: hashlib.sha256(kept).hexdigest())
 
 
 def _removed(df: DataFrame, length: int, id_col: str, text_col: str, column: str, show) -> DataFrame:
     texts = _shuffled(df, id_col, text_col)
-    keys, repeated = _level(texts, length)
-    doomed = keys.join(repeated, "key").where("first_id < doc_id").select("doc_id", "key")
+    doomed = F.when(F.col("first_id") < F.col("doc_id"), F.col("key"))
 
     def run(it):
         for batch in it:
             for part in batches.slices(batch):
                 words = Words(part.column(1))
                 h, inside = words.windows(length)
+                rows = words.row[: len(h)]
                 copy = np.asarray(part.column(2).to_numpy(zero_copy_only=False), bool)
-                start = inside & (_member(h, words.row[: len(h)], part.column(3)) | copy[words.row[: len(h)]])
+                start = inside & (_member(h, rows, part.column(5)) | copy[rows])
                 depth = np.zeros(len(words.hashes) + 1, np.int64)
                 depth[:-1][: len(h)] += start
                 depth[length:][: len(h)] -= start
@@ -197,26 +200,55 @@ def _removed(df: DataFrame, length: int, id_col: str, text_col: str, column: str
                 for a, b in zip(words.first[:-1], words.first[1:]):
                     stay = np.flatnonzero(~gone[a:b]) + a
                     kept.append(show(b" ".join([raw[s:e] for s, e in zip(words.starts[stay].tolist(), words.ends[stay].tolist())])))
-                yield pa.record_batch([part.column(0), pa.array(np.diff(words.first)), pa.array(np.diff(n_gone)), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", column.split()[0]])
-
-    return _with_keys(texts, doomed).mapInArrow(run, f"doc_id long, n_words long, n_removed long, {column}")
+                held = np.flatnonzero(inside & ~copy[rows] & _member(h, rows, part.column(4)))
+                at = [pa.ListArray.from_arrays(np.searchsorted(held, words.first).astype(np.int32), x) for x in (pa.array((held - words.first[rows[held]]).astype(np.int32)), pa.array(h[held].view(np.int64)))]
+                yield pa.record_batch([part.column(0), pa.array(np.diff(words.first)), pa.array(np.diff(n_gone)), pa.array(kept, pa.string()), part.column(3), *at], names=["doc_id", "n_words", "n_removed", column, "shared", "at", "keys"])
+
+    with_keys = _with_keys(texts, _level(texts, length), F.collect_set("key").alias("keys"), F.collect_set(doomed).alias("doomed"))
+    out = cut(with_keys.mapInArrow(run, f"doc_id long, n_words long, n_removed long, {column} string, shared boolean, at array<int>, keys array<long>"))
+    reached = _doubled(out.where("size(keys) > 0").select("doc_id", "at", "keys"), length)
+    whole = F.when(F.col("shared") & (F.col("n_words") >= length), length * F.pow(F.lit(2.0), F.floor(F.log2(F.col("n_words") / length)))).cast("long")
+    found = out if reached is None else out.join(reached, "doc_id", "left")
+    seen = F.lit(0).cast("long") if reached is None else F.coalesce("reached", F.lit(0).cast("long"))
+    return found.select("doc_id", "n_words", "n_removed", column, F.greatest(seen, F.coalesce(whole, F.lit(0).cast("long"))).alias("longest"))
+
+
+def _extended(it, length: int):
+    """Of each row's windows those that are alive, if any: where windows of twice the length begin, and their hashes."""
+    for batch in it:
+        ids, at, keys = [], [], []
+        for k in range(batch.num_rows):
+            p, h = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in (1, 2))
+            if batch.num_columns > 3:
+                alive = np.isin(h, batch.column(3)[k].values.to_numpy(zero_copy_only=False))
+                p, h = p[alive], h[alive]
+            if not len(p):
+                continue
+            to = np.searchsorted(p, p + length)
+            met = to < len(p)
+            met[met] = p[to[met]] == p[met] + length
+            both = batches.mix(h[to[met]].view(np.uint64) + _OTHER) ^ h[met].view(np.uint64)
+            ids.append(k)
+            at.append(p[met])
+            keys.append(batches.mix(both).view(np.int64))
+        yield pa.record_batch([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(at, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "at", "keys"])
+
+
+def _doubled(rows: DataFrame, length: int) -> DataFrame | None:
+    """(doc_id, reached): the last length, doubled again and again, at which a document still has repeated windows; ``rows``:
+    (doc_id, at, keys), the repeated windows of ``length``.  The hash of a window follows from those of its halves."""
+    schema, out = "doc_id long, at array<int>, keys array<long>", None
+    while not rows.isEmpty():
+        level = rows.select("doc_id", F.lit(length).cast("long").alias("reached"))
+        out = level if out is None else out.unionAll(level)
+        longer = cut(rows.mapInArrow(lambda it, n=length: _extended(it, n), schema))
+        length *= 2
+        keys = longer.select("doc_id", F.explode(F.array_distinct("keys")).alias("key"))
+        alive = keys.join(_repeated(keys, "key"), "key").groupBy("doc_id").agg(F.collect_set("key").alias("alive"))
+        rows = cut(longer.join(alive, "doc_id").select("doc_id", "at", "keys", "alive"))
+    return None if out is None else out.groupBy("doc_id").agg(F.max("reached").alias("reached"))
 
 
 def longest(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, longest): the greatest of length, 2*length, 4*length, ... at which a window of the document also
-    starts under another id; documents without any are left out.  Ends when no candidate survives."""
-    texts = batches.by_id_text(df, id_col, text_col).repartition("doc_id").withColumn("copy", F.lit(False))
-    keys, repeated = _level(texts, length)
-    out = None
-    while True:
-        survivors = cut(keys.join(repeated, "key").select("doc_id", "key"))
-        if survivors.isEmpty():
-            break
-        level = survivors.select("doc_id", F.lit(length).cast("long").alias("longest")).distinct()
-        out = level if out is None else out.unionAll(level)
-        length *= 2
-        keys = _extended_keys(_with_keys(texts, survivors), length, False)
-        repeated = _repeated(keys)
-    if out is None:
-        return batches.by_id_text(df, id_col, text_col).limit(0).select("doc_id", F.lit(0).cast("long").alias("longest"))
-    return out.groupBy("doc_id").agg(F.max("longest").alias("longest"))
+    """(doc_id, longest) of the documents that have one."""
+    return digests(df, length, id_col, text_col).where("longest > 0").groupBy("doc_id").agg(F.max("longest").alias("longest"))
