@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from bisect import bisect_left
+from itertools import islice
 
 import pyarrow as pa
 import regex
@@ -237,39 +238,69 @@ class Utf8Stream:
     def feed(self, data: bytes) -> str:
         if not self.need and data.isascii():
             return data.decode("ascii")
-        out = []
-        for b in data:
-            if self.need:
-                if self.low <= b <= self.high:
-                    self.part += bytes([b])
-                    self.need, self.low, self.high = self.need - 1, 0x80, 0xBF
-                    if not self.need:
-                        out.append(self.part.decode())
-                        self.part = b""
-                    continue
-                out.append("�")
-                self.part, self.need, self.low, self.high = b"", 0, 0x80, 0xBF
-            if b < 0x80:
-                out.append(chr(b))
-            elif 0xC2 <= b <= 0xF4:
-                self.part, self.need = bytes([b]), 1 + (b >= 0xE0) + (b >= 0xF0)
-                self.low = {0xE0: 0xA0, 0xF0: 0x90}.get(b, 0x80)
-                self.high = {0xED: 0x9F, 0xF4: 0x8F}.get(b, 0xBF)
-            else:
-                out.append("�")
+        out, at = [], 0
+        while at < len(data):
+            if not self.need:
+                # Whole sequences go through at once; an ill-formed one, and one that isn't whole, byte by byte.
+                to = max(at, self._whole(data))
+                try:
+                    out.append(data[at:to].decode())
+                    at = to
+                except UnicodeDecodeError as e:
+                    out.append(data[at : at + e.start].decode())
+                    at += e.start
+                if at == len(data):
+                    break
+            at = self._step(data[at], out, at)
+            while self.need and at < len(data):
+                at = self._step(data[at], out, at)
         return "".join(out)
 
+    @staticmethod
+    def _whole(data: bytes) -> int:
+        """Where a sequence begins that the end of ``data`` cuts off, or the end."""
+        for k in range(1, min(3, len(data)) + 1):
+            b = data[-k]
+            if b >= 0xC0:
+                return len(data) - k if k < 2 + (b >= 0xE0) + (b >= 0xF0) else len(data)
+            if b < 0x80:
+                break
+        return len(data)
+
+    def _step(self, b: int, out: list[str], at: int) -> int:
+        """One transition; the place of the next byte, which is the same one again if it ends an ill-formed sequence."""
+        if self.need:
+            if self.low <= b <= self.high:
+                self.part += bytes([b])
+                self.need, self.low, self.high = self.need - 1, 0x80, 0xBF
+                if not self.need:
+                    out.append(self.part.decode())
+                    self.part = b""
+                return at + 1
+            out.append("\ufffd")
+            self.part, self.need, self.low, self.high = b"", 0, 0x80, 0xBF
+            return at
+        if b < 0x80:
+            out.append(chr(b))
+        elif 0xC2 <= b <= 0xF4:
+            self.part, self.need = bytes([b]), 1 + (b >= 0xE0) + (b >= 0xF0)
+            self.low = {0xE0: 0xA0, 0xF0: 0x90}.get(b, 0x80)
+            self.high = {0xED: 0x9F, 0xF4: 0x8F}.get(b, 0xBF)
+        else:
+            out.append("\ufffd")
+        return at + 1
+
     def close(self) -> str:
         out = "�" if self.need else ""
         self.part, self.need = b"", 0
         return out
 
 
-def decode_stream(tokens, bytes_of):
-    """The text of a stream of ids, piece by piece, as soon as characters are complete."""
-    machine = Utf8Stream()
-    for t in tokens:
-        if piece := machine.feed(bytes_of[t]):
+def decode_stream(tokens, bytes_of, at_once: int = 1024):
+    """The text of a stream of ids, piece by piece, as soon as characters are complete; ``at_once`` ids are fed together."""
+    machine, tokens = Utf8Stream(), iter(tokens)
+    while some := [bytes_of[t] for t in islice(tokens, at_once)]:
+        if piece := machine.feed(b"".join(some)):
             yield piece
     if piece := machine.close():
         yield piece
