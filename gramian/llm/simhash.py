@@ -1,15 +1,23 @@
 """SimHash near-duplicates by the generalised pigeonhole principle.
 
-Fingerprints within ``distance`` bits of each other are linked.  The 64 bits are dealt into partitions,
-correlated bits into the same one, and partition i gets a threshold t_i; if the sum of t_i + 1 is
+Two forms.  ``group`` links 64-bit fingerprints within ``distance`` bits of each other, exactly.  The bits are dealt into
+partitions, correlated bits into the same one, and partition i gets a threshold t_i; if the sum of t_i + 1 is
 distance + 1, two linked fingerprints agree up to t_i bits in at least one partition i.  The thresholds
 (-1: the partition isn't probed) and the number of partitions come from a dynamic programme over
-estimated numbers of probes and candidates.  Every fingerprint probes the keys within t_i bits of
-its own in each partition, and candidates are verified inside that join.
+estimated numbers of probes and candidates; a partition's candidates are estimated from the distances of sampled pairs.
+Every fingerprint probes the keys within t_i bits of its own in each partition, and candidates are verified inside that join.
 
-Buckets with very many fingerprints aren't joined with themselves.  Their fingerprints are linked by way
+``group_similar`` links texts by the similarity of their shingles.  At a similarity of 0.8 a seventh of all bits differ,
+and no 64 bits tell such texts from others; so the fingerprint is ``width`` words of 64 bits, and two texts are linked if so few
+of all its bits differ as that similarity lets expect.  No thresholds could cover every pattern of so many differing
+bits; the dynamic programme takes the cheapest ones by which a pair at that similarity is met in some
+partition with probability ``recall``.
+
+Buckets with very many fingerprints aren't joined with themselves.  ``group`` links them by way
 of all values within distance/2 bits of each (two linked fingerprints have one in common), which grows
-with the number of fingerprints only.
+with the number of fingerprints only; beyond MOST_NEIGHBOURS values, by dealing the bucket again over its other bits.
+``group_similar`` first links every fingerprint to the first ones of each bucket; then only fingerprints of different components are
+compared, and in a bucket the members of a large component are compared with those outside it only.
 
 Null texts count as empty; a text without words has fingerprint zero and is linked like any other.
 Rows that repeat an id are linked as rows of their own.  A null id is never a component's id unless
@@ -24,7 +32,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gramian.llm import batches
@@ -33,39 +41,70 @@ from gramian.runtime import cut
 
 BITS = 64
 #: Costs of a probe and of a candidate pair, in the same unit.
-PROBE_COST, CANDIDATE_COST = 1.0, 0.1
-
-
-def fingerprint(text: bytes, words: int) -> int:
-    """The SimHash of one text (UTF-8, A-Z in lower case): XXH64 with seed 42 of its word shingles."""
+PROBE_COST, CANDIDATE_COST = 1.0, 0.02
+#: Candidates are estimated from all pairs of so many sampled fingerprints.
+SAMPLE = 1024
+#: Nodes are ordered by their bits, turned where these numbers have ones: upwards, downwards, and in between.
+_ORDERS = (0, (1 << 62) - 1, 0x2AAAAAAA2AAAAAAA)
+#: A component of so many fingerprints is large.
+LARGE = 64
+#: A fingerprint of a crowded bucket is linked by way of so many values within distance/2 bits at most.
+MOST_NEIGHBOURS = 5000
+_ODD = 0x9E3779B97F4A7C15
+
+
+def _shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """XXH64 with seed 42 of the word shingles of a text, repeats included; of all its words if there are fewer; none without words."""
     import xxhash
 
     tokens = text.split()
     if not tokens:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(tokens)
     xx = xxhash.xxh64_intdigest
     if len(tokens) <= words:
-        return xx(joined, 42)
+        return np.array([xx(joined, 42)], "<u8")
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.concatenate([[0], ends[:-words] + 1]).tolist()
-    hashes = np.array([xx(joined[a:b], 42) for a, b in zip(starts, ends[words - 1 :].tolist())], "<u8")
-    ones = np.zeros(BITS, np.int64)
-    for a in range(0, len(hashes), 4096):
-        ones += np.unpackbits(hashes[a : a + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    return np.array([xx(joined[a:b], 42) for a, b in zip(starts, ends[words - 1 :].tolist())], "<u8")
 
 
-def fingerprints(df: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp long) of every whole text; fp holds the 64 bits as a signed number."""
+def fingerprint(text: bytes, words: int, width: int = 1) -> np.ndarray:
+    """The SimHash of one text (UTF-8, A-Z in lower case), ``width`` words of 64 bits; the first is that of the hashes themselves,
+    the others of hashes of them."""
+    hashes = _shingle_hashes(text, words)
+    ones = np.zeros(BITS * width, np.int64)
+    for a in range(0, len(hashes), 4096):
+        part = np.empty((len(hashes[a : a + 4096]), width), "<u8")
+        for k in range(width):
+            part[:, k] = hashes[a : a + 4096]
+            if k:
+                part[:, k] *= np.uint64(_ODD * (2 * k + 1) & (1 << 64) - 1)
+                batches.mix(part[:, k])
+        ones += np.unpackbits(part.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")
+
 
+def _fingerprints(df: DataFrame, words: int, width: int, id_col: str, text_col: str, schema: str) -> DataFrame:
     def run(it):
         for batch in it:
             for part in batches.slices(batch):
-                fp = [fingerprint((t or "").encode().lower(), words) for t in part.column(1).to_pylist()]
-                yield pa.record_batch([part.column(0), pa.array(np.array(fp, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+                fp = [fingerprint((t or "").encode().lower(), words, width) for t in part.column(1).to_pylist()]
+                flat = pa.array(np.concatenate(fp).view(np.int64))
+                column = flat if width == 1 else pa.ListArray.from_arrays(pa.array(np.arange(len(fp) + 1, dtype=np.int32) * width), flat)
+                yield pa.record_batch([part.column(0), column], names=["doc_id", "fp"])
+
+    return batches.by_id_text(df, id_col, text_col).mapInArrow(run, schema)
+
+
+def fingerprints(df: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp long) of every whole text; fp holds the 64 bits as a signed number."""
+    return _fingerprints(df, words, 1, id_col, text_col, "doc_id long, fp long")
 
-    return batches.by_id_text(df, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+
+def wide_fingerprints(df: DataFrame, words: int = 5, width: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp array<long>) of every whole text, ``width`` (two or more) words of 64 bits each."""
+    return _fingerprints(df, words, width, id_col, text_col, "doc_id long, fp array<long>")
 
 
 @dataclass(frozen=True)
@@ -93,56 +132,111 @@ def grouped_bits(correlation: np.ndarray, parts: int) -> list[tuple[int, ...]]:
     return out
 
 
-def near_share(differ: np.ndarray) -> np.ndarray:
-    """share[t]: of pairs that differ in at most t of these bits, each bit differing on its own with the given probability."""
-    dist = np.ones(1)
-    for q in differ:
-        dist = np.convolve(dist, [1 - q, q])
-    return np.cumsum(dist)
+def near_share(bits: np.ndarray, part: tuple[int, ...]) -> np.ndarray:
+    """share[t]: of pairs that differ in at most t of the bits of ``part``, among the sampled rows of ``bits`` (0 or 1); no less than
+    among pairs whose bits are independent and even, which the sample is too small to show for many bits."""
+    x = bits[:, list(part)].astype(np.float32)
+    both = x @ x.T
+    held = x.sum(axis=1)
+    apart = np.rint(held[:, None] + held[None, :] - 2 * both).astype(np.int64)[np.triu_indices(len(x), 1)]
+    seen = np.bincount(apart, minlength=len(part) + 1) / max(1, len(apart))
+    even = np.array([math.comb(len(part), t) for t in range(len(part) + 1)]) / 2.0 ** len(part)
+    return np.maximum(np.cumsum(seen), np.cumsum(even))
+
 
+def _costs(n: int, bits: np.ndarray, part: tuple[int, ...], most: int) -> list[float]:
+    """The cost of thresholds -1, 0, ..., ``most`` in one partition of n fingerprints."""
+    share, size = near_share(bits, part), len(part)
+    probes = np.cumsum([math.comb(size, t) for t in range(size + 1)])
+    return [0.0] + [PROBE_COST * n * float(probes[min(t, size)]) + CANDIDATE_COST * n * n / 2 * float(share[min(t, size)]) for t in range(most + 1)]
 
-def plan(n: int, ones: np.ndarray, correlation: np.ndarray, distance: int) -> Plan:
-    """The cheapest partitions and thresholds for n fingerprints; ones: the share of each bit."""
+
+def plan(n: int, correlation: np.ndarray, bits: np.ndarray, distance: int) -> Plan:
+    """The cheapest partitions and thresholds for n fingerprints that cover every pattern of ``distance`` differing bits.
+    correlation: of the bits; bits: those of sampled fingerprints."""
     best: tuple[float, Plan] | None = None
     for parts in range(1, min(distance + 1, 8) + 1):
         groups = grouped_bits(correlation, parts)
-        cost = []
-        for g in groups:
-            share = near_share(2 * ones[list(g)] * (1 - ones[list(g)]))
-            probes = np.cumsum([math.comb(len(g), t) for t in range(min(distance, len(g)) + 1)])
-            cost.append([0.0] + [PROBE_COST * n * float(probes[min(t, len(g))]) + CANDIDATE_COST * n * n / 2 * float(share[min(t, len(g))]) for t in range(distance + 1)])
         # table[u]: the least cost of the groups so far if they take u of the distance + 1 units.
         table: list[tuple[float, tuple[int, ...]]] = [(0.0, ())] + [(math.inf, ())] * (distance + 1)
-        for c in cost:
+        for g in groups:
+            c = _costs(n, bits, g, distance)
             table = [min((table[u - take][0] + c[take], (*table[u - take][1], take - 1)) for take in range(u + 1)) for u in range(distance + 2)]
         total, thresholds = table[distance + 1]
         if best is None or total < best[0]:
-            used = [k for k, t in enumerate(thresholds) if t >= 0]
-            best = (total, Plan(tuple(groups[k] for k in used), tuple(thresholds[k] for k in used)))
+            best = (total, _probed(groups, thresholds))
     return best[1]
 
 
-def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """The number of rows, each bit's share of ones and the bits' correlations, over all rows."""
+def _probed(groups, thresholds) -> Plan:
+    used = [k for k, t in enumerate(thresholds) if t >= 0]
+    return Plan(tuple(groups[k] for k in used), tuple(thresholds[k] for k in used))
+
+
+def differing(similarity: float) -> float:
+    """The share of differing bits that a Jaccard similarity of shingle sets lets expect: the angle between two sets of equal size."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def wide_plan(n: int, correlations: list[np.ndarray], bits: np.ndarray, similarity: float, recall: float) -> Plan:
+    """The cheapest partitions (inside words) and thresholds for n wide fingerprints by which a pair at ``similarity``
+    is met with probability ``recall``, if its bits differ independently.  As much of it as there is if the width allows no more."""
+    p, units, most, n = differing(similarity), 400, 2, max(n, 1)
+    need = -math.log(max(1e-9, 1 - recall))
+    best: tuple[float, float, Plan] | None = None
+    for parts in (2, 3, 4, 5, 6):
+        groups = [tuple(BITS * w + b for b in g) for w, c in enumerate(correlations) for g in grouped_bits(c, parts)]
+        table: list[tuple[float, tuple[int, ...]]] = [(0.0, ())] + [(math.inf, ())] * units
+        for g in groups:
+            hit = np.cumsum([math.comb(len(g), t) * p**t * (1 - p) ** (len(g) - t) for t in range(most + 1)])
+            worth = [0] + [min(units, int(units * -math.log(max(1e-12, 1 - h)) / need)) for h in hit]
+            new = [(x[0], (*x[1], -1)) for x in table]
+            for take, c in enumerate(_costs(n, bits, g, most)[1:], 1):
+                for u, (cost, chosen) in enumerate(table):
+                    to = min(units, u + worth[take])
+                    if cost + c < new[to][0]:
+                        new[to] = (cost + c, (*chosen, take - 1))
+            table = new
+        reached = max(u for u, x in enumerate(table) if x[0] < math.inf)
+        if best is None or (-reached, table[reached][0]) < best[:2]:
+            best = (-reached, table[reached][0], _probed(groups, table[reached][1]))
+    return best[2]
+
+
+def bit_statistics(fps: DataFrame, width: int = 1) -> tuple[int, list[np.ndarray]]:
+    """The number of rows and, for each word of the column fp, the correlations of its bits, over all rows."""
 
     def count(it):
-        both, n = np.zeros((BITS, BITS)), 0
+        both, n = np.zeros((width, BITS, BITS)), 0
         for batch in it:
-            x = np.ascontiguousarray(batch.column(0).to_numpy(zero_copy_only=False)).view(np.uint8).reshape(-1, 8)
+            x = _words(batch.column(0), width)
             for a in range(0, len(x), 8192):
-                bits = np.unpackbits(x[a : a + 8192], axis=1, bitorder="little").astype(np.float32)
-                both += bits.T @ bits
+                bits = np.unpackbits(x[a : a + 8192].view(np.uint8), axis=1, bitorder="little").astype(np.float32).reshape(-1, width, BITS)
+                for w in range(width):
+                    both[w] += bits[:, w].T @ bits[:, w]
             n += len(x)
-        yield pa.record_batch([pa.array(np.arange(BITS * BITS + 1, dtype=np.int32)), pa.array(np.append(both.ravel(), n).astype(np.int64))], names=["cell", "n"])
+        yield pa.record_batch([pa.array(np.arange(both.size + 1, dtype=np.int32)), pa.array(np.append(both.ravel(), n).astype(np.int64))], names=["cell", "n"])
+
+    rows = fps.select("fp").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cells = np.zeros(width * BITS * BITS + 1)
+    cells[rows["cell"].to_numpy()] = rows["n"].to_numpy()
+    out = []
+    for both in cells[:-1].reshape(width, BITS, BITS) / max(1, cells[-1]):
+        p = both.diagonal()
+        sd = np.sqrt(np.maximum(p * (1 - p), 1e-12))
+        out.append((both - np.outer(p, p)) / np.outer(sd, sd))
+    return int(cells[-1]), out
+
 
-    rows = fps.select("fp").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n")).collect()
-    cells = np.zeros(BITS * BITS + 1)
-    for cell, n in rows:
-        cells[cell] = n
-    n, both = int(cells[-1]), cells[:-1].reshape(BITS, BITS) / max(1, cells[-1])
-    p = both.diagonal()
-    sd = np.sqrt(np.maximum(p * (1 - p), 1e-12))
-    return n, p, (both - np.outer(p, p)) / np.outer(sd, sd)
+def _words(column: pa.Array, width: int) -> np.ndarray:
+    flat = column if width == 1 else column.flatten()
+    return np.ascontiguousarray(flat.to_numpy(zero_copy_only=False)).reshape(-1, width)
+
+
+def sampled_bits(fps: DataFrame, width: int = 1) -> np.ndarray:
+    """The bits of SAMPLE fingerprints at most, those with the smallest hashes."""
+    got = fps.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).toArrow()["fp"].combine_chunks()
+    return np.unpackbits(_words(got, width).view(np.uint8), axis=1, bitorder="little") if len(got) else np.zeros((0, BITS * width), np.uint8)
 
 
 def _signed(x: int) -> int:
@@ -159,31 +253,64 @@ def _masks(values: list[int]):
     return F.expr("array(" + ",".join(f"{v}L" if v != -(1 << 63) else "(-9223372036854775807L - 1L)" for v in values) + ")")
 
 
+def _mask(part: tuple[int, ...]) -> int:
+    """The bits of one word that ``part`` has."""
+    return _signed(sum(1 << b % BITS for b in part))
+
+
 def links(fps: DataFrame, distance: int = 4, heavy: int = 20_000, chosen: Plan | None = None) -> DataFrame:
     """(src, dst): pairs of different fingerprints, src < dst, at most ``distance`` bits apart; at least enough
     of them to connect all that are linked.  ``fps``: distinct values in a column fp.
     A pair may come more than once.  Buckets of more than ``heavy`` fingerprints are linked by way of shared
-    neighbours, and there only links to the smallest of those that share one are given."""
+    neighbours, and there only links to the smallest of those that share one are given, or dealt again."""
     if chosen is None:
-        chosen = plan(*bit_statistics(fps), distance)
-    whole = [_signed(sum(1 << b for b in part)) for part in chosen.parts]
-    homes = fps.select("fp", F.posexplode(_masks(whole)).alias("part", "mask")).select("fp", "part", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
+        n, (correlation,) = bit_statistics(fps)
+        chosen = plan(n, correlation, sampled_bits(fps), distance)
+    whole = [_mask(part) for part in chosen.parts]
+    at = lambda part, key: F.xxhash64(part, key).alias("at")
+    homes = fps.select("fp", F.posexplode(_masks(whole)).alias("part", "used")).select("fp", "used", at("part", F.col("fp").bitwiseAND(F.col("used"))))
     probes = None
     for k, (part, most) in enumerate(zip(chosen.parts, chosen.thresholds)):
         key = F.col("fp").bitwiseAND(F.lit(whole[k])).bitwiseXOR(F.col("flip"))
-        p = fps.select("fp", F.explode(_masks(_flips(part, most))).alias("flip")).select(F.col("fp").alias("src"), F.lit(k).alias("part"), key.alias("key"))
+        p = fps.select("fp", F.explode(_masks(_flips(part, most))).alias("flip")).select("fp", F.lit(whole[k]).alias("used"), at(F.lit(k), key))
         probes = p if probes is None else probes.unionAll(p)
-    crowded = cut(homes.groupBy("part", "key").count().where(F.col("count") > heavy).select("part", "key"))
-    crowd = None
-    if not crowded.isEmpty():
-        crowd = probes.join(crowded, ["part", "key"], "left_semi").select(F.col("src").alias("fp")).distinct()
-        homes = homes.join(crowded, ["part", "key"], "left_anti")
-    apart = F.bit_count(F.col("src").bitwiseXOR(F.col("fp")))
-    same = (F.col("h.part") == F.col("p.part")) & (F.col("h.key") == F.col("p.key"))
-    out = probes.alias("p").join(homes.alias("h"), same & (F.col("src") < F.col("fp")) & (apart <= distance)).select("src", F.col("fp").alias("dst"))
-    if crowd is not None:
-        out = out.unionAll(_by_neighbours(crowd, distance))
-    return out
+    by_way = sum(math.comb(BITS, t) for t in range(distance - distance // 2 + 1)) <= MOST_NEIGHBOURS
+    crowded = cut(homes.groupBy("at").count().where(F.col("count") > heavy).select("at"))
+    if crowded.isEmpty():
+        return _met(homes, probes, distance)
+    out = _met(homes.join(crowded, "at", "left_anti"), probes, distance)
+    homes, probes = homes.join(crowded, "at", "left_semi"), probes.join(crowded, "at", "left_semi")
+    if by_way:
+        return out.unionAll(_by_neighbours(probes.select("fp").distinct(), distance))
+    return out.unionAll(_dealt_again(homes, probes, distance, heavy))
+
+
+def _met(homes: DataFrame, probes: DataFrame, distance: int) -> DataFrame:
+    apart = F.bit_count(F.col("p.fp").bitwiseXOR(F.col("h.fp")))
+    same = (F.col("h.at") == F.col("p.at")) & (F.col("p.fp") < F.col("h.fp")) & (apart <= distance)
+    return probes.alias("p").join(homes.alias("h"), same).select(F.col("p.fp").alias("src"), F.col("h.fp").alias("dst"))
+
+
+def _dealt_again(homes: DataFrame, probes: DataFrame, distance: int, heavy: int, levels: int = 5) -> DataFrame:
+    """The links inside buckets: of the bits that a bucket hasn't ``used``, dealt into distance + 1 parts, two linked fingerprints
+    agree in one part; buckets that are still crowded are dealt again, otherwise, as long as there are bits."""
+    out = None
+    for level in range(levels):
+        deal = [_mask(tuple(b for b in range(BITS) if b * (2 * level + 3) % 67 % (distance + 1) == k)) for k in range(distance + 1)]
+
+        def into(rows: DataFrame) -> DataFrame:
+            new = F.col("mask").bitwiseAND(F.bitwise_not("used"))
+            return rows.select("fp", "used", "at", F.posexplode(_masks(deal)).alias("k", "mask")).select("fp", F.col("used").bitwiseOR(F.col("mask")).alias("used"), F.xxhash64("at", "k", F.col("fp").bitwiseAND(new)).alias("at"))
+
+        homes, probes = cut(into(homes)), cut(into(probes))
+        crowded = cut(homes.groupBy("at").count().where(F.col("count") > heavy).select("at"))
+        last = level == levels - 1 or crowded.isEmpty()
+        got = _met(homes if last else homes.join(crowded, "at", "left_anti"), probes, distance)
+        out = got if out is None else out.unionAll(got)
+        if last:
+            break
+        homes, probes = homes.join(crowded, "at", "left_semi"), probes.join(crowded, "at", "left_semi")
+    return out.distinct()
 
 
 def _by_neighbours(fps: DataFrame, distance: int) -> DataFrame:
@@ -211,6 +338,80 @@ def group(prints: DataFrame, distance: int = 4, heavy: int = 20_000) -> DataFram
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def _bits_apart(a: str, b: str, words) -> Column:
+    """The number of differing bits in the given words of two arrays."""
+    return sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in words), F.lit(0))
+
+
+def _at_most(similarity: float, bits: int, deviations: float) -> int:
+    """So many of ``bits`` differ at most between texts of a similarity, but for chances beyond some standard deviations."""
+    p = differing(similarity)
+    return int(p * bits + deviations * math.sqrt(p * (1 - p) * bits))
+
+
+def similar_links(values: DataFrame, width: int, similarity: float, recall: float) -> DataFrame:
+    """(src, dst): nodes to connect; ``values``: (node long, fp array<long>), written down.  First every fingerprint is
+    held against the first ones, in three orders, of each bucket it probes; then those of different components against each other, in a bucket
+    with members of a component of LARGE or more those outside the largest such component against all.  Two words of the
+    fingerprint go along with the buckets and tell nearly all strangers apart; pairs that pass are held against each other whole."""
+    n, correlations = bit_statistics(values, width)
+    chosen = wide_plan(n, correlations, sampled_bits(values, width), similarity, recall)
+    least, whole = _at_most(similarity, 2 * BITS, 2.6), _at_most(similarity, width * BITS, 1.3)
+
+    def dealt(rows: DataFrame, flips: bool, *more: str) -> DataFrame:
+        """(node, c0, c1, at) and ``more``: a row for each bucket that a fingerprint stands in, or probes."""
+        keys, around = [], []
+        for k, (part, most) in enumerate(zip(chosen.parts, chosen.thresholds)):
+            key = F.col("fp")[part[0] // BITS].bitwiseAND(F.lit(_mask(part)))
+            own = lambda f, k=k, key=key: F.xxhash64(F.lit(k), key.bitwiseXOR(f))
+            if flips and most:
+                around.append(F.transform(_masks(_flips(tuple(b % BITS for b in part), most)), own))
+            else:
+                keys.append(own(F.lit(0).cast("long")))
+        every = F.concat(F.array(*keys).cast("array<bigint>"), *around) if around else F.array(*keys)
+        return rows.select("node", F.col("fp")[0].alias("c0"), F.col("fp")[1].alias("c1"), *more, F.explode(every).alias("at"))
+
+    def near(a: str, b: str) -> Column:
+        return sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in ("c0", "c1")), F.lit(0)) <= least
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        ends = values.select(F.col("node").alias("src"), F.col("fp").alias("a")), values.select(F.col("node").alias("dst"), F.col("fp").alias("b"))
+        both = pairs.distinct().join(ends[0], "src").join(ends[1], "dst")
+        return both.where(_bits_apart("a", "b", range(width)) <= whole).select("src", "dst")
+
+    flips = any(chosen.thresholds)
+    homes, probes = dealt(values, False), dealt(values, flips)
+    # The first of a bucket in each of some orders of the nodes.
+    firsts = F.array_distinct(F.array(*[F.min(F.col("node").bitwiseXOR(F.lit(c))).bitwiseXOR(F.lit(c)) for c in _ORDERS]))
+    first = homes.groupBy("at").agg(firsts.alias("nodes"), F.count(F.lit(1)).alias("n")).where(F.lit(flips) | (F.col("n") > 1))
+    first = first.select("at", F.explode("nodes").alias("node")).join(values.select("node", F.col("fp")[0].alias("c0"), F.col("fp")[1].alias("c1")), "node")
+    star = probes.alias("p").join(first.alias("h"), (F.col("p.at") == F.col("h.at")) & (F.col("p.node") != F.col("h.node")) & near("p", "h"))
+    stars = cut(verified(star.select(F.least("p.node", "h.node").alias("src"), F.greatest("p.node", "h.node").alias("dst"))))
+    found = components(stars)
+    size = found.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    large = F.when(F.col("size") >= LARGE, F.struct("size", "component"))
+    named = cut(values.join(found.join(size, "component").select("node", "component", large.alias("large")), "node", "left").select("node", "fp", F.coalesce("component", "node").alias("component"), "large"))
+    homes, probes = dealt(named, False, "component", "large"), dealt(named, flips, "component", "large")
+    chief = homes.where("large is not null").groupBy("at").agg(F.max("large")["component"].alias("chief"))
+    outside = probes.join(chief, "at", "left").where("chief is null or chief <> component").alias("p")
+    once = (F.col("p.node") < F.col("h.node")) | F.col("p.chief").eqNullSafe(F.col("h.component"))
+    apart = (F.col("p.at") == F.col("h.at")) & (F.col("p.component") != F.col("h.component")) & once & near("p", "h")
+    met = outside.join(homes.alias("h"), apart).select(F.least("p.node", "h.node").alias("src"), F.greatest("p.node", "h.node").alias("dst"))
+    return stars.unionAll(verified(met))
+
+
+def group_similar(prints: DataFrame, width: int = 8, similarity: float = 0.8, recall: float = 0.97) -> DataFrame:
+    """(doc_id, component_id) for rows (doc_id, fp array<long>): the smallest doc_id reachable over links between
+    texts whose similarity is estimated as ``similarity`` or more, the row's own included."""
+    prints = cut(prints)
+    values = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")).withColumn("node", F.monotonically_increasing_id()))
+    linked = components(similar_links(values.select("node", "fp"), width, similarity, recall))
+    joined = values.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    named = joined.join(least, "component").select("fp", "component_id")
+    return prints.join(named, "fp").select("doc_id", "component_id")
+
+
 def hexadecimal(fp):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
@@ -218,6 +419,14 @@ def hexadecimal(fp):
 def keep_first(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its group of linked texts; columns as they are.
     A document is its id: rows that repeat a kept id all stay."""
-    found = group(fingerprints(docs, words), distance)
+    return _first(docs, group(fingerprints(docs, words), distance))
+
+
+def keep_first_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, width: int = 8) -> DataFrame:
+    """As ``keep_first``, with texts linked by the estimated similarity of their shingles."""
+    return _first(docs, group_similar(wide_fingerprints(docs, words, width), width, similarity))
+
+
+def _first(docs: DataFrame, found: DataFrame) -> DataFrame:
     stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     return docs.join(stay, docs["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi")

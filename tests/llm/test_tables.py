@@ -70,8 +70,8 @@ def test_conversations(spark):
     got = {r.conv_id: r for r in chat.conversations(spark.createDataFrame(rows, MESSAGES), chat.SCHEMAS).collect()}
     assert {i: tuple(r)[1:5] for i, r in got.items()} == {1: (4, 1, 2, 1), 2: (0, 0, 0, 0), 3: (7, 0, 1, 0), None: (1, 0, 1, 0)}
     one = json.loads(got[1].messages)
-    ids = [m["id"] for m in one if "id" in m]
-    assert ids.index("b") < ids.index("a") and {m["id"]: m["valid"] for m in one if "id" in m} == {"a": True, "b": True, "c": False, "d": False}
+    ids = [m["id"] for m in one if "valid" in m]
+    assert ids.index("b") < ids.index("a") and {m["id"]: m["valid"] for m in one if "valid" in m} == {"a": True, "b": True, "c": False, "d": False}
     assert next(m for m in one if m.get("id") == "a")["content"] == "first"
     assert got[2].messages == '[{"content":"a \\"q\\"\\n é","role":"user"},{"content":null,"role":"unknown"}]'
     assert '"arguments":{"after":"nobody","limit":1,"query":"x"}' in got[3].messages and '"arguments":null' in got[3].messages
@@ -100,16 +100,43 @@ def test_no_message_is_lost(spark):
     got = {r.conv_id: r for r in chat.conversations(spark.createDataFrame(rows, MESSAGES), chat.SCHEMAS).collect()}
     assert {i: tuple(r)[1:5] for i, r in got.items()} == {1: (1, 1, 1, 0), 2: (2, 1, 2, 0), 3: (0, 0, 0, 2), None: (1, 1, 1, 0)}
     shown = {i: [(m.get("id"), m.get("role"), m["content"]) for m in json.loads(r.messages)] for i, r in got.items()}
-    assert sorted(shown[1], key=str) == sorted([("a", None, "first"), (None, "search", None), (None, "search", None), (None, "tool", "first"), (None, "unknown", "second")], key=str)
+    assert sorted(shown[1], key=str) == sorted([("a", None, "first"), ("a", "search", None), ("a", "search", None), ("a", "tool", "first"), ("a", "unknown", "second")], key=str)
     assert shown[2] == [("b", None, None), ("a", None, "of the other")]
-    assert shown[3] == [(None, "tool", "without"), (None, "tool", "no id")]
-    assert shown[None] == [("a", None, "of none"), (None, "tool", None), (None, "tool", None)]
+    assert shown[3] == [("a", "tool", "without"), (None, "tool", "no id")]
+    assert shown[None] == [("a", None, "of none"), ("a", "tool", None), ("a", "tool", None)]
 
 
-def test_long_chain_in_order(spark):
-    rows = [(1, k, "call", f"c{k}", "search", json.dumps({"query": "x", "limit": 1, "after": f"c{k - 1}"}), None, 0) for k in range(300)]
-    r = chat.conversations(spark.createDataFrame(rows, MESSAGES), chat.SCHEMAS).first()
-    assert r.n_valid == 300 and [m["id"] for m in json.loads(r.messages)] == [f"c{k}" for k in range(300)]
+def test_long_chains_in_few_rounds(spark, monkeypatch):
+    """2,000 calls, each of which needs the one before; in another conversation the one after, and in a third all but the last are on a circle."""
+    cuts = []
+    monkeypatch.setattr(chat, "cut", lambda df, own=chat.cut: cuts.append(1) or own(df))
+    call = lambda conv, k, need: (conv, k, "call", f"c{k}", "search", json.dumps({"query": "x", "limit": 1, "after": f"c{need}"}), None, 0)
+    rows = [call(1, k, k - 1) for k in range(2000)] + [call(2, k, k + 1) for k in range(300)] + [call(3, k, (k + 1) % 9) for k in range(9)] + [call(3, 9, 77)]
+    got = {r.conv_id: r for r in chat.conversations(spark.createDataFrame(rows, MESSAGES), chat.SCHEMAS).collect()}
+    order = {i: [int(m["id"][1:]) for m in json.loads(r.messages)] for i, r in got.items()}
+    assert got[1].n_valid == 2000 and order[1] == list(range(2000))
+    assert got[2].n_valid == 300 and order[2] == list(range(299, -1, -1))
+    assert got[3].n_valid == 1 and order[3] == list(range(10))
+    assert len(cuts) < 40
+
+
+def test_arguments_that_do_not_parse_are_kept(spark):
+    rows = [(1, 0, "call", "a", "search", "{broken", None, 0), (1, 1, "call", "a", "search", '{"query":"y","limit":2}', None, 0), (1, 2, "result", "z", "tool", None, "lost", 0)]
+    got = {tuple(r)[3:6]: r.json for r in chat.linked(spark.createDataFrame(rows, MESSAGES), chat.SCHEMAS).collect()}
+    assert got[0, "call", "a"] == '{"arguments":"{broken","content":null,"id":"a","name":"search","valid":false}'
+    assert got[1, "message", "a"] == '{"arguments":{"limit":2,"query":"y"},"content":null,"id":"a","role":"search"}'
+    assert got[2, "orphan", "z"] == '{"content":"lost","id":"z","role":"tool"}'
+
+
+def test_every_message_of_the_query_is_accounted_for(spark):
+    rng = random.Random(3)
+    turns = [(c, t, rng.choice(["user", "assistant", "system", None]), rng.choice(["one", "two words", 'a "q"', None, "", "x" * 35])) for c in [*range(40), None] for t in range(rng.randrange(1, 9))]
+    messages = chat.from_turns(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    n = {r[0]: r[1] for r in messages.groupBy("kind").count().collect()}
+    found = {r[0]: r[1] for r in chat.linked(messages, chat.SCHEMAS).groupBy("kind").count().collect()}
+    answered = chat.linked(messages, chat.SCHEMAS).where("answered").count()
+    assert sum(found.values()) + answered == sum(n.values())
+    assert chat.linked(messages, chat.SCHEMAS).where("sub > 0").count() > 0 and chat.linked(messages.limit(0), chat.SCHEMAS).count() == 0
 
 
 def test_pipeline_stages(spark, tmp_path):
@@ -135,3 +162,21 @@ def test_pipeline_stages(spark, tmp_path):
     assert clean.count() == len(kept[2])
     out = cp.tokenise(spark, clean, str(tmp_path))
     assert out.columns[0] == "doc_id" and out.count() == len(kept[2])
+
+
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    """Empty tables, repeated rows, nulls in every column and clashing names."""
+    import corpus_pipeline as cp
+
+    schema = "doc_id long, text string, lang string, source string, n_chars int, score double, spans string, lang_pred string, keys string, fp long, at string"
+    spark.createDataFrame([(1, "an item of the benchmark that is long enough to be found")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    more = (0.5, "s", "l", "k", 1, "a")
+    rows = [(None, None, None, None, None, *more), (None, "some words without an id", "en", None, None, *more), (5, "some words here and there", None, None, 3, None, None, None, None, None, None), (5, "some words here and there", None, None, 3, None, None, None, None, None, None)]
+    for table_ in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        docs = table_
+        for name, stage in cp.STAGES[:-1]:
+            docs = stage(spark, docs, str(tmp_path))
+            assert docs.columns == table_.columns and [f.dataType for f in docs.schema] == [f.dataType for f in table_.schema], name
+        left = [(r[0], r[1]) for r in rows if r[1]] if table_.count() else []
+        assert sorted(((r.doc_id, r.text) for r in docs.collect()), key=str) == sorted(left, key=str)
+        assert cp.STAGES[-1][1](spark, docs, str(tmp_path)).count() == docs.count()

@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers as P
 import pytest
+import regex
 
 from gramian.llm import batches, bpe, decontaminate, langid, lattice, quality, secrets, simhash, substrings
 
@@ -61,8 +62,27 @@ def brute_removed(rows, length):
 
 @pytest.mark.parametrize("length", [6, 50])
 def test_substrings(spark, corpus, length):
-    got = [tuple(r) for r in substrings.digests(table(spark, corpus), length).collect()]
-    assert sorted(got, key=str) == brute_removed(corpus, length)
+    found = substrings.digests(table(spark, corpus), length).collect()
+    assert sorted((tuple(r)[:4] for r in found), key=str) == brute_removed(corpus, length)
+    assert sorted(((r.doc_id, r.longest) for r in found), key=str) == brute_longest(corpus, length)
+
+
+def brute_longest(rows, length):
+    """By id: the greatest doubling at which a window also starts under another id (of rows without an id: 0)."""
+    best, size = {}, length
+    while True:
+        owners = {}
+        for i, t, _ in rows:
+            w = (t or "").encode().split()
+            for k in range(len(w) - size + 1):
+                if i is not None:
+                    owners.setdefault(tuple(w[k : k + size]), set()).add(i)
+        alive = {i for ids in owners.values() if len(ids) > 1 for i in ids}
+        if not alive:
+            break
+        best |= dict.fromkeys(alive, size)
+        size *= 2
+    return sorted(((i, best.get(i, 0)) for i, _, _ in rows), key=str)
 
 
 def test_substrings_text_and_longest(spark):
@@ -74,6 +94,17 @@ def test_substrings_text_and_longest(spark):
     assert substrings.digests(table(spark, [])).count() == 0
 
 
+def test_long_words_have_hashes_of_their_own():
+    """Two words of 2,048 letters that sums of powers modulo 2**64 can't tell apart."""
+    a = b"ab"
+    while len(a) < 2048:
+        a += a.translate(bytes.maketrans(b"ab", b"ba"))
+    data = np.frombuffer(a + a.translate(bytes.maketrans(b"ab", b"ba")), np.uint8)
+    starts, ends = np.array([0, 2048]), np.array([2048, 4096])
+    assert len(set(batches.span_hashes(data, starts, ends).tolist())) == 1
+    assert len(set(batches.word_hashes(data, starts, ends).tolist())) == 2
+
+
 # --- SimHash
 
 
@@ -105,13 +136,14 @@ def test_simhash_fingerprints(spark, corpus):
         h = [xxhash.xxh64_intdigest(b" ".join(w[k : k + 4]), 42) for k in range(max(1, len(w) - 3))]
         return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
+    assert [int(x) for x in simhash.fingerprint(b"a b c d e f", 4, 3)][:1] == [int(simhash.fingerprint(b"a b c d e f", 4)[0])]
     got = sorted(((r.doc_id, r.fp & (1 << 64) - 1) for r in simhash.fingerprints(table(spark, corpus)).collect()), key=str)
     assert got == sorted(((i, brute(t)) for i, t, _ in corpus), key=str)
     first = spark.sql("SELECT xxhash64('a b c d') AS h").first().h
-    assert simhash.fingerprint(b"a b c d", 4) == first & (1 << 64) - 1
+    assert int(simhash.fingerprint(b"a b c d", 4)[0]) == first & (1 << 64) - 1
 
 
-@pytest.mark.parametrize("distance,heavy", [(4, 20_000), (4, 2), (3, 2), (7, 20_000)])
+@pytest.mark.parametrize("distance,heavy", [(4, 20_000), (4, 2), (3, 2), (7, 20_000), (7, 2)])
 def test_simhash_groups(spark, distance, heavy):
     rng = random.Random(distance)
     prints = []
@@ -129,12 +161,79 @@ def test_simhash_groups(spark, distance, heavy):
 def test_simhash_plan_covers_every_pattern():
     rng = np.random.default_rng(1)
     for n in (10, 50_000, 10_000_000):
-        p = simhash.plan(n, np.full(64, 0.5), np.corrcoef(rng.normal(size=(64, 300))), 4)
+        p = simhash.plan(n, np.corrcoef(rng.normal(size=(64, 300))), rng.integers(0, 2, (200, 64)), 4)
         assert sum(t + 1 for t in p.thresholds) == 5
         bits = [b for part in p.parts for b in part]
         assert len(bits) == len(set(bits))
 
 
+def test_wide_plan_reaches_its_recall():
+    rng = np.random.default_rng(1)
+    bits = rng.integers(0, 2, (300, 512))
+    p = simhash.differing(0.8)
+    for n in (1000, 1_000_000, 100_000_000):
+        chosen = simhash.wide_plan(n, [np.eye(64)] * 8, bits, 0.8, 0.95)
+        used = [b for part in chosen.parts for b in part]
+        assert len(used) == len(set(used)) and all(len({b // 64 for b in part}) == 1 for part in chosen.parts)
+        miss = math.prod(1 - sum(math.comb(len(g), k) * p**k * (1 - p) ** (len(g) - k) for k in range(t + 1)) for g, t in zip(chosen.parts, chosen.thresholds))
+        assert miss <= 0.05
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def shingles(text, n=5):
+    w = (text or "").lower().split()
+    return {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))}
+
+
+@pytest.fixture(scope="module")
+def near_copies():
+    """300 texts, 240 of them with a copy in which some words are changed, and one text with 150 such copies."""
+    rng, texts = random.Random(21), []
+    for k in range(300):
+        words = [f"v{rng.randrange(4000)}" for _ in range(rng.randrange(60, 400))]
+        texts.append(" ".join(words))
+        if k < 240:
+            for _ in range(1 if k else 150):
+                copy = list(words)
+                for _ in range(rng.randrange(1, 2 + len(words) // 40)):
+                    copy[rng.randrange(len(words))] = f"u{rng.randrange(4000)}"
+                texts.append(" ".join(copy))
+    return [(k, t, "en") for k, t in enumerate(texts)] + [(9000, None, None), (9001, "", "en"), (9002, "one", "en"), (9003, texts[5], "en"), (None, texts[6], "en"), (8, texts[8], "en")]
+
+
+def test_similar_texts_against_jaccard(spark, near_copies):
+    """Of all pairs with a similarity of 0.8 or more 90 % and more are in one group, and no group holds strangers."""
+    df = table(spark, near_copies)
+    got = [(r.doc_id, r.component_id) for r in simhash.group_similar(simhash.wide_fingerprints(df)).collect()]
+    assert sorted((i for i, _ in got), key=str) == sorted((i for i, _, _ in near_copies), key=str)
+    component = dict(got)
+    rows = [(i, shingles(t)) for i, t, _ in near_copies if i is not None]
+    near = found = 0
+    for a in range(len(rows)):
+        for b in range(a):
+            same = component[rows[a][0]] == component[rows[b][0]]
+            j = jaccard(rows[a][1], rows[b][1])
+            near, found = near + (j >= 0.8), found + (j >= 0.8 and same)
+            assert not same or j > 0.3
+    assert near > 500 and found >= 0.9 * near
+    # Not through the large group alone:
+    alone = [(a, b) for a in range(len(rows)) for b in range(a) if min(rows[a][0], rows[b][0]) > 151 and jaccard(rows[a][1], rows[b][1]) >= 0.8]
+    assert len(alone) > 50 and sum(component[rows[a][0]] == component[rows[b][0]] for a, b in alone) >= 0.9 * len(alone)
+    assert component[9000] == component[9001] == 9000 and component[9002] == 9002 and component[9003] == component[5]
+    assert all(c is not None for c in component.values())
+
+
+def test_keep_first_similar(spark, near_copies):
+    df = table(spark, near_copies)
+    kept = simhash.keep_first_similar(df)
+    component = {r.doc_id: r.component_id for r in simhash.group_similar(simhash.wide_fingerprints(df)).collect()}
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted([i for i, _, _ in near_copies if i is not None and component[i] == i])
+    assert simhash.keep_first_similar(df.limit(0)).count() == 0
+
+
 def test_simhash_keep_first(spark, corpus):
     kept = simhash.keep_first(table(spark, corpus))
     assert kept.columns == table(spark, []).columns
@@ -159,6 +258,8 @@ def test_language(spark):
     assert got[903][0] == "xx" and 0 <= got[903][1] <= 1 and None in got
     kept = langid.annotate(table(spark, test), network)
     assert kept.count() == len(test) and kept.columns.count("score") == 1
+    assert langid.predict(table(spark, []), network).count() == 0 and langid.annotate(table(spark, []), network).count() == 0
+    assert langid.predict(table(spark, rows[:1] * 2), network).count() == 2
     assert langid.fit(table(spark, [(1, None, "xx"), (2, "a", None)])) is None
     assert [r.lang_pred for r in langid.predict(table(spark, rows[:2]), None).collect()] == ["und", "und"]
 
@@ -186,6 +287,8 @@ def test_quality(spark):
     assert np.mean([(got[i] >= 0.5) == (i % 2 == 1) for i, _, _ in rows[120:]]) >= 0.9
     assert all(0 <= s <= 1 for s in got.values()) and got[900] == got[901]
     assert quality.fit(table(spark, rows), labels.where("quality = 1")) == 1.0
+    assert quality.score(table(spark, []), model).count() == 0
+    assert quality.score(table(spark, rows[:1] * 2), model).count() == 2
     assert [r.score for r in quality.score(table(spark, rows[:2]), quality.fit(table(spark, rows), labels.limit(0))).collect()] == [0.5, 0.5]
 
 
@@ -237,7 +340,7 @@ def test_lattice_sums_all_segmentations():
 
 def test_lattice_scores(spark, corpus):
     rows = [r for r in corpus if r[0] != 7]
-    got = {r.doc_id: r for r in lattice.score(table(spark, rows), P.path("piece_bpe_32k.model"), rounds=1).collect()}
+    got = {r.doc_id: r for r in lattice.score(table(spark, rows), P.path("piece_bpe_32k.model")).collect()}
     held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0
     docs = {i: [*(t or "").encode().lower().split(), b"\n"] for i, t, _ in rows}
     c = Counter(w for i, ws in docs.items() if not held(i) for w in ws)
@@ -247,14 +350,42 @@ def test_lattice_scores(spark, corpus):
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(i), len(ws), sum(c[w] > 0 for w in ws), n)
         assert math.isclose(r.base_score, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), rel_tol=1e-9)
-        assert math.isfinite(r.score) and r.score < 0
+    # The scores, from the definitions, over all segmentations.
+    pieces, weights = lattice.read_vocabulary(P.path("piece_bpe_32k.model"))
+    p = dict(zip(pieces, np.exp(weights)))
+    q = (c[b"\n"] + 1) / (n + 2)
+
+    def chance(w):
+        at = [1.0] + [0.0] * len(w)
+        for e in range(1, len(w) + 1):
+            at[e] = sum(at[b] * p[w[b:e]] for b in range(e) if w[b:e] in p)
+        return at[-1]
+
+    plain = {w: q if w == b"\n" else (1 - q) * chance(b" " + w) for ws in docs.values() for w in ws}
+    for i, ws in docs.items():
+        assert math.isclose(got[i].vocabulary_score, sum(math.log10(plain[w]) for w in ws), rel_tol=1e-9)
+        assert math.isclose(got[i].score, sum(math.log10((c[w] + v * plain[w]) / (n + v)) for w in ws), rel_tol=1e-9)
+
+
+def test_words_of_the_lattice_sum_to_one_at_most():
+    pieces = [bytes([b]) for b in range(256)] + [b" a", b"ab", b"ba", b"bb"]
+    rng = np.random.default_rng(4)
+    weights = np.log(rng.dirichlet(np.where([p[0] in b" ab" for p in pieces], 20.0, 1e-3)))
+    table_, _ = lattice.index(pieces, weights)
+    words = [b""]
+    total = 0.0
+    for _ in range(9):
+        words = [w + x for w in words for x in (b"a", b"b")]
+        total += np.exp(lattice.word_log_probabilities([b" " + w for w in words], table_)).sum()
+        assert total <= 1 + 1e-9
+    assert total > 0.5
 
 
 def test_lattice_pools_and_empty(spark):
     path = P.path("piece_bpe_32k.model")
     assert lattice.score(table(spark, []), path).count() == 0
     got = lattice.score(table(spark, [(1, "a b", ""), (1, "a b", ""), (2, None, "")]), path, rounds=1).collect()
-    assert {(r.doc_id, r.n_tokens) for r in got} == {(1, 6), (2, 1)}
+    assert {(r.doc_id, r.n_tokens) for r in got} == {(1, 6), (2, 1)} and all(r.score < 0 and r.vocabulary_score < 0 for r in got)
     nothing = lattice.score(table(spark, [(None, "a b", "")]), path).collect()
     assert nothing[0].base_score is None and nothing[0].train_tokens == 0 and nothing[0].score < 0
 
@@ -320,11 +451,12 @@ def test_secret_base_patterns(spark):
     bits = ["password", "PassWd", "toKen", "api_key", "apikey", "secret", "token", " ", "=", ":", '"', "'", "abc", "12345678", "AKIA", "ABCDEFGH1234", "0123456789abcdef", "é", "\n", "AKIAAKIA", "f"]
     rows = [(k, "".join(rng.choice(bits) for _ in range(rng.randrange(60))), "") for k in range(300)] + [(500, None, ""), (501, "", "")]
     found = {r.doc_id: r for r in secrets.digests(secrets.scan(table(spark, rows))).collect()}
+    # The patterns as the contract has them, written anew.
+    names = "|".join("".join(f"[{x}{x.upper()}]" if x.isalpha() else x for x in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+    patterns = [(f"(?:{names})[\"']?[ ]*[:=][ ]*[\"']?([-A-Za-z0-9+/_.=]+)", 8), ("(AKIA[A-Z0-9]+)", 16), ("([0-9a-f]+)", 32)]
     for i, t, _ in rows:
         t = t or ""
-        spans = [(m.start(), 0, m.end()) for m in secrets.ASSIGN.finditer(t) if len(m[2]) >= 8]
-        spans += [(m.start(), 1, m.end()) for m in secrets.ACCESS.finditer(t) if len(m[0]) >= 16]
-        spans += [(m.start(), 2, m.end()) for m in secrets.HEX.finditer(t) if len(m[0]) >= 32]
+        spans = [(m.start(), k, m.end()) for k, (pattern, least) in enumerate(patterns) for m in regex.finditer(pattern, t) if len(m[1]) >= least]
         joined = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
         r = found[i]
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == x for _, k, _ in spans) for x in range(3))
@@ -332,6 +464,41 @@ def test_secret_base_patterns(spark):
         assert set(joined.split(",")) - {""} <= set(r.spans.split(","))
 
 
+def test_planted_secrets_in_a_table(spark):
+    from base64 import b64encode
+
+    key = der(0x30, der(2, b"\0") + b"".join(der(2, bytes([k + 1]) * 60) for k in range(8)))
+    hidden = b64encode(b'{"password": "correcthorse"}').decode()
+    long = "plain words " * 20_000
+    rows = [(1, "k " + b64encode(key).decode(), ""), (2, "t=" + JWT, ""), (3, hidden, ""), (4, long + hidden + " x", ""), (5, None, ""), (2, "t=" + JWT, ""), (None, hidden, ""), (6, "a" * 300_000, "")]
+    got = sorted(((r.doc_id, r.spans) for r in secrets.digests(secrets.scan(table(spark, rows))).collect()), key=str)
+    want = [(1, f"key:2:{2 + len(b64encode(key))}"), (2, f"token:2:{2 + len(JWT)}"), (2, f"token:2:{2 + len(JWT)}"), (3, f"encoded:0:{len(hidden)}"), (4, f"encoded:{len(long)}:{len(long) + len(hidden)}"), (5, ""), (6, "hex:0:300000"), (None, f"encoded:0:{len(hidden)}")]
+    assert got == sorted(want, key=str)
+    assert secrets.scan(table(spark, [])).count() == 0
+
+
+def test_token_headers():
+    from base64 import urlsafe_b64encode
+
+    part = lambda text: urlsafe_b64encode(text.encode()).decode().rstrip("=")
+    body = part('{"sub": 1}')
+    for header in ('{ "alg" : "ES256" }', '\n{"typ":"JWT","alg":"RS256"}', '{"alg":"HS256"}'):
+        token = f"{part(header)}.{body}.c2ln"
+        assert ("token", 4, 4 + len(token)) in secrets.spans("a = " + token + " b")
+    for bad in (f'{part("{")}.{body}.c2ln', f"""{part('{"alg":"none"}')}.{body}.""", f"""{part('{"alg":"none"}')}.{body}.c2ln""", f"""{part('{"alg":"HS256"}')}.{body}.""", f"""{part('{"alg":"HS256"}')}.c2ln.c2ln"""):
+        assert not [x for x in secrets.spans("a = " + bad) if x[0] == "token"]
+
+
+def test_scan_of_a_long_run_is_linear():
+    import time
+
+    rng = random.Random(8)
+    run = "=".join("".join(rng.choice("ghijklmnopqrstuvwxyz") for _ in range(40)) for _ in range(12_000))
+    began = time.process_time()
+    assert secrets.spans(run) == []
+    assert time.process_time() - began < 10
+
+
 def test_redaction(spark):
     rows = [(1, 'a token = "0123456789abcdef0123456789abcdef" b', ""), (2, None, ""), (3, "clean", "")]
     got = {r.doc_id: r.text for r in secrets.redact(table(spark, rows)).collect()}
@@ -361,6 +528,7 @@ def test_bpe_against_library(spark, corpus, tiktoken_encoding):
         ids = library.encode_ordinary(t or "")
         want.append((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert got == sorted(want, key=str)
+    assert bpe.digests(table(spark, []), path, P.PATTERN).count() == 0
     back = bpe.decode(bpe.encode(df, path, P.PATTERN), path, P.PATTERN)
     assert sorted(((r.doc_id, r.text) for r in back.collect()), key=str) == sorted(((i, t or "") for i, t, _ in rows), key=str)
 
@@ -409,11 +577,53 @@ def test_common_subsequence():
         assert decontaminate.common_subsequence(a, b) == d[-1][-1]
 
 
+def brute_leaks(rows, items, s=decontaminate.Settings()):
+    """Every text against every item, without blocks, spaces or hashes: the longest common subsequence over each stretch
+    of one and a half times the item's length, by the table of its definition."""
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row, last = [0] * (len(b) + 1), row
+            for j, y in enumerate(b):
+                row[j + 1] = last[j] + 1 if x == y else max(last[j + 1], row[j])
+        return row[-1]
+
+    def has(words, run):
+        return any(words[k : k + len(run)] == run for k in range(len(words) - len(run) + 1))
+
+    out = set()
+    for i, text, _ in rows:
+        words = (text or "").lower().split()
+        for k, item in items:
+            w = (item or "").lower().split()
+            if not w or k is None:
+                continue
+            if len(w) < s.least_words:
+                if has(words, w):
+                    out.add((i, k))
+                continue
+            stops = [n for n in range(len(w) - 1) if w[n][-1] in ".?!"]
+            answer = w[max(stops[-1] + 1 if stops else 0, len(w) - s.answer_words) :]
+            held, width = set(w), -(-3 * len(w) // 2)
+            for a in range(0, max(1, len(words) - width + 1), max(1, len(w) // 2)):
+                stretch = words[a : a + width + len(w) // 2]
+                if sum(x in held for x in stretch) >= s.paraphrased * len(w):
+                    share = lcs(w, stretch) / len(w)
+                    if share >= s.covered or share >= s.paraphrased and has(stretch, answer):
+                        out.add((i, k))
+    return out
+
+
 def test_leaks(spark):
     rng = random.Random(11)
     items = [(k, words_of(rng, rng.randrange(15, 60), 3000) + ". " + words_of(rng, 6, 3000)) for k in range(25)]
     rows = [(k, words_of(rng, 300, 3000), "") for k in range(120)]
     rows += [(1000 + k, words_of(rng, rng.randrange(200), 3000) + " " + t.upper() + " " + words_of(rng, 50, 3000), "") for k, t in items]
+    rows += [(1000, rows[-25][1], ""), (4000, words_of(rng, 30000, 3000) + " " + items[9][1], "")]  # a repeated row, a very long one
+    long_items = list(items)
+    items.append((93, "veryshort item"))
+    rows += [(3000, "x very short veryshort item y", ""), (3001, "item veryshort", ""), (3002, "veryshort", ""), (3003, "item", "")]
     near = items[3][1].split()
     near[2] = near[9] = "changed"
     rows += [(2000, " ".join(near), ""), (2001, None, ""), (2002, "", ""), (None, items[4][1], ""), (2003, " ".join(items[5][1].split()[:8]), "")]
@@ -421,7 +631,9 @@ def test_leaks(spark):
     docs = table(spark, rows)
     learnt = decontaminate.fit(docs, benchmark)
     got = {(r.doc_id, r.item_id) for r in decontaminate.find(docs, learnt).collect()}
-    assert got == {(1000 + k, k) for k, _ in items} | {(2000, 3), (None, 4)}
+    assert got == {(1000 + k, k) for k, _ in long_items} | {(2000, 3), (None, 4), (4000, 9), (3000, 93)}
+    assert sum(r.doc_id == 1000 for r in decontaminate.find(docs, learnt).collect()) == 2
+    assert got == brute_leaks(rows, items)
     left = {r.doc_id for r in decontaminate.clean(docs, learnt).select("doc_id").collect()}
     assert left == {i for i, _, _ in rows} - {a for a, _ in got}
     assert decontaminate.find(docs, decontaminate.fit(docs, benchmark.limit(0))).count() == 0
