@@ -151,6 +151,7 @@ def fit(labelled: DataFrame, settings: Settings = Settings(), id_col: str = "doc
     About ``docs_per_lang`` texts of each language, chosen by a hash of the id, give ``windows_per_doc``
     windows each, at even distances; the driver receives those windows only.
     """
+    batches.small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     chosen = sampling.per_class(rows.select("doc_id", "lang"), "lang", settings.docs_per_lang)

@@ -11,7 +11,8 @@ the last of a document's windows was repeated.
 
 Between levels only hashes, ids and places are shuffled, pre-aggregated in the task that made them, so that a
 passage in very many documents is one row for each of them and no group of documents meets anywhere.
-Windows of the full length are the same if two hashes of 64 bits are, which are made in different ways.
+Windows of the full length have two hashes of 64 and 32 bits, made in different ways; where the first is one and
+the second isn't, which chance brings about once in 2**64 pairs, no window with the first is removed.
 A text that equals one under a smaller id takes no part: all its windows are there, so it loses every word, or
 none if it is shorter than a window.
 
@@ -88,15 +89,19 @@ class Words:
 def _keys(rows: np.ndarray, hashes: list[np.ndarray], ids: pa.Array) -> pa.RecordBatch:
     """Distinct (doc_id, key), or (doc_id, key, check), of the given rows."""
     found = np.unique(np.rec.fromarrays([rows, *hashes], names=["r", *_HASHES[: len(hashes)]]))
-    return pa.record_batch([ids.take(pa.array(found["r"])), *[pa.array(found[x].view(np.int64)) for x in _HASHES[: len(hashes)]]], names=["doc_id", *_HASHES[: len(hashes)]])
+    return pa.record_batch([ids.take(pa.array(found["r"])), *[pa.array(found[x].view(np.int64 if x == "key" else np.int32)) for x in _HASHES[: len(hashes)]]], names=["doc_id", *_HASHES[: len(hashes)]])
 
 
 _HASHES = ("key", "check")
 
 
-def _repeated(keys: DataFrame, *by: str) -> DataFrame:
-    """(by, first_id) of the keys that occur under two ids or more."""
-    return keys.groupBy(*by).agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").select(*by, "first_id")
+def _repeated(keys: DataFrame, by: str = "key", *same: str) -> DataFrame:
+    """(by, first_id) of the keys that occur under two ids or more, with one value of ``same``."""
+    ends = [f(c).alias(f"{n}_{c}") for c in ("doc_id", *same) for n, f in (("first", F.min), ("last", F.max))]
+    found = keys.groupBy(by).agg(*ends).where("first_doc_id < last_doc_id")
+    for c in same:
+        found = found.where(f"first_{c} = last_{c}")
+    return found.select(by, F.col("first_doc_id").alias("first_id"))
 
 
 def _member(hashes: np.ndarray, rows: np.ndarray, held: pa.Array) -> np.ndarray:
@@ -138,9 +143,9 @@ def _extended_keys(texts: DataFrame, length: int) -> DataFrame:
                 h, inside = words.windows(length)
                 _, _, least = words.anchors(length)
                 take = inside & _member(least, words.row[: len(h)], part.column(4))
-                yield _keys(words.row[: len(h)][take], [h[take], words.checks(length)[take]], part.column(0))
+                yield _keys(words.row[: len(h)][take], [h[take], words.checks(length)[take].astype(np.uint32)], part.column(0))
 
-    return texts.mapInArrow(run, "doc_id long, key long, check long")
+    return texts.mapInArrow(run, "doc_id long, key long, check int")
 
 
 def _with_keys(texts: DataFrame, keys: DataFrame, *sets) -> DataFrame:
@@ -163,9 +168,9 @@ def _shuffled(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _level(texts: DataFrame, length: int) -> DataFrame:
     """(doc_id, key, first_id): the repeated windows of ``length``, of which none lacks a repeated anchor, in each document."""
     anchors = _anchor_keys(texts, length)
-    survivors = anchors.join(_repeated(anchors, "key"), "key").select("doc_id", "key")
+    survivors = anchors.join(_repeated(anchors), "key").select("doc_id", "key")
     keys = _extended_keys(_with_keys(texts, survivors, F.collect_set("key").alias("keys")), length)
-    return keys.join(_repeated(keys, "key", "check"), ["key", "check"]).select("doc_id", "key", "first_id")
+    return keys.select("doc_id", "key").join(_repeated(keys, "key", "check"), "key").select("doc_id", "key", "first_id")
 
 
 def remove(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,7 +186,7 @@ def digests(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: s
 
 def _removed(df: DataFrame, length: int, id_col: str, text_col: str, column: str, show) -> DataFrame:
     texts = _shuffled(df, id_col, text_col)
-    doomed = F.when(F.col("first_id") < F.col("doc_id"), F.col("key"))
+    doomed = F.col("first_id") < F.col("doc_id")
 
     def run(it):
         for batch in it:
@@ -200,11 +205,11 @@ def _removed(df: DataFrame, length: int, id_col: str, text_col: str, column: str
                 for a, b in zip(words.first[:-1], words.first[1:]):
                     stay = np.flatnonzero(~gone[a:b]) + a
                     kept.append(show(b" ".join([raw[s:e] for s, e in zip(words.starts[stay].tolist(), words.ends[stay].tolist())])))
-                held = np.flatnonzero(inside & ~copy[rows] & _member(h, rows, part.column(4)))
+                held = np.flatnonzero(inside & ~copy[rows] & (_member(h, rows, part.column(4)) | _member(h, rows, part.column(5))))
                 at = [pa.ListArray.from_arrays(np.searchsorted(held, words.first).astype(np.int32), x) for x in (pa.array((held - words.first[rows[held]]).astype(np.int32)), pa.array(h[held].view(np.int64)))]
                 yield pa.record_batch([part.column(0), pa.array(np.diff(words.first)), pa.array(np.diff(n_gone)), pa.array(kept, pa.string()), part.column(3), *at], names=["doc_id", "n_words", "n_removed", column, "shared", "at", "keys"])
 
-    with_keys = _with_keys(texts, _level(texts, length), F.collect_set("key").alias("keys"), F.collect_set(doomed).alias("doomed"))
+    with_keys = _with_keys(texts, _level(texts, length), F.collect_set(F.when(~doomed, F.col("key"))).alias("first"), F.collect_set(F.when(doomed, F.col("key"))).alias("doomed"))
     out = cut(with_keys.mapInArrow(run, f"doc_id long, n_words long, n_removed long, {column} string, shared boolean, at array<int>, keys array<long>"))
     reached = _doubled(out.where("size(keys) > 0").select("doc_id", "at", "keys"), length)
     whole = F.when(F.col("shared") & (F.col("n_words") >= length), length * F.pow(F.lit(2.0), F.floor(F.log2(F.col("n_words") / length)))).cast("long")
@@ -214,7 +219,7 @@ def _removed(df: DataFrame, length: int, id_col: str, text_col: str, column: str
 
 
 def _extended(it, length: int):
-    """Of each row's windows those that are alive, if any: where windows of twice the length begin, and their hashes."""
+    """(doc_id, at, keys): of each row's windows those that are alive, if any, extended: where windows of twice the length begin, and their hashes."""
     for batch in it:
         ids, at, keys = [], [], []
         for k in range(batch.num_rows):
@@ -222,8 +227,6 @@ def _extended(it, length: int):
             if batch.num_columns > 3:
                 alive = np.isin(h, batch.column(3)[k].values.to_numpy(zero_copy_only=False))
                 p, h = p[alive], h[alive]
-            if not len(p):
-                continue
             to = np.searchsorted(p, p + length)
             met = to < len(p)
             met[met] = p[to[met]] == p[met] + length
@@ -237,16 +240,19 @@ def _extended(it, length: int):
 def _doubled(rows: DataFrame, length: int) -> DataFrame | None:
     """(doc_id, reached): the last length, doubled again and again, at which a document still has repeated windows; ``rows``:
     (doc_id, at, keys), the repeated windows of ``length``.  The hash of a window follows from those of its halves."""
-    schema, out = "doc_id long, at array<int>, keys array<long>", None
-    while not rows.isEmpty():
-        level = rows.select("doc_id", F.lit(length).cast("long").alias("reached"))
+    out = None
+    while True:
+        # A row for every document that has a repeated window, with the windows of twice the length that may be.
+        longer = cut(rows.mapInArrow(lambda it, n=length: _extended(it, n), "doc_id long, at array<int>, keys array<long>"))
+        if longer.isEmpty():
+            return None if out is None else out.groupBy("doc_id").agg(F.max("reached").alias("reached"))
+        level = longer.select("doc_id", F.lit(length).cast("long").alias("reached"))
         out = level if out is None else out.unionAll(level)
-        longer = cut(rows.mapInArrow(lambda it, n=length: _extended(it, n), schema))
         length *= 2
+        longer = longer.where("size(keys) > 0")
         keys = longer.select("doc_id", F.explode(F.array_distinct("keys")).alias("key"))
-        alive = keys.join(_repeated(keys, "key"), "key").groupBy("doc_id").agg(F.collect_set("key").alias("alive"))
-        rows = cut(longer.join(alive, "doc_id").select("doc_id", "at", "keys", "alive"))
-    return None if out is None else out.groupBy("doc_id").agg(F.max("reached").alias("reached"))
+        alive = keys.join(_repeated(keys), "key").groupBy("doc_id").agg(F.collect_set("key").alias("alive"))
+        rows = longer.join(alive, "doc_id").select("doc_id", "at", "keys", "alive")
 
 
 def longest(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
