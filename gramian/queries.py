@@ -566,7 +566,25 @@ def g20(spark, d):
     return rounded(pls.pls_fit(fx.observations(spark, d), fx.subjects(spark, d), _X, 1), 4)
 
 
-@query("g20_pls_fit_two")
+def _pls_two_sql() -> str:
+    """Two components from the sums of products: the second from what the first has left."""
+    quad = lambda a, b: " + ".join(f"g_{i}_{j}*{a}_{i}*{b}_{j}" for i in _X for j in _X)
+    dot = lambda a, b: " + ".join(f"{a}_{f}*{b}_{f}" for f in _X)
+    every = lambda text: ", ".join(text.replace("#", f) for f in _X)
+    steps = [
+        "gm AS (SELECT " + ", ".join(f"sum(({i} - (SELECT avg({i}) FROM subj))*({j} - (SELECT avg({j}) FROM subj))) AS g_{i}_{j}" for i in _X for j in _X) + " FROM subj)",
+        "c1 AS (SELECT s.*, gm.*, " + every(f"s_#/sqrt({dot('s', 's')}) AS r_#") + " FROM s, gm)",
+        f"c2 AS (SELECT *, {quad('r', 'r')} AS tr, {dot('r', 's')} AS rs FROM c1)",
+        "c3 AS (SELECT *, " + ", ".join(f"s_{f} - rs/tr*({' + '.join(f'g_{f}_{j}*r_{j}' for j in _X)}) AS d_{f}" for f in _X) + " FROM c2)",
+        "c4 AS (SELECT *, " + every(f"d_#/sqrt({dot('d', 'd')}) AS w_#") + " FROM c3)",
+        "c5 AS (SELECT *, " + every(f"w_# - r_#*({quad('r', 'w')})/tr AS v_#") + " FROM c4)",
+        f"c6 AS (SELECT *, ({dot('v', 's')})/({quad('v', 'v')}) AS q FROM c5)",
+    ]
+    head = _PLS[: _PLS.index(", w AS (")]
+    return head + ", " + ", ".join(steps) + " SELECT voxel_id, round(mean, 4) AS mean, " + every("round(r_#, 4) + 0.0 AS rot_0_#, round(v_#, 4) + 0.0 AS rot_1_#, round(r_#*rs/tr + v_#*q, 4) + 0.0 AS coef_#") + " FROM c6"
+
+
+@query("g20_pls_fit_two", _pls_two_sql())
 def g20b(spark, d):
     return rounded(pls.pls_fit(fx.observations(spark, d), fx.subjects(spark, d), _X, 2), 4)
 
@@ -837,7 +855,7 @@ def l4(spark, d):
 _DRAWN = _PERMUTED.rstrip() + ", pv AS (SELECT b.voxel_id, a.strength, avg(CASE WHEN b.strength > a.strength THEN 1.0 ELSE 0.0 END) AS p FROM st a JOIN st b ON a.voxel_id = b.voxel_id AND a.perm_id = 0 AND b.perm_id > 0 GROUP BY b.voxel_id, a.strength), mv AS (SELECT voxel_id, avg(value) AS mean FROM obs GROUP BY voxel_id) "
 
 
-@query("l5_evaluate_latent", _DRAWN + "SELECT voxel_id, CASE WHEN mean < 0 THEN 0 ELSE round(strength, 5) END AS strength, CASE WHEN mean < 0 THEN 1 ELSE round(p, 4) END AS p, CASE WHEN mean < 0 THEN 0 ELSE round(s1/sqrt(s1*s1 + s2*s2), 4) END AS rot_age, CASE WHEN mean < 0 THEN 0 ELSE round(s2/sqrt(s1*s1 + s2*s2), 4) END AS rot_biomarker FROM pv JOIN mv USING (voxel_id) JOIN (SELECT voxel_id, s1, s2 FROM s WHERE perm_id = 0) USING (voxel_id)")
+@query("l5_evaluate_latent", _DRAWN + "SELECT voxel_id, CASE WHEN mean < 0 THEN 0 ELSE round(strength, 5) END AS strength, CASE WHEN mean < 0 THEN 1 ELSE round(p, 4) END AS p, CASE WHEN mean < 0 THEN 0 ELSE round(s1/sqrt(s1*s1 + s2*s2), 4) + 0.0 END AS rot_age, CASE WHEN mean < 0 THEN 0 ELSE round(s2/sqrt(s1*s1 + s2*s2), 4) + 0.0 END AS rot_biomarker FROM pv JOIN mv USING (voxel_id) JOIN (SELECT voxel_id, s1, s2 FROM s WHERE perm_id = 0) USING (voxel_id)")
 def l5(spark, d):
     out = pls.evaluate_latent(fx.observations(spark, d), fx.subjects(spark, d), ["age", "biomarker"], 20, 0.0)
     return out.select("voxel_id", F.round("strength", 5).alias("strength"), F.round("p", 4).alias("p"), *[(F.round(f"rot_{f}", 4) + 0.0).alias(f"rot_{f}") for f in ("age", "biomarker")])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,9 +22,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The folder for checkpoints that all executors share.
 
     A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset and the context has
-    none either (a local session, as in tests) is a temporary folder taken.
+    none either is a temporary folder taken, and only in a local session, as in tests; elsewhere executors wouldn't see it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir names no folder that the executors share")
     if not named:
         named = tempfile.mkdtemp(prefix="spark-checkpoint-")
     if not spark.sparkContext.getCheckpointDir():
