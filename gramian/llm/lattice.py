@@ -5,13 +5,13 @@ probability is summed over all its segmentations into pieces of an existing voca
 pieces over the word, with a forward recursion in log space.  No piece goes over a word's beginning,
 so the text's lattice falls into the lattices of its words.
 
-The vocabulary file's pieces and scores weigh the segmentations, as they are; with ``rounds`` above 0, expected counts of the
-pieces in the distinct training words (forward and backward over every one) weigh them instead.  The words of the lattice
+The vocabulary file's pieces and scores weigh the segmentations.  The words of the lattice
 sum to one: each is a beginning piece and others.  An end, q, is set beside them, so that a word has (1 - q) P_lattice(word) and words
 and end sum to one again; q is (ends + 1) / (N + 2).  Every byte is a piece too, so that every text has a probability.
 
-Two scores of a text follow.  ``vocabulary_score`` is the lattice's alone: nothing of the corpus is in it but q.
-``score`` is the model's: beside the pieces each training word is an arc over the whole word, weighted by its count;
+Two scores of a text follow.  ``vocabulary_score`` is the marginal under the file's scores alone: nothing of the corpus is in it but q.
+``score`` is that of the model, which has learnt from the training texts: the pieces' weights are moved by ``rounds`` of expected counts in the
+distinct training words (forward and backward over every one), and beside the pieces each training word is an arc over the whole word, weighted by its count;
 with N training tokens of V kinds, P(token) = (c + V P_lattice(token)) / (N + V), which sums to one over all tokens.
 
 Counts are aggregated over all documents.  Words so frequent that only a bounded number of them can
@@ -223,7 +223,7 @@ def reestimate(words: DataFrame, pieces: list[bytes], weights: np.ndarray, prior
     return np.log(total / total.sum())
 
 
-def score(df: DataFrame, path: str, rounds: int = 0, modulus: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(df: DataFrame, path: str, rounds: int = 1, modulus: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, vocabulary_score), scores as log10.
 
     Documents whose id's crc32 leaves no remainder by ``modulus`` are held out; the others are learnt from.
@@ -234,20 +234,23 @@ def score(df: DataFrame, path: str, rounds: int = 0, modulus: int = 10, id_col:
     n, v, everything, n_ends = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(ends, F.lit(0))).first()
     q = (n_ends + 1) / (n + 2)
     pieces, weights = read_vocabulary(path)
+    tables = [index(pieces, weights)[0]]
     for _ in range(rounds if n else 0):
         weights = reestimate(counted.where("c > 0"), pieces, weights)
-    shared = df.sparkSession.sparkContext.broadcast(index(pieces, weights)[0])
+    if rounds and n:
+        tables.append(index(pieces, weights)[0])
+    shared = df.sparkSession.sparkContext.broadcast(tables)
 
     def word_scores(it):
         for batch in it:
             words, c = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
-            p = word_log_probabilities([BEGIN + w.encode() for w in words], shared.value)
-            p += np.log1p(-q)
-            p[[w == _END for w in words]] = np.log(q)
+            texts, ends = [BEGIN + w.encode() for w in words], [w == _END for w in words]
+            plain, *other = [np.where(ends, np.log(q), word_log_probabilities(texts, t) + np.log1p(-q)) for t in shared.value]
+            p = other[0] if other else plain
             with np.errstate(divide="ignore"):
                 mixed = np.logaddexp(np.log(c), np.log(v) + p) - np.log(n + v) if n else p
             base = np.log10((c + 0.1) / (n + 0.1 * (v + 1))) if n else np.zeros(len(c))
-            yield pa.record_batch([batch.column(0), pa.array((c > 0).astype(np.int64)), pa.array(base), pa.array(mixed / np.log(10)), pa.array(p / np.log(10)), batch.column(2)], names=["word", "known", "base", "score", "plain", "n"])
+            yield pa.record_batch([batch.column(0), pa.array((c > 0).astype(np.int64)), pa.array(base), pa.array(mixed / np.log(10)), pa.array(plain / np.log(10)), batch.column(2)], names=["word", "known", "base", "score", "plain", "n"])
 
     scored = cut(counted.mapInArrow(word_scores, "word string, known long, base double, score double, plain double, n long"))
     often = F.col("n") * FREQUENT > everything
