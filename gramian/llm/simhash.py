@@ -16,7 +16,7 @@ partition with probability ``recall``.
 Buckets with very many fingerprints aren't joined with themselves.  ``group`` links them by way
 of all values within distance/2 bits of each (two linked fingerprints have one in common), which grows
 with the number of fingerprints only; beyond MOST_NEIGHBOURS values, by dealing the bucket again over its other bits.
-``group_similar`` first links every fingerprint to the first ones of each bucket; then only fingerprints of different components are
+``group_similar`` first links every fingerprint to the most central one of each bucket; then only fingerprints of different components are
 compared, and in a bucket the members of a large component are compared with those outside it only.
 
 Null texts count as empty; a text without words has fingerprint zero and is linked like any other.
@@ -44,10 +44,10 @@ BITS = 64
 PROBE_COST, CANDIDATE_COST = 1.0, 0.02
 #: Candidates are estimated from all pairs of so many sampled fingerprints.
 SAMPLE = 1024
-#: Nodes are ordered by their bits, turned where these numbers have ones: upwards, downwards, and in between.
-_ORDERS = (0, (1 << 62) - 1, 0x2AAAAAAA2AAAAAAA)
 #: A component of so many fingerprints is large.
 LARGE = 64
+#: A table of so many rows is sent to all tasks.
+FEW = 10_000
 #: A fingerprint of a crowded bucket is linked by way of so many values within distance/2 bits at most.
 MOST_NEIGHBOURS = 5000
 _ODD = 0x9E3779B97F4A7C15
@@ -351,7 +351,7 @@ def _at_most(similarity: float, bits: int, deviations: float) -> int:
 
 def similar_links(values: DataFrame, width: int, similarity: float, recall: float) -> DataFrame:
     """(src, dst): nodes to connect; ``values``: (node long, fp array<long>), written down.  First every fingerprint is
-    held against the first ones, in three orders, of each bucket it probes; then those of different components against each other, in a bucket
+    held against the first of each bucket it probes; then those of different components against each other, in a bucket
     with members of a component of LARGE or more those outside the largest such component against all.  Two words of the
     fingerprint go along with the buckets and tell nearly all strangers apart; pairs that pass are held against each other whole."""
     n, correlations = bit_statistics(values, width)
@@ -380,11 +380,18 @@ def similar_links(values: DataFrame, width: int, similarity: float, recall: floa
         return both.where(_bits_apart("a", "b", range(width)) <= whole).select("src", "dst")
 
     flips = any(chosen.thresholds)
-    homes, probes = dealt(values, False), dealt(values, flips)
-    # The first of a bucket in each of some orders of the nodes.
-    firsts = F.array_distinct(F.array(*[F.min(F.col("node").bitwiseXOR(F.lit(c))).bitwiseXOR(F.lit(c)) for c in _ORDERS]))
-    first = homes.groupBy("at").agg(firsts.alias("nodes"), F.count(F.lit(1)).alias("n")).where(F.lit(flips) | (F.col("n") > 1))
-    first = first.select("at", F.explode("nodes").alias("node")).join(values.select("node", F.col("fp")[0].alias("c0"), F.col("fp")[1].alias("c1")), "node")
+    homes = dealt(values, False)
+    # A bucket's first is the one whose buckets are the most crowded in all: of a family, one from its middle, which has the most links.
+    counts = homes.groupBy("at").agg(F.count(F.lit(1)).alias("n"))
+    rows, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    crowded = cut(counts.where(F.col("n") > LARGE + 4 * rows / max(1, kinds)))
+    few = crowded.count() <= FEW
+    crowds = homes.select("node", "at").join(F.broadcast(crowded) if few else crowded, "at").groupBy("node").agg(F.floor(3 * F.log2(F.sum("n").cast("double"))).alias("middle"))
+    order = F.shiftleft(F.coalesce("middle", F.lit(0)), 56) + F.col("node")
+    ordered = cut(values.join(crowds, "node", "left").select("node", "fp", order.alias("order")))
+    homes, probes = dealt(ordered, False, "order"), dealt(ordered, flips)
+    first = homes.groupBy("at").agg(F.max("order").bitwiseAND(F.lit((1 << 56) - 1)).alias("node"), F.count(F.lit(1)).alias("n")).where(F.lit(flips) | (F.col("n") > 1))
+    first = first.select("at", "node").join(values.select("node", F.col("fp")[0].alias("c0"), F.col("fp")[1].alias("c1")), "node")
     star = probes.alias("p").join(first.alias("h"), (F.col("p.at") == F.col("h.at")) & (F.col("p.node") != F.col("h.node")) & near("p", "h"))
     stars = cut(verified(star.select(F.least("p.node", "h.node").alias("src"), F.greatest("p.node", "h.node").alias("dst"))))
     found = components(stars)
