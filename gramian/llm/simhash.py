@@ -331,7 +331,7 @@ def group(prints: DataFrame, distance: int = 4, heavy: int = 20_000) -> DataFram
     """(doc_id, fp, component_id) for rows (doc_id, fp): the smallest doc_id reachable over links, the row's own included."""
     prints = cut(prints)
     values = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    linked = components(links(values.select("fp"), distance, heavy))
+    linked = components(cut(links(values.select("fp"), distance, heavy).distinct()))
     joined = values.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = joined.join(least, "component").select("fp", "component_id")
@@ -352,14 +352,15 @@ def _at_most(similarity: float, bits: int, deviations: float) -> int:
 def similar_links(values: DataFrame, width: int, similarity: float, recall: float) -> DataFrame:
     """(src, dst): nodes to connect; ``values``: (node long, fp array<long>), written down.  First every fingerprint is
     held against the first of each bucket it probes; then those of different components against each other, in a bucket
-    with members of a component of LARGE or more those outside the largest such component against all.  Two words of the
-    fingerprint go along with the buckets and tell nearly all strangers apart; pairs that pass are held against each other whole."""
+    with members of a component of LARGE or more those outside the largest such component against all.  At first two words of the
+    fingerprint go along with the buckets and tell nearly all strangers apart, and pairs that pass are held against each other whole; then all
+    words go along, so that of two families that are alike no pair but the linked ones is made."""
     n, correlations = bit_statistics(values, width)
     chosen = wide_plan(n, correlations, sampled_bits(values, width), similarity, recall)
     least, whole = _at_most(similarity, 2 * BITS, 2.6), _at_most(similarity, width * BITS, 1.3)
 
-    def dealt(rows: DataFrame, flips: bool, *more: str) -> DataFrame:
-        """(node, c0, c1, at) and ``more``: a row for each bucket that a fingerprint stands in, or probes."""
+    def dealt(rows: DataFrame, flips: bool, *more: str, words: int = 2) -> DataFrame:
+        """(node, c0, c1, ..., at) and ``more``: a row for each bucket that a fingerprint stands in, or probes."""
         keys, around = [], []
         for k, (part, most) in enumerate(zip(chosen.parts, chosen.thresholds)):
             key = F.col("fp")[part[0] // BITS].bitwiseAND(F.lit(_mask(part)))
@@ -369,10 +370,10 @@ def similar_links(values: DataFrame, width: int, similarity: float, recall: floa
             else:
                 keys.append(own(F.lit(0).cast("long")))
         every = F.concat(F.array(*keys).cast("array<bigint>"), *around) if around else F.array(*keys)
-        return rows.select("node", F.col("fp")[0].alias("c0"), F.col("fp")[1].alias("c1"), *more, F.explode(every).alias("at"))
+        return rows.select("node", *[F.col("fp")[w].alias(f"c{w}") for w in range(words)], *more, F.explode(every).alias("at"))
 
-    def near(a: str, b: str) -> Column:
-        return sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in ("c0", "c1")), F.lit(0)) <= least
+    def near(a: str, b: str, words: int, most: int) -> Column:
+        return sum((F.bit_count(F.col(f"{a}.c{w}").bitwiseXOR(F.col(f"{b}.c{w}"))) for w in range(words)), F.lit(0)) <= most
 
     def verified(pairs: DataFrame) -> DataFrame:
         ends = values.select(F.col("node").alias("src"), F.col("fp").alias("a")), values.select(F.col("node").alias("dst"), F.col("fp").alias("b"))
@@ -392,19 +393,19 @@ def similar_links(values: DataFrame, width: int, similarity: float, recall: floa
     homes, probes = dealt(ordered, False, "order"), dealt(ordered, flips)
     first = homes.groupBy("at").agg(F.max("order").bitwiseAND(F.lit((1 << 56) - 1)).alias("node"), F.count(F.lit(1)).alias("n")).where(F.lit(flips) | (F.col("n") > 1))
     first = first.select("at", "node").join(values.select("node", F.col("fp")[0].alias("c0"), F.col("fp")[1].alias("c1")), "node")
-    star = probes.alias("p").join(first.alias("h"), (F.col("p.at") == F.col("h.at")) & (F.col("p.node") != F.col("h.node")) & near("p", "h"))
+    star = probes.alias("p").join(first.alias("h"), (F.col("p.at") == F.col("h.at")) & (F.col("p.node") != F.col("h.node")) & near("p", "h", 2, least))
     stars = cut(verified(star.select(F.least("p.node", "h.node").alias("src"), F.greatest("p.node", "h.node").alias("dst"))))
     found = components(stars)
     size = found.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     large = F.when(F.col("size") >= LARGE, F.struct("size", "component"))
     named = cut(values.join(found.join(size, "component").select("node", "component", large.alias("large")), "node", "left").select("node", "fp", F.coalesce("component", "node").alias("component"), "large"))
-    homes, probes = dealt(named, False, "component", "large"), dealt(named, flips, "component", "large")
-    chief = homes.where("large is not null").groupBy("at").agg(F.max("large")["component"].alias("chief"))
+    homes, probes = dealt(named, False, "component", words=width), dealt(named, flips, "component", words=width)
+    chief = dealt(named.where("large is not null"), False, "large", words=0).groupBy("at").agg(F.max("large")["component"].alias("chief"))
     outside = probes.join(chief, "at", "left").where("chief is null or chief <> component").alias("p")
     once = (F.col("p.node") < F.col("h.node")) | F.col("p.chief").eqNullSafe(F.col("h.component"))
-    apart = (F.col("p.at") == F.col("h.at")) & (F.col("p.component") != F.col("h.component")) & once & near("p", "h")
+    apart = (F.col("p.at") == F.col("h.at")) & (F.col("p.component") != F.col("h.component")) & once & near("p", "h", width, whole)
     met = outside.join(homes.alias("h"), apart).select(F.least("p.node", "h.node").alias("src"), F.greatest("p.node", "h.node").alias("dst"))
-    return stars.unionAll(verified(met))
+    return stars.unionAll(met)
 
 
 def group_similar(prints: DataFrame, width: int = 8, similarity: float = 0.8, recall: float = 0.97) -> DataFrame:
@@ -412,7 +413,7 @@ def group_similar(prints: DataFrame, width: int = 8, similarity: float = 0.8, re
     texts whose similarity is estimated as ``similarity`` or more, the row's own included."""
     prints = cut(prints)
     values = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")).withColumn("node", F.monotonically_increasing_id()))
-    linked = components(similar_links(values.select("node", "fp"), width, similarity, recall))
+    linked = components(cut(similar_links(values.select("node", "fp"), width, similarity, recall).distinct()))
     joined = values.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = joined.join(least, "component").select("fp", "component_id")
