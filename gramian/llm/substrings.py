@@ -23,6 +23,7 @@ an id are judged against other ids only, each by its own text.  Other columns ar
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -206,11 +207,13 @@ def _removed(df: DataFrame, length: int, id_col: str, text_col: str, column: str
                     stay = np.flatnonzero(~gone[a:b]) + a
                     kept.append(show(b" ".join([raw[s:e] for s, e in zip(words.starts[stay].tolist(), words.ends[stay].tolist())])))
                 held = np.flatnonzero(inside & ~copy[rows] & (_member(h, rows, part.column(4)) | _member(h, rows, part.column(5))))
-                at = [pa.ListArray.from_arrays(np.searchsorted(held, words.first).astype(np.int32), x) for x in (pa.array((held - words.first[rows[held]]).astype(np.int32)), pa.array(h[held].view(np.int64)))]
+                bounds = np.searchsorted(held, words.first).astype(np.int32)
+                places = (held - words.first[rows[held]]).astype(np.int32)
+                at = [pa.array([_packed(places[a:b]) for a, b in zip(bounds[:-1], bounds[1:])], pa.binary()), pa.ListArray.from_arrays(bounds, pa.array(h[held].view(np.int64)))]
                 yield pa.record_batch([part.column(0), pa.array(np.diff(words.first)), pa.array(np.diff(n_gone)), pa.array(kept, pa.string()), part.column(3), *at], names=["doc_id", "n_words", "n_removed", column, "shared", "at", "keys"])
 
     with_keys = _with_keys(texts, _level(texts, length), F.collect_set(F.when(~doomed, F.col("key"))).alias("first"), F.collect_set(F.when(doomed, F.col("key"))).alias("doomed"))
-    out = cut(with_keys.mapInArrow(run, f"doc_id long, n_words long, n_removed long, {column} string, shared boolean, at array<int>, keys array<long>"))
+    out = cut(with_keys.mapInArrow(run, f"doc_id long, n_words long, n_removed long, {column} string, shared boolean, at binary, keys array<long>"))
     reached = _doubled(out.where("size(keys) > 0").select("doc_id", "at", "keys"), length)
     whole = F.when(F.col("shared") & (F.col("n_words") >= length), length * F.pow(F.lit(2.0), F.floor(F.log2(F.col("n_words") / length)))).cast("long")
     found = out if reached is None else out.join(reached, "doc_id", "left")
@@ -218,12 +221,18 @@ def _removed(df: DataFrame, length: int, id_col: str, text_col: str, column: str
     return found.select("doc_id", "n_words", "n_removed", column, F.greatest(seen, F.coalesce(whole, F.lit(0).cast("long"))).alias("longest"))
 
 
+def _packed(places: np.ndarray) -> bytes:
+    """Places in order, most of which follow one another, in few bytes."""
+    return zlib.compress(np.diff(places, prepend=np.int32(0)).astype(np.int32).tobytes(), 1)
+
+
 def _extended(it, length: int):
     """(doc_id, at, keys): of each row's windows those that are alive, if any, extended: where windows of twice the length begin, and their hashes."""
     for batch in it:
         ids, at, keys = [], [], []
         for k in range(batch.num_rows):
-            p, h = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in (1, 2))
+            p = np.cumsum(np.frombuffer(zlib.decompress(batch.column(1)[k].as_py()), np.int32), dtype=np.int64)
+            h = batch.column(2)[k].values.to_numpy(zero_copy_only=False)
             if batch.num_columns > 3:
                 alive = np.isin(h, batch.column(3)[k].values.to_numpy(zero_copy_only=False))
                 p, h = p[alive], h[alive]
@@ -232,9 +241,9 @@ def _extended(it, length: int):
             met[met] = p[to[met]] == p[met] + length
             both = batches.mix(h[to[met]].view(np.uint64) + _OTHER) ^ h[met].view(np.uint64)
             ids.append(k)
-            at.append(p[met])
+            at.append(_packed(p[met].astype(np.int32)))
             keys.append(batches.mix(both).view(np.int64))
-        yield pa.record_batch([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(at, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "at", "keys"])
+        yield pa.record_batch([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(at, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "at", "keys"])
 
 
 def _doubled(rows: DataFrame, length: int) -> DataFrame | None:
@@ -243,7 +252,7 @@ def _doubled(rows: DataFrame, length: int) -> DataFrame | None:
     out = None
     while True:
         # A row for every document that has a repeated window, with the windows of twice the length that may be.
-        longer = cut(rows.mapInArrow(lambda it, n=length: _extended(it, n), "doc_id long, at array<int>, keys array<long>"))
+        longer = cut(rows.mapInArrow(lambda it, n=length: _extended(it, n), "doc_id long, at binary, keys array<long>"))
         if longer.isEmpty():
             return None if out is None else out.groupBy("doc_id").agg(F.max("reached").alias("reached"))
         level = longer.select("doc_id", F.lit(length).cast("long").alias("reached"))
