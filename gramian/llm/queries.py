@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramian.llm import batches, bpe, chat, decontaminate, hamming, langid, lattice, quality, secrets, simhash, substrings
+from gramian.llm import batches, bpe, centroids, chat, decontaminate, hamming, langid, lattice, quality, resampling, secrets, simhash, substrings, suffixes
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,7 +61,43 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_lattice_lm_scoring, op2_hamming_top_k, op3_chat_tool_calls, op4_quality_attention_mil, op5_language_id, op6_simhash_near_dedup, op7_secret_scans, op8_substring_dedup, op9_benchmark_decontamination, op10_byte_bpe)}
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(_read(spark, sf_dir, "documents"), length=400)
+
+
+_ALL = (op1_lattice_lm_scoring, op2_hamming_top_k, op3_chat_tool_calls, op4_quality_attention_mil, op5_language_id, op6_simhash_near_dedup, op7_secret_scans, op8_substring_dedup, op9_benchmark_decontamination, op10_byte_bpe, op11_importance_resampling, op12_centroid_clustering, op13_suffix_dedup)
+QUERIES = {f.__name__: f for f in _ALL}
+
+
+def _clusters_sql(rounds: int = 3) -> str:
+    """Each round assigns by (distance, number) and averages by component."""
+    parts = ["""WITH kept AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS cluster, v AS c FROM (SELECT v, sha256('1:' || vec_id) AS h FROM kept ORDER BY h LIMIT 16))"""]
+    for k in range(rounds + 1):
+        parts.append(f"""a{k} AS MATERIALIZED (
+            SELECT r, min((d, cluster)) AS best FROM (
+                SELECT r, cluster, CAST(list_sum(list_transform(range(1, 65), lambda j: (v[j] - c[j]) * (v[j] - c[j]))) AS BIGINT) AS d FROM kept, c{k}) GROUP BY r)""")
+        if k < rounds:
+            parts.append(f"""m{k} AS MATERIALIZED (
+            SELECT cluster, list(f ORDER BY j) AS c FROM (
+                SELECT best[2] AS cluster, j, CAST(floor(CAST(sum(v[j]) AS DOUBLE) / count(*)) AS BIGINT) AS f
+                FROM kept JOIN a{k} USING (r), range(1, 65) g(j) GROUP BY 1, 2) GROUP BY cluster),
+        c{k + 1} AS MATERIALIZED (SELECT cluster, coalesce(m{k}.c, c{k}.c) AS c FROM c{k} LEFT JOIN m{k} USING (cluster))""")
+    return ",\n        ".join(parts) + f"""
+        SELECT vec_id, CAST(best[2] AS INTEGER) AS cluster, best[1] AS distance, CAST(sum(best[1]) OVER (PARTITION BY best[2]) AS BIGINT) AS cluster_inertia,
+               CAST(sum(best[1]) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+        FROM kept JOIN a{rounds} USING (r) JOIN c{rounds} ON cluster = best[2]"""
+
 
 ORACLE_SQL: dict[str, str] = {
     "op2_hamming_top_k": """
@@ -116,4 +152,5 @@ ORACLE_SQL: dict[str, str] = {
             WHERE t.role = 'assistant' AND (k = 0 OR length(t.text) % 5 = 0) AND (k = 1 OR c.turn IS NULL))
         SELECT * FROM lines
     """,
+    "op12_centroid_clustering": _clusters_sql(),
 }
