@@ -11,9 +11,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def beta_share(x: np.ndarray, a: float, b: float, steps: int = 300) -> np.ndarray:
-    """The regularised incomplete beta function by its continued fraction."""
-    x = np.clip(np.asarray(x, float), 0, 1)
+_log_gamma = np.vectorize(math.lgamma, otypes=[float])
+
+
+def beta_share(x: np.ndarray, a, b, steps: int = 300) -> np.ndarray:
+    """The regularised incomplete beta function by its continued fraction; ``a`` and ``b`` are numbers or arrays."""
+    x, a, b = np.clip(np.asarray(x, float), 0, 1), np.asarray(a, float), np.asarray(b, float)
     swap = x > (a + 1) / (a + b + 2)
     p, q, y = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x, x)
     tiny = 1e-300
@@ -27,15 +30,15 @@ def beta_share(x: np.ndarray, a: float, b: float, steps: int = 300) -> np.ndarra
             d = 1 / np.where(np.abs(d) < tiny, tiny, d)
             c = 1 + step / np.where(np.abs(c) < tiny, tiny, c)
             h = h * d * c
-    log_front = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
+    log_front = _log_gamma(a + b) - _log_gamma(a) - _log_gamma(b)
     with np.errstate(divide="ignore"):
         front = np.exp(log_front + p * np.log(np.maximum(y, tiny)) + q * np.log1p(-np.minimum(y, 1 - 1e-16))) / p
     share = np.where(y <= 0, 0.0, front * h)
     return np.where(swap, 1 - share, share)
 
 
-def f_cdf(x, df1: float, df2: float) -> np.ndarray:
-    x = np.maximum(np.asarray(x, float), 0)
+def f_cdf(x, df1, df2) -> np.ndarray:
+    x, df1, df2 = np.maximum(np.asarray(x, float), 0), np.asarray(df1, float), np.asarray(df2, float)
     return beta_share(df1 * x / (df1 * x + df2), df1 / 2, df2 / 2)
 
 
@@ -57,14 +60,28 @@ def normal_quantile(p: float) -> float:
     return NormalDist().inv_cdf(p)
 
 
-def f_cdf_column(col: Column, df1: float, df2: float) -> Column:
-    """The F law's share below ``col``; null stays null."""
+def f_cdf_column(col: Column, df1: Column | float, df2: Column | float) -> Column:
+    """The F law's share below ``col``; null where ``col`` is, or where a number of degrees of freedom isn't above 0."""
+
+    @F.pandas_udf("double")
+    def share(x: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+        fine = x.notna() & (a > 0) & (b > 0)
+        held = f_cdf(x.where(fine, 0.0), a.where(fine, 1.0), b.where(fine, 1.0))
+        return pd.Series(held, index=x.index).where(fine)
+
+    column = lambda v: v.cast("double") if isinstance(v, Column) else F.lit(float(v))
+    return share(col, column(df1), column(df2))
+
+
+def t_quantile_column(p: float, df: Column) -> Column:
+    """The t law's quantile at ``p`` for each number of degrees of freedom; null where that isn't above 0."""
 
     @F.pandas_udf("double")
-    def share(x: pd.Series) -> pd.Series:
-        return pd.Series(f_cdf(x.to_numpy(float), df1, df2), index=x.index).where(x.notna())
+    def quantile(n: pd.Series) -> pd.Series:
+        known = {v: t_quantile(p, float(v)) for v in n.dropna().unique() if v > 0}
+        return n.map(known).astype("float64")
 
-    return share(col)
+    return quantile(df.cast("double"))
 
 
 def normal_quantile_column(col: Column) -> Column:

@@ -12,6 +12,7 @@ from dataclasses import dataclass, replace
 from itertools import combinations_with_replacement
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +60,77 @@ class Design:
         return g
 
 
+    def complete(self, df: DataFrame, weight: str | None = None) -> DataFrame:
+        """The rows in which no term, and not the weight, is null."""
+        cols = [t.column for t in self.terms] + ([F.expr(weight)] if weight else [])
+        return df.where(F.coalesce(*[F.when(c.isNull(), F.lit(False)) for c in cols], F.lit(True))) if cols else df
+
+
+@dataclass(frozen=True)
+class Basis:
+    """Columns Z = X T of a design, orthonormal over the rows that they come from: T has a row for each term and ``rank`` columns.
+    gram: what Z'WZ is, nearly the unit matrix.  n, sign: how many rows there are, and the exclusive or of the hashes of their ids."""
+
+    t: np.ndarray
+    gram: np.ndarray
+    n: int
+    sign: int
+
+    @property
+    def rank(self) -> int:
+        return self.t.shape[1]
+
+    def columns(self, design: Design) -> list[Column]:
+        cols = [x.column for x in design.terms]
+        return [sum((float(self.t[i, k]) * c for i, c in enumerate(cols) if self.t[i, k]), F.lit(0.0)) for k in range(self.rank)]
+
+
+def factored(df: DataFrame, design: Design, weight: str | None = None) -> Basis:
+    """The basis of the complete rows of ``df``, by a triangular factor of their (weighted) columns.
+
+    Each task factors the rows it has, and the factors, as many numbers as there are pairs of terms, are factored again.  No product X'X is
+    formed, so it holds for powers of features far from zero.  The first columns of Z span the first terms.  Where columns depend on others, T gives the
+    solution of smallest norm.
+    """
+    k, rows = len(design), design.complete(df, weight)
+    root = F.sqrt(F.expr(weight).cast("double")) if weight else F.lit(1.0)
+
+    def triangle(it):
+        r, n, sign = np.zeros((0, k)), 0, 0
+        for batch in it:
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            w = cols[1].astype(float)
+            r = np.linalg.qr(np.vstack([r, np.column_stack([c * w for c in cols[2:]])]) if k else r, mode="r")
+            n, sign = n + batch.num_rows, sign ^ int(np.bitwise_xor.reduce(cols[0].view(np.uint64)))
+        signed = sign - (1 << 64) if sign >> 63 else sign
+        yield pa.record_batch([pa.array([n]), pa.array([signed]), pa.array([r.ravel().tolist()], pa.list_(pa.float64()))], names=["n", "sign", "r"])
+
+    ids = F.xxhash64("subject_id") if "subject_id" in df.columns else F.lit(0).cast("long")
+    got = rows.select(ids.alias("h"), root.alias("w"), *[t.column.alias(f"t{j}") for j, t in enumerate(design.terms)]).mapInArrow(triangle, "n long, sign long, r array<double>").collect()
+    r = np.vstack([np.zeros((0, k)), *[np.array(x.r, float).reshape(-1, k) for x in got if k and len(x.r)]])
+    r = np.linalg.qr(r, mode="r") if len(r) else np.zeros((k, k))
+    sign = 0
+    for x in got:
+        sign ^= x.sign
+    norms = np.sqrt((r**2).sum(axis=0))
+    scale = np.where(norms > 0, norms, 1.0)
+    s = np.linalg.svd(r / scale, compute_uv=False) if k else np.zeros(0)
+    n = sum(x.n for x in got)
+    if k and len(r) == k and (norms > 0).all() and s[-1] > max(n, k) * np.finfo(float).eps * s[0]:
+        t = np.linalg.inv(r / scale) / scale[:, None]
+        gram = np.eye(k)
+        if s[0] > 1e5 * s[-1]:
+            # T's rounding shows in Z: take what Z'WZ is instead of what it should be.
+            z = Basis(t, gram, n, sign).columns(design)
+            w = F.expr(weight) if weight else F.lit(1.0)
+            row = rows.agg(*[F.sum(w * z[i] * z[j]) for i in range(k) for j in range(k)]).first()
+            gram = np.array(row, float).reshape(k, k)
+        return Basis(t, gram, n, sign)
+    u, s, vt = np.linalg.svd(r) if k else (np.zeros((0, 0)), s, np.zeros((0, 0)))
+    held = s > max(n, k) * np.finfo(float).eps * s.max(initial=0.0)
+    return Basis((vt[: len(s)][held].T / s[held]) if k else np.zeros((0, 0)), np.eye(int(held.sum())), n, sign)
+
+
 def terms(features: Sequence[str], role: str = PREDICTOR) -> Design:
     return Design(tuple(Term(f, f, role) for f in features))
 

@@ -1,39 +1,99 @@
 """Least-squares fits of one small model to every variable, and what follows from their parameters.
 
-With one design for all variables each coefficient is a weighted sum of the observations: the weights, one row
-of (X'X)^+ X' for each coefficient, are columns of the subjects table, so a fit is one join and one
-partial aggregation however many variables there are.  With a design for each group the moments are
-aggregated and solved in columns.
+With one design for all variables a fit needs the products of the observations with the columns of an orthonormal basis of the design, which are
+columns of the subjects table; so it is one join and one partial aggregation however many variables there are.  Variables that lack subjects are solved
+by the signature of those they have.  With a design for each group the moments are aggregated and solved in columns.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramian.operators.design import CORRECTOR, PREDICTOR, Design, Term, poly_terms, with_intercept
+from gramian.operators.design import CORRECTOR, PREDICTOR, Basis, Design, Term, factored, poly_terms, with_intercept
 from gramian.operators.windows import sorted_values
+from gramian.runtime import cut
 
 
-def _dot(weights, cols) -> Column:
-    return sum((float(w) * c for w, c in zip(weights, cols)), F.lit(0.0))
+def observed(obs: DataFrame, subjects: DataFrame, design: Design, basis: Basis, weight: str | None = None, value: str = "value") -> DataFrame:
+    """``obs`` with a value, beside the basis columns (z0, z1, ...), weight (w) and hashed id (h) of the subject, as one struct __s."""
+    w = F.expr(weight).cast("double") if weight else F.lit(1.0)
+    own = F.struct(*[c.alias(f"z{k}") for k, c in enumerate(basis.columns(design))], w.alias("w"), F.xxhash64("subject_id").alias("h"))
+    return obs.where(F.col(value).isNotNull()).join(design.complete(subjects, weight).select("subject_id", own.alias("__s")), "subject_id")
 
 
-def coefficient_weights(subjects: DataFrame, design: Design, weight: str | None = None) -> DataFrame:
-    """(subject_id, w0, w1, ...): what each subject's observation counts in each coefficient."""
-    inverse = np.linalg.pinv(design.gram(subjects, weight))
-    cols = [t.column for t in design.terms]
-    w = F.expr(weight) if weight else F.lit(1.0)
-    return subjects.select("subject_id", *[(w * _dot(inverse[k], cols)).alias(f"w{k}") for k in range(len(design))])
+#: The subjects of a variable, whatever their order: how many, and the exclusive or of their ids' hashes.
+SIGNATURE = ("__n", "__sign")
+
+
+def signature(hashed: Column) -> list[Column]:
+    return [F.count(F.lit(1)).alias("__n"), F.bit_xor(hashed).alias("__sign")]
+
+
+def all_subjects(basis: Basis) -> Column:
+    """Whether a row's signature is that of the whole subjects table."""
+    return (F.col("__n") == basis.n) & (F.col("__sign") == F.lit(basis.sign))
+
+
+def _solution(t: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """The matrix that gives coefficients of the design from Z'Wy, for subjects over which Z'WZ is ``gram``; of smallest norm."""
+    d, v = np.linalg.eigh(gram) if len(gram) else (np.zeros(0), gram)
+    held = d > 1e-12 * d.max(initial=0.0)
+    if held.all():
+        return t @ (v / d) @ v.T
+    root = np.sqrt(d[held])
+    return np.linalg.pinv((root[:, None] * v[:, held].T) @ np.linalg.pinv(t), rcond=1e-12) @ (v[:, held] / root).T
+
+
+#: So many signatures at most are sent to all tasks; more are joined.
+FEW_SIGNATURES = 10_000
+
+
+def by_signature(rows: DataFrame, odd: DataFrame, basis: Basis, keys: Sequence[str]) -> DataFrame:
+    """(signature, solution, inverse) for the signatures of the variables ``odd`` (keys, signature) that lack subjects: the matrices that give
+    coefficients and their variance factors, row by row.  A Gram matrix is summed over the observations of one variable of each signature."""
+    r = basis.rank
+    first = odd.groupBy(*SIGNATURE).agg(F.min(F.struct(*keys)).alias("first"))
+    first = first.select(*SIGNATURE, *[F.col("first")[k].alias(f"__k{i}") for i, k in enumerate(keys)])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
+    z = lambda k: F.col("__s")[f"z{k}"]
+    grams = rows.join(first, same).groupBy(*SIGNATURE).agg(F.array(*[F.sum(F.col("__s")["w"] * z(i) * z(j)) for i in range(r) for j in range(r)]).alias("gram"))
+
+    def solve(it):
+        for batch in it:
+            found = [(_solution(basis.t, np.array(g, float).reshape(r, r)), np.array(g, float).reshape(r, r)) for g in batch.column(2).to_pylist()]
+            lists = [pa.array([m.ravel().tolist() for m in ms], pa.list_(pa.float64())) for ms in ([s for s, _ in found], [s @ g @ s.T for s, g in found])]
+            yield pa.record_batch([batch.column(0), batch.column(1), *lists], names=[*SIGNATURE, "__solution", "__inverse"])
+
+    out = cut(grams.mapInArrow(solve, "__n long, __sign long, __solution array<double>, __inverse array<double>"))
+    return F.broadcast(out) if out.count() <= FEW_SIGNATURES else out
 
 
 def glm_fit(obs: DataFrame, subjects: DataFrame, design: Design, weight: str | None = None, value: str = "value", keys: Sequence[str] = ("voxel_id",)) -> DataFrame:
-    """(keys, one coefficient for each term): least squares, of smallest norm if the design is rank-deficient."""
-    joined = obs.join(coefficient_weights(subjects, design, weight), "subject_id")
-    return joined.groupBy(*keys).agg(*[F.sum(F.col(f"w{k}") * F.col(value)).alias(n) for k, n in enumerate(design.names)])
+    """(keys, one coefficient for each term): least squares over the subjects that each variable has, of smallest norm if the design is rank-deficient.
+
+    A variable's moments Z'Wy over the orthonormal basis of the design and the signature of its subjects come from one aggregation.  Variables
+    with all subjects share one solution; for others, those with the same subjects do.  Null values, and subjects with a null
+    term, are as if they weren't there; a repeated observation counts again.
+    """
+    basis, keys = factored(subjects, design, weight), list(keys)
+    rows = observed(obs, subjects, design, basis, weight, value)
+    z = [F.sum(F.col("__s")["w"] * F.col("__s")[f"z{k}"] * F.col(value)).alias(f"__b{k}") for k in range(basis.rank)]
+    sums = cut(rows.groupBy(*keys).agg(*z, *signature(F.col("__s")["h"])))
+    b, solution = [F.col(f"__b{k}") for k in range(basis.rank)], _solution(basis.t, basis.gram)
+    dot = lambda row: sum((w * c for w, c in zip(row, b)), F.lit(0.0))
+    whole = sums.where(all_subjects(basis)).select(*keys, *[dot(map(float, solution[i])).alias(n) for i, n in enumerate(design.names)])
+    odd = sums.where(~all_subjects(basis))
+    if odd.isEmpty():
+        return whole
+    at = lambda i: [F.col("__solution")[i * basis.rank + k] for k in range(basis.rank)]
+    own = odd.join(by_signature(rows, odd, basis, keys), list(SIGNATURE))
+    return whole.unionByName(own.select(*keys, *[dot(at(i)).alias(n) for i, n in enumerate(design.names)]))
 
 
 def polyglm_fit(obs: DataFrame, subjects: DataFrame, base: Design, degrees: dict[str, int]) -> tuple[DataFrame, Design]:
@@ -68,9 +128,36 @@ def solve_spd(moments: DataFrame, keys: Sequence[str], names: Sequence[str], flo
     return df.select(*keys, *[F.col(f"x_{i}").alias(n) for i, n in enumerate(names)])
 
 
+#: So many rows at most show how a design's columns depend on each other.
+SHOWN = 4096
+
+
+def conditioned(df: DataFrame, design: Design) -> np.ndarray:
+    """A matrix T without null columns that makes the columns X T nearly orthogonal: triangular, from some rows of ``df``.  Which rows they are matters for
+    rounding only; a fit on X T is the fit on X whatever T is."""
+    k = len(design)
+    rows = df.select(*[t.column.alias(f"t{j}") for j, t in enumerate(design.terms)]).dropna().limit(SHOWN).toPandas().to_numpy(float)
+    x = np.vstack([rows, np.zeros((k, k))])
+    scale = np.where(np.abs(x).max(axis=0) > 0, np.abs(x).max(axis=0), 1.0)
+    r = np.linalg.qr(x / scale, mode="r")
+    for j in range(k):
+        if abs(r[j, j]) <= 1e-10 * max(1.0, np.sqrt((r[:, j] ** 2).sum())):
+            r[:j, j], r[j, j] = 0.0, 1.0
+    return np.linalg.inv(r) / scale[:, None]
+
+
 def glm_fit_grouped(df: DataFrame, keys: Sequence[str], y: str, design: Design) -> DataFrame:
-    """(keys, coefficients): a design of its own for each group."""
-    return solve_spd(grouped_moments(df, keys, y, design), keys, design.names)
+    """(keys, coefficients): a design of its own for each group.  Moments are those of nearly orthogonal combinations of the terms, so
+    that powers far from zero don't drown each other; a group that doesn't determine the terms has nulls.  Rows with a null term or outcome take no part."""
+    t = conditioned(df, design)
+    k = len(design)
+    cols = [x.column for x in design.terms]
+    own = [sum((float(t[i, j]) * cols[i] for i in range(k) if t[i, j]), F.lit(0.0)).alias(f"__z{j}") for j in range(k)]
+    rows = design.complete(df).where(F.col(y).isNotNull()).select(*keys, F.col(y).alias("__y"), *own)
+    plain = Design(tuple(Term(f"__c{j}", f"__z{j}") for j in range(k)))
+    solved = solve_spd(grouped_moments(rows, keys, "__y", plain), keys, plain.names)
+    back = [sum((float(t[i, j]) * F.col(f"__c{j}") for j in range(i, k)), F.lit(0.0)).alias(n) for i, n in enumerate(design.names)]
+    return solved.select(*keys, *back)
 
 
 def joined(obs: DataFrame, subjects: DataFrame, params: DataFrame, design: Design, keys: Sequence[str] = ("voxel_id",)) -> DataFrame:

@@ -14,10 +14,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gramian.functions.columns import fill_non_finite, mean_mask
-from gramian.functions.distributions import f_cdf_column, t_quantile
-from gramian.operators.design import CORRECTOR, PREDICTOR, Design
-from gramian.operators.fit import joined
+from gramian.functions.distributions import f_cdf_column, t_quantile, t_quantile_column
+from gramian.operators.design import CORRECTOR, PREDICTOR, Basis, Design, factored
+from gramian.operators.fit import SIGNATURE, all_subjects, by_signature, joined, observed, signature
 from gramian.operators.windows import differences
+from gramian.runtime import cut
+
+#: Points of a curve's interval, which are sent to all tasks.
+MOST_POINTS = 100_000
 
 Metric = Callable[[dict], Column]
 METRICS: dict[str, Metric] = {}
@@ -68,12 +72,32 @@ def ftest(scores: DataFrame, df_p: float, df_rest: float, col: str = "fstat") ->
     return scores.withColumn("ftest", f_cdf_column(F.col(col), df_p, df_rest))
 
 
+def _residuals(obs: DataFrame, subjects: DataFrame, params: DataFrame, design: Design) -> DataFrame:
+    """(voxel_id, rss, signature) of each variable."""
+    rows = joined(obs, subjects, params, design)
+    error = F.col("corrected") - F.col("predicted")
+    return rows.where(error.isNotNull()).groupBy("voxel_id").agg(F.sum(error**2).alias("rss"), *signature(F.xxhash64("subject_id")))
+
+
+def _factors(obs: DataFrame, subjects: DataFrame, design: Design, rss: DataFrame) -> tuple[Basis, np.ndarray, DataFrame | None]:
+    """The basis, the variance factors (X'X)^+ of variables with all subjects, and (signature, __inverse) of those that lack some, if any do."""
+    basis = factored(subjects, design)
+    whole = basis.t @ np.linalg.pinv(basis.gram, hermitian=True) @ basis.t.T
+    odd = rss.where(~all_subjects(basis))
+    return basis, whole, None if odd.isEmpty() else by_signature(observed(obs, subjects, design, basis), odd, basis, ["voxel_id"])
+
+
 def tstat(obs: DataFrame, subjects: DataFrame, params: DataFrame, design: Design, term: str) -> DataFrame:
-    """(voxel_id, tstat) of one coefficient: its value over sqrt(RSS / (n - df_p) * its variance factor)."""
+    """(voxel_id, tstat) of one coefficient: its value over sqrt(RSS / (n - df_p) * its variance factor), n and the factor over the subjects
+    that the variable has."""
     k = design.names.index(term)
-    factor = float(np.linalg.pinv(design.gram(subjects))[k, k])
-    rss = joined(obs, subjects, params, design).groupBy("voxel_id").agg(F.sum((F.col("corrected") - F.col("predicted")) ** 2).alias("rss"), F.count("*").alias("n"))
-    t = F.col(f"`{term}`") / F.sqrt(F.col("rss") / (F.col("n") - len(design.of(PREDICTOR))) * factor)
+    rss = cut(_residuals(obs, subjects, params, design))
+    basis, whole, other = _factors(obs, subjects, design, rss)
+    factor = F.lit(float(whole[k, k]))
+    if other is not None:
+        rss = rss.join(other.select(*SIGNATURE, F.col("__inverse")[k * len(design) + k].alias("__own")), list(SIGNATURE), "left")
+        factor = F.when(all_subjects(basis), factor).otherwise(F.col("__own"))
+    t = F.col(f"`{term}`") / F.sqrt(F.col("rss") / (F.col("__n") - len(design.of(PREDICTOR))) * factor)
     return rss.join(params, "voxel_id").select("voxel_id", t.alias("tstat"))
 
 
@@ -91,10 +115,25 @@ def prss(scores: DataFrame, curves: DataFrame, gamma: float) -> DataFrame:
 
 
 def model_df(kind: str, **settings) -> float:
-    """Degrees of freedom: glm (columns), pls (components), polynomial (degree + 1), spline (df), intercept (1)."""
+    """Degrees of freedom that follow from a model's form: glm (columns), pls (components), polynomial (degree + 1), spline (df), intercept (1).
+    Those of support vectors and kernels follow from a fit, see ``fitted_df``."""
     return float({"glm": lambda: settings["columns"], "pls": lambda: settings["components"], "polynomial": lambda: settings["degree"] + 1, "spline": lambda: settings["df"], "intercept": lambda: 1}[kind]())
 
 
+def fitted_df(kind: str, rows: DataFrame, **settings) -> DataFrame:
+    """(voxel_id, df) of fitted models: glm, polynomial, spline, intercept and pls (their form, for every variable of ``rows``); kernel (x, sigma: the trace of
+    S S' over the distinct subjects in ``rows``); linear_svr and gaussian_svr (c, epsilon; ``rows`` as ``svr.svr_df`` takes them)."""
+    from gramian.operators import local, svr
+
+    if kind in ("linear_svr", "gaussian_svr"):
+        return svr.svr_df(rows, settings["c"], settings["epsilon"]).withColumn("df", F.col("df").cast("double"))
+    voxels = rows.select("voxel_id").distinct()
+    if kind == "kernel":
+        own = local.kernel_df(rows.select("subject_id", settings["x"]).distinct(), settings["x"], settings["sigma"])
+        return voxels.crossJoin(F.broadcast(own))  # one row
+    return voxels.withColumn("df", F.lit(model_df(kind, **settings)))
+
+
 def evaluate_fit(obs: DataFrame, subjects: DataFrame, params: DataFrame, design: Design, metric: str, threshold: float | None = None, fill: float = 0.0) -> DataFrame:
     """(voxel_id, value): correct, predict, score, replace what isn't finite, and mask variables of a low mean."""
     scores = evaluate(obs, subjects, params, design, [metric]).select("voxel_id", fill_non_finite(F.col(metric), fill).alias("value"))
@@ -102,15 +141,26 @@ def evaluate_fit(obs: DataFrame, subjects: DataFrame, params: DataFrame, design:
 
 
 def curve_interval(spark: SparkSession, obs: DataFrame, subjects: DataFrame, params: DataFrame, design: Design, points: DataFrame, level: float = 0.95) -> DataFrame:
-    """(voxel_id, point, predicted, se, low, high): ``points`` (point, the design's features) with every variable."""
-    inverse, n = np.linalg.pinv(design.gram(subjects)), subjects.count()
-    cols = [t.column for t in design.terms]
-    factor = sum((float(inverse[i, j]) * cols[i] * cols[j] for i in range(len(cols)) for j in range(len(cols))), F.lit(0.0))
-    at = points.select("point", factor.alias("factor"), *[c.alias(f"t{k}") for k, c in enumerate(cols)])
-    rss = joined(obs, subjects, params, design).groupBy("voxel_id").agg(F.sum((F.col("corrected") - F.col("predicted")) ** 2).alias("rss"))
-    rows = rss.join(params, "voxel_id").crossJoin(at)
-    value = sum((F.col(f"`{m}`") * F.col(f"t{k}") for k, m in enumerate(design.names)), F.lit(0.0))
-    rest = n - len(design)
-    rows = rows.select("voxel_id", "point", value.alias("predicted"), F.sqrt(F.col("rss") / rest * F.col("factor")).alias("se"))
-    t = t_quantile(0.5 + level / 2, rest)
-    return rows.withColumns({"low": F.col("predicted") - t * F.col("se"), "high": F.col("predicted") + t * F.col("se")})
+    """(voxel_id, point, predicted, se, low, high): ``points`` (point, the design's features), a grid of MOST_POINTS at most, with every variable.  The
+    error variance and its degrees of freedom are over the subjects that the variable has."""
+    if points.limit(MOST_POINTS + 1).count() > MOST_POINTS:
+        raise ValueError(f"more than {MOST_POINTS} points")
+    k = range(len(design))
+    rss = cut(_residuals(obs, subjects, params, design))
+    basis, whole, other = _factors(obs, subjects, design, rss)
+    pairs = [(i, j) for i in k for j in k]
+    t = [F.col(f"__t{i}") for i in k]
+    factor = sum((float(whole[i, j]) * t[i] * t[j] for i, j in pairs), F.lit(0.0))
+    rest = F.col("__n") - len(design)
+    quantile = F.lit(t_quantile(0.5 + level / 2, basis.n - len(design)) if basis.n > len(design) else None).cast("double")
+    if other is not None:
+        rss = rss.join(other.select(*SIGNATURE, "__inverse"), list(SIGNATURE), "left")
+        own = sum((F.col("__inverse")[i * len(design) + j] * t[i] * t[j] for i, j in pairs), F.lit(0.0))
+        factor = F.when(all_subjects(basis), factor).otherwise(own)
+        quantile = F.when(all_subjects(basis), quantile).otherwise(t_quantile_column(0.5 + level / 2, rest))
+    at = points.select("point", *[x.column.alias(f"__t{i}") for i, x in enumerate(design.terms)])
+    rows = rss.join(params, "voxel_id").crossJoin(F.broadcast(at))
+    value = sum((F.col(f"`{m}`") * t[i] for i, m in enumerate(design.names)), F.lit(0.0))
+    rows = rows.select("voxel_id", "point", value.alias("predicted"), F.sqrt(F.col("rss") / F.when(rest > 0, rest) * factor).alias("se"), quantile.alias("__q"))
+    low, high = (F.col("predicted") + s * F.col("__q") * F.col("se") for s in (-1, 1))
+    return rows.select("voxel_id", "point", "predicted", "se", low.alias("low"), high.alias("high"))

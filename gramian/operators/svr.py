@@ -1,7 +1,9 @@
 """Support-vector regression of every variable, with one design for all.
 
-Each variable is a small problem of its own on the same features, so the kernel matrix of the subjects is made once and
-the variables are dealt out in groups; a task solves the duals of its variables together.
+Each variable is a small problem of its own on the same features.  The kernel matrix of the subjects is used by way of a factor L with
+K = L L' (the scaled features themselves, or a pivoted incomplete Cholesky factor, see ``kernels``), so a task holds subjects times rank numbers.  The variables are dealt
+into as many groups as their observations need; a task solves the duals of its variables together.  The intercept is free: dual coefficients sum to zero,
+and it is read from the optimality conditions.
 """
 
 from __future__ import annotations
@@ -13,30 +15,43 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gramian.operators import kernels
 from gramian.runtime import cut
 
+#: The features of all subjects, and the factor's rows in a task, are so many numbers at most (256 MB); larger studies are refused.
+MOST_NUMBERS = 1 << 25
+#: Points of a prediction, which are sent to all tasks.
+MOST_POINTS = 100_000
+#: A group's observations are about so many at most.
+GROUP_ROWS = 1 << 20
 
-#: The kernel matrix of so many subjects at most is held by a task (200 MB); studies with more are refused.
-MOST_SUBJECTS = 5000
 
+def solve_dual(factor: np.ndarray, y: np.ndarray, c: float, epsilon: float, rounds: int = 50_000, tolerance: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b) for each column of ``y``: dual coefficients, |a| <= c and summing to 0, that minimise |L'a|^2/2 - y'a + epsilon |a|, and the intercept.
 
-def solve_dual(kernel: np.ndarray, y: np.ndarray, c: float, epsilon: float, rounds: int = 20_000, tolerance: float = 1e-4) -> np.ndarray:
-    """Dual coefficients a, |a| <= c, that minimise a'Ka/2 - y'a + epsilon |a|, for each column of ``y``; the intercept is a constant in the kernel.
-
-    Alternating directions: the quadratic part and the bounds take turns, tied by multipliers, and one factorisation serves
-    all columns and rounds.  A column is done when both parts agree, and have stopped moving, to ``tolerance`` (of c, and of the column's
-    deviation); one that isn't after so many rounds raises.
+    Alternating directions: the quadratic part with the sum, and the bounds, take turns, tied by multipliers; their weight follows the balance of both
+    residuals.  A round costs subjects times rank.  A column is done when both parts agree, and have stopped moving, to ``tolerance`` (of c, and of the
+    column's deviation); one that isn't after so many rounds raises.
     """
     y = np.asarray(y, float)
     flat = y.ndim == 1
     y = y.reshape(len(y), -1)
     spread = np.maximum(y.std(axis=0), 1e-12)
+    inner = factor.T @ factor
     weight = float(np.median(spread)) / c
-    inverse = np.linalg.inv(kernel + weight * np.eye(len(y)))
+
+    def prepared(weight: float):
+        small = np.linalg.inv(inner + weight * np.eye(len(inner)))
+        solve = lambda v: (v - factor @ (small @ (factor.T @ v))) / weight
+        ones = solve(np.ones((len(y), 1)))
+        return solve, ones, ones.sum()
+
+    solve, ones, total = prepared(weight)
     out, live = np.zeros(y.shape), np.arange(y.shape[1])
     bound, rest = np.zeros(y.shape), np.zeros(y.shape)  # the part inside the bounds, and the multipliers over ``weight``
-    for _ in range(rounds):
-        free = inverse @ (y[:, live] + weight * (bound - rest))
+    for k in range(1, rounds + 1):
+        free = solve(y[:, live] + weight * (bound - rest))
+        free -= ones * (free.sum(axis=0) / total)
         mixed = 1.6 * free - 0.6 * bound + rest
         before, bound = bound, np.clip(np.sign(mixed) * np.maximum(np.abs(mixed) - epsilon / weight, 0.0), -c, c)
         rest = mixed - bound
@@ -44,99 +59,133 @@ def solve_dual(kernel: np.ndarray, y: np.ndarray, c: float, epsilon: float, roun
         done = (apart <= tolerance * c) & (moved <= tolerance * spread[live])
         if done.any():
             out[:, live[done]] = bound[:, done]
-            live, bound, rest = live[~done], bound[:, ~done], rest[:, ~done]
+            live, bound, rest, apart, moved = live[~done], bound[:, ~done], rest[:, ~done], apart[~done], moved[~done]
         if not len(live):
-            return out[:, 0] if flat else out
-    raise ArithmeticError(f"{len(live)} fits have not settled after {rounds} rounds")
-
-
-def kernel_matrix(x: np.ndarray, z: np.ndarray, gamma: float | None) -> np.ndarray:
-    """Linear (gamma None) or Gaussian; one is added for the intercept."""
-    if gamma is None:
-        return x @ z.T + 1
-    return np.exp(-gamma * ((x**2).sum(1)[:, None] + (z**2).sum(1)[None, :] - 2 * x @ z.T).clip(0)) + 1
+            break
+        if k % 100 == 0 and k <= 2000:
+            ratio = float(np.median((apart / c) / np.maximum(moved / spread[live], 1e-300)))
+            if not 0.2 < ratio < 5:
+                step = float(np.clip(np.sqrt(ratio), 0.2, 5.0))
+                weight, rest = weight * step, rest / step
+                solve, ones, total = prepared(weight)
+    else:
+        raise ArithmeticError(f"{len(live)} fits have not settled after {rounds} rounds")
+    intercept = _intercepts(y - factor @ (factor.T @ out), out, c, epsilon)
+    return (out[:, 0], float(intercept[0])) if flat else (out, intercept)
+
+
+def _intercepts(rest: np.ndarray, a: np.ndarray, c: float, epsilon: float) -> np.ndarray:
+    """What the optimality conditions leave for each intercept: the mean over coefficients inside the bounds, or the middle of the interval."""
+    inside = (np.abs(a) > 1e-6 * c) & (np.abs(a) < c * (1 - 1e-6))
+    n = inside.sum(axis=0)
+    mean = np.where(inside, rest - np.sign(a) * epsilon, 0.0).sum(axis=0) / np.maximum(n, 1)
+    low = np.where(a < c * (1 - 1e-6), rest - epsilon, -np.inf)
+    low = np.maximum(low, np.where(a <= -c * (1 - 1e-6), rest + epsilon, -np.inf)).max(axis=0)
+    high = np.where(a > -c * (1 - 1e-6), rest + epsilon, np.inf)
+    high = np.minimum(high, np.where(a >= c * (1 - 1e-6), rest - epsilon, np.inf)).min(axis=0)
+    middle = np.where(np.isfinite(low) & np.isfinite(high), (low + high) / 2, np.where(np.isfinite(low), low, np.where(np.isfinite(high), high, 0.0)))
+    return np.where(n > 0, mean, middle)
+
+
+class Shared:
+    """The subjects' ids and scaled features for all tasks, and the factors of the kernels asked for."""
+
+    def __init__(self, subjects: DataFrame, features: Sequence[str], gammas: Sequence[float | None]):
+        rows = subjects.select("subject_id", *[F.col(f).cast("double").alias(f) for f in features]).dropna()
+        row = rows.agg(F.count(F.lit(1)), *[f(c) for c in features for f in (F.avg, F.stddev_pop)]).first()
+        ends = [(row[1 + 2 * k], row[2 + 2 * k]) for k in range(len(features))]
+        self._fits(row[0], len(features))
+        scaled = rows.select("subject_id", *[((F.col(f) - F.lit(m)) / F.lit(s if s else 1.0)).alias(f) for f, (m, s) in zip(features, ends)])
+        self.factors = {g: kernels.linear(len(features)) if g is None else kernels.pivoted(scaled, features, g) for g in gammas}
+        for f in self.factors.values():
+            self._fits(row[0], f.rank)
+        got = scaled.orderBy("subject_id").toPandas()  # a few numbers for each subject, within the bound
+        self.ids, self.x = got["subject_id"].to_numpy(), got[list(features)].to_numpy(float)
+
+    @staticmethod
+    def _fits(n: int, width: int) -> None:
+        if n * max(1, width) > MOST_NUMBERS:
+            raise ValueError(f"{n} subjects times {width} are more than the {MOST_NUMBERS} numbers that a task holds")
+
+
+def _solved(rows: pd.DataFrame, ids: np.ndarray, factor: np.ndarray, c: float, epsilon: float):
+    """(voxels, places of subjects, values, coefficients, intercepts, predictions) for the variables of one group; those with the same
+    subjects are columns of one problem.  Subjects that aren't in ``ids``, and null values, take no part; of repeated observations one does."""
+    rows = rows[np.isfinite(rows["value"].to_numpy(float))]
+    subject = np.searchsorted(ids, rows["subject_id"].to_numpy())
+    known = np.take(ids, np.minimum(subject, len(ids) - 1)) == rows["subject_id"].to_numpy() if len(ids) else np.zeros(len(rows), bool)
+    voxels, column = np.unique(rows["voxel_id"].to_numpy()[known], return_inverse=True)
+    wide = np.full((len(ids), len(voxels)), np.nan)
+    wide[subject[known], column] = rows["value"].to_numpy(float)[known]
+    patterns, which = np.unique(~np.isnan(wide), axis=1, return_inverse=True)
+    for k in range(patterns.shape[1]):
+        at, columns = np.flatnonzero(patterns[:, k]), np.flatnonzero(which.ravel() == k)
+        y = wide[np.ix_(at, columns)]
+        a, b = solve_dual(factor[at], y, c, epsilon)
+        yield voxels[columns], at, y, a, b, factor[at] @ (factor[at].T @ a) + b
 
 
-def _shared_features(subjects: DataFrame, features: Sequence[str]):
-    """The ids and scaled features of the subjects (a few numbers for each) for all tasks; their number is checked first."""
-    n = subjects.count()
-    if n > MOST_SUBJECTS:
-        raise ValueError(f"{n} subjects; a kernel matrix holds {MOST_SUBJECTS} at most")
-    rows = subjects.select("subject_id", *features).orderBy("subject_id").toPandas()
-    x = rows[list(features)].to_numpy(float)
-    x = (x - x.mean(0)) / np.where(x.std(0) > 0, x.std(0), 1)
-    return subjects.sparkSession.sparkContext.broadcast((rows["subject_id"].to_numpy(), x))
+def _dealt(obs: DataFrame, groups: int | None) -> DataFrame:
+    """Variables in groups of about GROUP_ROWS observations, unless their number is given."""
+    n = groups or max(1, -(-obs.count() // GROUP_ROWS))
+    return obs.select("voxel_id", "subject_id", "value").withColumn("g", F.pmod(F.xxhash64("voxel_id"), F.lit(n)))
 
 
-def _solved(rows: pd.DataFrame, ids: np.ndarray, kernel: np.ndarray, c: float, epsilon: float):
-    """(voxels, subjects, values, coefficients) for the variables of one group; those with the same subjects are columns of one problem."""
-    wide = rows.pivot_table(index="subject_id", columns="voxel_id", values="value", aggfunc="first").reindex(ids)
-    held = wide.notna().to_numpy()
-    patterns, which = np.unique(held, axis=1, return_inverse=True)
-    for k in range(patterns.shape[1]):
-        at, columns = np.flatnonzero(patterns[:, k]), np.flatnonzero(which.ravel() == k)
-        y = wide.to_numpy(float)[np.ix_(at, columns)]
-        yield wide.columns.to_numpy()[columns], at, y, solve_dual(kernel[np.ix_(at, at)], y, c, epsilon)
+def _long(voxels, ids, **columns) -> pd.DataFrame:
+    return pd.DataFrame({"voxel_id": np.repeat(voxels, len(ids)), "subject_id": np.tile(ids, len(voxels)), **{n: v.T.ravel() for n, v in columns.items()}})
 
 
-def svr_fit(obs: DataFrame, subjects: DataFrame, features: Sequence[str], c: float, epsilon: float, gamma: float | None = None, groups: int = 64) -> DataFrame:
-    """(voxel_id, subject_id, alpha): dual coefficients; features are scaled to mean 0 and deviation 1.
+def svr_fit(obs: DataFrame, subjects: DataFrame, features: Sequence[str], c: float, epsilon: float, gamma: float | None = None, groups: int | None = None) -> DataFrame:
+    """(voxel_id, subject_id, alpha, intercept): dual coefficients, and the variable's intercept; features are scaled to mean 0 and deviation 1.
 
-    The variables are dealt into ``groups``; each makes the kernel matrix once.  More variables need more groups, so that a
-    group's observations fit in a task.
+    Subjects with a null feature take no part.
     """
-    shared = _shared_features(subjects, features)
+    shared = obs.sparkSession.sparkContext.broadcast(Shared(subjects, features, [gamma]))
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, x = shared.value
-        kernel, out = kernel_matrix(x, x, gamma), []
-        for voxels, at, _, alpha in _solved(rows, ids, kernel, c, epsilon):
-            out.append(pd.DataFrame({"voxel_id": np.repeat(voxels, len(at)), "subject_id": np.tile(ids[at], len(voxels)), "alpha": alpha.T.ravel()}))
-        return pd.concat(out)
-
-    return _dealt(obs, groups).groupBy("g").applyInPandas(solve, "voxel_id long, subject_id long, alpha double")
-
+        now = shared.value
+        out = [_long(voxels, now.ids[at], alpha=a, intercept=np.broadcast_to(b, a.shape)) for voxels, at, _, a, b, _ in _solved(rows, now.ids, now.factors[gamma].rows(now.x), c, epsilon)]
+        return pd.concat(out) if out else pd.DataFrame({n: [] for n in ("voxel_id", "subject_id", "alpha", "intercept")})
 
-def _dealt(obs: DataFrame, groups: int) -> DataFrame:
-    return obs.select("voxel_id", "subject_id", "value").withColumn("g", F.pmod(F.xxhash64("voxel_id"), F.lit(groups)))
+    return _dealt(obs, groups).groupBy("g").applyInPandas(solve, "voxel_id long, subject_id long, alpha double, intercept double")
 
 
-def grid_scores(obs: DataFrame, subjects: DataFrame, features: Sequence[str], grid: DataFrame, groups: int = 16) -> DataFrame:
-    """(voxel_id, combination, score): the mean squared error of a fit with each combination of ``grid`` (combination, c, epsilon and, for
-    Gaussian fits, gamma), in one job over combinations and groups of variables."""
-    gaussian = "gamma" in grid.columns
-    shared = _shared_features(subjects, features)
-    at = grid.select("combination", "c", "epsilon", F.col("gamma") if gaussian else F.lit(None).cast("double").alias("gamma"))
+def grid_errors(obs: DataFrame, subjects: DataFrame, features: Sequence[str], grid: DataFrame, groups: int | None = None) -> DataFrame:
+    """(voxel_id, combination, n, mse, sse, sst, df): what scores need of a fit with each combination of ``grid`` (combination, c, epsilon and, for
+    Gaussian fits, gamma), in one job over combinations and groups of variables.  sse and sst are about their means."""
+    has_gamma = "gamma" in grid.columns
+    at = grid.select("combination", "c", "epsilon", F.col("gamma") if has_gamma else F.lit(None).cast("double").alias("gamma"))
+    gammas = [r.gamma for r in at.select("gamma").distinct().collect()]  # values of a parameter
+    shared = obs.sparkSession.sparkContext.broadcast(Shared(subjects, features, gammas))
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, x = shared.value
-        own, out = rows.iloc[0], []
-        kernel = kernel_matrix(x, x, own["gamma"] if gaussian else None)
-        for voxels, held, y, alpha in _solved(rows, ids, kernel, own["c"], own["epsilon"]):
-            error = y - kernel[np.ix_(held, held)] @ alpha
-            out.append(pd.DataFrame({"voxel_id": voxels, "combination": int(own["combination"]), "score": (error**2).mean(0)}))
-        return pd.concat(out)
+        now, own, out = shared.value, rows.iloc[0], []
+        gamma, c, epsilon = own["gamma"] if has_gamma else None, own["c"], own["epsilon"]
+        factor = now.factors[gamma].rows(now.x)
+        for voxels, held, y, a, _, predicted in _solved(rows, now.ids, factor, c, epsilon):
+            error, k = y - predicted, (factor[held] ** 2).sum(1)[:, None]
+            size = np.abs(error + a * k)
+            df = ((size >= epsilon) & (size <= epsilon + c * k)).sum(0)
+            out.append(pd.DataFrame({"voxel_id": voxels, "combination": int(own["combination"]), "n": len(held), "mse": (error**2).mean(0), "sse": ((error - error.mean(0)) ** 2).sum(0), "sst": ((y - y.mean(0)) ** 2).sum(0), "df": df.astype(float)}))
+        return pd.concat(out) if out else pd.DataFrame({n: [] for n in ("voxel_id", "combination", "n", "mse", "sse", "sst", "df")})
 
-    return _dealt(obs, groups).crossJoin(F.broadcast(at)).groupBy("g", "combination").applyInPandas(solve, "voxel_id long, combination long, score double")
+    return _dealt(obs, groups).crossJoin(F.broadcast(at)).groupBy("g", "combination").applyInPandas(solve, "voxel_id long, combination long, n long, mse double, sse double, sst double, df double")
 
 
-def svr_correct(obs: DataFrame, subjects: DataFrame, correctors: Sequence[str], c: float, epsilon: float, gamma: float | None = None, groups: int = 64) -> DataFrame:
+def svr_correct(obs: DataFrame, subjects: DataFrame, correctors: Sequence[str], c: float, epsilon: float, gamma: float | None = None, groups: int | None = None) -> DataFrame:
     """(voxel_id, subject_id, value): observations without what a fit of the correctors alone predicts."""
-    shared = _shared_features(subjects, correctors)
+    shared = obs.sparkSession.sparkContext.broadcast(Shared(subjects, correctors, [gamma]))
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, x = shared.value
-        kernel, out = kernel_matrix(x, x, gamma), []
-        for voxels, at, y, alpha in _solved(rows, ids, kernel, c, epsilon):
-            rest = y - kernel[np.ix_(at, at)] @ alpha
-            out.append(pd.DataFrame({"voxel_id": np.repeat(voxels, len(at)), "subject_id": np.tile(ids[at], len(voxels)), "value": rest.T.ravel()}))
-        return pd.concat(out)
+        now = shared.value
+        out = [_long(voxels, now.ids[at], value=y - predicted) for voxels, at, y, _, _, predicted in _solved(rows, now.ids, now.factors[gamma].rows(now.x), c, epsilon)]
+        return pd.concat(out) if out else pd.DataFrame({n: [] for n in ("voxel_id", "subject_id", "value")})
 
     return _dealt(obs, groups).groupBy("g").applyInPandas(solve, "voxel_id long, subject_id long, value double")
 
 
-def svr_two_stage(obs: DataFrame, subjects: DataFrame, correctors: Sequence[str], predictors: Sequence[str], c: float, epsilon: float, gamma: float | None = None, groups: int = 64) -> tuple[DataFrame, DataFrame]:
-    """The corrected observations, written down, and the fit (voxel_id, subject_id, alpha) of the predictors to them.  Without correctors
+def svr_two_stage(obs: DataFrame, subjects: DataFrame, correctors: Sequence[str], predictors: Sequence[str], c: float, epsilon: float, gamma: float | None = None, groups: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The corrected observations, written down, and the fit (voxel_id, subject_id, alpha, intercept) of the predictors to them.  Without correctors
     the observations stay as they are."""
     rest = cut(svr_correct(obs, subjects, correctors, c, epsilon, gamma, groups)) if correctors else obs
     return rest, svr_fit(rest, subjects, predictors, c, epsilon, gamma, groups)
@@ -145,7 +194,7 @@ def svr_two_stage(obs: DataFrame, subjects: DataFrame, correctors: Sequence[str]
 def linear_coefficients(alphas: DataFrame, scaled: DataFrame, features: Sequence[str]) -> DataFrame:
     """(voxel_id, intercept, one coefficient for each scaled feature) of a linear fit."""
     sums = [F.sum(F.col("alpha") * F.col(f)).alias(f) for f in features]
-    return alphas.join(scaled, "subject_id").groupBy("voxel_id").agg(F.sum("alpha").alias("intercept"), *sums)
+    return alphas.join(scaled, "subject_id").groupBy("voxel_id").agg(F.max("intercept").alias("intercept"), *sums)
 
 
 def linear_predict(coefficients: DataFrame, scaled: DataFrame, obs: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -156,11 +205,11 @@ def linear_predict(coefficients: DataFrame, scaled: DataFrame, obs: DataFrame, f
 
 
 def gaussian_predict(alphas: DataFrame, scaled: DataFrame, points: DataFrame, features: Sequence[str], gamma: float) -> DataFrame:
-    """(voxel_id, point, predicted) at ``points`` (point, features), a small grid."""
+    """(voxel_id, point, predicted) at ``points`` (point, features), a small grid. """
     at = points.select("point", *[F.col(f).alias(f"p_{f}") for f in features])
     apart = sum(((F.col(f) - F.col(f"p_{f}")) ** 2 for f in features), F.lit(0.0))
-    weights = scaled.crossJoin(F.broadcast(at)).select("subject_id", "point", (F.exp(-gamma * apart) + 1).alias("k"))
-    return alphas.join(weights, "subject_id").groupBy("voxel_id", "point").agg(F.sum(F.col("alpha") * F.col("k")).alias("predicted"))
+    weights = scaled.crossJoin(F.broadcast(at)).select("subject_id", "point", F.exp(-gamma * apart).alias("k"))
+    return alphas.join(weights, "subject_id").groupBy("voxel_id", "point").agg((F.sum(F.col("alpha") * F.col("k")) + F.max("intercept")).alias("predicted"))
 
 
 def svr_df(rows: DataFrame, c: float, epsilon: float) -> DataFrame:

@@ -69,7 +69,7 @@ class Study:
         hyperparameters (c, epsilon and, for Gaussian fits, gamma) on sampled variables."""
         grid = search.param_grid(obs.sparkSession, {k: list(v) for k, v in self.hyperparameters.items()})
         own = self.members(subjects)
-        errors = search.grid_search(obs, self.iterations, self.sample, self.least_variance, lambda sampled: svr.grid_scores(sampled.join(own.select("subject_id"), "subject_id", "left_semi"), own, self.predictors, grid))
+        errors = search.grid_search(obs, self.iterations, self.sample, self.least_variance, lambda sampled: svr.grid_errors(sampled.join(own.select("subject_id"), "subject_id", "left_semi"), own, self.predictors, grid))
         return grid.join(errors, "combination")
 
     def score(self, obs: DataFrame, subjects: DataFrame) -> DataFrame:

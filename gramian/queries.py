@@ -57,6 +57,9 @@ _R = "r AS (SELECT d.*, d.value - (b0 + b1*age + b2*sex) AS corrected, b3*biomar
 _FITTED = with_sql("subj", "obs", _D, _FIT, _R)
 
 
+_LINE = dz.with_intercept(dz.terms(["biomarker"]), PREDICTOR)
+
+
 def _fitted(spark, d):
     obs, subj = fx.observations(spark, d), fx.subjects(spark, d)
     return obs, subj, ft.glm_fit(obs, subj, BASE)
@@ -387,6 +390,38 @@ def g1w(spark, d):
     return rounded(ft.glm_fit(fx.observations(spark, d), fx.subjects(spark, d), dz.with_intercept(dz.terms(["biomarker"]), CORRECTOR), weight="1.0 + sex"), 4)
 
 
+def _lacking(spark, d):
+    """Observations of which three variables in four lack subjects, by three rules, and a value is null here and there."""
+    obs = fx.observations(spark, d)
+    kept = obs.where("voxel_id % 4 = 0 OR (subject_id*7919 + voxel_id % 4) % 11 <> 0")
+    return kept.withColumn("value", F.when(F.expr("voxel_id % 32 <> 5 OR subject_id % 7 <> 1"), F.col("value")))
+
+
+_LACKING = "have AS (SELECT * FROM d WHERE (voxel_id % 4 = 0 OR (subject_id*7919 + voxel_id % 4) % 11 <> 0) AND (voxel_id % 32 <> 5 OR subject_id % 7 <> 1))"
+
+
+@query("g1_glm_fit_lacking", with_sql("subj", "obs", _D, _LACKING, fit_sql("have", "voxel_id", _TERMS)) + "SELECT voxel_id, round(b0, 4) AS intercept, round(b1, 4) AS age, round(b2, 4) AS sex, round(b3, 4) AS biomarker FROM fit")
+def g1m(spark, d):
+    return rounded(ft.glm_fit(_lacking(spark, d), fx.subjects(spark, d), BASE), 4)
+
+
+@query("e5_tstat_lacking", with_sql("subj", "obs", _D, _LACKING, fit_sql("have", "voxel_id", ["1.0::DOUBLE", "biomarker"]), "rs AS (SELECT voxel_id, any_value(b1) AS b1, sum(pow(value - b0 - b1*biomarker, 2)) AS rss, count(*) AS n, var_pop(biomarker)*count(*) AS sxx FROM have JOIN fit USING (voxel_id) GROUP BY voxel_id)") + "SELECT voxel_id, round(b1/sqrt(rss/(n - 2)/sxx), 4) AS tstat FROM rs")
+def e5m(spark, d):
+    obs, subj = _lacking(spark, d), fx.subjects(spark, d)
+    return rounded(score.tstat(obs, subj, ft.glm_fit(obs, subj, _LINE), _LINE, "biomarker"), 4)
+
+
+_FAR = "f AS (SELECT voxel_id, subject_id, value, age + 1000 AS far, age - 49.5 AS near FROM d)"
+
+
+@query("g3_polyglm_fit_far", with_sql("subj", "obs", _D, _FAR, fit_sql("f", "voxel_id", ["1.0::DOUBLE", "near", "near*near", "near*near*near"])) + "SELECT voxel_id, subject_id, round(b0 + b1*near + b2*near*near + b3*near*near*near, 4) AS predicted FROM f JOIN fit USING (voxel_id)")
+def g3f(spark, d):
+    """A cubic of a feature far from zero, by its predictions, against the same cubic about the middle."""
+    obs, subj = fx.observations(spark, d), fx.subjects(spark, d).withColumn("far", F.col("age") + 1000)
+    params, design = ft.polyglm_fit(obs, subj, dz.with_intercept(Design(()), PREDICTOR), {"far": 3})
+    return rounded(ft.predict(obs, subj, params, design), 4)
+
+
 _LI = Design((Term("intercept", "1.0", CORRECTOR), Term("discount", "discount", CORRECTOR), Term("tax", "tax", CORRECTOR), Term("quantity", "quantity", PREDICTOR)))
 
 
@@ -516,7 +551,7 @@ def g16(spark, d):
     obs, scaled, alphas = _svr(spark, d)
     fitted = svr.linear_predict(svr.linear_coefficients(alphas, scaled, _SVR_FEATURES), scaled, obs, _SVR_FEATURES)
     rows = obs.join(fitted, ["voxel_id", "subject_id"]).join(alphas, ["voxel_id", "subject_id"]).join(scaled, "subject_id")
-    k = sum((F.col(f) ** 2 for f in _SVR_FEATURES), F.lit(1.0))
+    k = sum((F.col(f) ** 2 for f in _SVR_FEATURES), F.lit(0.0))
     return svr.svr_df(rows.select("voxel_id", (F.col("value") - F.col("predicted")).alias("residual"), "alpha", k.alias("k")), 1.0, 0.1)
 
 
@@ -538,7 +573,52 @@ def g19(spark, d):
     points = scaled.withColumnRenamed("subject_id", "point")
     fitted = svr.gaussian_predict(alphas, scaled, points, _SVR_FEATURES, 0.5).withColumnRenamed("point", "subject_id")
     rows = obs.join(fitted, ["voxel_id", "subject_id"]).join(alphas, ["voxel_id", "subject_id"])
-    return svr.svr_df(rows.select("voxel_id", (F.col("value") - F.col("predicted")).alias("residual"), "alpha", F.lit(2.0).alias("k")), 1.0, 0.1)
+    return svr.svr_df(rows.select("voxel_id", (F.col("value") - F.col("predicted")).alias("residual"), "alpha", F.lit(1.0).alias("k")), 1.0, 0.1)
+
+
+_GIVEN = "sc AS (SELECT subject_id, (age - (SELECT avg(age) FROM subj))/(SELECT stddev_pop(age) FROM subj) AS a, (biomarker - (SELECT avg(biomarker) FROM subj))/(SELECT stddev_pop(biomarker) FROM subj) AS b FROM subj), al AS (SELECT voxel_id, subject_id, value, ((subject_id*7919 + voxel_id*104729) % 21 - 10)/10.0::DOUBLE AS alpha, voxel_id/64.0::DOUBLE AS intercept FROM obs)"
+_LINEAR = _GIVEN + ", co AS (SELECT voxel_id, any_value(intercept) AS c0, sum(alpha*a) AS c1, sum(alpha*b) AS c2 FROM al JOIN sc USING (subject_id) GROUP BY voxel_id), pr AS (SELECT al.*, a, b, c0 + c1*a + c2*b AS predicted FROM al JOIN sc USING (subject_id) JOIN co USING (voxel_id))"
+_RADIAL = _GIVEN + ", ke AS (SELECT p.subject_id AS point, t.subject_id, exp(-0.5*(pow(p.a - t.a, 2) + pow(p.b - t.b, 2))) AS k FROM sc p, sc t), pr AS (SELECT voxel_id, point AS subject_id, sum(alpha*k) + any_value(intercept) AS predicted FROM al JOIN ke USING (subject_id) GROUP BY voxel_id, point)"
+
+
+def _given(spark, d):
+    """Observations, scaled features, and dual coefficients by a rule instead of a fit."""
+    obs, subj = fx.observations(spark, d), fx.subjects(spark, d)
+    scaled = dz.standard_scale(subj, _SVR_FEATURES).select("subject_id", *_SVR_FEATURES)
+    alphas = obs.selectExpr("voxel_id", "subject_id", "((subject_id*7919 + voxel_id*104729) % 21 - 10)/10.0D AS alpha", "voxel_id/64.0D AS intercept")
+    return obs, scaled, alphas
+
+
+@query("g15_svr_predict_given", with_sql("subj", "obs", _LINEAR) + "SELECT voxel_id, subject_id, round(predicted, 4) AS predicted FROM pr")
+def g15g(spark, d):
+    obs, scaled, alphas = _given(spark, d)
+    return rounded(svr.linear_predict(svr.linear_coefficients(alphas, scaled, _SVR_FEATURES), scaled, obs, _SVR_FEATURES), 4)
+
+
+def _df_rows(obs, fitted, alphas, k):
+    rows = obs.join(fitted, ["voxel_id", "subject_id"]).join(alphas, ["voxel_id", "subject_id"]).join(k, "subject_id")
+    return rows.select("voxel_id", (F.col("value") - F.col("predicted")).alias("residual"), "alpha", "k")
+
+
+@query("g16_svr_df_given", with_sql("subj", "obs", _LINEAR) + "SELECT voxel_id, count(*) FILTER (abs(value - predicted + alpha*(a*a + b*b)) BETWEEN 0.1 AND 0.1 + (a*a + b*b)) AS df FROM pr GROUP BY voxel_id")
+def g16g(spark, d):
+    obs, scaled, alphas = _given(spark, d)
+    fitted = svr.linear_predict(svr.linear_coefficients(alphas, scaled, _SVR_FEATURES), scaled, obs, _SVR_FEATURES)
+    return svr.svr_df(_df_rows(obs, fitted, alphas, scaled.select("subject_id", sum((F.col(f) ** 2 for f in _SVR_FEATURES), F.lit(0.0)).alias("k"))), 1.0, 0.1)
+
+
+@query("g18_gaussian_predict_given", with_sql("subj", "obs", _RADIAL) + "SELECT voxel_id, subject_id AS point, round(predicted, 4) AS predicted FROM pr WHERE subject_id % 20 = 0")
+def g18g(spark, d):
+    """Predictions at the subjects whose id is divisible by 20, from all."""
+    _, scaled, alphas = _given(spark, d)
+    return rounded(svr.gaussian_predict(alphas, scaled, scaled.where("subject_id % 20 = 0").withColumnRenamed("subject_id", "point"), _SVR_FEATURES, 0.5), 4)
+
+
+@query("g19_gaussian_df_given", with_sql("subj", "obs", _RADIAL) + "SELECT voxel_id, count(*) FILTER (abs(value - predicted + alpha) BETWEEN 0.1 AND 1.1) AS df FROM pr JOIN al USING (voxel_id, subject_id) GROUP BY voxel_id")
+def g19g(spark, d):
+    obs, scaled, alphas = _given(spark, d)
+    fitted = svr.gaussian_predict(alphas, scaled, scaled.withColumnRenamed("subject_id", "point"), _SVR_FEATURES, 0.5).withColumnRenamed("point", "subject_id")
+    return svr.svr_df(_df_rows(obs, fitted, alphas, scaled.select("subject_id", F.lit(1.0).alias("k"))), 1.0, 0.1)
 
 
 @query("g14_svr_two_stage")
@@ -657,7 +737,10 @@ for _n, _key in enumerate(("mse", "r2", "fstat")):
 query("e6_aic", _FITTED + f"SELECT voxel_id, round({_METRIC_SQL['aic']}, 4) AS aic FROM r GROUP BY voxel_id")(_metric("aic"))
 
 
-@query("e4_ftest")
+_EVEN = "m AS (SELECT count(*) - 4 AS m FROM subj), co AS (SELECT 0 AS k, 1.0::DOUBLE AS c UNION ALL SELECT k, exp(sum(ln((2*k - 1)/(2.0::DOUBLE*k))) OVER (ORDER BY k)) AS c FROM (SELECT unnest(range(1, CAST(m//2 AS BIGINT))) AS k FROM m)), fs AS (SELECT voxel_id, (sum(corrected*corrected) - sum(pow(corrected - predicted, 2)))/(sum(pow(corrected - predicted, 2))/(count(*) - 4)) AS f FROM r GROUP BY voxel_id)"
+
+
+@query("e4_ftest", _FITTED.rstrip() + ", " + _EVEN + " SELECT voxel_id, round(any_value(f), 4) AS fstat, round(sqrt(any_value(f)/(any_value(f) + any_value(m)))*sum(c*pow(any_f, k)), 4) AS ftest FROM (SELECT voxel_id, f, m, k, c, m/(m + f) AS any_f FROM fs, m, co) GROUP BY voxel_id")
 def e4(spark, d):
     obs, subj, params = _fitted(spark, d)
     return rounded(score.ftest(score.evaluate(obs, subj, params, BASE, ["fstat"]), 1, subj.count() - 4), 4)
@@ -707,14 +790,16 @@ def e11(spark, d):
     return rounded(score.evaluate(*_fitted(spark, d), BASE, ["mae", "rmse"]), 4)
 
 
-_LINE = dz.with_intercept(dz.terms(["biomarker"]), PREDICTOR)
+_Z = 1.959963984540054  # the normal law's quantile at 0.975
+_T = " + ".join(f"{c!r}::DOUBLE/pow(n - 2, {k})" for k, c in enumerate((_Z, (_Z**3 + _Z) / 4, (5 * _Z**5 + 16 * _Z**3 + 3 * _Z) / 96, (3 * _Z**7 + 19 * _Z**5 + 17 * _Z**3 - 15 * _Z) / 384)))
+_INTERVAL = with_sql("subj", "obs", _D, fit_sql("d", "voxel_id", ["1.0::DOUBLE", "biomarker"]), "rs AS (SELECT voxel_id, sum(pow(value - b0 - b1*biomarker, 2)) AS rss, CAST(count(*) AS DOUBLE) AS n, any_value(b0) AS b0, any_value(b1) AS b1 FROM d JOIN fit USING (voxel_id) GROUP BY voxel_id)", f"iv AS (SELECT voxel_id, p AS point, b0 + b1*p/5 AS predicted, {_T} AS t, sqrt(rss/(n-2)*(1/n + pow(p/5.0::DOUBLE - (SELECT avg(biomarker) FROM subj), 2)/(SELECT var_pop(biomarker)*count(*) FROM subj))) AS se FROM rs, range(6) t(p))")
 
 
-@query("e12_curve_interval", with_sql("subj", "obs", _D, fit_sql("d", "voxel_id", ["1.0::DOUBLE", "biomarker"]), "rs AS (SELECT voxel_id, sum(pow(value - b0 - b1*biomarker, 2)) AS rss, CAST(count(*) AS DOUBLE) AS n, any_value(b0) AS b0, any_value(b1) AS b1 FROM d JOIN fit USING (voxel_id) GROUP BY voxel_id)") + "SELECT voxel_id, p AS point, round(b0 + b1*p/5, 4) AS predicted, round(sqrt(rss/(n-2)*(1/n + pow(p/5.0::DOUBLE - (SELECT avg(biomarker) FROM subj), 2)/(SELECT var_pop(biomarker)*count(*) FROM subj))), 4) AS se FROM rs, range(6) t(p)")
+@query("e12_curve_interval", _INTERVAL + "SELECT voxel_id, point, round(predicted, 4) AS predicted, round(se, 4) AS se, round(predicted - t*se, 4) AS low, round(predicted + t*se, 4) AS high FROM iv")
 def e12(spark, d):
     obs, subj = fx.observations(spark, d), fx.subjects(spark, d)
     points = spark.range(6).selectExpr("id AS point", "id / 5.0D AS biomarker")
-    return rounded(score.curve_interval(spark, obs, subj, ft.glm_fit(obs, subj, _LINE), _LINE, points).select("voxel_id", "point", "predicted", "se"), 4)
+    return rounded(score.curve_interval(spark, obs, subj, ft.glm_fit(obs, subj, _LINE), _LINE, points), 4)
 
 
 # --- windows -------------------------------------------------------------------------------------------------
@@ -760,6 +845,14 @@ def m2(spark, d):
     return rounded(maps.threshold_clusters(fx.grid_map(spark, d), [0.05, 0.08], 3), 4)
 
 
+_LABELS = "SELECT {p}::DOUBLE AS p, g.voxel_id, coalesce(label, 0) AS label FROM grid g LEFT JOIN comp USING (voxel_id) LEFT JOIN big USING (component)"
+
+
+@query("m2_threshold_labels", f"SELECT * FROM ({_cc_sql('0.95', 3)}{_LABELS.format(p=0.05)}) UNION ALL SELECT * FROM ({_cc_sql('0.92', 3)}{_LABELS.format(p=0.08)})")
+def m2b(spark, d):
+    return maps.threshold_clusters(fx.grid_map(spark, d), [0.05, 0.08], 3).select("p", "voxel_id", "label")
+
+
 @query("m3_invert_best_fraction", with_sql("grid", "maps", "t AS (SELECT b AS t FROM (SELECT b, row_number() OVER (ORDER BY b) AS n FROM maps) WHERE n = (SELECT CAST(ceil(0.1*count(*)) AS BIGINT) FROM maps))") + "SELECT voxel_id, CASE WHEN b <= t THEN round(t - b, 6) ELSE 0 END AS value FROM maps, t")
 def m3(spark, d):
     return rounded(maps.invert_best_fraction(fx.maps(spark, d)[1], 0.1))
@@ -920,7 +1013,7 @@ def _search_sql() -> str:
 
 def _searched(spark, d):
     subj = fx.subjects(spark, d)
-    return search.grid_search(fx.observations(spark, d), 2, 10, 0.001, lambda sampled: search.polynomial_scores(sampled, subj, "biomarker", (1, 2, 3)))
+    return search.grid_search(fx.observations(spark, d), 2, 10, 0.001, lambda sampled: search.polynomial_errors(sampled, subj, "biomarker", (1, 2, 3)))
 
 
 @query("h6_svr_grid_search")
@@ -929,7 +1022,7 @@ def h6s(spark, d):
     subj = fx.subjects(spark, d)
     grid = search.param_grid(spark, {"c": [0.5, 2.0], "epsilon": [0.05, 0.2], "gamma": [0.2, 1.0]})
     box = {"x": (0, 3), "y": (1, 3), "z": (1, None)}
-    return rounded(search.grid_search(fx.observations(spark, d), 2, 4, 0.001, lambda sampled: svr.grid_scores(sampled, subj, _SVR_FEATURES, grid, groups=4), box), 4)
+    return rounded(search.grid_search(fx.observations(spark, d), 2, 4, 0.001, lambda sampled: svr.grid_errors(sampled, subj, _SVR_FEATURES, grid, groups=4), box), 4)
 
 
 @query("h6_grid_search", _search_sql() + "SELECT CAST(iteration AS BIGINT) AS iteration, CAST(combination AS BIGINT) AS combination, round(error, 4) AS error FROM es")
@@ -937,6 +1030,27 @@ def h6(spark, d):
     return rounded(_searched(spark, d), 4)
 
 
+def _cp_sql() -> str:
+    head = _search_sql()
+    head = head[: head.index(", es AS (")]
+    terms = ["1.0::DOUBLE", "biomarker", "biomarker*biomarker", "biomarker*biomarker*biomarker"]
+    own = [f"q{k} AS (SELECT voxel_id, {k} AS combination, count(*) AS n, avg(e*e) AS mse, var_pop(e)*count(*)/(count(*) - 1) AS s FROM (SELECT voxel_id, value - ({' + '.join(f'b{j}*{t}' for j, t in enumerate(terms[: k + 1]))}) AS e FROM d JOIN p{k} USING (voxel_id)) GROUP BY voxel_id)" for k in (1, 2, 3)]
+    rows = " UNION ALL ".join(f"SELECT {i} AS iteration, q{k}.*, variance FROM q{k} JOIN v{i} USING (voxel_id)" for i in (1, 2) for k in (1, 2, 3))
+    return head + ", " + ", ".join(own) + f", ro AS ({rows}) SELECT CAST(iteration AS BIGINT) AS iteration, CAST(combination AS BIGINT) AS combination, round(sum(mse/variance) + sum(s)*sum(2.0::DOUBLE*(combination + 1)/n/variance), 4) AS error FROM ro GROUP BY 1, 2"
+
+
+@query("h6_grid_search_cp", _cp_sql())
+def h6c(spark, d):
+    subj = fx.subjects(spark, d)
+    return rounded(search.grid_search(fx.observations(spark, d), 2, 10, 0.001, lambda sampled: search.polynomial_errors(sampled, subj, "biomarker", (1, 2, 3)), score="cp"), 4)
+
+
+@query("h6_grid_search_anova")
+def h6a(spark, d):
+    subj = fx.subjects(spark, d)
+    return rounded(search.grid_search(fx.observations(spark, d), 2, 10, 0.001, lambda sampled: search.polynomial_errors(sampled, subj, "biomarker", (1, 2, 3)), score="anova"), 4)
+
+
 @query("h6_best", _search_sql() + "SELECT CAST(combination AS BIGINT) AS combination, CAST(iteration AS BIGINT) AS iteration, round(error, 4) AS error FROM es ORDER BY error LIMIT 1")
 def h6b(spark, d):
     return rounded(search.best(_searched(spark, d)), 4)

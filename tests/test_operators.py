@@ -9,7 +9,7 @@ from gramian.functions import columns as fc
 from gramian.functions import distributions as ds
 from gramian.operators import design as dz
 from gramian.operators import fit as ft
-from gramian.operators import graph, local, maps, pls, score, search, summary, svr, windows
+from gramian.operators import graph, kernels, local, maps, pls, score, search, summary, svr, windows
 from gramian.operators.design import CORRECTOR, PREDICTOR
 from gramian.sources import metadata
 
@@ -79,6 +79,94 @@ def test_two_stage_after_orthogonalising_is_joint(study):
     assert np.allclose(by_voxel(dz.denormalize(one, DESIGN.names, t), DESIGN.names), by_voxel(ft.glm_fit(obs, subj, DESIGN), DESIGN.names))
 
 
+def test_fit_over_the_subjects_that_a_variable_has(spark, study):
+    """Missing rows, null values, subjects with a null term, strangers and repeated rows; also weighted and rank-deficient."""
+    subj, obs, x, y = study
+    subj = subj.unionByName(spark.createDataFrame([(99, 1, None, 1.0, 0.5)], subj.schema))
+    gone = "(voxel_id = 1 AND subject_id IN (3, 4)) OR (voxel_id = 2 AND subject_id = 5) OR (voxel_id = 4 AND subject_id IN (3, 4))"
+    nulls = fc.F.when(fc.F.expr("NOT (voxel_id = 3 AND subject_id < 9)"), fc.F.col("value"))
+    extra = spark.createDataFrame([(99, 0, 5.0), (1000, 1, 7.0), (8, 5, float(y[8, 5]))], obs.schema)
+    some = obs.where(f"NOT ({gone})").withColumn("value", nulls).unionByName(extra)
+    held = {v: list(range(40)) for v in range(6)}
+    held[1] = held[4] = [k for k in range(40) if k not in (3, 4)]
+    held[2], held[3], held[5] = [k for k in range(40) if k != 5], list(range(9, 40)), [*range(40), 8]
+    full = np.column_stack([np.ones(40), x])
+    for weight, w in ((None, np.ones(40)), ("1.0 + sex", 1 + x[:, 1])):
+        got = by_voxel(ft.glm_fit(some, subj, DESIGN, weight), DESIGN.names)
+        for v, at in held.items():
+            root = np.sqrt(w[at])[:, None]
+            assert np.allclose(got[v], np.linalg.lstsq(full[at] * root, y[at, v] * root[:, 0], rcond=None)[0], rtol=1e-6)
+    double = DESIGN + dz.Design((dz.Term("again", "2 * age"),))
+    got = by_voxel(ft.glm_fit(some, subj, double), double.names)
+    for v, at in held.items():
+        assert np.allclose(got[v], np.linalg.lstsq(np.column_stack([full, 2 * x[:, 0]])[at], y[at, v], rcond=None)[0], atol=1e-6)
+    params = ft.glm_fit(some, subj, DESIGN)
+    t = by_voxel(score.tstat(some, subj, params, DESIGN, "biomarker"), ["tstat"])[:, 0]
+    points = spark.createDataFrame([(0, 50.0, 1.0, 0.3)], "point long, age double, sex double, biomarker double")
+    ends = by_voxel(score.curve_interval(spark, some, subj, params, DESIGN, points), ["se", "low", "high"])
+    for v, at in held.items():
+        b, inverse = np.linalg.lstsq(full[at], y[at, v], rcond=None)[0], np.linalg.inv(full[at].T @ full[at])
+        rss = ((y[at, v] - full[at] @ b) ** 2).sum()
+        assert np.isclose(t[v], b[3] / np.sqrt(rss / (len(at) - 1) * inverse[3, 3]), rtol=1e-5)
+        p = np.array([1, 50, 1, 0.3])
+        se = np.sqrt(rss / (len(at) - 4) * (p @ inverse @ p))
+        q = ds.t_quantile(0.975, len(at) - 4)
+        assert np.allclose(ends[v], [se, p @ b - q * se, p @ b + q * se], rtol=1e-5)
+    assert ft.glm_fit(obs.limit(0), subj, DESIGN).count() == 0
+
+
+def test_powers_far_from_zero(spark):
+    """A cubic of values from 1,000 to 1,020, for all variables, for groups, and in a search; errors are sums of squares, not differences."""
+    rng = np.random.default_rng(8)
+    x = np.linspace(1000, 1020, 60)
+    u = (x - 1010) / 10
+    y = np.column_stack([3 + u - 2 * u**2 + 5 * u**3 + rng.normal(size=60) * s for s in (0.1, 1e-5)])
+    subj = spark.createDataFrame([(k, float(v)) for k, v in enumerate(x)], "subject_id long, x double")
+    obs = spark.createDataFrame([(k, v, float(y[k, v])) for k in range(60) for v in range(2)], "subject_id long, voxel_id long, value double")
+    want = np.column_stack([np.polyval(np.polyfit(u, y[:, v], 3), u) for v in range(2)])
+    design = dz.with_intercept(dz.poly_terms("x", 3), PREDICTOR)
+    groups = ft.glm_fit_grouped(obs.join(subj, "subject_id"), ["voxel_id"], "value", design)
+    for params in (ft.glm_fit(obs, subj, design), groups):
+        got = {(r.subject_id, r.voxel_id): r.predicted for r in ft.predict(obs, subj, params, design).collect()}
+        assert np.allclose([[got[k, v] for v in range(2)] for k in range(60)], want, atol=2e-5)
+    found = {(r.voxel_id, r.combination): r for r in search.polynomial_errors(obs, subj, "x", (1, 3)).collect()}
+    for v in range(2):
+        for degree in (1, 3):
+            e = y[:, v] - np.polyval(np.polyfit(u, y[:, v], degree), u)
+            assert np.isclose(found[v, degree].mse, np.mean(e**2), rtol=1e-3) and np.isclose(found[v, degree].sse, e.var() * 60, rtol=1e-3)
+
+
+def test_search_scores(spark, study):
+    """mse, Cp and anova against the formulas; a combination without a score is not the best, and variables without one count."""
+    subj, obs, x, y = study
+    few = lambda s: search.polynomial_errors(s, subj, "sex", (1, 2, 5))  # noqa: E731  two values determine degree 1 only
+    for name in search.SCORES:
+        errors = search.grid_search(obs, 1, 4, 0.0, few, score=name)
+        got = {r.combination: r.error for r in errors.collect()}
+        assert got[1] is not None and got[2] is None and got[5] is None
+        assert search.best(errors).first().combination == 1
+        drawn = [r.voxel_id for r in search.sample_voxels(obs, 4, 0.0, 1).collect()]
+        e = np.column_stack([y[:, v] - np.polyval(np.polyfit(x[:, 1], y[:, v], 1), x[:, 1]) for v in drawn])
+        var, sst, sse = y[:, drawn].var(0), y[:, drawn].var(0) * 40, e.var(0) * 40
+        f = ((sst - sse) / 2) / (sse / 37)
+        want = {"mse": (e**2).mean(0), "cp": (e**2).mean(0) + 2 / 40 * 2 * (sse / 39).sum(), "anova": 1 - ds.f_cdf(f, 2, 37)}[name]
+        assert np.isclose(got[1], (want / var).sum(), rtol=1e-4)
+    nan = spark.createDataFrame([(1, 0, float("nan")), (1, 1, None), (1, 2, 4.0)], "iteration int, combination long, error double")
+    assert tuple(search.best(nan).first()) == (2, 1, 4.0)
+
+
+def test_degrees_of_freedom_of_fits(spark, study):
+    subj, obs, x, _ = study
+    rows = obs.join(subj, "subject_id")
+    k = np.exp(-np.subtract.outer(x[:, 0], x[:, 0]) ** 2 / 18)
+    s = k / k.sum(1, keepdims=True)
+    got = score.fitted_df("kernel", rows, x="age", sigma=3.0).collect()
+    assert len(got) == 6 and all(np.isclose(r.df, np.trace(s @ s.T)) for r in got)
+    assert {r.df for r in score.fitted_df("polynomial", rows, degree=3).collect()} == {4.0}
+    made = spark.createDataFrame([(1, 0.05, 0.0, 1.0), (1, 0.3, 0.1, 1.0), (1, -2.0, -1.0, 1.0)], "voxel_id long, residual double, alpha double, k double")
+    assert [r.df for r in score.fitted_df("gaussian_svr", made, c=1.0, epsilon=0.1).collect()] == [1.0]
+
+
 def test_grouped_fit_is_shared_fit_of_each_group(study):
     subj, obs, _, _ = study
     design = dz.with_intercept(dz.terms(["age"]), CORRECTOR)
@@ -125,19 +213,30 @@ def test_pls_of_all_components_is_least_squares(study):
     assert np.allclose(by_voxel(pls.pls_fit(flat, subj, features, 2), ["mean", "coef_age", "rot_1_sex"]), [2.5, 0, 0])
 
 
+def optimal(kernel, y, a, b, c, epsilon, slack):
+    """The optimality conditions of a fit with a free intercept."""
+    r = y - kernel @ a - b
+    assert (np.abs(a) <= c * (1 + 1e-9)).all() and abs(a.sum()) < slack * c
+    assert np.allclose(a[np.abs(r) < epsilon - slack], 0, atol=slack * c)
+    free = (np.abs(a) > slack * c) & (np.abs(a) < c * (1 - slack))
+    assert np.allclose(np.abs(r[free]), epsilon, atol=slack)
+    assert (r[a >= c * (1 - 1e-6)] > epsilon - slack).all() and (r[a <= -c * (1 - 1e-6)] < -epsilon + slack).all()
+
+
 def test_support_vectors(study):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(30, 2))
-    y = x @ [1.0, -2.0] + 0.5 + rng.normal(size=30) * 0.05
+    y = x @ [1.0, -2.0] + 70.5 + rng.normal(size=30) * 0.05  # the intercept is far from zero and costs nothing
     for gamma in (None, 0.5):
-        kernel = svr.kernel_matrix(x, x, gamma)
-        a = svr.solve_dual(kernel, y, 5.0, 0.1, rounds=3000, tolerance=1e-9)
-        r = y - kernel @ a
-        assert (np.abs(a) <= 5 + 1e-9).all()
-        inside = np.abs(r) < 0.1 - 1e-4
-        assert np.allclose(a[inside], 0, atol=1e-6)
-        free = (np.abs(a) > 1e-6) & (np.abs(a) < 5 - 1e-6)
-        assert np.allclose(np.abs(r[free]), 0.1, atol=1e-3)
+        for c in (0.3, 5.0):
+            factor = x if gamma is None else kernels.with_pivots(x, gamma).rows(x)
+            a, b = svr.solve_dual(factor, y, c, 0.1, tolerance=1e-8)
+            optimal(factor @ factor.T, y, a, b, c, 0.1, 2e-3)
+    shifted = svr.solve_dual(x, y - 1000, 5.0, 0.1, tolerance=1e-8)
+    plain = svr.solve_dual(x, y, 5.0, 0.1, tolerance=1e-8)
+    assert np.isclose(plain[1] - shifted[1], 1000) and np.allclose(x.T @ plain[0], x.T @ shifted[0], atol=1e-3)
+    flat = svr.solve_dual(x, np.full(30, 2.0), 5.0, 0.1)
+    assert np.allclose(flat[0], 0) and np.isclose(flat[1], 2.0)
 
 
 @pytest.mark.parametrize("gamma", [None, 0.7])
@@ -146,28 +245,61 @@ def test_support_vectors_of_all_variables(spark, study, gamma):
     subj, obs, x, y = study
     obs = obs.where("subject_id <> 3 or voxel_id <> 2")
     z = (x[:, [0, 2]] - x[:, [0, 2]].mean(0)) / x[:, [0, 2]].std(0)
-    kernel = svr.kernel_matrix(z, z, gamma)
-    got = {(r.voxel_id, r.subject_id): r.alpha for r in svr.svr_fit(obs, subj, ["age", "biomarker"], 2.0, 0.1, gamma, groups=2).collect()}
+    factor = z if gamma is None else kernels.with_pivots(z, gamma).rows(z)
+    fit = svr.svr_fit(obs, subj, ["age", "biomarker"], 2.0, 0.1, gamma, groups=2).collect()
+    got, intercepts = {(r.voxel_id, r.subject_id): r.alpha for r in fit}, {r.voxel_id: r.intercept for r in fit}
     grid = spark.createDataFrame([(0, 2.0, 0.1, gamma), (1, 0.5, 0.3, gamma)], "combination long, c double, epsilon double, gamma double")
-    scores = {(r.voxel_id, r.combination): r.score for r in svr.grid_scores(obs, subj, ["age", "biomarker"], grid if gamma else grid.drop("gamma"), groups=3).collect()}
-    rest = {(r.voxel_id, r.subject_id): r.value for r in svr.svr_correct(obs, subj, ["age", "biomarker"], 2.0, 0.1, gamma, groups=2).collect()}
+    errors = {(r.voxel_id, r.combination): r for r in svr.grid_errors(obs, subj, ["age", "biomarker"], grid if gamma else grid.drop("gamma"), groups=3).collect()}
+    rest = {(r.voxel_id, r.subject_id): r.value for r in svr.svr_correct(obs, subj, ["age", "biomarker"], 2.0, 0.1, gamma).collect()}
     for v in range(6):
         at = [k for k in range(40) if (k, v) != (3, 2)]
-        own = kernel[np.ix_(at, at)]
-        alone = svr.solve_dual(own, y[at, v], 2.0, 0.1)
-        assert np.allclose(own @ [got[v, k] for k in at], own @ alone, atol=2e-2)
-        assert np.allclose([rest[v, k] for k in at], y[at, v] - own @ alone, atol=2e-2)
-        assert np.isclose(scores[v, 0], np.mean((y[at, v] - own @ alone) ** 2), rtol=1e-2)
-    assert len(scores) == 12
+        own = factor[at]
+        a, b = svr.solve_dual(own, y[at, v], 2.0, 0.1, tolerance=1e-7)
+        alone, mine = own @ (own.T @ a) + b, own @ (own.T @ np.array([got[v, k] for k in at])) + intercepts[v]
+        assert np.allclose(mine, alone, atol=3e-2)
+        assert np.allclose([rest[v, k] for k in at], y[at, v] - alone, atol=3e-2)
+        e = errors[v, 0]
+        assert np.isclose(e.mse, np.mean((y[at, v] - alone) ** 2), rtol=2e-2) and e.n == len(at)
+        assert np.isclose(e.sst, ((y[at, v] - y[at, v].mean()) ** 2).sum()) and 0 <= e.df <= len(at)
+    assert len(errors) == 12
 
 
 def test_support_vectors_that_do_not_settle():
     with pytest.raises(ArithmeticError):
-        svr.solve_dual(np.array([[1.0, 0.999], [0.999, 1.0]]), np.array([5.0, -5.0]), 1e6, 0.0, rounds=2)
+        svr.solve_dual(np.array([[1.0, 0.0], [0.999, 0.05]]), np.array([5.0, -5.0]), 1e6, 0.0, rounds=2)
+
+
+def test_pivots_give_the_kernel(spark):
+    rng = np.random.default_rng(6)
+    x = np.vstack([rng.normal(size=(400, 2)), np.zeros((30, 2))])
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double").repartition(5)
+    factor = kernels.pivoted(df, ["a", "b"], 0.5, error=1e-7)
+    rows = factor.rows(x)
+    assert factor.rank < 150 and factor.error <= 1e-7
+    assert np.abs(rows @ rows.T - kernels.gaussian(x, x, 0.5)).max() < 1e-3 and np.mean(1 - (rows**2).sum(1)) < 1e-6
+    with pytest.raises(ArithmeticError):
+        kernels.pivoted(df, ["a", "b"], 200.0, error=1e-7, most=20)
+    assert kernels.pivoted(df.limit(0), ["a", "b"], 0.5).rank == 0
+
+
+def test_support_vectors_of_many_subjects(spark):
+    """20,000 subjects, for which a matrix of all pairs would be 3 GB."""
+    n = 20_000
+    subj = spark.range(n).selectExpr("id AS subject_id", "(id * 7919 % 20011) / 20011.0D AS dose")
+    obs = subj.selectExpr("subject_id", "1L AS voxel_id", "40 + sin(6 * dose) + (subject_id * 104729 % 1009) / 20180.0D AS value")
+    fit = svr.svr_fit(obs, subj, ["dose"], 1.0, 0.05, 0.5).toPandas().sort_values("subject_id")
+    x = np.array([k * 7919 % 20011 / 20011 for k in range(n)])[:, None]
+    x = (x - x.mean()) / x.std()
+    factor = kernels.with_pivots(x[:: n // 60], 0.5)
+    rows, a, b = factor.rows(x), fit.alpha.to_numpy(), fit.intercept.iloc[0]
+    y = obs.orderBy("subject_id").toPandas().value.to_numpy()
+    r = y - rows @ (rows.T @ a) - b
+    assert len(fit) == n and abs(a.sum()) < 2 and np.abs(r).max() < 0.12
+    assert (np.abs(a[np.abs(r) < 0.04]) < 1e-2).mean() > 0.99
 
 
 def test_too_many_subjects(study, monkeypatch):
-    monkeypatch.setattr(svr, "MOST_SUBJECTS", 10)
+    monkeypatch.setattr(svr, "MOST_NUMBERS", 10)
     with pytest.raises(ValueError):
         svr.svr_fit(study[1], study[0], ["age"], 1.0, 0.1)
 
@@ -182,7 +314,7 @@ def test_two_stage_support_vectors(study):
 
 def test_grid_search_of_polynomials(study):
     subj, obs, x, y = study
-    errors = {(r.iteration, r.combination): r.error for r in search.grid_search(obs, 2, 4, 0.0, lambda s: search.polynomial_scores(s, subj, "age", (1, 3))).collect()}
+    errors = {(r.iteration, r.combination): r.error for r in search.grid_search(obs, 2, 4, 0.0, lambda s: search.polynomial_errors(s, subj, "age", (1, 3))).collect()}
     for i in (1, 2):
         drawn = [r.voxel_id for r in search.sample_voxels(obs, 4, 0.0, i).collect()]
         for degree in (1, 3):
