@@ -16,7 +16,8 @@ import base64
 import binascii
 import json
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -43,8 +44,8 @@ TOKEN = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-
 #: Base64's two alphabets; a candidate is a maximal run of one of them.
 ALPHABETS = ("A-Za-z0-9+/", "A-Za-z0-9_-")
 BLOBS = [re.compile(f"[{x}]+={{0,2}}") for x in ALPHABETS]
-#: The end of a line in one alphabet, such lines with what follows them, and one of them.
-WRAPPED = [tuple(re.compile(p.encode()) for p in (rf"[{x}]+\Z", rf"[{x}]+(?:[ \t]*\r?\n[ \t]*[{x}]+)+={{0,2}}", f"[{x}]+")) for x in ALPHABETS]
+#: For each alphabet: its letters, lines of them with what follows, and one such line.
+WRAPPED = [(re.sub(rb"[^%s]" % x.encode(), b"", bytes(range(128))), *(re.compile(p.encode()) for p in (rf"[{x}]+(?:[ \t]*\r?\n[ \t]*[{x}]+)+={{0,2}}", f"[{x}]+"))) for x in ALPHABETS]
 ANY_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 #: A candidate has at least so many characters.
 LEAST_BLOB = 24
@@ -89,7 +90,7 @@ def _elements(data: bytes, at: int, end: int, depth: int = 0) -> list[tuple[int,
     return out
 
 
-def is_der_key(data: bytes) -> bool:
+def is_der_key(data: bytes | memoryview) -> bool:
     """A private key in DER: one sequence that fills the data and begins with a small version number,
     followed by the numbers of a key, an algorithm with its key, or an octet string."""
     outer = _elements(data, 0, len(data)) if data[:1] == b"\x30" else None
@@ -105,10 +106,10 @@ def is_der_key(data: bytes) -> bool:
     return tags[0] == 0x04 or tags[:2] == [0x30, 0x04] or len(tags) >= 5 and set(tags[:5]) == {0x02}
 
 
-def is_openssh_key(data: bytes) -> bool:
+def is_openssh_key(data: bytes | memoryview) -> bool:
     """The OpenSSH container: magic, then length-prefixed fields that stay inside the data."""
     magic = b"openssh-key-v1\0"
-    if not data.startswith(magic):
+    if data[: len(magic)] != magic:
         return False
     at = len(magic)
     for _ in range(3):
@@ -214,45 +215,62 @@ def _in_lines(data: bytes, start: int, end: int) -> tuple[list[tuple[int, int, i
     """(start, kind, end) in bytes of base64 that is wrapped over lines, the first of which ends the run of candidate
     characters data[start:end]; and where the lines end."""
     out, last = [], end
-    for tail, block, line in WRAPPED:
-        first = tail.search(data, start, end)
-        if not first or end - first.start() < LEAST_BLOB:
+    for letters, block, line in WRAPPED:
+        first = start + len(data[start:end].rstrip(letters))
+        if end - first < LEAST_BLOB:
             continue
-        m = block.match(data, first.start())
+        m = block.match(data, first)
         if not m:
             continue
         last = max(last, m.end())
-        lines = [(x.start(), x.end()) for x in line.finditer(data, m.start(), m.end())]
-        ends = lambda n: m.end() if n == len(lines) - 1 else lines[n][1]
-        k = 0
-        while k < len(lines) - 1:
-            n, kind = _joined(data, lines, k)
+        lines = _Lines(data, [(x.start(), x.end()) for x in line.finditer(data, m.start(), m.end())])
+        count, k = len(lines.spans), 0
+        while k < count - 1:
+            n, kind = lines.held(k)
             if kind:
-                out.append((lines[k][0], kind, ends(n)))
+                out.append((lines.spans[k][0], kind, m.end() if n == count - 1 else lines.spans[n][1]))
             k = n + 1 if kind else k + 1
     return out, last
 
 
-def _joined(data: bytes, lines: list[tuple[int, int]], k: int) -> tuple[int, int | None]:
-    """The last of the lines that hold a key or a secret together with line ``k``, its first, and the kind."""
-    decoded = lambda n: _unbase64(b"".join(data[a:b] for a, b in lines[k : n + 1]).decode()) or b""
-    a, b = lines[k]
-    head = _unbase64(data[a : a + min(24, (b - a) & ~3)].decode()) or b""
-    got = _length(head, 1) if head[:1] == b"\x30" else None
-    if got:  # the length says how many characters there are
-        left = -(-8 * sum(got) // 6)
-        for n in range(k, len(lines)):
-            left -= lines[n][1] - lines[n][0]
-            if left <= 0:
-                return n, 5 if left == 0 and n > k and is_der_key(decoded(n)) else None
-    # What follows the last line of a value may be a word of the text; a text is tried from the first line on.
-    if k == 0 or head.startswith(b"openssh-key-v1"):
-        for n in (len(lines) - 1, len(lines) - 2):
-            whole = decoded(n) if n > k else b""
-            kind = 5 if is_openssh_key(whole) else 6 if whole and _holds_secret(whole) else None
-            if kind:
-                return n, kind
-    return k, None
+class _Lines:
+    """Lines of one alphabet.  Their letters are decoded once for each of the four places that a line may begin at in a group of four."""
+
+    def __init__(self, data: bytes, spans: list[tuple[int, int]]):
+        self.spans = spans
+        self.letters = b"".join([data[a:b] for a, b in spans])
+        self.before = [0, *accumulate(b - a for a, b in spans)]
+        self._held: dict[int, memoryview] = {}
+
+    def decoded(self, k: int, n: int) -> memoryview:
+        """What lines k to n are, joined; nothing where so many letters can't be base64."""
+        a, b = self.before[k], self.before[n + 1]
+        if (b - a) % 4 == 1:
+            return memoryview(b"")
+        if a % 4 not in self._held:
+            rest = self.letters[a % 4 :].decode()
+            self._held[a % 4] = memoryview(_unbase64(rest + "A" * (-len(rest) % 4)) or b"")
+        return self._held[a % 4][a // 4 * 3 :][: (b - a) * 6 // 8]
+
+    def held(self, k: int) -> tuple[int, int | None]:
+        """The last of the lines that hold a key or a secret together with line ``k``, its first, and the kind."""
+        count = len(self.spans)
+        head = bytes(self.decoded(k, k)[:18]) or bytes(self.decoded(k, min(k + 1, count - 1))[:18])
+        got = _length(head, 1) if head[:1] == b"\x30" else None
+        if got:  # the length says how many letters there are
+            to = self.before[k] + -(-8 * sum(got) // 6)
+            n = bisect_left(self.before, to) - 1
+            if n < count:
+                return n, 5 if self.before[n + 1] == to and n > k and is_der_key(self.decoded(k, n)) else None
+        # What follows the last line of a value may be a word of the text; a text is tried from the first line on.
+        if k == 0 or head.startswith(b"openssh-key-v1"):
+            for n in (count - 1, count - 2):
+                whole = self.decoded(k, n) if n > k else b""
+                if is_openssh_key(whole):
+                    return n, 5
+                if k == 0 and whole and _holds_secret(bytes(whole)):
+                    return n, 6
+        return k, None
 
 
 def spans(text: str) -> list[tuple[str, int, int]]:

@@ -508,6 +508,19 @@ def test_token_headers():
         assert not [x for x in secrets.spans("a = " + bad) if x[0] == "token"]
 
 
+@pytest.mark.parametrize("text", ["a" * (1 << 20) + ".=\n" + "b" * 30 + "\n", "\n".join(["MIMP//94" + "eHh4" * 14] * (1 << 14)), "\n".join(["b3BlbnNzaC1rZXktdjFx" + "cXFx" * 11] * (1 << 14))])
+def test_wrapped_lines_take_linear_time(text):
+    """A run that one character ends before its line does, lines that each claim a long key, and lines that each begin one: a megabyte in two seconds."""
+    import time
+
+    best = float("inf")
+    for _ in range(3):
+        began = time.process_time()
+        secrets.spans(text)
+        best = min(best, time.process_time() - began)
+    assert best < 2
+
+
 def test_scan_of_a_long_run_is_linear():
     import time
 
