@@ -130,7 +130,7 @@ def _anchor_keys(texts: DataFrame, length: int) -> DataFrame:
 def _own(batch: pa.RecordBatch) -> pa.RecordBatch:
     """The rows with an id that aren't copies.  They are chosen here, not by a filter, which Spark would apply before the
     texts are dealt out: then each use would deal out texts of its own."""
-    return batch.filter(pc.and_(pc.is_valid(batch.column(0)), pc.invert(batch.column(2))))
+    return batches.unpacked(batch.filter(pc.and_(pc.is_valid(batch.column(0)), pc.invert(batch.column(2)))))
 
 
 def _extended_keys(texts: DataFrame, length: int) -> DataFrame:
@@ -138,8 +138,7 @@ def _extended_keys(texts: DataFrame, length: int) -> DataFrame:
 
     def run(it):
         for batch in it:
-            batch = _own(batch)
-            for part in batches.slices(batch.filter(pc.is_valid(batch.column(4)))):
+            for part in batches.slices(_own(batch.filter(pc.is_valid(batch.column(4))))):
                 words = Words(part.column(1))
                 h, inside = words.windows(length)
                 _, _, least = words.anchors(length)
@@ -155,15 +154,15 @@ def _with_keys(texts: DataFrame, keys: DataFrame, *sets) -> DataFrame:
 
 
 def _shuffled(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text, copy, shared): the texts dealt out by id once; every later join by id reuses that exchange.
+    """(doc_id, text, copy, shared): the texts, compressed, dealt out by id once; every later join by id reuses that exchange.
     copy: an equal text has a smaller id.  shared: an equal text has another id."""
-    rows = batches.by_id_text(df, id_col, text_col)
-    marks = rows.where("doc_id is not null").select("doc_id", F.md5("text").alias("mark"))
+    rows = batches.by_id_text(df, id_col, text_col).withColumn("mark", F.unhex(F.md5("text")))
+    marks = rows.where("doc_id is not null").select("doc_id", "mark")
     groups = _repeated(marks, "mark")
     later = F.when(F.col("first_id") < F.col("doc_id"), F.col("mark"))
     copies = marks.join(groups, "mark").groupBy("doc_id").agg(F.collect_set("mark").alias("marks"), F.collect_set(later).alias("later"))
-    held = lambda of: F.coalesce(F.array_contains(of, F.md5("text")), F.lit(False)).alias
-    return rows.repartition("doc_id").join(copies, "doc_id", "left").select("doc_id", "text", held("later")("copy"), held("marks")("shared"))
+    held = lambda of: F.coalesce(F.array_contains(of, F.col("mark")), F.lit(False)).alias
+    return batches.packed(rows).repartition("doc_id").join(copies, "doc_id", "left").select("doc_id", "text", held("later")("copy"), held("marks")("shared"))
 
 
 def _level(texts: DataFrame, length: int) -> DataFrame:
@@ -191,7 +190,7 @@ def _removed(df: DataFrame, length: int, id_col: str, text_col: str, column: str
 
     def run(it):
         for batch in it:
-            for part in batches.slices(batch):
+            for part in batches.slices(batches.unpacked(batch)):
                 words = Words(part.column(1))
                 h, inside = words.windows(length)
                 rows = words.row[: len(h)]
