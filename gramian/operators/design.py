@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gramian.operators.windows import quantile, value_counts
+
 CORRECTOR, PREDICTOR = "corrector", "predictor"
 
 
@@ -203,10 +205,10 @@ def standard_scale(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def _knots(df: DataFrame, feature: str, count: int) -> tuple[list[float], float, float]:
-    """Interior knots at equal shares of the values, and the ends."""
-    shares = [(k + 1) / (count + 1) for k in range(count)]
-    row = df.agg(F.min(feature), F.max(feature), *([F.percentile(feature, F.array(*map(F.lit, shares)))] if shares else [])).first()
-    return list(row[2]) if shares else [], float(row[0]), float(row[1])
+    """Interior knots at equal shares of the values, read at their ranks, and the ends."""
+    counts = value_counts(df.where(F.col(feature).isNotNull()).select(F.col(feature).cast("double").alias(feature)), feature)
+    row = counts.agg(F.min(feature), F.max(feature), *[quantile(feature, (k + 1) / (count + 1)) for k in range(count)]).first()
+    return list(row[2:]), float(row[0]), float(row[1])
 
 
 def bspline_basis(df: DataFrame, feature: str, df_terms: int, role: str = PREDICTOR) -> Design:

@@ -4,23 +4,66 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gramian.functions.distributions import normal_quantile, normal_quantile_column
-from gramian.operators.graph import components
-from gramian.operators.windows import numbered_groups, order_statistic
+from gramian.operators.graph import components, least_labels
+from gramian.operators.windows import numbered, order_statistic
+from gramian.runtime import cut
+
+
+def _forward() -> list[tuple[int, int, int]]:
+    """Half of the 26 directions."""
+    return [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) > (0, 0, 0)]
 
 
 def neighbours(voxels: DataFrame) -> DataFrame:
     """(src, dst): pairs among ``voxels`` that touch by a face, an edge or a corner; thirteen of the 26 directions, each an equi-join."""
-    offsets = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) > (0, 0, 0)]
-    steps = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("dx", "dy", "dz"), o)]) for o in offsets])
+    steps = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("dx", "dy", "dz"), o)]) for o in _forward()])
     moved = voxels.select(F.col("voxel_id").alias("src"), "x", "y", "z", F.explode(steps).alias("o"))
     moved = moved.select("src", *[(F.col(a) + F.col(f"o.d{a}")).alias(a) for a in "xyz"])
     return moved.join(voxels.select(F.col("voxel_id").alias("dst"), "x", "y", "z"), ["x", "y", "z"]).select("src", "dst")
 
 
+#: Voxels along each side of a block, which one task labels, and edges between blocks that one task joins.
+SIDE, FEW_EDGES = 32, 200_000
+
+
+def _block_labels(rows: pd.DataFrame) -> pd.DataFrame:
+    """The voxels of one block with the smallest voxel of each one's cluster inside the block."""
+    side = SIDE + 2
+    place = ((rows["x"].to_numpy() % SIDE + 1) * side + rows["y"].to_numpy() % SIDE + 1) * side + rows["z"].to_numpy() % SIDE + 1
+    places, at = np.unique(place, return_inverse=True)
+    where = np.full(side**3, -1)
+    where[places] = np.arange(len(places))
+    pairs = [(np.arange(len(places)), where[places + (dx * side + dy) * side + dz]) for dx, dy, dz in _forward()]
+    a, b = (np.concatenate([p[k][p[1] >= 0] for p in pairs]) for k in (0, 1))
+    label = least_labels(len(places), a, b)
+    ids, alone = rows["voxel_id"].to_numpy(), np.bincount(label, minlength=len(places)) == 1
+    least = np.full(len(places), np.iinfo(np.int64).max)
+    np.minimum.at(least, label[at], ids)
+    # Voxels that share a place touch by way of others only.
+    return rows[["voxel_id", "x", "y", "z"]].assign(label=np.where(alone[label[at]], ids, least[label[at]]))
+
+
+def cluster_components(voxels: DataFrame) -> DataFrame:
+    """(voxel_id, component): the smallest voxel of each one's 26-connected cluster.
+
+    Blocks of SIDE voxels a side are labelled each in one task; then labels that touch across the borders of blocks are joined, so
+    that what is shuffled after the blocks are made are voxels at borders and edges between labels.
+    """
+    whole = voxels.select(*[F.col(c).cast("long").alias(c) for c in ("voxel_id", "x", "y", "z")])
+    block = [F.floor(F.col(c) / SIDE).alias(f"b{c}") for c in "xyz"]
+    labelled = cut(whole.groupBy(*block).applyInPandas(_block_labels, "voxel_id long, x long, y long, z long, label long"))
+    edge = reduce(lambda a, b: a | b, [F.pmod(F.col(c), F.lit(SIDE)).isin(0, SIDE - 1) for c in "xyz"])
+    touching = neighbours(labelled.where(edge).select(F.col("label").alias("voxel_id"), "x", "y", "z")).where("src <> dst").distinct()
+    joined = components(touching, small=FEW_EDGES)
+    return labelled.join(joined, F.col("label") == F.col("node"), "left").select("voxel_id", F.coalesce("component", "label").alias("component"))
+
+
 def clusterize(df: DataFrame, lower: float | None = None, upper: float | None = None, min_size: int = 1, default: float = 0.0) -> DataFrame:
     """(voxel_id, value, label): voxels with lower <= value < upper in 26-connected clusters of ``min_size`` or more, the rest
     with the default and label 0; labels from 1 by the smallest voxel.  Without bounds everything is one cluster."""
@@ -29,11 +72,11 @@ def clusterize(df: DataFrame, lower: float | None = None, upper: float | None =
     inside = F.lit(True)
     inside = inside & (F.col("value") >= lower) if lower is not None else inside
     inside = inside & (F.col("value") < upper) if upper is not None else inside
-    kept = df.where(inside)
-    found = kept.select(F.col("voxel_id").alias("node")).join(components(neighbours(kept)), "node", "left").select(F.col("node").alias("voxel_id"), F.coalesce("component", "node").alias("component"))
+    found = cut(cluster_components(df.where(inside)))
     large = found.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") >= min_size)
-    found = found.join(large, "component").select("voxel_id", "component")
-    labelled = found.join(numbered_groups(found, "component", "voxel_id"), "component").select("voxel_id", F.col("number").alias("label"))
+    # A component is named after its smallest voxel.
+    numbers = numbered(large.select("component"), F.col("component"), as_number="label")
+    labelled = found.join(numbers, "component").select("voxel_id", "label")
     out = df.select("voxel_id", "value").join(labelled, "voxel_id", "left")
     return out.select("voxel_id", F.when(F.col("label").isNotNull(), F.col("value")).otherwise(F.lit(default)).alias("value"), F.coalesce("label", F.lit(0)).cast("long").alias("label"))
 

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gramian.operators.windows import ranked
+from gramian.operators.windows import quantile, same_keys, value_counts
 
 
 def histogram(df: DataFrame, col: str, low: float, high: float, bins: int) -> DataFrame:
@@ -32,19 +31,13 @@ def density2d(df: DataFrame, x: str, y: str, grid: DataFrame, bx: float, by: flo
 
 def box_stats(df: DataFrame, col: str, by: list[str] | None = None) -> DataFrame:
     """(by, q1, median, q3, low, high, outliers): quartiles, whiskers at the last values within 1.5 quartile distances, and
-    how many lie beyond.  Quartiles are read at their ranks, so no task holds a group's values."""
+    how many lie beyond.  The table is read once, to count its values; quartiles are read at their ranks among the counts."""
     by = by or []
-    sizes = df.where(F.col(col).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("__size"))
-    placed = ranked(df.where(F.col(col).isNotNull()).select(*by, col), col, "__rank", by)
-    placed = placed.join(sizes, by) if by else placed.crossJoin(F.broadcast(sizes))
-    parts = []
-    for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3")):
-        at = (F.col("__size") - 1) * p
-        # The two values around the place, weighted by how near they are.
-        parts.append(F.sum(F.greatest(F.lit(0.0), 1 - F.abs(F.col("__rank") - 1 - at)) * F.col(col)).alias(n))
-    middle = reduce(lambda a, b: a | b, [F.abs(F.col("__rank") - 1 - (F.col("__size") - 1) * p) < 1 for p in (0.25, 0.5, 0.75)])
-    q = placed.where(middle).groupBy(*by).agg(*parts)
-    rows = df.select(*by, col).join(q, by) if by else df.select(col).crossJoin(F.broadcast(q))
+    counts = value_counts(df.where(F.col(col).isNotNull()).select(*by, col), col, by)
+    q = counts.groupBy(*by).agg(*[quantile(col, p).alias(n) for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
+    q = q.select(*[F.col(k).alias(f"__{k}") for k in by], "q1", "median", "q3")
+    rows = counts.join(q, same_keys(by)) if by else counts.crossJoin(F.broadcast(q))  # one row
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col(col).between(F.col("q1") - reach, F.col("q3") + reach)
-    return rows.groupBy(*by, "q1", "median", "q3").agg(F.min(F.when(inside, F.col(col))).alias("low"), F.max(F.when(inside, F.col(col))).alias("high"), F.count_if(~inside).alias("outliers"))
+    out = rows.groupBy(*by, "q1", "median", "q3").agg(F.min(F.when(inside, F.col(col))).alias("low"), F.max(F.when(inside, F.col(col))).alias("high"), F.sum(F.when(inside, 0).otherwise(F.col("n"))).alias("outliers"))
+    return out.where("q1 is not null")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramian.operators.windows import ranked
+from gramian.operators.windows import numbered
 
 
 def read_metadata(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
@@ -27,7 +27,9 @@ def typed_rows(df: DataFrame, fields: dict[str, str]) -> DataFrame:
 def row_slice(df: DataFrame, order: str | Column, start: int, end: int) -> DataFrame:
     """Rows start (0-based) to end, exclusive, by ``order``; numbered range by range, so a slice deep in a large sheet is no task's alone."""
     key = F.col(order) if isinstance(order, str) else order
-    return ranked(df.withColumn("__order", key), "__order", "__rank").where((F.col("__rank") > start) & (F.col("__rank") <= end)).select(*df.columns)
+    # Rows of one key are dealt out by what else they hold.
+    placed = numbered(df.withColumn("__order", key), F.col("__order"), F.xxhash64(*df.columns), as_number="__rank")
+    return placed.where((F.col("__rank") > start) & (F.col("__rank") <= end)).select(*df.columns)
 
 
 def subject_table(df: DataFrame, id_field: str, category: str | None, predictors: list[str], correctors: list[str], folder: str = "", extension: str = "") -> DataFrame:

@@ -346,13 +346,14 @@ def test_latent_effects_against_numpy(study):
 
 def test_box_stats_and_slices_by_ranks(spark):
     rng = random.Random(5)
-    rows = [(rng.choice("ab"), float(rng.randrange(40)), k) for k in range(301)] + [("c", 7.0, 400), ("a", None, 401)]
+    rows = [(rng.choice("ab"), float(rng.randrange(40)), k) for k in range(301)] + [("c", 7.0, 400), ("a", None, 401), (None, 3.0, 402), (None, 9.0, 403), ("d", None, 404)]
     df = spark.createDataFrame(rows, "flag string, price double, k long")
     for r in summary.box_stats(df, "price", ["flag"]).collect():
         v = np.array([x[1] for x in rows if x[0] == r.flag and x[1] is not None])
         q = np.percentile(v, [25, 50, 75])
         inside = v[(v >= q[0] - 1.5 * (q[2] - q[0])) & (v <= q[2] + 1.5 * (q[2] - q[0]))]
         assert np.allclose([r.q1, r.median, r.q3, r.low, r.high, r.outliers], [*q, inside.min(), inside.max(), len(v) - len(inside)])
+    assert {r.flag for r in summary.box_stats(df, "price", ["flag"]).collect()} == {"a", "b", "c", None}
     assert [r.k for r in metadata.row_slice(df, "k", 290, 303).orderBy("k").collect()] == sorted(x[2] for x in rows)[290:303]
     assert metadata.row_slice(df.limit(0), "k", 0, 5).count() == 0
 
@@ -403,6 +404,68 @@ def test_strong_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 7: 7, 8: 8}
 
 
+def brute_strong(edges):
+    """By reach of every node from every other."""
+    nodes = sorted({x for e in edges for x in e})
+    out = {a: [b for x, b in edges if x == a] for a in nodes}
+
+    def reach(a):
+        seen, todo = {a}, [a]
+        while todo:
+            for b in out[todo.pop()]:
+                if b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        return seen
+
+    r = {a: reach(a) for a in nodes}
+    return {a: min(b for b in r[a] if a in r[b]) for a in nodes}
+
+
+@pytest.mark.parametrize("seed, n, m, small", [(0, 30, 30, 0), (1, 40, 55, 1000), (3, 60, 66, 20), (4, 12, 60, 1000)])
+def test_strong_components_of_random_graphs(spark, seed, n, m, small):
+    rng = random.Random(seed)
+    edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]
+    edges += [(100 + k, 101 + k) for k in range(9)] + [(109, 103), (200, 201), (201, 202), (202, 200), (203, 201), (199, 203), (rng.randrange(n), 100), (105, rng.randrange(n))]
+    got = dict(map(tuple, graph.strong_components(spark.createDataFrame(edges, "src long, dst long"), small=small).collect()))
+    assert got == brute_strong(edges)
+
+
+def test_strong_components_of_long_paths(spark):
+    """A path of 10,000 nodes, one there and back, and a circle with a tail: few jobs, and few doublings where edges aren't left to one task."""
+    tracker = spark.sparkContext.statusTracker()
+    n = 10_000
+    path = spark.range(n - 1).selectExpr("id AS src", "id + 1 AS dst")
+    spark.sparkContext.setJobGroup("path", "path")
+    assert graph.strong_components(path).where("node <> component").count() == 0
+    jobs = len(tracker.getJobIdsForGroup("path"))
+    spark.sparkContext.setJobGroup("rest", "rest")
+    assert jobs <= 60, jobs
+    levels, ways = graph._doubled(path.selectExpr("src AS v", "dst AS to"))
+    assert len(levels) <= 15 and ways.where("not done or to <> 9999").count() == 0
+    both = path.unionAll(path.select("dst", "src"))
+    assert graph.strong_components(both, small=0).where("component <> 0").count() == 0
+    circle = spark.range(400).selectExpr("id + 5 AS src", "(id + 1) % 400 + 5 AS dst").unionAll(spark.range(3000, 3100).selectExpr("id AS src", "IF(id = 3099, 77L, id + 1) AS dst"))
+    for small in (0, graph.SMALL):
+        found = graph.strong_components(circle, small=small)
+        assert found.where("component = 5").count() == 400 and found.where("node = component").count() == 101
+
+
+def test_clusters_over_blocks(spark, monkeypatch):
+    """Random voxels, also at negative places and with a place taken twice, in blocks of 4 and of 32, against edges between all neighbours."""
+    rng = random.Random(9)
+    spots = sorted({(rng.randrange(-6, 7), rng.randrange(-6, 7), rng.randrange(-6, 7)) for _ in range(260)})
+    rows = [(k * 7 % 1009, *s) for k, s in enumerate(spots)] + [(2000, *spots[3]), (2001, 90, 90, 90), (2002, 90, 90, 90)]
+    df = spark.createDataFrame(rows, "voxel_id long, x int, y int, z int")
+    want = dict(map(tuple, graph.components(maps.neighbours(df)).collect()))
+    want = {r[0]: want.get(r[0], r[0]) for r in rows}
+    for side in (4, 32):
+        monkeypatch.setattr(maps, "SIDE", side)
+        assert dict(map(tuple, maps.cluster_components(df).collect())) == want
+    monkeypatch.setattr(maps, "FEW_EDGES", 0)
+    assert dict(map(tuple, maps.cluster_components(df).collect())) == want
+
+
 def test_clusters(spark):
     rows = [(k, k // 25, k // 5 % 5, k % 5, 1.0 if k in (0, 1, 31, 124) else 0.0) for k in range(125)]
     df = spark.createDataFrame(rows, "voxel_id long, x int, y int, z int, value double")
@@ -419,6 +482,22 @@ def test_ranks_over_ranges(spark):
     assert got == sorted(values)
 
 
+def test_ranks_of_a_column_of_zeros(spark):
+    """19,000 of 20,000 rows have one value; no task gets them."""
+    df = spark.range(20_000).selectExpr("CASE WHEN id % 20 = 0 THEN CAST(id AS DOUBLE) ELSE 0D END AS v", "CASE WHEN id % 3 = 0 THEN NULL ELSE id % 3 END AS g")
+    counts = windows.value_counts(df, "v", ["g"])
+    assert counts.count() < 1100 and {(r.g, r.size) for r in counts.select("g", "size").distinct().collect()} == {(None, 6667), (1, 6667), (2, 6666)}
+    ranks = windows.sorted_values(df, ["v"])
+    assert max(r[0] for r in ranks.groupBy(fc.F.spark_partition_id()).count().select("count").collect()) < 12_000
+    values = sorted(float(k) if k % 20 == 0 else 0.0 for k in range(20_000))
+    assert [r.v for r in ranks.orderBy("rank").collect()] == values
+    assert windows.order_statistic(df, 0.96, "v").first().threshold == values[19_199]
+    q = counts.groupBy("g").agg(windows.quantile("v", 0.97).alias("q")).collect()
+    for r in q:
+        own = [float(k) if k % 20 == 0 else 0.0 for k in range(20_000) if (k % 3 or None) == r.g]
+        assert np.isclose(r.q, np.percentile(own, 97))
+
+
 def test_local_regression_of_a_line(spark):
     df = spark.createDataFrame([(float(k), 3.0 * k + 1) for k in range(50)], "x double, y double")
     grid = spark.createDataFrame([(g,) for g in (5.0, 20.5, 40.0)], "g double")
