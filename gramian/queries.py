@@ -277,7 +277,16 @@ def j7(spark, d):
     return maps.neighbours(fx.grid_map(spark, d)).select(F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi"))
 
 
-_PERM = "perm AS (SELECT p.perm_id, p.subject_id, q.subject_id AS source FROM (SELECT subject_id, i AS perm_id, row_number() OVER (PARTITION BY i ORDER BY subject_id) AS n FROM subj, range(1, {n} + 1) t(i)) p JOIN (SELECT subject_id, i AS perm_id, row_number() OVER (PARTITION BY i ORDER BY (subject_id * 7919 * (i * 2 + 1) + i * 104729) % 1000003, subject_id) AS n FROM subj, range(1, {n} + 1) t(i)) q USING (perm_id, n))"
+_M = 2147483647
+#: Places of subjects (from 0) under keyed bijections: in each turn a place and its partner change or don't.
+_PERM = (
+    "nn AS (SELECT count(*) AS n, CAST(6*ceil(log2(count(*))) AS BIGINT) AS turns FROM subj), pl AS (SELECT subject_id, row_number() OVER (ORDER BY subject_id) - 1 AS place FROM subj), "
+    "sw AS (SELECT i AS perm_id, place AS start, place AS x, 1::BIGINT AS r FROM pl, range(1, {n} + 1) t(i) UNION ALL "
+    f"SELECT perm_id, start, CASE WHEN (((t*t) % {_M} + h*16807 + r*7919) % {_M})*(((t*t) % {_M} + h*16807 + r*7919) % {_M}) % {_M} % 2 = 1 THEN o ELSE x END, r + 1 FROM ("
+    f"SELECT *, (h*48271 + r*69621 + perm_id*40692 + 1) % {_M} AS t FROM (SELECT *, greatest(x, o) AS h FROM (SELECT *, (k + n - x) % n AS o FROM ("
+    f"SELECT sw.*, n, (((r*69621 + perm_id*40692 + 12345) % {_M})*((r*69621 + perm_id*40692 + 12345) % {_M}) % {_M} * 48271 + r) % {_M} % n AS k FROM sw, nn WHERE r <= turns))))), "
+    "perm AS (SELECT sw.perm_id, a.subject_id, b.subject_id AS source FROM sw JOIN nn ON r = turns + 1 JOIN pl a ON a.place = start JOIN pl b ON b.place = x)"
+)
 
 
 @query("j8_permuted_subjects", with_sql("subj", _PERM.format(n=3)) + "SELECT perm_id, subject_id, source FROM perm")
@@ -643,7 +652,7 @@ _PLS = with_sql("subj", "obs", _D, "c AS (SELECT d.voxel_id, d.subject_id, value
 
 @query("g20_pls_fit", _PLS + "SELECT voxel_id, round(mean, 4) AS mean, " + ", ".join(f"round(w_{f}, 4) AS rot_0_{f}, round(w_{f}*q, 4) AS coef_{f}" for f in _X) + " FROM w JOIN q USING (voxel_id)")
 def g20(spark, d):
-    return rounded(pls.pls_fit(fx.observations(spark, d), fx.subjects(spark, d), _X, 1), 4)
+    return rounded(pls.pls_fit(fx.observations(spark, d), fx.subjects(spark, d), _X, 1), 4).drop(*[f"at_{f}" for f in _X])
 
 
 def _pls_two_sql() -> str:
@@ -666,7 +675,7 @@ def _pls_two_sql() -> str:
 
 @query("g20_pls_fit_two", _pls_two_sql())
 def g20b(spark, d):
-    return rounded(pls.pls_fit(fx.observations(spark, d), fx.subjects(spark, d), _X, 2), 4)
+    return rounded(pls.pls_fit(fx.observations(spark, d), fx.subjects(spark, d), _X, 2), 4).drop(*[f"at_{f}" for f in _X])
 
 
 def _pls(spark, d):
@@ -934,6 +943,27 @@ def l2(spark, d):
     return out.select("voxel_id", F.round("strength", 5).alias("strength"), F.round("p", 4).alias("p"))
 
 
+def _two_components_sql() -> str:
+    """Effects of two components in every permutation, from X'y and X'X: the second of what the first has left."""
+    head = _PERMUTED[: _PERMUTED.index(", st AS (")]
+    steps = [
+        "k1 AS (SELECT *, sqrt(s1*s1 + s2*s2) AS w FROM s, xx)",
+        "k2 AS (SELECT *, s1/w AS r1, s2/w AS r2 FROM k1)",
+        "k3 AS (SELECT *, r1*r1*a + 2*r1*r2*b + r2*r2*c AS tt, r1*s1 + r2*s2 AS tu FROM k2)",
+        "k4 AS (SELECT *, s1 - tu/tt*(a*r1 + b*r2) AS d1, s2 - tu/tt*(b*r1 + c*r2) AS d2 FROM k3)",
+        "k5 AS (SELECT *, d1/sqrt(d1*d1 + d2*d2) AS u1, d2/sqrt(d1*d1 + d2*d2) AS u2 FROM k4)",
+        "k6 AS (SELECT *, u1 - r1*(a*r1*u1 + b*(r1*u2 + r2*u1) + c*r2*u2)/tt AS v1, u2 - r2*(a*r1*u1 + b*(r1*u2 + r2*u1) + c*r2*u2)/tt AS v2 FROM k5)",
+        "st AS (SELECT perm_id, voxel_id, 0 AS component, tu/(n - 1)/(sqrt(tt/n)*sd) AS strength FROM k6 UNION ALL SELECT perm_id, voxel_id, 1, (v1*s1 + v2*s2)/(n - 1)/(sqrt((v1*v1*a + 2*v1*v2*b + v2*v2*c)/n)*sd) FROM k6)",
+    ]
+    return head + ", " + ", ".join(steps) + " SELECT b.voxel_id, CAST(b.component AS BIGINT) AS component, round(a.strength, 5) AS strength, round(avg(CASE WHEN b.strength > a.strength*(1 + sign(a.strength)*1e-12) THEN 1.0 ELSE 0.0 END), 4) AS p FROM st a JOIN st b ON a.voxel_id = b.voxel_id AND a.component = b.component AND a.perm_id = 0 AND b.perm_id > 0 GROUP BY b.voxel_id, b.component, a.strength"
+
+
+@query("l2_permutation_p_two", _two_components_sql())
+def l2b(spark, d):
+    out = pls.permutation_p(fx.observations(spark, d), fx.subjects(spark, d), ["age", "biomarker"], 20, components=2)
+    return rounded(out, 5).withColumn("p", F.round("p", 4))
+
+
 @query("l3_effect_type", _PLS + " UNION ALL ".join(f"SELECT voxel_id, '{f}' AS predictor, round(w_{f}, 4) AS rotation FROM w" for f in _X))
 def l3(spark, d):
     return rounded(pls.effect_type(_pls(spark, d)[2], 0, _X), 4)

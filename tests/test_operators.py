@@ -322,26 +322,61 @@ def test_grid_search_of_polynomials(study):
             assert np.isclose(errors[i, degree], sum(np.mean((y[:, v] - f) ** 2) / y[:, v].var() for v, f in zip(drawn, fits)), rtol=1e-4)
 
 
-def test_latent_effects_against_numpy(study):
+def test_keyed_bijections(spark):
+    """Every size gives permutations, different ones for different keys, the same in columns and arrays; the inverse goes back."""
+    for n in (1, 2, 3, 7, 40, 501):
+        keys = np.arange(1, 60)
+        p = pls.permuted_places(n, keys)
+        assert (np.sort(p, axis=0) == np.arange(n)[:, None]).all()
+        back = pls.permuted_places(n, keys, inverse=True)
+        assert all((back[p[:, k], k] == np.arange(n)).all() for k in range(len(keys)))
+        assert n < 40 or len({tuple(c) for c in p.T}) == len(keys)
+    spread = pls.permuted_places(50, np.arange(1, 4001))[7]
+    assert (np.abs(np.bincount(spread, minlength=50) - 80) < 60).all()
+    ids = [10, 3, 77, 5, 21, 4, 900]
+    got = {(r.perm_id, r.subject_id): r.source for r in pls.permutations(spark.createDataFrame([(k,) for k in ids], "subject_id long"), 4).collect()}
+    p, order = pls.permuted_places(7, np.arange(1, 5)), sorted(ids)
+    assert got == {(k, order[i]): order[p[i, k - 1]] for i in range(7) for k in range(1, 5)}
+    assert pls.permutations(spark.createDataFrame([], "subject_id long"), 2).count() == 0
+
+
+def test_latent_effects_against_numpy(spark, study):
+    """All components, with observations missing; each permutation is fitted anew."""
     subj, obs, x, y = study
-    got = {r.voxel_id: r for r in pls.evaluate_latent(obs, subj, ["age", "biomarker"], 15, 0.0).collect()}
-    z = x[:, [0, 2]] - x[:, [0, 2]].mean(0)
-    order = {p: sorted(range(40), key=lambda s: ((s * 7919 * (p * 2 + 1) + p * 104729) % 1_000_003, s)) for p in range(1, 16)}
-
-    def strength(values):
-        w = z.T @ values
-        t = z @ (w / np.linalg.norm(w))
-        return (t @ (values - values.mean())) / 39 / (t.std() * values.std())
+    some = obs.where("voxel_id <> 2 or subject_id <> 5").withColumn("value", fc.F.when(fc.F.expr("voxel_id <> 3 or subject_id > 8"), fc.F.col("value")))
+    features, n = ["age", "biomarker"], 15
+    got = {(r.voxel_id, r.component): r for r in pls.evaluate_latent(some, subj, features, n, -1e9, components=2).collect()}
+    fits = {r.voxel_id: r for r in pls.pls_fit(some, subj, features, 2).collect()}
+    u = {(r.voxel_id, r.subject_id): r for r in pls.pls_transform(some, subj, features, pls.pls_fit(some, subj, features, 2), 2).collect()}
+
+    def effects(z, values):
+        """By deflating the features themselves."""
+        left, out, scores = z.copy(), [], []
+        for _ in range(2):
+            w = left.T @ values
+            w /= np.linalg.norm(w)
+            t = left @ w
+            left = left - np.outer(t, left.T @ t / (t @ t))
+            out.append((t @ (values - values.mean())) / (len(values) - 1) / (t.std() * values.std()))
+            scores.append(t)
+        return out, scores
 
     for v in range(6):
-        r = got[v]
-        if y[:, v].mean() < 0:
-            assert (r.strength, r.p, r.rot_age) == (0.0, 1.0, 0.0)
-            continue
-        assert np.isclose(r.strength, strength(y[:, v]))
-        assert np.isclose(r.p, np.mean([strength(y[order[p], v]) > strength(y[:, v]) for p in order]))
-        w = z.T @ y[:, v]
-        assert np.allclose([r.rot_age, r.rot_biomarker], w / np.linalg.norm(w))
+        at = [k for k in range(40) if not (v == 2 and k == 5 or v == 3 and k <= 8)]
+        z, values = x[at][:, [0, 2]], y[at, v]
+        z = z - z.mean(0)
+        seen, scores = effects(z, values)
+        places = pls.permuted_places(len(at), np.arange(1, n + 1))
+        drawn = [effects(z, values[places[:, k]])[0] for k in range(n)]
+        for c in range(2):
+            r = got[v, c]
+            assert np.isclose(r.strength, seen[c]) and np.isclose(r.p, np.mean([d[c] > seen[c] for d in drawn]))
+            assert np.allclose([u[v, k][f"t_{c}"] for k in at], scores[c], atol=1e-6)
+        w = z.T @ values
+        assert np.allclose([got[v, 0].rot_age, got[v, 0].rot_biomarker], w / np.linalg.norm(w))
+        line = np.linalg.lstsq(z, values - values.mean(), rcond=None)[0]
+        assert np.allclose([fits[v].coef_age, fits[v].coef_biomarker], line) and np.isclose(fits[v].mean, values.mean())
+    assert {(r.strength, r.p, r.rot_age) for r in pls.evaluate_latent(obs, subj, features, 3, 1e9).collect()} == {(0.0, 1.0, 0.0)}
 
 
 def test_box_stats_and_slices_by_ranks(spark):
