@@ -46,8 +46,8 @@ PROBE_COST, CANDIDATE_COST = 1.0, 0.02
 SAMPLE = 1024
 #: A component of so many fingerprints is large.
 LARGE = 64
-#: A table of so many rows is sent to all tasks.
-FEW = 10_000
+#: A table of so many rows is sent to all tasks; of a few numbers a row, so many.
+FEW, MOST_SENT = 10_000, 1 << 20
 #: A fingerprint of a crowded bucket is linked by way of so many values within distance/2 bits at most.
 MOST_NEIGHBOURS = 5000
 _ODD = 0x9E3779B97F4A7C15
@@ -92,9 +92,15 @@ def _fingerprints(df: DataFrame, words: int, width: int, id_col: str, text_col:
                 fp = [fingerprint((t or "").encode().lower(), words, width) for t in part.column(1).to_pylist()]
                 flat = pa.array(np.concatenate(fp).view(np.int64))
                 column = flat if width == 1 else pa.ListArray.from_arrays(pa.array(np.arange(len(fp) + 1, dtype=np.int32) * width), flat)
-                yield pa.record_batch([part.column(0), column], names=["doc_id", "fp"])
+                yield pa.record_batch([part.column(0), column, *part.columns[2:]], names=["doc_id", "fp", *part.schema.names[2:]])
 
-    return batches.by_id_text(df, id_col, text_col).mapInArrow(run, schema)
+    rows = batches.by_id_text(df, id_col, text_col)
+    return (rows if width == 1 else _marked(rows)).mapInArrow(run, schema)
+
+
+def _marked(rows: DataFrame) -> DataFrame:
+    """``rows`` with a hash of the text, by which a text is found again."""
+    return rows.withColumn("mark", F.xxhash64("text"))
 
 
 def fingerprints(df: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -103,8 +109,8 @@ def fingerprints(df: DataFrame, words: int = 4, id_col: str = "doc_id", text_col
 
 
 def wide_fingerprints(df: DataFrame, words: int = 5, width: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp array<long>) of every whole text, ``width`` (two or more) words of 64 bits each."""
-    return _fingerprints(df, words, width, id_col, text_col, "doc_id long, fp array<long>")
+    """(doc_id, fp array<long>, mark) of every whole text, ``width`` (two or more) words of 64 bits each; mark: a hash of the text."""
+    return _fingerprints(df, words, width, id_col, text_col, "doc_id long, fp array<long>, mark long")
 
 
 @dataclass(frozen=True)
@@ -349,15 +355,50 @@ def _at_most(similarity: float, bits: int, deviations: float) -> int:
     return int(p * bits + deviations * math.sqrt(p * (1 - p) * bits))
 
 
-def similar_links(values: DataFrame, width: int, similarity: float, recall: float) -> DataFrame:
+class Shingles:
+    """Holds pairs of nodes against the sets of shingles of their texts.  ``values``: (node, first_id, mark), the document of each node; the sets are 32-bit
+    hashes, made for nodes that stand in a pair only."""
+
+    def __init__(self, docs: DataFrame, words: int, similarity: float, values: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
+        self.rows = _marked(batches.by_id_text(docs, id_col, text_col))
+        self.words, self.similarity, self.values = words, similarity, values.select("node", "first_id", "mark")
+
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """(node, shingles array<int>)."""
+        words = self.words
+
+        def run(it):
+            for batch in it:
+                for part in batches.slices(batch):
+                    found = [np.unique(_shingle_hashes((t or "").encode().lower(), words).astype(np.uint32)).view(np.int32) for t in part.column(1).to_pylist()]
+                    yield pa.record_batch([part.column(0), pa.array(found, pa.list_(pa.int32()))], names=["node", "shingles"])
+
+        asked = cut(self.values.join(nodes, "node"))
+        n = asked.count()
+        same = (self.rows["mark"] == asked["mark"]) & self.rows["doc_id"].eqNullSafe(asked["first_id"])
+        met = self.rows.join(F.broadcast(asked) if n <= MOST_SENT else asked, same).select("node", "text")
+        out = cut(met.mapInArrow(run, "node long, shingles array<int>"))
+        return out if out.count() == n else cut(out.dropDuplicates(["node"]))  # rows that repeat id and text
+
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """The (src, dst) of ``pairs`` whose sets have the similarity."""
+        pairs = cut(pairs.select("src", "dst").distinct())
+        sets = self.sets(pairs.select(F.col("src").alias("node")).unionAll(pairs.select("dst")).distinct())
+        both = pairs.join(sets.toDF("src", "a"), "src").join(sets.toDF("dst", "b"), "dst")
+        shared = F.size(F.array_intersect("a", "b"))
+        return both.where(shared * (1 + self.similarity) >= self.similarity * (F.size("a") + F.size("b"))).select("src", "dst")
+
+
+def similar_links(values: DataFrame, width: int, similarity: float, recall: float, shingles: Shingles | None = None) -> DataFrame:
     """(src, dst): nodes to connect; ``values``: (node long, fp array<long>), written down.  First every fingerprint is
-    held against the first of each bucket it probes; then those of different components against each other, in a bucket
+    held against one of each bucket it probes, twice by another order; then those of different components against each other, in a bucket
     with members of a component of LARGE or more those outside the largest such component against all.  At first two words of the
     fingerprint go along with the buckets and tell nearly all strangers apart, and pairs that pass are held against each other whole; then all
-    words go along, so that of two families that are alike no pair but the linked ones is made."""
+    words go along, so that of two families that are alike no pair but the linked ones is made.  With ``shingles`` fingerprints are a filter, wide
+    enough to let nearly all pairs at the similarity pass, and every link is one of texts that have it; else the estimate decides."""
     n, correlations = bit_statistics(values, width)
     chosen = wide_plan(n, correlations, sampled_bits(values, width), similarity, recall)
-    least, whole = _at_most(similarity, 2 * BITS, 2.6), _at_most(similarity, width * BITS, 1.3)
+    least, whole = _at_most(similarity, 2 * BITS, 2.6), _at_most(similarity, width * BITS, 1.3 if shingles is None else 2.2)
 
     def dealt(rows: DataFrame, flips: bool, *more: str, words: int = 2) -> DataFrame:
         """(node, c0, c1, ..., at) and ``more``: a row for each bucket that a fingerprint stands in, or probes."""
@@ -378,42 +419,54 @@ def similar_links(values: DataFrame, width: int, similarity: float, recall: floa
     def verified(pairs: DataFrame) -> DataFrame:
         ends = values.select(F.col("node").alias("src"), F.col("fp").alias("a")), values.select(F.col("node").alias("dst"), F.col("fp").alias("b"))
         both = pairs.distinct().join(ends[0], "src").join(ends[1], "dst")
-        return both.where(_bits_apart("a", "b", range(width)) <= whole).select("src", "dst")
+        both = both.where(_bits_apart("a", "b", range(width)) <= whole).select("src", "dst")
+        return both if shingles is None else shingles.near(both)
+
+    def starred(ordered: DataFrame) -> DataFrame:
+        """Links of every fingerprint to the last, by the column order, of each bucket that it probes; pairs of one component are left out."""
+        homes, probes = dealt(ordered, False, "order", "component"), dealt(ordered, flips, "component")
+        last = homes.groupBy("at").agg(F.max(F.struct("order", "node", "c0", "c1", "component")).alias("h"), F.count(F.lit(1)).alias("n"))
+        last = last.where(F.lit(flips) | (F.col("n") > 1)).select("at", "h.*")
+        star = probes.alias("p").join(last.alias("h"), (F.col("p.at") == F.col("h.at")) & (F.col("p.component") != F.col("h.component")) & near("p", "h", 2, least))
+        return cut(verified(star.select(F.least("p.node", "h.node").alias("src"), F.greatest("p.node", "h.node").alias("dst"))))
+
+    def with_components(links: DataFrame) -> DataFrame:
+        return values.join(components(links).withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("node", "fp", F.coalesce("component", "node").alias("component"))
 
     flips = any(chosen.thresholds)
     homes = dealt(values, False)
-    # A bucket's first is the one whose buckets are the most crowded in all: of a family, one from its middle, which has the most links.
+    # A bucket's first star is around the one whose buckets are the most crowded in all: of a family, one from its middle, which has the most links.
     counts = homes.groupBy("at").agg(F.count(F.lit(1)).alias("n"))
     rows, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     crowded = cut(counts.where(F.col("n") > LARGE + 4 * rows / max(1, kinds)))
     few = crowded.count() <= FEW
     crowds = homes.select("node", "at").join(F.broadcast(crowded) if few else crowded, "at").groupBy("node").agg(F.floor(3 * F.log2(F.sum("n").cast("double"))).alias("middle"))
-    order = F.shiftleft(F.coalesce("middle", F.lit(0)), 56) + F.col("node")
-    ordered = cut(values.join(crowds, "node", "left").select("node", "fp", order.alias("order")))
-    homes, probes = dealt(ordered, False, "order"), dealt(ordered, flips)
-    first = homes.groupBy("at").agg(F.max("order").bitwiseAND(F.lit((1 << 56) - 1)).alias("node"), F.count(F.lit(1)).alias("n")).where(F.lit(flips) | (F.col("n") > 1))
-    first = first.select("at", "node").join(values.select("node", F.col("fp")[0].alias("c0"), F.col("fp")[1].alias("c1")), "node")
-    star = probes.alias("p").join(first.alias("h"), (F.col("p.at") == F.col("h.at")) & (F.col("p.node") != F.col("h.node")) & near("p", "h", 2, least))
-    stars = cut(verified(star.select(F.least("p.node", "h.node").alias("src"), F.greatest("p.node", "h.node").alias("dst"))))
-    found = components(stars)
+    stars = starred(cut(values.join(crowds, "node", "left").select("node", "fp", F.col("node").alias("component"), F.coalesce("middle", F.lit(0)).alias("order"))))
+    if shingles is not None:
+        # Not all of a family have the similarity with its middle; another one of each bucket brings more of them together.
+        stars = cut(stars.unionAll(starred(cut(with_components(stars).withColumn("order", F.xxhash64("node"))))))
+    found = with_components(stars)
     size = found.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     large = F.when(F.col("size") >= LARGE, F.struct("size", "component"))
-    named = cut(values.join(found.join(size, "component").select("node", "component", large.alias("large")), "node", "left").select("node", "fp", F.coalesce("component", "node").alias("component"), "large"))
+    named = cut(found.join(size, "component").select("node", "fp", "component", large.alias("large")))
     homes, probes = dealt(named, False, "component", words=width), dealt(named, flips, "component", words=width)
     chief = dealt(named.where("large is not null"), False, "large", words=0).groupBy("at").agg(F.max("large")["component"].alias("chief"))
     outside = probes.join(chief, "at", "left").where("chief is null or chief <> component").alias("p")
     once = (F.col("p.node") < F.col("h.node")) | F.col("p.chief").eqNullSafe(F.col("h.component"))
     apart = (F.col("p.at") == F.col("h.at")) & (F.col("p.component") != F.col("h.component")) & once & near("p", "h", width, whole)
     met = outside.join(homes.alias("h"), apart).select(F.least("p.node", "h.node").alias("src"), F.greatest("p.node", "h.node").alias("dst"))
-    return stars.unionAll(met)
+    return stars.unionAll(met if shingles is None else shingles.near(met))
 
 
-def group_similar(prints: DataFrame, width: int = 8, similarity: float = 0.8, recall: float = 0.97) -> DataFrame:
-    """(doc_id, component_id) for rows (doc_id, fp array<long>): the smallest doc_id reachable over links between
-    texts whose similarity is estimated as ``similarity`` or more, the row's own included."""
+def group_similar(prints: DataFrame, width: int = 8, similarity: float = 0.8, recall: float = 0.97, docs: DataFrame | None = None, words: int = 5) -> DataFrame:
+    """(doc_id, component_id) for rows (doc_id, fp array<long>, mark): the smallest doc_id reachable over links between
+    texts whose similarity is ``similarity`` or more, the row's own included.  With ``docs``, the texts of the fingerprints, links are held against
+    their shingles; else the similarity is estimated."""
     prints = cut(prints)
-    values = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")).withColumn("node", F.monotonically_increasing_id()))
-    linked = components(cut(similar_links(values.select("node", "fp"), width, similarity, recall).distinct()))
+    of = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"))
+    values = cut(prints.groupBy("fp").agg(of.alias("first")).select(F.monotonically_increasing_id().alias("node"), "fp", F.col("first.doc_id").alias("first_id"), F.col("first.mark").alias("mark")))
+    shingles = None if docs is None else Shingles(docs, words, similarity, values)
+    linked = components(cut(similar_links(values.select("node", "fp"), width, similarity, recall, shingles).distinct()))
     joined = values.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = joined.join(least, "component").select("fp", "component_id")
@@ -431,8 +484,8 @@ def keep_first(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
 
 
 def keep_first_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, width: int = 8) -> DataFrame:
-    """As ``keep_first``, with texts linked by the estimated similarity of their shingles."""
-    return _first(docs, group_similar(wide_fingerprints(docs, words, width), width, similarity))
+    """As ``keep_first``, with texts linked by the similarity of their shingles: each text that goes has that similarity with another of its group."""
+    return _first(docs, group_similar(wide_fingerprints(docs, words, width), width, similarity, docs=docs, words=words))
 
 
 def _first(docs: DataFrame, found: DataFrame) -> DataFrame:

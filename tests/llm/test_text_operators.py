@@ -227,11 +227,23 @@ def test_similar_texts_against_jaccard(spark, near_copies):
 
 
 def test_keep_first_similar(spark, near_copies):
+    """Whatever goes has the similarity with another text of its group, and nine in ten of the pairs that have it are in one group."""
     df = table(spark, near_copies)
     kept = simhash.keep_first_similar(df)
-    component = {r.doc_id: r.component_id for r in simhash.group_similar(simhash.wide_fingerprints(df)).collect()}
+    rows = simhash.group_similar(simhash.wide_fingerprints(df), docs=df).collect()
+    component = {r.doc_id: r.component_id for r in rows}
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted([i for i, _, _ in near_copies if i is not None and component[i] == i])
     assert simhash.keep_first_similar(df.limit(0)).count() == 0
+    sets = [(i, shingles(t)) for i, t, _ in near_copies if i is not None]
+    linked, near, found = set(), 0, 0
+    for a in range(len(sets)):
+        for b in range(a):
+            if jaccard(sets[a][1], sets[b][1]) >= 0.8:
+                same = component[sets[a][0]] == component[sets[b][0]]
+                near, found = near + 1, found + same
+                linked |= {sets[a][0], sets[b][0]} if same else set()
+    assert found >= 0.9 * near
+    assert all(component[i] == i or i in linked for i, _ in sets)
 
 
 def test_simhash_keep_first(spark, corpus):
