@@ -10,16 +10,18 @@ sum to one: each is a beginning piece and others.  An end, q, is set beside them
 and end sum to one again; q is (ends + 1) / (N + 2).  Every byte is a piece too, so that every text has a probability.
 
 Two scores of a text follow.  ``vocabulary_score`` is the marginal under the file's scores alone: nothing of the corpus is in it but q.
-``score`` is that of the model, which has learnt from the training texts: the pieces' weights are moved by ``rounds`` of expected counts in the
-distinct training words (forward and backward over every one), and beside the pieces each training word is an arc over the whole word, weighted by its count;
-with N training tokens of V kinds, P(token) = (c + V P_lattice(token)) / (N + V), which sums to one over all tokens.
+``score`` is that of the model, which has learnt from the training texts: beside the pieces, whose weights stay the vocabulary's, each training word is an arc
+over the whole word, weighted by its count; with N training tokens of V kinds, P(token) = (c + s V P_lattice(token)) / (N + s V), which sums to
+one over all tokens.  The share s is one number, fitted by deleted interpolation: the training documents are two halves by a hash of the
+id, and s is the one of SHARES under which each half's counts, with the lattice, give the other half the greatest probability.  With ``rounds`` above 0 the pieces' weights are
+moved besides, by expected counts in the distinct training words (forward and backward over every one).
 
 Counts are aggregated over all documents.  Words so frequent that only a bounded number of them can
 exist are sent to all tasks with their scores; the others meet their scores in a join.  A word is scored in one task in time that grows
 with its length times the number of piece lengths, about 40 microseconds a byte if it is alone of its length.
 
-Null texts count as empty (one end).  Rows that share an id, or have none, are one document whose tokens
-and ends are pooled.  Documents without a hash class count as held out.  Other columns are ignored.
+Null texts count as empty (one end).  Every row is a document, also one that shares its id or has none; a null id's remainder is 0, so
+it is held out.  Other columns are ignored.
 If there is no training token, N and V are 0 and the base is undefined (null); the lattice alone scores.
 """
 
@@ -30,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +46,9 @@ END = _END.encode()
 BEGIN = b" "
 MARK = "▁"
 
+#: The shares that are tried.
+SHARES = [2.0**k for k in range(-12, 7)]
+
 #: At most so many words are frequent: each makes up more than 1/FREQUENT of all tokens.
 FREQUENT = 1 << 19
 
@@ -172,34 +178,49 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def _documents(df: DataFrame, id_col: str, text_col: str, modulus: int) -> DataFrame:
+    """(doc_id, text, part): 0 for documents that are held out, 1 and 2 for the halves of the others."""
     docs = batches.by_id_text(df, id_col, text_col)
-    return docs.withColumn("held_out", batches.bucket(F.col("doc_id"), modulus) == 0)
+    half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) + 1
+    return docs.withColumn("part", F.when(batches.bucket(F.col("doc_id"), modulus) == 0, 0).otherwise(half).cast("int"))
 
 
-def kinds(docs: DataFrame, most: int = 200_000) -> DataFrame:
-    """(word, c, n) of every distinct word and of the end: counts in training documents and in all.
+def kinds(docs: DataFrame, most: int = 300_000) -> DataFrame:
+    """(word, c, half, n) of every distinct word and of the end: counts in training documents, in the first half of them, and in all.
     Tasks count up to ``most`` distinct words before they pass the counts on."""
 
     def count(it):
-        learnt, held = Counter(), Counter()
+        held = [Counter(), Counter(), Counter()]
 
         def out():
-            words = list(learnt.keys() | held.keys())
-            c = [learnt[w] for w in words]
-            n = [held[w] + k for w, k in zip(words, c)]
-            learnt.clear()
-            held.clear()
-            return pa.record_batch([pa.array(words, pa.binary()).cast(pa.string()), pa.array(c, pa.int64()), pa.array(n, pa.int64())], names=["word", "c", "n"])
+            words = list(held[0].keys() | held[1].keys() | held[2].keys())
+            away, one, two = (np.fromiter((h[w] for w in words), np.int64, len(words)) for h in held)
+            for h in held:
+                h.clear()
+            return pa.record_batch([pa.array(words, pa.binary()).cast(pa.string()), pa.array(one + two), pa.array(one), pa.array(away + one + two)], names=["word", "c", "half", "n"])
 
         for batch in it:
-            for part in batches.slices(batch):
-                for text, away in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
-                    (held if away else learnt).update(words_of(text))
-                if len(learnt) + len(held) > most:
+            for rows in batches.slices(batch):
+                for text, part in zip(rows.column(1).to_pylist(), rows.column(2).to_pylist()):
+                    held[part].update(words_of(text))
+                if sum(map(len, held)) > most:
                     yield out()
         yield out()
 
-    return docs.mapInArrow(count, "word string, c long, n long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+    counted = docs.mapInArrow(count, "word string, c long, half long, n long")
+    return counted.groupBy("word").agg(*[F.sum(x).alias(x) for x in ("c", "half", "n")])
+
+
+def fitted_share(words: DataFrame) -> float:
+    """The best of SHARES for ``words`` (c, half, p: natural log of the lattice's probability), by one aggregation; 1 where a half has no token."""
+    one, two = F.col("half"), F.col("c") - F.col("half")
+    n1, v1, n2, v2 = words.agg(F.sum(one), F.count_if(one > 0), F.sum(two), F.count_if(two > 0)).first()
+    if not n1 or not n2:
+        return 1.0
+    given = lambda seen, n, v, s: F.log((seen + s * v * F.exp("p")) / (n + s * v))
+    # A word that underflows under every share says nothing about it.
+    cell = lambda k, x: F.sum(F.when(k > 0, k * F.greatest(x, F.lit(-700.0))))
+    row = words.agg(*[F.coalesce(cell(two, given(one, n1, v1, s)), F.lit(0.0)) + F.coalesce(cell(one, given(two, n2, v2, s)), F.lit(0.0)) for s in SHARES]).first()
+    return SHARES[int(np.argmax(row))]
 
 
 def reestimate(words: DataFrame, pieces: list[bytes], weights: np.ndarray, prior: float = 0.1) -> np.ndarray:
@@ -223,7 +244,7 @@ def reestimate(words: DataFrame, pieces: list[bytes], weights: np.ndarray, prior
     return np.log(total / total.sum())
 
 
-def score(df: DataFrame, path: str, rounds: int = 1, modulus: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(df: DataFrame, path: str, rounds: int = 0, modulus: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, vocabulary_score), scores as log10.
 
     Documents whose id's crc32 leaves no remainder by ``modulus`` are held out; the others are learnt from.
@@ -246,24 +267,25 @@ def score(df: DataFrame, path: str, rounds: int = 1, modulus: int = 10, id_col:
             words, c = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
             texts, ends = [BEGIN + w.encode() for w in words], [w == _END for w in words]
             plain, *other = [np.where(ends, np.log(q), word_log_probabilities(texts, t) + np.log1p(-q)) for t in shared.value]
-            p = other[0] if other else plain
-            with np.errstate(divide="ignore"):
-                mixed = np.logaddexp(np.log(c), np.log(v) + p) - np.log(n + v) if n else p
             base = np.log10((c + 0.1) / (n + 0.1 * (v + 1))) if n else np.zeros(len(c))
-            yield pa.record_batch([batch.column(0), pa.array((c > 0).astype(np.int64)), pa.array(base), pa.array(mixed / np.log(10)), pa.array(plain / np.log(10)), batch.column(2)], names=["word", "known", "base", "score", "plain", "n"])
+            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array(base), pa.array(other[0] if other else plain), pa.array(plain / np.log(10)), batch.column(3)], names=["word", "c", "half", "base", "p", "plain", "n"])
 
-    scored = cut(counted.mapInArrow(word_scores, "word string, known long, base double, score double, plain double, n long"))
+    judged = cut(counted.mapInArrow(word_scores, "word string, c long, half long, base double, p double, plain double, n long"))
+    weight = fitted_share(judged) * v if n else 0.0
+    # log((c + weight e^p) / (n + weight)), also where e^p is nothing beside numbers of 64 bits.
+    mixed = F.when(F.col("c") > 0, F.log(F.col("c") + weight * F.exp("p"))).otherwise(F.lit(float(np.log(weight)) if weight else 0.0) + F.col("p")) - F.lit(float(np.log(n + weight)) if n else 0.0)
+    scored = judged.select("word", (F.col("c") > 0).cast("long").alias("known"), "base", ((mixed if n else F.col("p")) / float(np.log(10))).alias("score"), "plain", "n")
     often = F.col("n") * FREQUENT > everything
     # Fewer than FREQUENT words can be that frequent, whatever the corpus.
     frequent = df.sparkSession.sparkContext.broadcast({w.encode(): x for w, *x in scored.where(often).select("word", "known", "base", "score", "plain").collect()})
     rare = scored.where(~often).select("word", "known", "base", "score", "plain")
 
     def sums(it):
-        """For each text a row of sums over its frequent words, and one row for each of its other words."""
-        table = frequent.value
+        """For each text a row of sums over its frequent words, and one row for each of its other words; row: the number of the text."""
+        table, place = frequent.value, TaskContext.get().partitionId() << 40
         for batch in it:
             for part in batches.slices(batch):
-                ids, words, count, sums = [], [], [], ([], [], [], [])
+                ids, rows, words, count, sums = [], [], [], [], ([], [], [], [])
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     t = k = 0
                     b = s = p = 0.0
@@ -282,15 +304,17 @@ def score(df: DataFrame, path: str, rounds: int = 1, modulus: int = 10, id_col:
                     for column, value in zip(sums, (k, b, s, p)):
                         column += [None] * (len(ids) - len(column)) + [value]
                     ids.append(doc)
-                    words.append(b"\t%d" % (doc or 0))  # joins with no word
+                    words.append(b"\t%d" % place)  # joins with no word
                     count.append(t)
+                    rows += [place] * (len(ids) - len(rows))
+                    place += 1
                 types = (pa.int64(), *[pa.float64()] * 3)
-                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(count, pa.int64()), *[pa.array(c, k) for c, k in zip(sums, types)]], names=["doc_id", "word", "n", *[f"own_{x}" for x in names]])
+                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(count, pa.int64()), *[pa.array(c, k) for c, k in zip(sums, types)]], names=["doc_id", "row", "word", "n", *[f"own_{x}" for x in names]])
 
     names = ("known", "base", "score", "plain")
-    rows = docs.mapInArrow(sums, "doc_id long, word string, n long, own_known long, own_base double, own_score double, own_plain double")
+    rows = docs.mapInArrow(sums, "doc_id long, row long, word string, n long, own_known long, own_base double, own_score double, own_plain double")
     joined = rows.join(rare, "word", "left")
     total = lambda name: F.sum(F.coalesce(F.col(f"own_{name}"), F.col("n") * F.col(name)))
-    out = joined.groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), total("known").alias("n_known"), total("base").alias("base_score"), total("score").alias("score"), total("plain").alias("vocabulary_score"))
+    out = joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), total("known").alias("n_known"), total("base").alias("base_score"), total("score").alias("score"), total("plain").alias("vocabulary_score"))
     base = F.col("base_score") if n else F.lit(None).cast("double")
     return out.select("doc_id", (batches.bucket(F.col("doc_id"), modulus) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score", "vocabulary_score")

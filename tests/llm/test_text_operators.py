@@ -393,9 +393,19 @@ def test_lattice_scores(spark, corpus, rounds):
         total = sum(counts.values())
         p = {x: k / total for x, k in counts.items()}
         moved = {w: q if w == b"\n" else (1 - q) * chance(b" " + w) for w in plain}
+    # The share of the lattice, by what each half of the training documents says of the other.
+    half = {r.doc_id: r.part for r in lattice._documents(table(spark, rows), "doc_id", "text", 10).select("doc_id", "part").collect()}
+    parts = [Counter(w for i, ws in docs.items() if half[i] == k for w in ws) for k in (1, 2)]
+    assert parts[0] + parts[1] == c and all(parts)
+
+    def told(s):
+        return sum(k * math.log((a[w] + s * len(a) * moved[w]) / (sum(a.values()) + s * len(a))) for a, b in (parts, parts[::-1]) for w, k in b.items())
+
+    share = max(lattice.SHARES, key=told)
+    weight = share * v
     for i, ws in docs.items():
         assert math.isclose(got[i].vocabulary_score, sum(math.log10(plain[w]) for w in ws), rel_tol=1e-9)
-        assert math.isclose(got[i].score, sum(math.log10((c[w] + v * moved[w]) / (n + v)) for w in ws), rel_tol=1e-9)
+        assert math.isclose(got[i].score, sum(math.log10((c[w] + weight * moved[w]) / (n + weight)) for w in ws), rel_tol=1e-9)
 
 
 def test_words_of_the_lattice_sum_to_one_at_most():
@@ -412,15 +422,26 @@ def test_words_of_the_lattice_sum_to_one_at_most():
     assert total > 0.5
 
 
-def test_lattice_pools_and_empty(spark):
+def test_lattice_of_rows_that_share_ids_and_of_empty_tables(spark):
+    """Every row is a document of its own."""
     path = P.path("piece_bpe_32k.model")
     assert lattice.score(table(spark, []), path).count() == 0
-    got = lattice.score(table(spark, [(1, "a b", ""), (1, "a b", ""), (2, None, "")]), path, rounds=1).collect()
-    assert {(r.doc_id, r.n_tokens) for r in got} == {(1, 6), (2, 1)} and all(r.score < 0 and r.vocabulary_score < 0 for r in got)
+    rows = [(1, "a b", ""), (1, "a b", ""), (1, "c", ""), (2, None, ""), (None, "d e f", ""), (None, "", "")]
+    got = lattice.score(table(spark, rows), path, rounds=1).collect()
+    assert sorted(((r.doc_id, r.n_tokens) for r in got), key=str) == sorted([(1, 3), (1, 3), (1, 2), (2, 1), (None, 4), (None, 1)], key=str)
+    assert all(r.score < 0 and r.vocabulary_score < 0 for r in got)
     nothing = lattice.score(table(spark, [(None, "a b", "")]), path).collect()
     assert nothing[0].base_score is None and nothing[0].train_tokens == 0 and nothing[0].score < 0
 
 
+def test_lattice_of_a_very_long_word(spark):
+    """A word of 50,000 letters beside short ones."""
+    rng = random.Random(12)
+    word = "".join(rng.choice("abcdeé") for _ in range(50_000))
+    got = {r.doc_id: r for r in lattice.score(table(spark, [(1, "a b c", ""), (2, word + " a", ""), (3, "b", "")]), P.path("piece_bpe_32k.model")).collect()}
+    assert got[2].n_tokens == 3 and -400_000 < got[2].vocabulary_score < -50_000 and math.isfinite(got[2].score)
+
+
 # --- secrets
 
 JWT = ".".join(__import__("base64").urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=") for x in ({"alg": "HS256", "typ": "JWT"}, {"sub": "1"})) + ".c2lnbmF0dXJl"
