@@ -1,33 +1,31 @@
 """Local regression and kernel smoothing, on a grid of given points.
 
-The grid is small and given; the data meet it in a join and leave it as sums, so what is shuffled are partial sums of
-each grid point.
+Kernel sums come from moments of cells (see ``gauss``).  Local polynomials meet the grid's points in a band join and leave it as sums.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Kernel weights are summed over so many deviations to either side.
-REACH = 12
-
+from gramian.operators.gauss import kernel_sums
 
 def kernel_smooth(df: DataFrame, x: str, y: str, sigma: float, grid: DataFrame) -> DataFrame:
-    """(g, value): Gaussian-weighted means at the points g of ``grid``."""
-    w = F.exp(-((F.col("g") - F.col(x)) ** 2) / (2 * sigma**2))
-    return df.select(x, y).crossJoin(F.broadcast(grid)).groupBy("g").agg((F.sum(w * F.col(y)) / F.sum(w)).alias("value"))
+    """(g, value): Gaussian-weighted means at the points g of ``grid``; null where no point is within reach.  Equal values of x are one point."""
+    points = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("u")).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("y"))
+    sums = kernel_sums(points, "u", ["n", "y"], grid.select("g"), "g", sigma)
+    return sums.select("g", F.when(F.col("sum_n") > 1e-9, F.col("sum_y") / F.col("sum_n")).alias("value"))
 
 
 def kernel_df(df: DataFrame, x: str, sigma: float) -> DataFrame:
-    """(df): the trace of S S' of the row-normalised kernel matrix.  Equal values of x are one point with a count, so
-    the pairs are those of different values."""
-    points = df.groupBy(F.col(x).alias("u")).agg(F.count("*").alias("n"))
-    # Beyond REACH deviations a weight is under 1e-31, which is nothing beside a point's own weight of 1.
-    near = band_join(points, "u", points.select(F.col("u").alias("g"), F.col("n").alias("m")), REACH * sigma)
-    pairs = near.withColumn("w", F.exp(-((F.col("u") - F.col("g")) ** 2) / (2 * sigma**2)))
-    rows = pairs.groupBy("u", "n").agg((F.sum(F.col("m") * F.col("w") ** 2) / F.sum(F.col("m") * F.col("w")) ** 2).alias("s"))
-    return rows.agg(F.sum(F.col("n") * F.col("s")).alias("df"))
+    """(df): the trace of S S' of the row-normalised kernel matrix.  Equal values of x are one point with a count; the squared kernel is one of a
+    narrower deviation, so both sums come from moments and no pair is made."""
+    points = df.where(F.col(x).isNotNull()).groupBy(F.col(x).cast("double").alias("u")).agg(F.count(F.lit(1)).alias("n"))
+    once = kernel_sums(points, "u", ["n"], points, "u", sigma).withColumnRenamed("sum_n", "whole")
+    both = kernel_sums(points, "u", ["n"], once, "u", sigma / math.sqrt(2))
+    return both.agg(F.sum(F.col("n") * F.col("sum_n") / F.col("whole") ** 2).alias("df"))
 
 
 def band_join(df: DataFrame, x: str, grid: DataFrame, span: float) -> DataFrame:

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gramian.operators.gauss import kernel_sums
 from gramian.operators.windows import quantile, same_keys, value_counts
 
 
@@ -16,10 +17,11 @@ def histogram(df: DataFrame, col: str, low: float, high: float, bins: int) -> Da
 
 
 def density(df: DataFrame, col: str, grid: DataFrame, bandwidth: float) -> DataFrame:
-    """(g, density): Gaussian estimate at the grid's points.  Equal values are counted first."""
-    counts = df.groupBy(F.col(col).alias("u")).agg(F.count("*").alias("n"))
-    k = F.exp(-((F.col("g") - F.col("u")) ** 2) / (2 * bandwidth**2)) / (bandwidth * math.sqrt(2 * math.pi))
-    return counts.crossJoin(F.broadcast(grid)).groupBy("g").agg((F.sum(F.col("n") * k) / F.sum("n")).alias("density"))
+    """(g, density): Gaussian estimate at the grid's points.  Equal values are counted first; the rest are moments."""
+    counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("u")).agg(F.count("*").alias("n"))
+    whole = counts.agg(F.sum("n").alias("__n"))  # one row
+    sums = kernel_sums(counts, "u", ["n"], grid.select("g").distinct(), "g", bandwidth).crossJoin(F.broadcast(whole))
+    return sums.select("g", (F.col("sum_n") / F.col("__n") / (bandwidth * math.sqrt(2 * math.pi))).alias("density"))
 
 
 def density2d(df: DataFrame, x: str, y: str, grid: DataFrame, bx: float, by: float) -> DataFrame:

@@ -109,6 +109,23 @@ def s6(spark, d):
     return rounded(volumes.region(fx.observations(spark, d), (-1, 2), (1, 3), (2, 9)).select("subject_id", "voxel_id", "value"))
 
 
+_BOXED = "SELECT subject_id, voxel_id, x, y, z, round(value, 6) AS value FROM obs WHERE x >= 0 AND x < 2 AND y >= 1 AND y < 3 AND z >= 2 AND z < 9"
+
+
+@query("s6_explode_region", with_sql("obs") + _BOXED)
+def s6e(spark, d):
+    """Taken out of the arrays before they are exploded."""
+    return rounded(volumes.explode_region(fx.read(spark, d, "embeddings"), "vec_id", "embedding", (4, 4, 4), (-1, 2), (1, 3), (2, 9)))
+
+
+@query("s6_stored_region", with_sql("obs") + _BOXED)
+def s6s(spark, d):
+    """From blocks along a space-filling curve."""
+    path = scratch(spark, "volumes")
+    volumes.store_volumes(fx.observations(spark, d), path, side=2, files=8)
+    return rounded(volumes.read_region(spark, path, (-1, 2), (1, 3), (2, 9)))
+
+
 @query("s7_vertex_range", with_sql("obs") + "SELECT subject_id, voxel_id, round(value, 6) AS value FROM obs WHERE voxel_id >= 5 AND voxel_id < 9")
 def s7(spark, d):
     return rounded(volumes.vertex_range(fx.observations(spark, d), 5, 9).select("subject_id", "voxel_id", "value"))

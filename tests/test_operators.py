@@ -1,5 +1,6 @@
 """Properties of designs, fits, scores, graphs and kernels, on small tables."""
 
+import math
 import random
 
 import numpy as np
@@ -9,9 +10,9 @@ from gramian.functions import columns as fc
 from gramian.functions import distributions as ds
 from gramian.operators import design as dz
 from gramian.operators import fit as ft
-from gramian.operators import graph, kernels, local, maps, pls, score, search, summary, svr, windows
+from gramian.operators import gauss, graph, kernels, local, maps, pls, score, search, summary, svr, windows
 from gramian.operators.design import CORRECTOR, PREDICTOR
-from gramian.sources import metadata
+from gramian.sources import metadata, volumes
 
 
 @pytest.fixture(scope="module")
@@ -401,6 +402,49 @@ def test_kernel_degrees_of_freedom(spark):
     assert np.isclose(got, np.trace(s @ s.T))
 
 
+def test_kernel_sums(spark):
+    """Against the sums themselves, over points far apart and close together, with and without a join of cells; a million values in seconds."""
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(0, 3, 400), rng.normal(1e4, 0.01, 300), [5e5]])
+    w = rng.normal(size=len(x))
+    points = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, w)] + [(None, 1.0), (3.0, None)], "x double, w double")
+    g = np.concatenate([np.linspace(-12, 30, 60), [1e4, 1e4 + 0.4, 2e4]])
+    at = spark.createDataFrame([(float(v),) for v in g], "g double")
+    for sigma in (0.7, 5.0):
+        want = (w * np.exp(-((g[:, None] - x) ** 2) / (2 * sigma**2))).sum(1)
+        for few in (20_000, 0):
+            gauss.FEW_CELLS = few
+            got = {r.g: r.sum_w for r in gauss.kernel_sums(points, "x", ["w"], at, "g", sigma).collect()}
+            assert np.abs(np.array([got[v] for v in g]) - want).max() < 1e-9 * np.abs(w).sum()
+        gauss.FEW_CELLS = 20_000
+    many = spark.range(1_000_000).selectExpr("id / 1e4 AS x")  # 10,000 values in a deviation
+    erf = np.vectorize(math.erf)
+    middle = (np.arange(100_000) + 0.5) / 1000
+    once = np.sqrt(np.pi / 2) * (erf(middle / np.sqrt(2)) + erf((100 - middle) / np.sqrt(2)))
+    both = np.sqrt(np.pi) / 2 * (erf(middle) + erf(100 - middle))
+    assert np.isclose(local.kernel_df(many, "x", 1.0).first().df, (both / once**2).mean() * 100, rtol=1e-3)
+
+
+def test_regions_of_stored_volumes(spark, tmp_path):
+    """Boxes come out whole, and the scan of a small one reads few of the files' rows."""
+    n = 16
+    cubes = spark.range(3).select("id", fc.F.transform(fc.F.sequence(fc.F.lit(0), fc.F.lit(n**3 - 1)), lambda k: (k % 97) + fc.F.col("id") * 0.5).alias("a"))
+    obs = volumes.explode_volume(cubes, "id", "a", (n, n, n))
+    volumes.store_volumes(obs, str(tmp_path / "v"), side=4, files=16)
+    for box in (((2, 5), (0, 16), (7, 8)), ((0, 4), (4, 8), (8, 12)), ((-3, 1), (3, 4), (15, 99)), ((5, 5), (0, 3), (0, 3))):
+        want = sorted(map(tuple, volumes.region(obs, *box).collect()))
+        assert sorted(map(tuple, volumes.read_region(spark, str(tmp_path / "v"), *box).select(*obs.columns).collect())) == want
+        assert sorted(map(tuple, volumes.explode_region(cubes, "id", "a", (n, n, n), *box).collect())) == want
+    plan = volumes.read_region(spark, str(tmp_path / "v"), (0, 4), (4, 8), (8, 12))._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "GreaterThanOrEqual(block," in plan
+    covered = volumes._curve_ranges([(0, 0), (1, 1), (2, 2)])
+    assert covered == [(0b100010 , 0b100010)]
+    for ends in ([(3, 9), (0, 30), (5, 6)], [(0, 1), (0, 1), (0, 1)]):
+        ranges = volumes._curve_ranges(ends)
+        code = lambda p: sum((c >> b & 1) << (3 * b + k) for b in range(20) for k, c in enumerate(p))
+        assert len(ranges) <= 40 and all(any(a <= code((i, j, k)) <= b for a, b in ranges) for i in range(ends[0][0], ends[0][1] + 1) for j in range(ends[1][0], ends[1][1] + 1) for k in range(ends[2][0], ends[2][1] + 1))
+
+
 def test_span_of_a_percentage(spark):
     df = spark.createDataFrame([(float(k), float(k * k % 7)) for k in range(41)], "x double, y double")
     grid = spark.createDataFrame([(float(g),) for g in (5, 20)], "g double")
