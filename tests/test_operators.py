@@ -577,6 +577,29 @@ def test_ranks_of_a_column_of_zeros(spark):
         assert np.isclose(r.q, np.percentile(own, 97))
 
 
+@pytest.mark.parametrize("degree", [1, 2])
+def test_local_regression_against_numpy(spark, degree):
+    """Weighted fits at each point, over dense and thin stretches, equal values, and points that have too few neighbours."""
+    rng = np.random.default_rng(10)
+    x = np.concatenate([rng.uniform(0, 30, 300).round(1), rng.uniform(50.2, 50.4, 400), [90.0, 90.5, 200.0]])
+    y = np.sin(x / 5) + rng.normal(size=len(x)) * 0.1
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)] + [(None, 1.0), (2.0, None)], "x double, y double").repartition(6)
+    g = [0.0, 3.3, 14.0, 28.0, 35.0, 50.3, 51.0, 90.0, 120.0, 200.0]
+    for span in (4.0, 0.3):
+        got = {r.g: r.value for r in local.lowess(df, "x", "y", span, spark.createDataFrame([(v,) for v in g], "g double"), degree).collect()}
+        assert set(got) == set(g)
+        for v in g:
+            w = np.clip(1 - (np.abs(x - v) / span) ** 3, 0, None) ** 3
+            if len(set(x[w > 0])) <= degree:
+                assert got[v] is None
+                continue
+            basis = np.vander((x - v) / span, degree + 1, increasing=True) * np.sqrt(w)[:, None]
+            want = np.linalg.lstsq(basis, y * np.sqrt(w), rcond=None)[0][0]
+            assert got[v] is None or np.isclose(got[v], want, atol=1e-5), (v, span)
+            assert got[v] is not None or np.linalg.cond(basis) > 1e3
+    assert local.lowess(df.limit(0), "x", "y", 1.0, spark.createDataFrame([(1.0,)], "g double")).first().value is None
+
+
 def test_local_regression_of_a_line(spark):
     df = spark.createDataFrame([(float(k), 3.0 * k + 1) for k in range(50)], "x double, y double")
     grid = spark.createDataFrame([(g,) for g in (5.0, 20.5, 40.0)], "g double")
