@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -398,6 +399,14 @@ def d12e(spark, d):
     return rounded(dz.effective_df(fx.subjects(spark, d), BASE))
 
 
+@query("d12_effective_df_shares", with_sql("subj") + "SELECT CAST(category AS BIGINT) AS category, round(sum(leverage), 6) AS df FROM (SELECT category, 1.0/count(*) OVER () + pow(age - avg(age) OVER (), 2) / (var_pop(age) OVER () * count(*) OVER ()) AS leverage FROM subj) GROUP BY category")
+def d12s(spark, d):
+    """What each category's subjects have of the effective degrees of freedom."""
+    subj = fx.subjects(spark, d)
+    own = dz.leverage(subj, dz.with_intercept(dz.terms(["age"]), CORRECTOR)).join(subj.select("subject_id", "category"), "subject_id")
+    return rounded(own.groupBy("category").agg(F.sum("leverage").alias("df")))
+
+
 @query("d12_covariance_df", with_sql("subj") + "SELECT round(covar_pop(biomarker, age) * count(*) / 2.5, 4) AS df FROM subj")
 def d12c(spark, d):
     return rounded(dz.covariance_df(fx.subjects(spark, d).selectExpr("biomarker AS y", "age AS fit"), 2.5), 4)
@@ -804,6 +813,20 @@ def e9(spark, d):
     return fx.subjects(spark, d).select(F.col("category").cast("long")).distinct().select("category", F.lit(score.model_df("glm", columns=len(BASE))).alias("glm"), F.lit(score.model_df("pls", components=1)).alias("pls"), F.lit(score.model_df("polynomial", degree=2)).alias("polynomial"))
 
 
+_DF_KERNEL = "k AS (SELECT a.subject_id, exp(-pow(a.age - b.age, 2)/18) AS w FROM subj a, subj b), ks AS (SELECT subject_id, sum(w*w)/pow(sum(w), 2) AS s FROM k GROUP BY subject_id)"
+
+
+@query("e9_fitted_df", with_sql("subj", "obs", _RADIAL, _DF_KERNEL) + "SELECT 'gaussian_svr' AS kind, voxel_id, CAST(count(*) FILTER (abs(value - predicted + alpha) BETWEEN 0.1 AND 1.1) AS DOUBLE) AS df FROM pr JOIN al USING (voxel_id, subject_id) GROUP BY voxel_id UNION ALL SELECT 'kernel', voxel_id, (SELECT round(sum(s), 4) FROM ks) FROM obs GROUP BY voxel_id UNION ALL SELECT 'polynomial', voxel_id, 3.0::DOUBLE FROM obs GROUP BY voxel_id")
+def e9f(spark, d):
+    """Degrees of freedom of fits of three kinds."""
+    obs, scaled, alphas = _given(spark, d)
+    fitted = svr.gaussian_predict(alphas, scaled, scaled.withColumnRenamed("subject_id", "point"), _SVR_FEATURES, 0.5).withColumnRenamed("point", "subject_id")
+    rows = _df_rows(obs, fitted, alphas, scaled.select("subject_id", F.lit(1.0).alias("k")))
+    whole = obs.join(fx.subjects(spark, d), "subject_id")
+    parts = [score.fitted_df("gaussian_svr", rows, c=1.0, epsilon=0.1), score.fitted_df("kernel", whole, x="age", sigma=3.0), score.fitted_df("polynomial", whole, degree=2)]
+    return rounded(reduce(DataFrame.unionByName, [p.select(F.lit(kind).alias("kind"), "voxel_id", "df") for kind, p in zip(("gaussian_svr", "kernel", "polynomial"), parts)]), 4)
+
+
 @query("e10_evaluate_fit", _FITTED + f"SELECT voxel_id, CASE WHEN avg(value) < 0 THEN 0 ELSE round({_METRIC_SQL['fstat']}, 4) END AS value FROM r GROUP BY voxel_id")
 def e10(spark, d):
     return rounded(score.evaluate_fit(*_fitted(spark, d), BASE, "fstat", threshold=0.0), 4)
@@ -1022,6 +1045,13 @@ def h2(spark, d):
     return search.param_grid(spark, {"degree": [1, 2], "gamma": [0, 0.1, 0.2]}).crossJoin(F.broadcast(n))
 
 
+@query("h2_param_grid_of_data", with_sql("subj") + "SELECT CAST(a AS DOUBLE) AS degree, g AS gamma, (a - 1)*3 + r - 1 AS combination FROM range(1, 3) t(a), (SELECT row_number() OVER (ORDER BY g) AS r, g FROM (SELECT unnest([round(min(biomarker), 6), round(avg(biomarker), 6), round(max(biomarker), 6)]) AS g FROM subj))")
+def h2b(spark, d):
+    """Values between the ends of a feature."""
+    row = fx.subjects(spark, d).agg(*[F.round(f("biomarker"), 6) for f in (F.min, F.avg, F.max)]).first()
+    return search.param_grid(spark, {"degree": [1, 2], "gamma": list(row)})
+
+
 _ERR = _FITTED.rstrip() + f", er AS (SELECT voxel_id, value, {_E} AS error FROM r) "
 
 
