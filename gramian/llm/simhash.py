@@ -46,6 +46,8 @@ PROBE_COST, CANDIDATE_COST = 1.0, 0.02
 SAMPLE = 1024
 #: A component of so many fingerprints is large.
 LARGE = 64
+#: A pair of texts below the similarity is estimated so many standard deviations above it once in 4,000 times at most.
+SURE = 3.5
 #: A table of so many rows is sent to all tasks; of a few numbers a row, so many.
 FEW, MOST_SENT = 10_000, 1 << 20
 #: A fingerprint of a crowded bucket is linked by way of so many values within distance/2 bits at most.
@@ -391,14 +393,16 @@ class Shingles:
 
 def similar_links(values: DataFrame, width: int, similarity: float, recall: float, shingles: Shingles | None = None) -> DataFrame:
     """(src, dst): nodes to connect; ``values``: (node long, fp array<long>), written down.  First every fingerprint is
-    held against one of each bucket it probes, twice by another order; then those of different components against each other, in a bucket
+    held against the first of each bucket it probes; then those of different components against each other, in a bucket
     with members of a component of LARGE or more those outside the largest such component against all.  At first two words of the
     fingerprint go along with the buckets and tell nearly all strangers apart, and pairs that pass are held against each other whole; then all
     words go along, so that of two families that are alike no pair but the linked ones is made.  With ``shingles`` fingerprints are a filter, wide
-    enough to let nearly all pairs at the similarity pass, and every link is one of texts that have it; else the estimate decides."""
+    enough to let nearly all pairs at the similarity pass, and pairs that pass are held against their texts' shingles, but for those which
+    the estimate puts SURE deviations above the similarity; else the estimate decides."""
     n, correlations = bit_statistics(values, width)
     chosen = wide_plan(n, correlations, sampled_bits(values, width), similarity, recall)
     least, whole = _at_most(similarity, 2 * BITS, 2.6), _at_most(similarity, width * BITS, 1.3 if shingles is None else 2.2)
+    sure = _at_most(similarity, width * BITS, -SURE)
 
     def dealt(rows: DataFrame, flips: bool, *more: str, words: int = 2) -> DataFrame:
         """(node, c0, c1, ..., at) and ``more``: a row for each bucket that a fingerprint stands in, or probes."""
@@ -413,49 +417,50 @@ def similar_links(values: DataFrame, width: int, similarity: float, recall: floa
         every = F.concat(F.array(*keys).cast("array<bigint>"), *around) if around else F.array(*keys)
         return rows.select("node", *[F.col("fp")[w].alias(f"c{w}") for w in range(words)], *more, F.explode(every).alias("at"))
 
+    def bits(a: str, b: str, words: int) -> Column:
+        return sum((F.bit_count(F.col(f"{a}.c{w}").bitwiseXOR(F.col(f"{b}.c{w}"))) for w in range(words)), F.lit(0))
+
     def near(a: str, b: str, words: int, most: int) -> Column:
-        return sum((F.bit_count(F.col(f"{a}.c{w}").bitwiseXOR(F.col(f"{b}.c{w}"))) for w in range(words)), F.lit(0)) <= most
+        return bits(a, b, words) <= most
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """Of pairs (src, dst, apart) that passed the filter, the links: those whose texts have the similarity."""
+        if shingles is None:
+            return pairs.select("src", "dst")
+        pairs = cut(pairs.distinct())
+        return pairs.where(F.col("apart") <= sure).select("src", "dst").unionAll(shingles.near(pairs.where(F.col("apart") > sure)))
 
     def verified(pairs: DataFrame) -> DataFrame:
         ends = values.select(F.col("node").alias("src"), F.col("fp").alias("a")), values.select(F.col("node").alias("dst"), F.col("fp").alias("b"))
-        both = pairs.distinct().join(ends[0], "src").join(ends[1], "dst")
-        both = both.where(_bits_apart("a", "b", range(width)) <= whole).select("src", "dst")
-        return both if shingles is None else shingles.near(both)
-
-    def starred(ordered: DataFrame) -> DataFrame:
-        """Links of every fingerprint to the last, by the column order, of each bucket that it probes; pairs of one component are left out."""
-        homes, probes = dealt(ordered, False, "order", "component"), dealt(ordered, flips, "component")
-        last = homes.groupBy("at").agg(F.max(F.struct("order", "node", "c0", "c1", "component")).alias("h"), F.count(F.lit(1)).alias("n"))
-        last = last.where(F.lit(flips) | (F.col("n") > 1)).select("at", "h.*")
-        star = probes.alias("p").join(last.alias("h"), (F.col("p.at") == F.col("h.at")) & (F.col("p.component") != F.col("h.component")) & near("p", "h", 2, least))
-        return cut(verified(star.select(F.least("p.node", "h.node").alias("src"), F.greatest("p.node", "h.node").alias("dst"))))
-
-    def with_components(links: DataFrame) -> DataFrame:
-        return values.join(components(links).withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("node", "fp", F.coalesce("component", "node").alias("component"))
+        both = pairs.distinct().join(ends[0], "src").join(ends[1], "dst").select("src", "dst", _bits_apart("a", "b", range(width)).alias("apart"))
+        return confirmed(both.where(F.col("apart") <= whole))
 
     flips = any(chosen.thresholds)
     homes = dealt(values, False)
-    # A bucket's first star is around the one whose buckets are the most crowded in all: of a family, one from its middle, which has the most links.
+    # A bucket's first is the one whose buckets are the most crowded in all: of a family, one from its middle, which has the most links.
     counts = homes.groupBy("at").agg(F.count(F.lit(1)).alias("n"))
     rows, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     crowded = cut(counts.where(F.col("n") > LARGE + 4 * rows / max(1, kinds)))
     few = crowded.count() <= FEW
     crowds = homes.select("node", "at").join(F.broadcast(crowded) if few else crowded, "at").groupBy("node").agg(F.floor(3 * F.log2(F.sum("n").cast("double"))).alias("middle"))
-    stars = starred(cut(values.join(crowds, "node", "left").select("node", "fp", F.col("node").alias("component"), F.coalesce("middle", F.lit(0)).alias("order"))))
-    if shingles is not None:
-        # Not all of a family have the similarity with its middle; another one of each bucket brings more of them together.
-        stars = cut(stars.unionAll(starred(cut(with_components(stars).withColumn("order", F.xxhash64("node"))))))
-    found = with_components(stars)
+    order = F.shiftleft(F.coalesce("middle", F.lit(0)), 56) + F.col("node")
+    ordered = cut(values.join(crowds, "node", "left").select("node", "fp", order.alias("order")))
+    homes, probes = dealt(ordered, False, "order"), dealt(ordered, flips)
+    first = homes.groupBy("at").agg(F.max("order").bitwiseAND(F.lit((1 << 56) - 1)).alias("node"), F.count(F.lit(1)).alias("n")).where(F.lit(flips) | (F.col("n") > 1))
+    first = first.select("at", "node").join(values.select("node", F.col("fp")[0].alias("c0"), F.col("fp")[1].alias("c1")), "node")
+    star = probes.alias("p").join(first.alias("h"), (F.col("p.at") == F.col("h.at")) & (F.col("p.node") != F.col("h.node")) & near("p", "h", 2, least))
+    stars = cut(verified(star.select(F.least("p.node", "h.node").alias("src"), F.greatest("p.node", "h.node").alias("dst"))))
+    found = components(stars)
     size = found.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     large = F.when(F.col("size") >= LARGE, F.struct("size", "component"))
-    named = cut(found.join(size, "component").select("node", "fp", "component", large.alias("large")))
+    named = cut(values.join(found.join(size, "component").select("node", "component", large.alias("large")), "node", "left").select("node", "fp", F.coalesce("component", "node").alias("component"), "large"))
     homes, probes = dealt(named, False, "component", words=width), dealt(named, flips, "component", words=width)
     chief = dealt(named.where("large is not null"), False, "large", words=0).groupBy("at").agg(F.max("large")["component"].alias("chief"))
     outside = probes.join(chief, "at", "left").where("chief is null or chief <> component").alias("p")
     once = (F.col("p.node") < F.col("h.node")) | F.col("p.chief").eqNullSafe(F.col("h.component"))
     apart = (F.col("p.at") == F.col("h.at")) & (F.col("p.component") != F.col("h.component")) & once & near("p", "h", width, whole)
-    met = outside.join(homes.alias("h"), apart).select(F.least("p.node", "h.node").alias("src"), F.greatest("p.node", "h.node").alias("dst"))
-    return stars.unionAll(met if shingles is None else shingles.near(met))
+    met = outside.join(homes.alias("h"), apart).select(F.least("p.node", "h.node").alias("src"), F.greatest("p.node", "h.node").alias("dst"), bits("p", "h", width).alias("apart"))
+    return stars.unionAll(confirmed(met))
 
 
 def group_similar(prints: DataFrame, width: int = 8, similarity: float = 0.8, recall: float = 0.97, docs: DataFrame | None = None, words: int = 5) -> DataFrame:
