@@ -56,8 +56,8 @@ class Study:
         return dz.with_intercept(parts, self.intercept)
 
     def fit(self, obs: DataFrame, subjects: DataFrame) -> tuple[DataFrame, DataFrame, Design]:
-        """Parameters, the subjects table that they refer to, and its design."""
-        design = self.design()
+        """Parameters, the subjects table that they refer to (the study's categories), and its design."""
+        subjects, design = self.members(subjects), self.design()
         if self.treatment is None:
             return fit.glm_fit(obs, subjects, design), subjects, design
         treated = dz.treat(subjects, design, dz.treatment(design.gram(subjects), self.treatment))

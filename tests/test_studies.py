@@ -18,6 +18,19 @@ def test_study(spark):
     assert all(np.isclose(a[v], b[v]) for v in a)
 
 
+def test_study_of_some_categories(spark):
+    """Fits and scores are those of the categories' subjects alone."""
+    rng = np.random.default_rng(3)
+    subj = spark.createDataFrame([(k, k % 3, float(rng.normal())) for k in range(30)], "subject_id long, grp int, dose double")
+    obs = spark.createDataFrame([(k, v, float(rng.normal())) for k in range(30) for v in range(2)], "subject_id long, voxel_id long, value double")
+    some, alone = Study(("dose",), category="grp", categories=(0, 2)), Study(("dose",))
+    few = subj.where("grp <> 1")
+    a, b = some.score(obs, subj).collect(), alone.score(obs, few).collect()
+    assert {r.voxel_id: round(r.mse, 9) for r in a} == {r.voxel_id: round(r.mse, 9) for r in b}
+    whole = {r.voxel_id: r.dose for r in alone.fit(obs, subj)[0].collect()}
+    assert all(abs(r.dose - whole[r.voxel_id]) > 1e-6 for r in some.fit(obs, subj)[0].collect())
+
+
 def test_search_of_a_study(spark):
     rng = np.random.default_rng(2)
     subj = spark.createDataFrame([(k, k % 3, float(rng.normal())) for k in range(24)], "subject_id long, grp int, dose double")
