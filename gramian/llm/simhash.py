@@ -396,12 +396,11 @@ def similar_links(values: DataFrame, width: int, similarity: float, recall: floa
     held against the first of each bucket it probes; then those of different components against each other, in a bucket
     with members of a component of LARGE or more those outside the largest such component against all.  At first two words of the
     fingerprint go along with the buckets and tell nearly all strangers apart, and pairs that pass are held against each other whole; then all
-    words go along, so that of two families that are alike no pair but the linked ones is made.  With ``shingles`` fingerprints are a filter, wide
-    enough to let nearly all pairs at the similarity pass, and pairs that pass are held against their texts' shingles, but for those which
-    the estimate puts SURE deviations above the similarity; else the estimate decides."""
+    words go along, so that of two families that are alike no pair but the linked ones is made.  The estimate decides; with ``shingles`` the links
+    that it gives are held against their texts' shingles in the end, but for those which it puts SURE deviations above the similarity."""
     n, correlations = bit_statistics(values, width)
     chosen = wide_plan(n, correlations, sampled_bits(values, width), similarity, recall)
-    least, whole = _at_most(similarity, 2 * BITS, 2.6), _at_most(similarity, width * BITS, 1.3 if shingles is None else 2.2)
+    least, whole = _at_most(similarity, 2 * BITS, 2.6), _at_most(similarity, width * BITS, 1.3)
     sure = _at_most(similarity, width * BITS, -SURE)
 
     def dealt(rows: DataFrame, flips: bool, *more: str, words: int = 2) -> DataFrame:
@@ -423,17 +422,10 @@ def similar_links(values: DataFrame, width: int, similarity: float, recall: floa
     def near(a: str, b: str, words: int, most: int) -> Column:
         return bits(a, b, words) <= most
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """Of pairs (src, dst, apart) that passed the filter, the links: those whose texts have the similarity."""
-        if shingles is None:
-            return pairs.select("src", "dst")
-        pairs = cut(pairs.distinct())
-        return pairs.where(F.col("apart") <= sure).select("src", "dst").unionAll(shingles.near(pairs.where(F.col("apart") > sure)))
-
     def verified(pairs: DataFrame) -> DataFrame:
         ends = values.select(F.col("node").alias("src"), F.col("fp").alias("a")), values.select(F.col("node").alias("dst"), F.col("fp").alias("b"))
         both = pairs.distinct().join(ends[0], "src").join(ends[1], "dst").select("src", "dst", _bits_apart("a", "b", range(width)).alias("apart"))
-        return confirmed(both.where(F.col("apart") <= whole))
+        return both.where(F.col("apart") <= whole)
 
     flips = any(chosen.thresholds)
     homes = dealt(values, False)
@@ -460,7 +452,11 @@ def similar_links(values: DataFrame, width: int, similarity: float, recall: floa
     once = (F.col("p.node") < F.col("h.node")) | F.col("p.chief").eqNullSafe(F.col("h.component"))
     apart = (F.col("p.at") == F.col("h.at")) & (F.col("p.component") != F.col("h.component")) & once & near("p", "h", width, whole)
     met = outside.join(homes.alias("h"), apart).select(F.least("p.node", "h.node").alias("src"), F.greatest("p.node", "h.node").alias("dst"), bits("p", "h", width).alias("apart"))
-    return stars.unionAll(confirmed(met))
+    links = stars.unionAll(met)
+    if shingles is None:
+        return links.select("src", "dst")
+    links = cut(links.distinct())
+    return links.where(F.col("apart") <= sure).select("src", "dst").unionAll(shingles.near(links.where(F.col("apart") > sure)))
 
 
 def group_similar(prints: DataFrame, width: int = 8, similarity: float = 0.8, recall: float = 0.97, docs: DataFrame | None = None, words: int = 5) -> DataFrame:
