@@ -17,9 +17,10 @@ Needs that name no call are passed over.  Null text is null in the JSON.  A null
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gramian.operators.windows import numbered
 from gramian.runtime import cut
 
 #: The names of JSON types in a schema, and how the type of a parsed value begins.
@@ -69,30 +70,53 @@ def valid(arguments: Column, name: Column, schemas: dict[str, dict[str, tuple[st
 def placed(calls: DataFrame) -> DataFrame:
     """(key, at, sub, circular): by (at, sub, seq) every call comes after those it needs.
 
-    ``at`` is the greatest seq of the call and all it needs, near or far, and ``sub`` the longest way to that one.  Where all
-    needs come earlier this is the seq itself.  Otherwise ways are doubled: a round joins every call with those 1, 2, 4, ... steps
-    away, so the rounds grow with the logarithm of the calls of a conversation.  A call from which a way leads as long as its
-    conversation has calls is on a circle, or behind one.
+    ``at`` is the greatest seq of the call and all it needs, near or far, and ``sub`` the longest way to that one.  A conversation where all
+    needs come earlier has the seq itself.  In others every call with needs follows one of them, at first the one of the greatest seq; along
+    these ways (at, sub) is found by doubling them.  Where another need promises more, the call follows that one from then on, and so on until none does: then
+    the values hold for all needs.  Calls that don't come to an end are on a circle, or behind one.  A step holds one row for each call and need, and never
+    pairs of calls at a distance; doubling takes rounds by the logarithm of the longest way.
     """
     needs = calls.select("key", "conv_id", "seq", F.explode("needs").alias("need")).distinct().withColumn("need", _key("conv_id", "need"))
-    edges = cut(needs.join(calls.select(F.col("key").alias("need"), F.col("seq").alias("need_seq")), "need").select("key", "need", (F.col("need_seq") >= F.col("seq")).alias("late")))
-    start = calls.select("key", F.col("seq").alias("at"), F.lit(0).cast("long").alias("sub"))
-    if edges.where("late").isEmpty():
-        return start.withColumn("circular", F.lit(False))
-    most = calls.groupBy("conv_id").count().agg(F.max("count")).first()[0]
-    state, ways, steps = start, edges.select("key", "need"), 1
-    while steps < most and not ways.isEmpty():
-        ahead = state.select(F.col("key").alias("need"), F.struct("at", (F.col("sub") + steps).alias("sub")).alias("k"))
-        reached = ways.join(ahead, "need").groupBy("key").agg(F.max("k").alias("k"))
-        moves = F.coalesce(F.col("k") > F.struct("at", "sub"), F.lit(False))
-        state = cut(state.join(reached, "key", "left").select("key", F.when(moves, F.col("k.at")).otherwise(F.col("at")).alias("at"), F.when(moves, F.col("k.sub")).otherwise(F.col("sub")).alias("sub")))
-        ways = cut(ways.join(ways.select(F.col("key").alias("need"), F.col("need").alias("next")), "need").select("key", F.col("next").alias("need")).distinct())
-        steps *= 2
-    endless = ways.select("key").distinct().withColumn("circular", F.lit(True))
-    own = calls.select("key", "seq")
-    back = lambda name, home: F.when(F.col("circular"), home).otherwise(F.col(name)).alias(name)
-    out = state.join(endless, "key", "left").join(own, "key").withColumn("circular", F.coalesce("circular", F.lit(False)))
-    return out.select("key", back("at", F.col("seq")), back("sub", F.lit(0).cast("long")), "circular")
+    edges = needs.join(calls.select(F.col("key").alias("need"), F.col("seq").alias("need_seq")), "need")
+    edges = cut(edges.select("key", F.struct("conv_id").alias("home"), "need", "need_seq", F.coalesce(F.col("need_seq") >= F.col("seq"), F.lit(True)).alias("late")))
+    late = cut(edges.where("late").select("home").distinct())
+    if late.isEmpty():
+        return calls.select("key", F.col("seq").alias("at"), F.lit(0).cast("long").alias("sub"), F.lit(False).alias("circular"))
+    edges = cut(edges.join(late, "home", "left_semi").select("key", "need", "need_seq"))
+    nodes = cut(calls.select("key", "seq", F.struct("conv_id").alias("home")).join(late, "home", "left_semi"))
+    most = nodes.groupBy("home").count().agg(F.max("count")).first()[0]
+    choice = edges.join(edges.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi")
+    choice, chosen = cut(choice.select("key", "need")), cut(edges.groupBy("key").agg(F.max(F.struct("need_seq", "need"))["need"].alias("to")))
+    while True:
+        values = _along(nodes, chosen, most)
+        ahead = values.select(F.col("key").alias("need"), F.col("to").isNotNull().alias("circular"), F.struct("best.at", (F.col("best.sub") + 1).alias("sub")).alias("further"))
+        offers = choice.join(ahead, "need").groupBy("key").agg(F.max(F.struct("circular", "further", "need")).alias("offer"))
+        better = cut(offers.join(values.where("to is null"), "key").where("offer.circular or offer.further > best").select("key", F.col("offer.need").alias("other")))
+        if better.isEmpty():
+            break
+        chosen = cut(chosen.join(better, "key", "left").select("key", F.coalesce("other", "to").alias("to")))
+    found = values.select("key", F.col("to").isNotNull().alias("circular"), "best")
+    own = calls.select("key", "seq").join(found, "key", "left").withColumn("ends", F.coalesce(~F.col("circular"), F.lit(False)))
+    at, sub = F.when(F.col("ends"), F.col("best.at")).otherwise(F.col("seq")), F.when(F.col("ends"), F.col("best.sub")).otherwise(F.lit(0).cast("long"))
+    return own.select("key", at.alias("at"), sub.alias("sub"), F.coalesce("circular", F.lit(False)).alias("circular"))
+
+
+def _along(nodes: DataFrame, chosen: DataFrame, most: int) -> DataFrame:
+    """(key, to, best): the greatest (at, sub) on the way from each node (key, seq) along ``chosen`` (key, to).  ``to`` is null where the way
+    ends; a way of ``most`` steps doesn't."""
+    now, steps = cut(nodes.join(chosen, "key", "left").select("key", "to", F.struct(F.col("seq").alias("at"), F.lit(0).cast("long").alias("sub")).alias("best"))), 1
+    while steps < most and not now.where("to is not null").isEmpty():
+        on = now.select(F.col("key").alias("to"), F.col("to").alias("next"), F.struct("best.at", (F.col("best.sub") + steps).alias("sub")).alias("further"))
+        moved = now.where("to is not null").join(on, "to").select("key", F.col("next").alias("to"), F.greatest("best", "further").alias("best"))
+        now, steps = cut(now.where("to is null").unionByName(moved)), 2 * steps
+    return now
+
+
+def needs_of(arguments: Column) -> Column:
+    """The ids in the argument ``after``, a string or an array of them."""
+    after = F.try_variant_get(F.try_parse_json(arguments), "$.after", "variant")
+    needs = F.coalesce(F.try_variant_get(after, "$", "array<string>"), F.array(F.try_variant_get(after, "$", "string")))
+    return F.filter(F.coalesce(needs, F.array().cast("array<string>")), lambda x: x.isNotNull())
 
 
 def _key(conv_id: str, call_id: str) -> Column:
@@ -108,10 +132,7 @@ def linked(messages: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]])
     first_calls = cut(first_of_id(messages.where("kind = 'call'")))
     results = messages.where("kind = 'result'")
     first_results = cut(first_of_id(results))
-    parsed = F.try_parse_json("arguments")
-    after = F.try_variant_get(parsed, "$.after", "variant")
-    needs = F.coalesce(F.try_variant_get(after, "$", "array<string>"), F.array(F.try_variant_get(after, "$", "string")))
-    calls = first_calls.select("key", "conv_id", "call_id", "seq", "name", _canonical().alias("canonical"), valid(parsed, F.col("name"), schemas).alias("fits"), F.filter(F.coalesce(needs, F.array().cast("array<string>")), lambda x: x.isNotNull()).alias("needs"))
+    calls = first_calls.select("key", "conv_id", "call_id", "seq", "name", _canonical().alias("canonical"), valid(F.try_parse_json("arguments"), F.col("name"), schemas).alias("fits"), needs_of(F.col("arguments")).alias("needs"))
     whole = calls.join(first_results.select("key", "content", F.lit(True).alias("answered")), "key", "left").join(placed(calls), "key", "left")
     whole = whole.withColumn("valid", F.col("fits") & ~F.col("circular"))
     whole = whole.select("conv_id", F.col("at").alias("place"), "sub", "seq", F.lit("call").alias("kind"), "call_id", F.coalesce("answered", F.lit(False)).alias("answered"), "valid", _call_json().alias("json"))
@@ -147,6 +168,18 @@ def _plain_json() -> Column:
     return F.concat(F.lit("{"), arguments, F.lit('"content":'), quoted(F.col("content")), ident, F.lit(',"role":'), quoted(F.coalesce("name", F.lit("unknown"))), F.lit("}"))
 
 
+def _neighbours(turns: DataFrame) -> DataFrame:
+    """(at, earlier, later, rank): for each of the distinct (conv_id, turn), as ``at``, the turns before and after it in its conversation, and its rank there if that
+    is 1 or 2, else 3.  Turns are numbered over ranges and sent to the numbers nearby, so a long conversation isn't one task's."""
+    sent = numbered(turns, F.col("conv_id"), F.col("turn")).select("conv_id", "turn", "number", F.explode(F.array(*[F.lit(k) for k in (-1, 0, 1, 2)])).alias("k"))
+    row = F.struct("conv_id", "turn")
+    by_k = {name: F.max(F.when(F.col("k") == k, row)).alias(name) for name, k in (("next", -1), ("at", 0), ("last", 1), ("last2", 2))}
+    met = sent.groupBy((F.col("number") + F.col("k")).alias("number")).agg(*by_k.values()).where("at is not null")
+    same = lambda name: F.when(F.col(f"{name}.conv_id").eqNullSafe(F.col("at.conv_id")), F.col(f"{name}.turn"))
+    rank = F.when(same("last").isNull(), 1).when(same("last2").isNull(), 2).otherwise(3)
+    return met.select("at", same("last").alias("earlier"), same("next").alias("later"), rank.alias("rank"))
+
+
 def from_turns(turns: DataFrame) -> DataFrame:
     """Messages from (conv_id, turn, role, text), by rule.  A user's turn is a call, ``call_`` and its turn being the id, and an assistant's turn
     the result of the turn before it; any other is a plain message.  A call needs the user's turn before.  In every third
@@ -156,9 +189,9 @@ def from_turns(turns: DataFrame) -> DataFrame:
     call = lambda turn: F.concat(F.lit("call_"), turn.cast("string"))
     user, assistant = F.col("role") == "user", F.col("role") == "assistant"
     turns = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
-    of_user = F.when(user, F.col("turn"))
-    here = Window.partitionBy("conv_id").orderBy("turn")
-    turns = turns.withColumns({"earlier": F.last(of_user, ignorenulls=True).over(here.rowsBetween(Window.unboundedPreceding, -1)), "later": F.first(of_user, ignorenulls=True).over(here.rowsBetween(1, Window.unboundedFollowing)), "rank": F.count(of_user).over(here)})
+    near = _neighbours(turns.where(user & F.col("turn").isNotNull()).select("conv_id", "turn").distinct())
+    at = F.struct("conv_id", F.when(user, F.col("turn")).alias("turn"))
+    turns = turns.withColumn("at", at).join(near, "at", "left").drop("at")
     third, ninth = (F.coalesce(F.col("conv_id") % k == 0, F.lit(False)) for k in (3, 9))
     need = F.when(third & (F.col("rank") == 1), F.col("later")).when(third & ~ninth & (F.col("rank") == 2), F.lit(None)).otherwise(F.col("earlier"))
     tool = F.when(F.col("turn") % 4 == 0, F.lit("search")).otherwise(F.lit("lookup"))

@@ -3,6 +3,8 @@
 import json
 import random
 
+from pyspark.sql import functions as F
+
 from gramian.llm import chat, hamming
 
 
@@ -120,6 +122,51 @@ def test_long_chains_in_few_rounds(spark, monkeypatch):
     assert len(cuts) < 40
 
 
+def test_order_of_many_needs(spark, monkeypatch):
+    """Calls with several needs, near and far, forwards and back, circles among them, against ways followed one by one; no step has more rows than calls and needs."""
+    rng, rows, want = random.Random(5), [], {}
+    shapes = [lambda i, n: [i + 1, i + 2], lambda i, n: [i - 1, i - 2], lambda i, n: [rng.randrange(n) for _ in range(rng.randrange(3))], lambda i, n: [i + rng.randrange(1, 9) for _ in range(3)], lambda i, n: [i - 1, n - 1] if i < n - 1 else []]
+    for conv, shape in enumerate([*shapes, shapes[2], shapes[3]]):
+        n = 16
+        seqs = list(range(n)) if conv < 5 else rng.sample(range(n), n)
+        if conv == 6:
+            seqs[7] = seqs[8] = None
+        needs = [[j for j in shape(i, n) if 0 <= j < n] for i in range(n)]
+        rows += [(conv or None, q, "call", f"c{i}", "search", json.dumps({"query": "x", "limit": 1, "after": [f"c{j}" for j in needs[i]]}), None, 0) for i, q in enumerate(seqs)]
+        level = lambda q: -1 if q is None else q
+        best = {i: (level(q), 0) for i, q in enumerate(seqs)}
+        ends = set()
+        for _ in range(n):
+            best = {i: max([best[i], *((best[j][0], best[j][1] + 1) for j in needs[i])]) for i in best}
+            ends |= {i for i in best if all(j in ends for j in needs[i])}
+        want |= {(conv or None, f"c{i}"): (*best[i], False) if i in ends else (level(seqs[i]), 0, True) for i in best}
+    sizes = []
+    monkeypatch.setattr(chat, "cut", lambda df, own=chat.cut: sizes.append((out := own(df)).count()) or out)
+    calls = spark.createDataFrame(rows, MESSAGES).select(chat._key("conv_id", "call_id").alias("key"), "conv_id", F.col("seq").cast("long").alias("seq"), chat.needs_of(F.col("arguments")).alias("needs"))
+    got = {tuple(r.key): (-1 if r["at"] is None else r["at"], r["sub"], r.circular) for r in chat.placed(calls).collect()}
+    assert got == want and any(v[2] for v in want.values()) and any(v[1] > 10 for v in want.values())
+    assert max(sizes) <= 3 * len(rows) and len(sizes) < 150
+
+
+def test_turns_of_one_conversation_are_not_gathered(spark):
+    """Neighbours among the users' turns against a plain loop, null conversations and repeated turns too; the plan has no window."""
+    rng = random.Random(6)
+    turns = [(c, t, rng.choice(["user", "user", "assistant", None]), "x" * rng.randrange(1, 30)) for c in [3, 6, 9, 10, None] for t in [*rng.sample(range(60), 40), 5, None]]
+    messages = chat.from_turns(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    assert "Window" not in messages._jdf.queryExecution().toString()
+    users = {c: sorted({t for k, t, r, _ in turns if k == c and r == "user" and t is not None}) for c in [3, 6, 9, 10, None]}
+    seen = 0
+    for r in messages.where("kind = 'call' and call_id is not null and arguments is not null").collect():
+        own = users[r.conv_id]
+        i = own.index(r.seq)
+        need = own[i - 1] if i else None
+        if r.conv_id is not None and r.conv_id % 3 == 0:
+            need = own[1] if i == 0 else None if i == 1 and r.conv_id % 9 else need
+        assert json.loads(r.arguments).get("after") == (None if need is None else f"call_{need}")
+        seen += 1
+    assert seen >= sum(map(len, users.values()))
+
+
 def test_arguments_that_do_not_parse_are_kept(spark):
     rows = [(1, 0, "call", "a", "search", "{broken", None, 0), (1, 1, "call", "a", "search", '{"query":"y","limit":2}', None, 0), (1, 2, "result", "z", "tool", None, "lost", 0)]
     got = {tuple(r)[3:6]: r.json for r in chat.linked(spark.createDataFrame(rows, MESSAGES), chat.SCHEMAS).collect()}
