@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gramian.runtime import cut
+from gramian.runtime import cut, written
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -58,11 +58,12 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", small: int
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
     nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
     star = cut(pairs.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
+    before, rounds = None, 0
     if small and star.limit(small + 1).count() <= small:
         star, before = star.select(F.col("u").cast("long"), F.col("v").cast("long")).coalesce(1).mapInArrow(_joined_in_a_task, "u long, v long"), ()
     while before != ():
-        star = cut(_small_star(_large_star(star)))
+        rounds += 1
+        star = (cut if rounds % 4 else written)(_small_star(_large_star(star)))
         state = star.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == before:
             break

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,3 +40,14 @@ def cut(df: DataFrame) -> DataFrame:
     lost executor costs no more than a read."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written as a table to the shared checkpoint folder and read from there.
+
+    For loops with many joins: a checkpoint hands on the size that was estimated for its plan, and a join's estimate is the product of
+    its sides', so after some ten self-joins in turn the estimate alone has millions of digits and takes longer than the work.  A table has the size of its files.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
