@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gramian.operators.windows import numbered
-from gramian.runtime import cut
+from gramian.runtime import cut, written
 
 #: The names of JSON types in a schema, and how the type of a parsed value begins.
 TYPES = {"string": "^STRING", "integer": "^BIGINT", "number": "^(BIGINT|DOUBLE|DECIMAL|FLOAT)", "boolean": "^BOOLEAN", "object": "^OBJECT", "array": "^ARRAY"}
@@ -78,23 +78,23 @@ def placed(calls: DataFrame) -> DataFrame:
     """
     needs = calls.select("key", "conv_id", "seq", F.explode("needs").alias("need")).distinct().withColumn("need", _key("conv_id", "need"))
     edges = needs.join(calls.select(F.col("key").alias("need"), F.col("seq").alias("need_seq")), "need")
-    edges = cut(edges.select("key", F.struct("conv_id").alias("home"), "need", "need_seq", F.coalesce(F.col("need_seq") >= F.col("seq"), F.lit(True)).alias("late")))
-    late = cut(edges.where("late").select("home").distinct())
+    edges = written(edges.select("key", F.struct("conv_id").alias("home"), "need", "need_seq", F.coalesce(F.col("need_seq") >= F.col("seq"), F.lit(True)).alias("late")))
+    late = written(edges.where("late").select("home").distinct())
     if late.isEmpty():
         return calls.select("key", F.col("seq").alias("at"), F.lit(0).cast("long").alias("sub"), F.lit(False).alias("circular"))
-    edges = cut(edges.join(late, "home", "left_semi").select("key", "need", "need_seq"))
-    nodes = cut(calls.select("key", "seq", F.struct("conv_id").alias("home")).join(late, "home", "left_semi"))
+    edges = written(edges.join(late, "home", "left_semi").select("key", "need", "need_seq"))
+    nodes = written(calls.select("key", "seq", F.struct("conv_id").alias("home")).join(late, "home", "left_semi"))
     most = nodes.groupBy("home").count().agg(F.max("count")).first()[0]
     choice = edges.join(edges.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi")
-    choice, chosen = cut(choice.select("key", "need")), cut(edges.groupBy("key").agg(F.max(F.struct("need_seq", "need"))["need"].alias("to")))
+    choice, chosen = written(choice.select("key", "need")), written(edges.groupBy("key").agg(F.max(F.struct("need_seq", "need"))["need"].alias("to")))
     while True:
         values = _along(nodes, chosen, most)
         ahead = values.select(F.col("key").alias("need"), F.col("to").isNotNull().alias("circular"), F.struct("best.at", (F.col("best.sub") + 1).alias("sub")).alias("further"))
         offers = choice.join(ahead, "need").groupBy("key").agg(F.max(F.struct("circular", "further", "need")).alias("offer"))
-        better = cut(offers.join(values.where("to is null"), "key").where("offer.circular or offer.further > best").select("key", F.col("offer.need").alias("other")))
+        better = written(offers.join(values.where("to is null"), "key").where("offer.circular or offer.further > best").select("key", F.col("offer.need").alias("other")))
         if better.isEmpty():
             break
-        chosen = cut(chosen.join(better, "key", "left").select("key", F.coalesce("other", "to").alias("to")))
+        chosen = written(chosen.join(better, "key", "left").select("key", F.coalesce("other", "to").alias("to")))
     found = values.select("key", F.col("to").isNotNull().alias("circular"), "best")
     own = calls.select("key", "seq").join(found, "key", "left").withColumn("ends", F.coalesce(~F.col("circular"), F.lit(False)))
     at, sub = F.when(F.col("ends"), F.col("best.at")).otherwise(F.col("seq")), F.when(F.col("ends"), F.col("best.sub")).otherwise(F.lit(0).cast("long"))
@@ -104,11 +104,13 @@ def placed(calls: DataFrame) -> DataFrame:
 def _along(nodes: DataFrame, chosen: DataFrame, most: int) -> DataFrame:
     """(key, to, best): the greatest (at, sub) on the way from each node (key, seq) along ``chosen`` (key, to).  ``to`` is null where the way
     ends; a way of ``most`` steps doesn't."""
-    now, steps = cut(nodes.join(chosen, "key", "left").select("key", "to", F.struct(F.col("seq").alias("at"), F.lit(0).cast("long").alias("sub")).alias("best"))), 1
+    now, steps = written(nodes.join(chosen, "key", "left").select("key", "to", F.struct(F.col("seq").alias("at"), F.lit(0).cast("long").alias("sub")).alias("best"))), 1
     while steps < most and not now.where("to is not null").isEmpty():
-        on = now.select(F.col("key").alias("to"), F.col("to").alias("next"), F.struct("best.at", (F.col("best.sub") + steps).alias("sub")).alias("further"))
-        moved = now.where("to is not null").join(on, "to").select("key", F.col("next").alias("to"), F.greatest("best", "further").alias("best"))
-        now, steps = cut(now.where("to is null").unionByName(moved)), 2 * steps
+        # A node whose way has ended meets itself, so no rows meet at null and no union adds partitions.
+        on = now.select(F.col("key").alias("on"), F.col("to").alias("next"), F.struct("best.at", (F.col("best.sub") + steps).alias("sub")).alias("further"))
+        moved = now.join(on, F.coalesce("to", "key") == F.col("on"))
+        best = F.when(F.col("to").isNull(), F.col("best")).otherwise(F.greatest("best", "further"))
+        now, steps = written(moved.select("key", F.when(F.col("to").isNotNull(), F.col("next")).alias("to"), best.alias("best"))), 2 * steps
     return now
 
 

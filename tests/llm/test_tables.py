@@ -111,7 +111,8 @@ def test_no_message_is_lost(spark):
 def test_long_chains_in_few_rounds(spark, monkeypatch):
     """2,000 calls, each of which needs the one before; in another conversation the one after, and in a third all but the last are on a circle."""
     cuts = []
-    monkeypatch.setattr(chat, "cut", lambda df, own=chat.cut: cuts.append(1) or own(df))
+    for name in ("cut", "written"):
+        monkeypatch.setattr(chat, name, lambda df, own=getattr(chat, name): cuts.append(1) or own(df))
     call = lambda conv, k, need: (conv, k, "call", f"c{k}", "search", json.dumps({"query": "x", "limit": 1, "after": f"c{need}"}), None, 0)
     rows = [call(1, k, k - 1) for k in range(2000)] + [call(2, k, k + 1) for k in range(300)] + [call(3, k, (k + 1) % 9) for k in range(9)] + [call(3, 9, 77)]
     got = {r.conv_id: r for r in chat.conversations(spark.createDataFrame(rows, MESSAGES), chat.SCHEMAS).collect()}
@@ -125,9 +126,9 @@ def test_long_chains_in_few_rounds(spark, monkeypatch):
 def test_order_of_many_needs(spark, monkeypatch):
     """Calls with several needs, near and far, forwards and back, circles among them, against ways followed one by one; no step has more rows than calls and needs."""
     rng, rows, want = random.Random(5), [], {}
-    shapes = [lambda i, n: [i + 1, i + 2], lambda i, n: [i - 1, i - 2], lambda i, n: [rng.randrange(n) for _ in range(rng.randrange(3))], lambda i, n: [i + rng.randrange(1, 9) for _ in range(3)], lambda i, n: [i - 1, n - 1] if i < n - 1 else []]
+    shapes = [lambda i, n: [i + 1, i + 2], lambda i, n: [i - 1, i - 2], lambda i, n: [rng.randrange(n) for _ in range(rng.choice((0, 1, 2, 2)))], lambda i, n: [i + rng.randrange(1, 9) for _ in range(3)], lambda i, n: [i - 1, n - 1] if i < n - 1 else []]
     for conv, shape in enumerate([*shapes, shapes[2], shapes[3]]):
-        n = 16
+        n = 30
         seqs = list(range(n)) if conv < 5 else rng.sample(range(n), n)
         if conv == 6:
             seqs[7] = seqs[8] = None
@@ -141,7 +142,7 @@ def test_order_of_many_needs(spark, monkeypatch):
             ends |= {i for i in best if all(j in ends for j in needs[i])}
         want |= {(conv or None, f"c{i}"): (*best[i], False) if i in ends else (level(seqs[i]), 0, True) for i in best}
     sizes = []
-    monkeypatch.setattr(chat, "cut", lambda df, own=chat.cut: sizes.append((out := own(df)).count()) or out)
+    monkeypatch.setattr(chat, "written", lambda df, own=chat.written: sizes.append((out := own(df)).count()) or out)
     calls = spark.createDataFrame(rows, MESSAGES).select(chat._key("conv_id", "call_id").alias("key"), "conv_id", F.col("seq").cast("long").alias("seq"), chat.needs_of(F.col("arguments")).alias("needs"))
     got = {tuple(r.key): (-1 if r["at"] is None else r["at"], r["sub"], r.circular) for r in chat.placed(calls).collect()}
     assert got == want and any(v[2] for v in want.values()) and any(v[1] > 10 for v in want.values())
