@@ -630,3 +630,13 @@ def test_metric_registry(study):
     score.register_metric("twice", lambda q: 2 * score.METRICS["mse"](q))
     for r in score.evaluate(obs, subj, params, DESIGN, ["mse", "twice", "r2"]).collect():
         assert np.isclose(r.twice, 2 * r.mse) and r.r2 <= 1
+
+
+def test_components_of_a_long_path_take_many_rounds(spark, monkeypatch):
+    """A path in mixed order needs more rounds than go without a table."""
+    tables = []
+    monkeypatch.setattr(graph, "written", lambda df, own=graph.written: tables.append(1) or own(df))
+    names = np.random.default_rng(3).permutation(600).tolist()
+    edges = spark.createDataFrame([(names[i], names[i + 1]) for i in range(599) if i != 300], "src long, dst long")
+    want = {(v, min(part)) for part in (names[:301], names[301:]) for v in part}
+    assert {tuple(r) for r in graph.components(edges).collect()} == want and tables
