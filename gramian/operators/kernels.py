@@ -47,9 +47,9 @@ def linear(features: int) -> Factor:
     return Factor(None, np.zeros((0, features)), np.zeros((0, 0)))
 
 
-def with_pivots(pivots: np.ndarray, gamma: float) -> Factor:
+def with_pivots(pivots: np.ndarray, gamma: float, ridge: float = 1e-12) -> Factor:
     k = gaussian(pivots, pivots, gamma)
-    lower = np.linalg.cholesky(k + 1e-12 * np.eye(len(k))) if len(k) else np.zeros((0, 0))
+    lower = np.linalg.cholesky(k + ridge * np.eye(len(k))) if len(k) else np.zeros((0, 0))
     return Factor(gamma, pivots, np.linalg.inv(lower).T if len(k) else lower)
 
 
@@ -69,8 +69,12 @@ def _more(factor: Factor, candidates: np.ndarray, floor: float) -> np.ndarray:
     return candidates[chosen]
 
 
-def pivoted(table: DataFrame, features: Sequence[str], gamma: float, error: float = 1e-8, most: int = MOST_RANK) -> Factor:
-    """The factor of the Gaussian kernel of the rows of ``table``, whose mean error on the diagonal is ``error`` at most."""
+class TooManyPivots(ArithmeticError):
+    """The kernel has no factor of the columns allowed."""
+
+
+def pivoted(table: DataFrame, features: Sequence[str], gamma: float, error: float = 1e-8, most: int = MOST_RANK, worst: bool = False) -> Factor:
+    """The factor of the Gaussian kernel of the rows of ``table``, whose mean error on the diagonal is ``error`` at most, or the greatest (``worst``)."""
     x = table.select(*features)
     factor = Factor(gamma, np.zeros((0, len(features))), np.zeros((0, 0)))
     while True:
@@ -93,14 +97,14 @@ def pivoted(table: DataFrame, features: Sequence[str], gamma: float, error: floa
         if not n:
             return factor
         mean = sum(r.total for r in got) / n
-        if mean <= error:
-            return Factor(gamma, factor.pivots, factor.weights, mean)
         size = np.concatenate([r.size for r in got])
+        if (size.max() if worst else mean) <= error:
+            return Factor(gamma, factor.pivots, factor.weights, mean)
         every = np.vstack([np.array(r.x).reshape(-1, len(features)) for r in got])
         order = np.lexsort((*every.T, -size))[: 2 * BLOCK]
         pivots = np.vstack([factor.pivots, _more(factor, every[order], error / 10)])
         if len(pivots) > most:
-            raise ArithmeticError(f"the kernel needs more than {most} pivots for a mean error of {error}; {mean} is left")
+            raise TooManyPivots(f"the kernel needs more than {most} pivots for a mean error of {error}; {mean} is left")
         if len(pivots) == len(factor.pivots):
             return Factor(gamma, factor.pivots, factor.weights, mean)
-        factor = with_pivots(pivots, gamma)
+        factor = with_pivots(pivots, gamma, min(1e-12, error / 100))

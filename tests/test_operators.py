@@ -640,3 +640,24 @@ def test_components_of_a_long_path_take_many_rounds(spark, monkeypatch):
     edges = spark.createDataFrame([(names[i], names[i + 1]) for i in range(599) if i != 300], "src long, dst long")
     want = {(v, min(part)) for part in (names[:301], names[301:]) for v in part}
     assert {tuple(r) for r in graph.components(edges).collect()} == want and tables
+
+
+def test_gaussian_predictions_make_no_pairs(spark, monkeypatch):
+    """Predictions at all subjects follow from a factor; where it has too many columns, from pairs."""
+    n = 3000
+    scaled = spark.range(n).selectExpr("id AS subject_id", "(id * 7919 % 3001) / 1000.0D AS a", "IF(id = 7, NULL, IF(id = 8, 9.0D, (id * 104729 % 997) / 500.0D)) AS b")
+    alphas = scaled.selectExpr("subject_id", "explode(sequence(0L, 2L)) AS voxel_id").selectExpr("voxel_id", "subject_id", "(subject_id * 31 + voxel_id) % 21 / 10.0D - 1 AS alpha", "voxel_id / 4.0D AS intercept")
+    points = scaled.withColumnRenamed("subject_id", "point")
+    monkeypatch.setattr(svr, "BLOCK_ROWS", 700)
+    few = {(r.voxel_id, r.point): r.predicted for r in svr.gaussian_predict(alphas, scaled, points.where("point < 40"), ["a", "b"], 0.5, most=20).collect()}
+    monkeypatch.setattr(svr, "gaussian_pairs", None)
+    got = {(r.voxel_id, r.point): r.predicted for r in svr.gaussian_predict(alphas, scaled, points, ["a", "b"], 0.5).collect()}
+    x = np.array([[k * 7919 % 3001 / 1000, 9.0 if k == 8 else k * 104729 % 997 / 500] for k in range(n)])
+    has = np.arange(n) != 7
+    kernel = kernels.gaussian(x, x[has], 0.5)
+    assert len(got) == 3 * n and len(few) == 120
+    for v in range(3):
+        direct = kernel @ np.array([(k * 31 + v) % 21 / 10 - 1 for k in range(n)])[has] + v / 4
+        assert got[v, 7] is None and few[v, 7] is None
+        assert np.allclose([got[v, k] for k in range(n) if k != 7], direct[has], atol=1e-8)
+        assert np.allclose([few[v, k] for k in range(40) if k != 7], direct[:40][has[:40]], atol=1e-8)
