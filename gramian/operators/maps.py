@@ -21,11 +21,12 @@ def _forward() -> list[tuple[int, int, int]]:
 
 
 def neighbours(voxels: DataFrame) -> DataFrame:
-    """(src, dst): pairs among ``voxels`` that touch by a face, an edge or a corner; thirteen of the 26 directions, each an equi-join."""
+    """(src, dst): pairs among ``voxels`` that touch by a face, an edge or a corner; thirteen of the 26 directions, each an equi-join.
+    Both sides are shuffled: the voxels' estimated size is that of a compressed file, and as a broadcast they went through the driver whole."""
     steps = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("dx", "dy", "dz"), o)]) for o in _forward()])
     moved = voxels.select(F.col("voxel_id").alias("src"), "x", "y", "z", F.explode(steps).alias("o"))
     moved = moved.select("src", *[(F.col(a) + F.col(f"o.d{a}")).alias(a) for a in "xyz"])
-    return moved.join(voxels.select(F.col("voxel_id").alias("dst"), "x", "y", "z"), ["x", "y", "z"]).select("src", "dst")
+    return moved.join(voxels.select(F.col("voxel_id").alias("dst"), "x", "y", "z").hint("merge"), ["x", "y", "z"]).select("src", "dst")
 
 
 #: Voxels along each side of a block, which one task labels, and edges between blocks that one task joins.

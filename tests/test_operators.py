@@ -661,3 +661,10 @@ def test_gaussian_predictions_make_no_pairs(spark, monkeypatch):
         assert got[v, 7] is None and few[v, 7] is None
         assert np.allclose([got[v, k] for k in range(n) if k != 7], direct[has], atol=1e-8)
         assert np.allclose([few[v, k] for k in range(40) if k != 7], direct[:40][has[:40]], atol=1e-8)
+
+
+def test_neighbours_are_not_broadcast(spark):
+    """However small the voxels' estimated size is, they don't go through the driver."""
+    pairs = maps.neighbours(spark.range(200).selectExpr("id AS voxel_id", "id div 25 AS x", "id div 5 % 5 AS y", "id % 5 AS z"))
+    assert pairs.count() == sum((8 - abs(a)) * (5 - abs(b)) * (5 - abs(c)) for a, b, c in maps._forward())
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
