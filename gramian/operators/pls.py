@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ from gramian.operators.windows import numbered
 MOST_NUMBERS = 1 << 25
 #: A group's observations are about so many at most, and so many permutations are multiplied at a time.
 GROUP_ROWS, TOGETHER = 1 << 20, 64
+#: Subjects whose permuted features are held at a time, and places that a task permutes.
+HELD, TASK_PLACES = 4096, 1 << 17
 
 
 def _features(subjects: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -109,7 +112,7 @@ def rounds_of(n: int) -> int:
 
 def _partner(x, turn, key, n, where: Callable, largest: Callable):
     """One round of a keyed bijection of 0 to n - 1: every number has a partner, and a bit that both share says whether they change places.  Works on
-    numbers, arrays and columns alike."""
+    numbers and arrays alike."""
     k = (turn * 69621 + key * 40692 + 12345) % _PRIME
     k = (k * k % _PRIME * 48271 + turn) % _PRIME % n
     other = (k + n - x) % n
@@ -119,9 +122,10 @@ def _partner(x, turn, key, n, where: Callable, largest: Callable):
     return where(t * t % _PRIME % 2 == 1, other, x)
 
 
-def permuted_places(n: int, keys: np.ndarray, inverse: bool = False) -> np.ndarray:
-    """(n, keys): where each of the places 0 to n - 1 goes under the bijection of each key, or comes from."""
-    x = np.broadcast_to(np.arange(n)[:, None], (n, len(keys)))
+def permuted_places(n: int, keys: np.ndarray, inverse: bool = False, first: int = 0, last: int | None = None) -> np.ndarray:
+    """(places, keys): where each of the places 0 to n - 1, or of those from ``first`` to before ``last``, goes under the bijection of each key, or comes from."""
+    places = np.arange(first, n if last is None else min(last, n))
+    x = np.broadcast_to(places[:, None], (len(places), len(keys)))
     turns = range(1, rounds_of(n) + 1)
     for turn in reversed(turns) if inverse else turns:
         x = _partner(x, turn, keys[None, :], n, np.where, np.maximum)
@@ -131,16 +135,24 @@ def permuted_places(n: int, keys: np.ndarray, inverse: bool = False) -> np.ndarr
 def permutations(subjects: DataFrame, n: int) -> DataFrame:
     """(perm_id, subject_id, source): for each permutation from 1 to n, whose observation each subject takes.
 
-    Subjects have places in the order of their ids, once; a permutation is a keyed bijection of the places in column arithmetic, so nothing is
+    Subjects have places in the order of their ids, once; a permutation is a keyed bijection of the places, taken for arrays of them in tasks, so nothing is
     sorted for it.
     """
     placed = numbered(subjects.select("subject_id"), F.col("subject_id"), as_number="place").withColumn("place", F.col("place") - 1)
     size = placed.count()
     if not size:
         return placed.select(F.lit(0).alias("perm_id"), "subject_id", F.col("subject_id").alias("source")).limit(0)
-    turn = lambda x, r: _partner(x, r, F.col("perm_id").cast("long"), size, lambda c, a, b: F.when(c, a).otherwise(b), F.greatest)
-    every = placed.withColumn("perm_id", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    moved = every.select("perm_id", "subject_id", F.aggregate(F.sequence(F.lit(1).cast("long"), F.lit(rounds_of(size)).cast("long")), F.col("place"), turn).alias("place"))
+
+    def move(it):
+        for batch in it:
+            key, x = batch.column(0).to_numpy().astype(np.int64), batch.column(2).to_numpy()
+            for turn in range(1, rounds_of(size) + 1):
+                x = _partner(x, turn, key, size, np.where, np.maximum)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(x, pa.int64())], names=["perm_id", "subject_id", "place"])
+
+    tasks = max(1, -(-size * n // TASK_PLACES))
+    every = placed.repartition(tasks).select(F.explode(F.sequence(F.lit(1), F.lit(n))).alias("perm_id"), "subject_id", F.col("place").cast("long").alias("place"))
+    moved = every.mapInArrow(move, f"perm_id int, subject_id {placed.schema['subject_id'].dataType.simpleString()}, place long")
     return moved.join(placed.select("place", F.col("subject_id").alias("source")), "place").select("perm_id", "subject_id", "source")
 
 
@@ -173,8 +185,10 @@ def _permuted(x: np.ndarray, y: np.ndarray, n: int, components: int) -> tuple[np
     greater = np.zeros(seen.shape)
     for first in range(1, n + 1, TOGETHER):
         keys = np.arange(first, min(first + TOGETHER, n + 1))
-        held = x[permuted_places(m, keys, inverse=True)].reshape(m, -1)
-        s = (y.T @ held).reshape(-1, len(keys), r)
+        s = np.zeros((y.shape[1], len(keys) * r))
+        for a in range(0, m, HELD):
+            s += y[a : a + HELD].T @ x[permuted_places(m, keys, True, a, a + HELD)].reshape(-1, len(keys) * r)
+        s = s.reshape(-1, len(keys), r)
         greater += (_strengths(s, gram, m, spread[:, None], components) > seen[..., None] + 1e-12 * np.abs(seen[..., None])).sum(axis=-1)
     return seen, greater / n
 

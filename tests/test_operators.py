@@ -668,3 +668,25 @@ def test_neighbours_are_not_broadcast(spark):
     pairs = maps.neighbours(spark.range(200).selectExpr("id AS voxel_id", "id div 25 AS x", "id div 5 % 5 AS y", "id % 5 AS z"))
     assert pairs.count() == sum((8 - abs(a)) * (5 - abs(b)) * (5 - abs(c)) for a, b, c in maps._forward())
     assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_permuted_features_are_held_by_parts(spark, monkeypatch):
+    """No array of all subjects times permutations, and permutations take several tasks."""
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=(1000, 2)), rng.normal(size=(1000, 3))
+    seen, asked, real = pls._permuted(x, y, 30, 2), [], pls.permuted_places
+
+    def places(*args):
+        asked.append(real(*args))
+        return asked[-1]
+
+    monkeypatch.setattr(pls, "permuted_places", places)
+    monkeypatch.setattr(pls, "HELD", 64)
+    parts = pls._permuted(x, y, 30, 2)
+    assert np.allclose(seen, parts) and max(len(a) for a in asked) == 64
+    assert (np.concatenate(asked) == real(1000, np.arange(1, 31), True)).all()
+    monkeypatch.setattr(pls, "TASK_PLACES", 500)
+    moved = pls.permutations(spark.range(1000).withColumnRenamed("id", "subject_id"), 2)
+    got = sorted((r.perm_id, r.subject_id, r.source) for r in moved.collect())
+    forward = real(1000, np.array([1, 2]))
+    assert got == [(k + 1, i, int(forward[i, k])) for k in (0, 1) for i in range(1000)]
