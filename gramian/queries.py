@@ -17,7 +17,7 @@ from gramian.operators import design as dz
 from gramian.operators import fit as ft
 from gramian.operators import graph, local, maps, pls, score, search, summary, svr, windows
 from gramian.operators.design import CORRECTOR, PREDICTOR, Design, Term
-from gramian.runtime import checkpoint_dir, cut
+from gramian.runtime import checkpoint_dir, cut, written
 from gramian.sources import metadata, results, volumes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -567,7 +567,7 @@ def _svr(spark, d, gamma=None):
     """Observations and scaled features; the fit's results are kept, as others follow from them."""
     obs, subj = fx.observations(spark, d), fx.subjects(spark, d)
     scaled = dz.standard_scale(subj, _SVR_FEATURES).select("subject_id", *_SVR_FEATURES)
-    return obs, scaled, cut(svr.svr_fit(obs, subj, _SVR_FEATURES, 1.0, 0.1, gamma, groups=16))
+    return obs, scaled, written(svr.svr_fit(obs, subj, _SVR_FEATURES, 1.0, 0.1, gamma, groups=16))
 
 
 @query("g14_poly_svr_fit")

@@ -690,3 +690,20 @@ def test_permuted_features_are_held_by_parts(spark, monkeypatch):
     got = sorted((r.perm_id, r.subject_id, r.source) for r in moved.collect())
     forward = real(1000, np.array([1, 2]))
     assert got == [(k + 1, i, int(forward[i, k])) for k in (0, 1) for i in range(1000)]
+
+
+def test_support_vectors_settle_fast(monkeypatch):
+    """The optimum, by duality, in few rounds; the same where the factor's rows are made in parts."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(4000, 2))
+    y = np.column_stack([np.sin(x[:, 0]), x[:, 1] ** 2]) + rng.normal(size=(4000, 2)) * 0.2
+    factor = kernels.with_pivots(x[:40], 0.3)
+    held = svr.Rows(factor, x)
+    monkeypatch.setattr(svr, "HELD", 0)
+    monkeypatch.setattr(svr, "CHUNK", 700)
+    for rows in (held, svr.Rows(factor, x)):
+        a, b = svr.solve_dual(rows, y, 1.0, 0.1, rounds=400)
+        w = rows.back(a)
+        primal = (w**2).sum(0) / 2 + np.maximum(np.abs(y - rows.times(w) - b) - 0.1, 0).sum(0)
+        dual = (y * a).sum(0) - (w**2).sum(0) / 2 - 0.1 * np.abs(a).sum(0)
+        assert (np.abs(a) <= 1).all() and np.allclose(a.sum(0), 0, atol=1e-5) and (np.abs(primal - dual) < 1e-4 * primal).all()
