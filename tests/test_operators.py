@@ -283,6 +283,21 @@ def test_pivots_give_the_kernel(spark):
     assert kernels.pivoted(df.limit(0), ["a", "b"], 0.5).rank == 0
 
 
+def test_pivots_take_few_rounds(spark):
+    """Such a kernel took 38 jobs; rows that have nothing in common are all pivots."""
+    rng = np.random.default_rng(7)
+    x = rng.uniform(-2, 2, (3000, 2))
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double").repartition(5)
+    spark.sparkContext.setJobGroup("pivots", "")
+    factor = kernels.pivoted(df, ["a", "b"], 0.5, 1e-12, worst=True)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    rows = factor.rows(x)
+    assert np.abs(rows @ rows.T - kernels.gaussian(x, x, 0.5)).max() < 1e-11 and factor.rank < 300
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("pivots")) < 10
+    far = spark.range(700).selectExpr("id * 10D AS a", "0D AS b").repartition(2)
+    assert kernels.pivoted(far, ["a", "b"], 1.0, 1e-12, worst=True).rank == 700
+
+
 def test_support_vectors_of_many_subjects(spark):
     """20,000 subjects, for which a matrix of all pairs would be 3 GB."""
     n = 20_000
