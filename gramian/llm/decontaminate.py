@@ -15,6 +15,10 @@ the item, in a stretch of one and a half times the item's length, covers ``cover
 ``paraphrased`` of them while the item's answer (its last sentence, at most ``answer_words`` words) stands there word
 for word.
 
+A leak may hold none of an item's words that stay, if too few of them do.  Such items are looked for by their words as well, exactly: of the n words of an item all but
+n - m are in a leak that has m of them, so of any d words there are d - (n - m) in one stretch; d are the words that stay and the rarest of the others, as many as
+make that one or more, or, without the answer, as many as cover the item.  What has so many is a candidate, whatever its cosine.
+
 Words are compared in lower case.  Null texts count as empty.  Items with fewer than ``least_words`` words are leaks only where
 all their words stand in a row; items without a word are passed over.  Rows that share a document's or an item's id are looked at one by one, and a pair of ids is
 given once for each row of the document.  The benchmark is a query set that fits in memory; one of more than ``most_bytes``
@@ -73,6 +77,23 @@ class Space:
     items: np.ndarray
 
 
+@dataclass
+class Rest:
+    """The items that keep too few words for the spaces: what finds their leaks exactly, by vocabulary number."""
+
+    #: The items whose words are counted: where a word's begin.
+    bounds: np.ndarray
+    items: np.ndarray
+    #: The items whose answer has the word as its rarest, and how many words of the answer come before it.
+    answer_bounds: np.ndarray
+    answers: np.ndarray
+    before: np.ndarray
+    #: For each item the words that a stretch must have, without the answer and with it, and the stretch's length.
+    covered: np.ndarray
+    paraphrased: np.ndarray
+    width: np.ndarray
+
+
 @dataclass
 class Items:
     """The benchmark: ids, words (as hashes) and answers, the vocabulary's hashes, and the spaces that were learnt."""
@@ -84,6 +105,7 @@ class Items:
     spaces: list[Space] = field(default_factory=list)
     #: Items too short for a space: (id, words).
     short: list[tuple[int, np.ndarray]] = field(default_factory=list)
+    rest: Rest | None = None
 
 
 def read_items(rows: list[tuple], s: Settings) -> Items:
@@ -244,6 +266,34 @@ def _pruned(items: Items, frequency: np.ndarray, blocks: int, s: Settings) -> np
     return keep
 
 
+def _listed(rows: list[tuple], size: int) -> tuple[np.ndarray, ...]:
+    """Rows (number, ...) by number: where each of ``size`` numbers begins, and the other columns."""
+    table = np.array(sorted(rows), np.int64).reshape(len(rows), -1)
+    return np.searchsorted(table[:, 0], np.arange(size + 1)), *table[:, 1:].T
+
+
+def _rest(items: Items, frequency: np.ndarray, keep: np.ndarray, s: Settings) -> tuple[Rest | None, np.ndarray]:
+    """What finds the leaks of items that may have one without any of the words that stay, and which words that needs."""
+    needs = np.zeros((len(items.words), 2), np.int64)
+    counted, answers, words = [], [], np.zeros(len(keep), bool)
+    for k, item in enumerate(items.words):
+        number, n = np.searchsorted(items.vocabulary, item), len(item)
+        least, most = (int(np.ceil(share * n - 1e-9)) for share in (min(s.paraphrased, s.covered), s.covered))
+        if keep[number].sum() > n - least:
+            continue
+        own = np.unique(number[np.lexsort((number, frequency[number], ~keep[number]))[: n - least + 1]])
+        needs[k] = np.isin(number, own).sum() - n + np.array([most, least])
+        counted += [(w, k) for w in own.tolist()]
+        answer = np.searchsorted(items.vocabulary, items.answers[k])
+        at = int(np.lexsort((answer, frequency[answer]))[0])
+        answers.append((int(answer[at]), k, at))
+        words[own], words[answer[at]] = True, True
+    if not counted:
+        return None, words
+    width = np.array([-(-3 * len(w) // 2) for w in items.words])
+    return Rest(*_listed(counted, len(keep)), *_listed(answers, len(keep)), needs[:, 0], needs[:, 1], width), words
+
+
 def fit(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> Items:
     """Word frequencies and the latent spaces, from all passages.  The driver receives sums over the passages: for each
     space a row of as many numbers as it has dimensions, for each word of its items."""
@@ -274,10 +324,15 @@ def fit(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(),
     keep = _pruned(items, frequency, blocks, s)
     for part in parts:
         items.spaces.append(_space(counts, items, part, np.where(keep, frequency, -1), blocks, s))
-    # The counts are numbered by the whole vocabulary, what is looked up later by the words that stay.
-    items.vocabulary = items.vocabulary[keep]
+    items.rest, more = _rest(items, frequency, keep, s)
+    # The counts are numbered by the whole vocabulary, what is looked up later by the words that stay or are counted.
+    held = keep | more
+    items.vocabulary = items.vocabulary[held]
     for space in items.spaces:
-        space.number = space.number[keep]
+        space.number = space.number[held]
+    if items.rest:
+        ends = np.append(np.flatnonzero(held), len(held))
+        items.rest.bounds, items.rest.answer_bounds = items.rest.bounds[ends], items.rest.answer_bounds[ends]
     return items
 
 
@@ -343,18 +398,23 @@ def common_subsequence(a: list, b: list) -> int:
     return len(a) - row.bit_count()
 
 
-def _best_match(item: np.ndarray, answer: np.ndarray, text: np.ndarray, s: Settings) -> tuple[float, bool] | None:
-    """(share of the item covered, whether the answer is there) of the best stretch of ``text``; None if it isn't a leak."""
+def _best_match(item: np.ndarray, answer: np.ndarray, text: np.ndarray, s: Settings, every: bool = False) -> tuple[float, bool] | None:
+    """(share of the item covered, whether the answer is there) of the best stretch of ``text``, or of ``every`` stretch; None if it isn't a leak."""
     need = min(s.paraphrased, s.covered) * len(item)
     here = np.isin(text, item)
     if here.sum() < need:
         return None
+    if every and not _has_run(text.tolist(), answer.tolist()):
+        need = s.covered * len(item)
     best, words = None, item.tolist()
-    # Stretches overlap by the item's length, so one of them holds any unbroken copy.
+    # Stretches overlap by the item's length, so one of them holds any unbroken copy; of every stretch, those that begin with a word of the item are enough.
     width, step = -(-3 * len(item) // 2), max(1, len(item) // 2)
-    for a in range(0, max(1, len(text) - width + step), step):
-        if here[a : a + width].sum() < need or best == (1.0, True):
-            continue
+    starts = np.flatnonzero(here) if every else np.arange(0, max(1, len(text) - width + step), step)
+    sums = np.append(0, np.cumsum(here))
+    starts = starts[sums[np.minimum(starts + width, len(text))] - sums[np.minimum(starts, len(text))] >= need]
+    for a in starts.tolist():
+        if best == (1.0, True):
+            break
         stretch = text[a : a + width].tolist()
         share = common_subsequence(words, stretch) / len(words)
         if share < min(s.paraphrased, s.covered):
@@ -389,6 +449,51 @@ def _candidates(space: Space, passage: np.ndarray, word: np.ndarray, count: np.n
     return passage[starts[p[near]]], item[near]
 
 
+def _expanded(bounds: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``number`` what its list holds: (which of ``number``, place in the lists)."""
+    n = bounds[number + 1] - bounds[number]
+    return np.repeat(np.arange(len(number)), n), np.repeat(bounds[number] - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+def _regions(items: Items, h: np.ndarray, first: np.ndarray, place: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """(row, item, first word, end) of what holds all stretches in which one of the rest may leak."""
+    rest, total = items.rest, max(1, len(h))
+    which, at = _expanded(rest.bounds, number)
+    key = np.sort(rest.items[at] * total + place[which])
+    item, begin = key // total, key % total
+    row = np.searchsorted(first, begin, side="right") - 1
+    # So many words of the item, counted from each one of them, within a stretch of the row.
+    last = np.arange(len(key)) + np.maximum(rest.covered[item], 1) - 1
+    held = np.flatnonzero(last < len(key))
+    end = key[last[held]] - key[held]
+    held = held[(end < rest.width[item[held]]) & (item[last[held]] == item[held]) & (row[last[held]] == row[held])]
+    found = [np.column_stack([row[held], item[held], begin[last[held]] - rest.width[item[held]] + 1, begin[held] + rest.width[item[held]]])]
+    # The answer word for word, with so many words of the item about it.
+    which, at = _expanded(rest.answer_bounds, number)
+    begin, item = place[which] - rest.before[at], rest.answers[at]
+    row = np.searchsorted(first, place[which], side="right") - 1
+    sizes = np.array([len(a) for a in items.answers])
+    words = np.zeros((len(sizes), sizes.max()), np.uint64)
+    for k, a in enumerate(items.answers):
+        words[k, : len(a)] = a
+    same = (begin >= first[row]) & (begin + sizes[item] <= first[row + 1])
+    for k in range(words.shape[1]):
+        same &= (k >= sizes[item]) | (h[np.clip(begin + k, 0, total - 1)] == words[item, k])
+    row, item, begin = row[same], item[same], begin[same]
+    low, high = np.maximum(first[row], begin + sizes[item] - rest.width[item]), np.minimum(first[row + 1], begin + rest.width[item])
+    enough = np.searchsorted(key, item * total + high) - np.searchsorted(key, item * total + low) >= rest.paraphrased[item]
+    found = np.vstack([*found, np.column_stack([row, item, low, high])[enough]]).astype(np.int64)
+    found[:, 2], found[:, 3] = np.maximum(found[:, 2], first[found[:, 0]]), np.minimum(found[:, 3], first[found[:, 0] + 1])
+    # Those of one row and item that overlap become one.
+    found = found[np.lexsort((found[:, 2], found[:, 1], found[:, 0]))]
+    if not len(found):
+        return found
+    own = np.unique(found[:, 0] * len(sizes) + found[:, 1], return_inverse=True)[1] * (total + 1)
+    reach = np.maximum.accumulate(found[:, 3] + own)
+    starts = np.flatnonzero(np.append(True, found[1:, 2] + own[1:] > reach[:-1]))
+    return np.column_stack([found[starts, :3], np.maximum.reduceat(found[:, 3], starts)])
+
+
 def _leaks(part: pa.RecordBatch, at: int, items: Items, s: Settings) -> list[tuple[int, int, float, bool]]:
     """(row, item number, share, answer found) for a slice of rows; short items are numbered after the others."""
     if not items.spaces and not items.short:
@@ -408,6 +513,10 @@ def _leaks(part: pa.RecordBatch, at: int, items: Items, s: Settings) -> list[tup
             got = _best_match(item, items.answers[k], text, s)
             if got and got > best.get((row, k), (0.0, False)):
                 best[row, k] = got
+    for row, k, begin, end in _regions(items, h, first, place, number).tolist() if items.rest else []:
+        got = _best_match(items.words[k], items.answers[k], h[begin:end], s, every=True)
+        if got and got > best.get((row, k), (0.0, False)):
+            best[row, k] = got
     for k, (_, item) in enumerate(items.short, len(items.ids)):
         for a in np.flatnonzero(h == item[0]).tolist():
             row = int(np.searchsorted(first, a, side="right")) - 1

@@ -714,6 +714,21 @@ def test_word_spans():
     assert first.tolist() == [0, 0, 2, 3, 4, 4]
 
 
+def test_leaks_of_common_words(spark):
+    """Paraphrases that keep none of an item's rare words: all that they share with it stands in one block of ten."""
+    rng = random.Random(13)
+    items = [(k, " ".join(f"rare{k}x{j} {words_of(rng, 2, 300)}" for j in range(7)) + f" rare{k}. " + words_of(rng, 4, 300)) for k in range(12)]
+    rows = [(k, words_of(rng, 300, 300), "") for k in range(200)]
+    common = lambda text: " ".join(w for w in text.split() if not w.startswith("rare"))
+    rows += [(1000 + k, f"{words_of(rng, 90, 300)} {common(t)} {words_of(rng, 50, 300)}", "") for k, t in items]
+    rows += [(2000 + k, f"{words_of(rng, 33, 300)} {common(t)[:-1]}q", "") for k, t in items]  # another answer: no leak
+    docs, benchmark = table(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    learnt = decontaminate.fit(docs, benchmark)
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find(docs, learnt).collect()}
+    assert got == {(1000 + k, k) for k, _ in items} == brute_leaks(rows, items)
+    assert {i for i, _, _ in rows} - {r.doc_id for r in decontaminate.clean(docs, learnt).collect()} == {1000 + k for k, _ in items}
+
+
 def test_leaks_of_many_items(spark):
     """5,000 items, far more than one space holds: of those that stand in a text, and of paraphrases of half the words with the answer, nine in ten and more
     are found, and nothing else."""
