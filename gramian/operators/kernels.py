@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 MOST_RANK = 1500
 #: Each task names so many pivots in a round at most; it compares so many rows at a time.
 BLOCK, ROWS = 256, 8192
+#: Candidates for pivots in each round, where the mean error is asked for.
+CANDIDATES = 128
 
 
 def gaussian(x: np.ndarray, z: np.ndarray, gamma: float) -> np.ndarray:
@@ -71,12 +73,67 @@ def _chosen(factor: Factor, x: np.ndarray, error: float, worst: bool, most: int)
     return x[chosen], left
 
 
+def _more(factor: Factor, candidates: np.ndarray, floor: float) -> np.ndarray:
+    """The candidates that become pivots, by what those before them leave of each."""
+    own = factor.rows(candidates) if factor.rank else np.zeros((len(candidates), 0))
+    rest = gaussian(candidates, candidates, factor.gamma) - own @ own.T
+    left, chosen = rest.diagonal().copy(), []
+    least = max(floor, 0.1 * float(left.max(initial=0.0)))  # later rounds know better about the rest
+    while len(left) and left.max() > least:
+        p = int(left.argmax())
+        column = rest[:, p] / np.sqrt(rest[p, p])
+        rest -= np.outer(column, column)
+        left = np.minimum(left, rest.diagonal())
+        left[p] = -1.0
+        chosen.append(p)
+    return candidates[chosen]
+
+
 class TooManyPivots(ArithmeticError):
     """The kernel has no factor of the columns allowed."""
 
 
+def _by_mean(table: DataFrame, features: Sequence[str], gamma: float, error: float = 1e-8, most: int = MOST_RANK) -> Factor:
+    """The factor of the Gaussian kernel of the rows of ``table``, whose mean error on the diagonal is ``error`` at most; the driver chooses some pivots in each round."""
+    x = table.select(*features)
+    factor = Factor(gamma, np.zeros((0, len(features))), np.zeros((0, 0)))
+    while True:
+        now = factor
+
+        def left(it, now=now):
+            total, n = 0.0, 0
+            kept, size = np.zeros((0, len(features))), np.zeros(0)
+            for batch in it:
+                own = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+                d = np.maximum(0.0, 1 - (now.rows(own) ** 2).sum(1)) if now.rank else np.ones(len(own))
+                total, n = total + d.sum(), n + len(own)
+                kept, size = np.vstack([kept, own]), np.concatenate([size, d])
+                top = np.argsort(-size, kind="stable")[:CANDIDATES]
+                kept, size = kept[top], size[top]
+            yield pa.record_batch([pa.array([n]), pa.array([total]), pa.array([size.tolist()], pa.list_(pa.float64())), pa.array([kept.ravel().tolist()], pa.list_(pa.float64()))], names=["n", "total", "size", "x"])
+
+        got = x.mapInArrow(left, "n long, total double, size array<double>, x array<double>").collect()  # CANDIDATES subjects of each task at most
+        n = sum(r.n for r in got)
+        if not n:
+            return factor
+        mean = sum(r.total for r in got) / n
+        size = np.concatenate([r.size for r in got])
+        if mean <= error:
+            return Factor(gamma, factor.pivots, factor.weights, mean)
+        every = np.vstack([np.array(r.x).reshape(-1, len(features)) for r in got])
+        order = np.lexsort((*every.T, -size))[: 2 * CANDIDATES]
+        pivots = np.vstack([factor.pivots, _more(factor, every[order], error / 10)])
+        if len(pivots) > most:
+            raise TooManyPivots(f"the kernel needs more than {most} pivots for a mean error of {error}; {mean} is left")
+        if len(pivots) == len(factor.pivots):
+            return Factor(gamma, factor.pivots, factor.weights, mean)
+        factor = with_pivots(pivots, gamma, min(1e-12, error / 100))
+
+
 def pivoted(table: DataFrame, features: Sequence[str], gamma: float, error: float = 1e-8, most: int = MOST_RANK, worst: bool = False) -> Factor:
     """The factor of the Gaussian kernel of the rows of ``table``, whose mean error on the diagonal is ``error`` at most, or the greatest (``worst``)."""
+    if not worst:
+        return _by_mean(table, features, gamma, error, most)
     x = table.select(*features)
     factor = Factor(gamma, np.zeros((0, len(features))), np.zeros((0, 0)))
     # Pivots are chosen to leave less than is asked for, as the rows that are compared with them are others.
