@@ -11,7 +11,9 @@ Every fingerprint probes the keys within t_i bits of its own in each partition,
 and no 64 bits tell such texts from others; so the fingerprint is ``width`` words of 64 bits, and two texts are linked if so few
 of all its bits differ as that similarity lets expect.  No thresholds could cover every pattern of so many differing
 bits; the dynamic programme takes the cheapest ones by which a pair at that similarity is met in some
-partition with probability ``recall``.
+partition with probability ``recall``.  With the texts at hand nothing rests on that: every link that the fingerprints give is held against the sets of
+shingles, and what they miss is found by the sets themselves.  Two sets of a similarity share one of the first shingles of each, in any order that is the same
+for all; so texts of different groups that share such a shingle, and whose sizes and parities don't rule it out, are held against each other too.
 
 Buckets with very many fingerprints aren't joined with themselves.  ``group`` links them by way
 of all values within distance/2 bits of each (two linked fingerprints have one in common), which grows
@@ -46,8 +48,12 @@ PROBE_COST, CANDIDATE_COST = 1.0, 0.02
 SAMPLE = 1024
 #: A component of so many fingerprints is large.
 LARGE = 64
-#: A pair of texts below the similarity is estimated so many standard deviations above it once in 4,000 times at most.
-SURE = 3.5
+#: One text of so many is looked at to tell which shingles come last in the order; so many shingles, seen in so many of them, are told apart.
+ONE_OF, MOST_COMMON, SEEN = 32, 1 << 17, 3
+#: Parities of a set of shingles, at least.
+PARITIES = 512
+#: So many links are joined to components in one task.
+FEW_LINKS = 200_000
 #: A table of so many rows is sent to all tasks; of a few numbers a row, so many.
 FEW, MOST_SENT = 10_000, 1 << 20
 #: A fingerprint of a crowded bucket is linked by way of so many values within distance/2 bits at most.
@@ -74,7 +80,10 @@ def _shingle_hashes(text: bytes, words: int) -> np.ndarray:
 def fingerprint(text: bytes, words: int, width: int = 1) -> np.ndarray:
     """The SimHash of one text (UTF-8, A-Z in lower case), ``width`` words of 64 bits; the first is that of the hashes themselves,
     the others of hashes of them."""
-    hashes = _shingle_hashes(text, words)
+    return _simhash(_shingle_hashes(text, words), width)
+
+
+def _simhash(hashes: np.ndarray, width: int) -> np.ndarray:
     ones = np.zeros(BITS * width, np.int64)
     for a in range(0, len(hashes), 4096):
         part = np.empty((len(hashes[a : a + 4096]), width), "<u8")
@@ -115,6 +124,82 @@ def wide_fingerprints(df: DataFrame, words: int = 5, width: int = 8, id_col: str
     return _fingerprints(df, words, width, id_col, text_col, "doc_id long, fp array<long>, mark long")
 
 
+def common_shingles(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles that very many texts have, ascending, and in how many of the texts looked at.  They only decide an order, so what is left out costs
+    time and no link."""
+
+    def run(it):
+        for batch in it:
+            for part in batches.slices(batch):
+                found = [np.unique(_shingle_hashes((t or "").encode().lower(), words)) for t in part.column(1).to_pylist()]
+                yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64))], names=["shingle"])
+
+    some = batches.by_id_text(docs.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("common")), F.lit(ONE_OF)) == 0), id_col, text_col)
+    counts = some.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SEEN)
+    got = counts.orderBy(F.desc("n"), "shingle").limit(MOST_COMMON).toArrow()
+    shingle, n = got["shingle"].to_numpy().view(np.uint64), got["n"].to_numpy()
+    order = np.argsort(shingle)
+    return shingle[order], n[order]
+
+
+def _parities(own: np.ndarray, n: int) -> np.ndarray:
+    """Of the hashes with each remainder by n: whether their number is odd."""
+    return np.packbits(np.bincount((own % np.uint64(n)).astype(np.int64), minlength=n) & 1, bitorder="little").view("<i8")
+
+
+def _kin(own: np.ndarray) -> int:
+    """A hash of a set of hashes, which ascend."""
+    import xxhash
+
+    return _signed(xxhash.xxh64_intdigest(own.tobytes(), 42))
+
+
+def set_fingerprints(docs: DataFrame, words: int = 5, width: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``wide_fingerprints`` with what the set of a text's shingles is known by: kin (a hash of the set), size, parities (of the shingles with each of
+    PARITIES remainders) and, for sets of more shingles than that, more (the same with a power of two of remainders that is their number or more)."""
+
+    def run(it):
+        for batch in it:
+            for part in batches.slices(batch):
+                fps, kin, size, parities, more = [], [], [], [], []
+                for t in part.column(1).to_pylist():
+                    hashes = _shingle_hashes((t or "").encode().lower(), words)
+                    own = np.unique(hashes)
+                    fps.append(_simhash(hashes, width).view(np.int64))
+                    kin.append(_kin(own))
+                    size.append(len(own))
+                    parities.append(_parities(own, PARITIES))
+                    more.append(_parities(own, 1 << (len(own) - 1).bit_length()) if len(own) > PARITIES else None)
+                lists = [pa.array(x, pa.list_(pa.int64())) for x in (fps, parities, more)]
+                columns = [part.column(0), lists[0], part.column(2), pa.array(kin, pa.int64()), pa.array(size, pa.int64()), *lists[1:]]
+                yield pa.record_batch(columns, names=["doc_id", "fp", "mark", "kin", "size", "parities", "more"])
+
+    rows = _marked(batches.by_id_text(docs, id_col, text_col))
+    return rows.mapInArrow(run, "doc_id long, fp array<long>, mark long, kin long, size long, parities array<long>, more array<long>")
+
+
+def leading_shingles(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(kin, shingle): of the set of every text the first shingles in an order of all shingles, common ones last; so many that every set of the
+    similarity has one of them among its own."""
+    common, often = common_shingles(docs, words, id_col, text_col)
+
+    def run(it):
+        for batch in it:
+            for part in batches.slices(batch):
+                kin, leading = [], []
+                for t in part.column(1).to_pylist():
+                    own = np.unique(_shingle_hashes((t or "").encode().lower(), words))
+                    kin.append(_kin(own))
+                    if len(common):
+                        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+                        own = own[np.argsort(np.where(common[at] == own, often[at], 0), kind="stable")]
+                    leading.append(own[: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1])
+                columns = np.repeat(np.array(kin, np.int64), [len(x) for x in leading]), np.concatenate(leading).view(np.int64)
+                yield pa.record_batch([pa.array(c) for c in columns], names=["kin", "shingle"])
+
+    return batches.by_id_text(docs, id_col, text_col).mapInArrow(run, "kin long, shingle long")
+
+
 @dataclass(frozen=True)
 class Plan:
     """Bit positions and threshold of each partition that is probed."""
@@ -358,37 +443,94 @@ def _at_most(similarity: float, bits: int, deviations: float) -> int:
 
 
 class Shingles:
-    """Holds pairs of nodes against the sets of shingles of their texts.  ``values``: (node, first_id, mark), the document of each node; the sets are 32-bit
-    hashes, made for nodes that stand in a pair only."""
+    """Holds pairs of nodes against the sets of shingles of their texts.  ``values``: (node, first_id, mark), the document of each node; texts of
+    nodes that stand in a pair go along compressed, which is less than their sets of hashes (64 bits)."""
 
     def __init__(self, docs: DataFrame, words: int, similarity: float, values: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
         self.rows = _marked(batches.by_id_text(docs, id_col, text_col))
         self.words, self.similarity, self.values = words, similarity, values.select("node", "first_id", "mark")
 
-    def sets(self, nodes: DataFrame) -> DataFrame:
-        """(node, shingles array<int>)."""
-        words = self.words
-
-        def run(it):
-            for batch in it:
-                for part in batches.slices(batch):
-                    found = [np.unique(_shingle_hashes((t or "").encode().lower(), words).astype(np.uint32)).view(np.int32) for t in part.column(1).to_pylist()]
-                    yield pa.record_batch([part.column(0), pa.array(found, pa.list_(pa.int32()))], names=["node", "shingles"])
-
+    def texts(self, nodes: DataFrame) -> DataFrame:
+        """(node, text binary)."""
         asked = cut(self.values.join(nodes, "node"))
         n = asked.count()
         same = (self.rows["mark"] == asked["mark"]) & self.rows["doc_id"].eqNullSafe(asked["first_id"])
         met = self.rows.join(F.broadcast(asked) if n <= MOST_SENT else asked, same).select("node", "text")
-        out = cut(met.mapInArrow(run, "node long, shingles array<int>"))
+        out = cut(batches.packed(met))
         return out if out.count() == n else cut(out.dropDuplicates(["node"]))  # rows that repeat id and text
 
     def near(self, pairs: DataFrame) -> DataFrame:
         """The (src, dst) of ``pairs`` whose sets have the similarity."""
+        words, similarity = self.words, self.similarity
+
+        def run(it):
+            for batch in it:
+                rows = batches.unpacked(batches.unpacked(batch, "a"), "b")
+                near, last = [], [("", np.zeros(0, "<u8"))] * 2
+                for texts in zip(rows["a"].to_pylist(), rows["b"].to_pylist()):
+                    last = [own if t == own[0] else (t, np.unique(_shingle_hashes((t or "").encode().lower(), words))) for t, own in zip(texts, last)]
+                    (_, a), (_, b) = last
+                    shared = len(np.intersect1d(a, b, assume_unique=True))
+                    near.append(shared >= 1 and shared / (len(a) + len(b) - shared) >= similarity)
+                yield rows.select(["src", "dst"]).filter(pa.array(near, pa.bool_()))
+
         pairs = cut(pairs.select("src", "dst").distinct())
-        sets = self.sets(pairs.select(F.col("src").alias("node")).unionAll(pairs.select("dst")).distinct())
-        both = pairs.join(sets.toDF("src", "a"), "src").join(sets.toDF("dst", "b"), "dst")
-        shared = F.size(F.array_intersect("a", "b"))
-        return both.where(shared * (1 + self.similarity) >= self.similarity * (F.size("a") + F.size("b"))).select("src", "dst")
+        texts = self.texts(pairs.select(F.col("src").alias("node")).unionAll(pairs.select("dst")).distinct())
+        both = pairs.join(texts.toDF("src", "a"), "src").join(texts.toDF("dst", "b"), "dst").select("src", "dst", "a", "b")
+        return both.mapInArrow(run, "src long, dst long")
+
+    def confirmed(self, links: DataFrame) -> DataFrame:
+        """(src, dst) of ``links`` (src, dst, apart) whose sets have the similarity, but for those inside of what others of them connect: the nearest of each
+        node are held against each other first."""
+        links = cut(links)
+        ends = links.select(F.col("src").alias("node"), F.col("dst").alias("other"), "apart").unionAll(links.select("dst", "src", "apart"))
+        best = ends.groupBy("node").agg(F.min(F.struct("apart", "other"))["other"].alias("other"))
+        tried = cut(best.select(F.least("node", "other").alias("src"), F.greatest("node", "other").alias("dst")).distinct())
+        good = cut(self.near(tried))
+        named = cut(components(good, small=FEW_LINKS))
+        left = links.join(tried, ["src", "dst"], "left_anti").join(named.toDF("src", "s"), "src", "left").join(named.toDF("dst", "d"), "dst", "left")
+        return good.unionAll(self.near(left.where(F.coalesce("s", "src") != F.coalesce("d", "dst"))))
+
+
+def leading_pairs(values: DataFrame, places: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst, apart): nodes of different components that may have the similarity, all of them, and how many of their first parities differ.  ``values``: (node, kin, size, parities, more), written down;
+    places: (kin, shingle), the leading shingles; found: (node, component).  Parities differ no more often than the sets.  In a shingle's rows the members of a
+    component of LARGE or more meet those outside it only."""
+    size = found.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
+    large = F.when(F.col("members") >= LARGE, F.struct("members", "component")).alias("large")
+    named = values.select("kin", "node", "size", "parities").join(found.join(size, "component").select("node", "component", large), "node", "left")
+    named = named.withColumn("component", F.coalesce("component", "node"))
+    places = places.repartition("shingle")
+    shared = places.groupBy("shingle").agg(F.min("kin").alias("least"), F.max("kin").alias("most")).where("least <> most").select("shingle")
+    held = cut(places.join(shared, "shingle").distinct().join(named, "kin").drop("kin"))
+    chief = held.where("large is not null").groupBy("shingle").agg(F.max("large")["component"].alias("chief"))
+    outside = held.join(chief, "shingle", "left").where("chief is null or chief <> component")
+    sizes = F.col("p.size") + F.col("h.size")
+    odd = sum((F.bit_count(F.col("p.parities")[k].bitwiseXOR(F.col("h.parities")[k])) for k in range(PARITIES // 64)), F.lit(0))
+    once = (F.col("p.node") < F.col("h.node")) | F.col("p.chief").eqNullSafe(F.col("h.component"))
+    meet = (F.col("p.shingle") == F.col("h.shingle")) & (F.col("p.component") != F.col("h.component")) & once
+    meet &= F.least("p.size", "h.size") >= similarity * F.greatest("p.size", "h.size") - 1e-6
+    meet &= odd * (1 + similarity) <= (1 - similarity) * sizes + 1e-6
+    met = outside.alias("p").join(held.alias("h"), meet)
+    pairs = met.select(F.least("p.node", "h.node").alias("src"), F.greatest("p.node", "h.node").alias("dst"), odd.alias("apart")).distinct()
+    # Sets of many shingles have too many differences for so few parities: they are asked for more.
+    long = values.where("more is not null").select("node", "size", "more")
+    both = pairs.join(long.toDF("src", "n", "a"), "src", "left").join(long.toDF("dst", "m", "b"), "dst", "left").select("src", "dst", "apart", "n", "m", "a", "b")
+
+    def run(it):
+        for batch in it:
+            may = []
+            for n, m, a, b in zip(*(batch.column(k) for k in range(3, 7))):
+                if not (a.is_valid and b.is_valid):
+                    may.append(True)
+                    continue
+                a, b = sorted((x.values.to_numpy(zero_copy_only=False) for x in (a, b)), key=len)
+                b = np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)
+                odd = np.unpackbits((a ^ b).view(np.uint8)).sum(dtype=np.int64)
+                may.append(bool(odd * (1 + similarity) <= (1 - similarity) * (n.as_py() + m.as_py()) + 1e-6))
+            yield batch.select(["src", "dst", "apart"]).filter(pa.array(may, pa.bool_()))
+
+    return both.mapInArrow(run, "src long, dst long, apart int")
 
 
 def similar_links(values: DataFrame, width: int, similarity: float, recall: float, shingles: Shingles | None = None) -> DataFrame:
@@ -397,11 +539,10 @@ def similar_links(values: DataFrame, width: int, similarity: float, recall: floa
     with members of a component of LARGE or more those outside the largest such component against all.  At first two words of the
     fingerprint go along with the buckets and tell nearly all strangers apart, and pairs that pass are held against each other whole; then all
     words go along, so that of two families that are alike no pair but the linked ones is made.  The estimate decides; with ``shingles`` the links
-    that it gives are held against their texts' shingles in the end, but for those which it puts SURE deviations above the similarity."""
+    to the first of each bucket are held against their texts' shingles instead, and ``leading_pairs`` does the rest."""
     n, correlations = bit_statistics(values, width)
     chosen = wide_plan(n, correlations, sampled_bits(values, width), similarity, recall)
     least, whole = _at_most(similarity, 2 * BITS, 2.6), _at_most(similarity, width * BITS, 1.3)
-    sure = _at_most(similarity, width * BITS, -SURE)
 
     def dealt(rows: DataFrame, flips: bool, *more: str, words: int = 2) -> DataFrame:
         """(node, c0, c1, ..., at) and ``more``: a row for each bucket that a fingerprint stands in, or probes."""
@@ -442,6 +583,8 @@ def similar_links(values: DataFrame, width: int, similarity: float, recall: floa
     first = first.select("at", "node").join(values.select("node", F.col("fp")[0].alias("c0"), F.col("fp")[1].alias("c1")), "node")
     star = probes.alias("p").join(first.alias("h"), (F.col("p.at") == F.col("h.at")) & (F.col("p.node") != F.col("h.node")) & near("p", "h", 2, least))
     stars = cut(verified(star.select(F.least("p.node", "h.node").alias("src"), F.greatest("p.node", "h.node").alias("dst"))))
+    if shingles is not None:
+        return shingles.confirmed(stars)
     found = components(stars)
     size = found.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     large = F.when(F.col("size") >= LARGE, F.struct("size", "component"))
@@ -452,26 +595,39 @@ def similar_links(values: DataFrame, width: int, similarity: float, recall: floa
     once = (F.col("p.node") < F.col("h.node")) | F.col("p.chief").eqNullSafe(F.col("h.component"))
     apart = (F.col("p.at") == F.col("h.at")) & (F.col("p.component") != F.col("h.component")) & once & near("p", "h", width, whole)
     met = outside.join(homes.alias("h"), apart).select(F.least("p.node", "h.node").alias("src"), F.greatest("p.node", "h.node").alias("dst"), bits("p", "h", width).alias("apart"))
-    links = stars.unionAll(met)
-    if shingles is None:
-        return links.select("src", "dst")
-    links = cut(links.distinct())
-    return links.where(F.col("apart") <= sure).select("src", "dst").unionAll(shingles.near(links.where(F.col("apart") > sure)))
+    return stars.unionAll(met).select("src", "dst")
 
 
 def group_similar(prints: DataFrame, width: int = 8, similarity: float = 0.8, recall: float = 0.97, docs: DataFrame | None = None, words: int = 5) -> DataFrame:
     """(doc_id, component_id) for rows (doc_id, fp array<long>, mark): the smallest doc_id reachable over links between
-    texts whose similarity is ``similarity`` or more, the row's own included.  With ``docs``, the texts of the fingerprints, links are held against
-    their shingles; else the similarity is estimated."""
+    texts whose similarity is ``similarity`` or more, the row's own included.  With ``docs``, the texts of the fingerprints, these are all pairs whose sets of
+    shingles have it, and no others (``prints`` may be ``set_fingerprints``, which spares a pass); else the similarity is estimated."""
+    if docs is not None:
+        return _group_exactly(prints if "kin" in prints.columns else set_fingerprints(docs, words, width), width, similarity, recall, docs, words)
     prints = cut(prints)
-    of = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"))
-    values = cut(prints.groupBy("fp").agg(of.alias("first")).select(F.monotonically_increasing_id().alias("node"), "fp", F.col("first.doc_id").alias("first_id"), F.col("first.mark").alias("mark")))
-    shingles = None if docs is None else Shingles(docs, words, similarity, values)
-    linked = components(cut(similar_links(values.select("node", "fp"), width, similarity, recall, shingles).distinct()))
+    values = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")).select(F.monotonically_increasing_id().alias("node"), "fp", "first_id"))
+    linked = components(cut(similar_links(values.select("node", "fp"), width, similarity, recall).distinct()))
+    return _named(prints, "fp", values, linked)
+
+
+def _group_exactly(prints: DataFrame, width: int, similarity: float, recall: float, docs: DataFrame, words: int) -> DataFrame:
+    """``group_similar`` of texts: links of the fingerprints, confirmed, then those between the groups that follow.  Texts of one set are one node."""
+    prints = cut(prints)
+    of = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "fp", "size", "parities", "more"))
+    first = prints.groupBy("kin").agg(of.alias("first"))
+    values = cut(first.select(F.monotonically_increasing_id().alias("node"), "kin", F.col("first.doc_id").alias("first_id"), *[f"first.{c}" for c in ("mark", "fp", "size", "parities", "more")]))
+    shingles = Shingles(docs, words, similarity, values)
+    links = cut(similar_links(values.select("node", "fp"), width, similarity, recall, shingles).distinct())
+    found = cut(components(links, small=FEW_LINKS))
+    more = cut(shingles.confirmed(leading_pairs(values, leading_shingles(docs, words, similarity), found, similarity)))
+    return _named(prints, "kin", values, components(links.unionAll(more), small=FEW_LINKS))
+
+
+def _named(prints: DataFrame, key: str, values: DataFrame, linked: DataFrame) -> DataFrame:
     joined = values.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = joined.join(least, "component").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "component_id")
+    named = joined.join(least, "component").select(key, "component_id")
+    return prints.select("doc_id", key).join(named, key).select("doc_id", "component_id")
 
 
 def hexadecimal(fp):
@@ -485,8 +641,9 @@ def keep_first(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
 
 
 def keep_first_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, width: int = 8) -> DataFrame:
-    """As ``keep_first``, with texts linked by the similarity of their shingles: each text that goes has that similarity with another of its group."""
-    return _first(docs, group_similar(wide_fingerprints(docs, words, width), width, similarity, docs=docs, words=words))
+    """As ``keep_first``, with texts linked by the similarity of their shingles: every two texts of that similarity are in one group, and each text
+    that goes has it with another of its group."""
+    return _first(docs, group_similar(set_fingerprints(docs, words, width), width, similarity, docs=docs, words=words))
 
 
 def _first(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -246,6 +246,52 @@ def test_keep_first_similar(spark, near_copies):
     assert all(component[i] == i or i in linked for i, _ in sets)
 
 
+def test_similar_groups_are_those_of_all_pairs(spark, near_copies):
+    """Copies of a similarity about 0.8, of short texts and of long ones, and texts that share a line many times, or a common passage, but little else: the groups are
+    those of the pairs with 0.8 or more, none more and none less."""
+    rng, texts = random.Random(4), []
+    for k in range(400):
+        words = [f"w{rng.randrange(9000)}" for _ in range(rng.choice((30, 60, 120, 250, 700 if k % 4 else 1500)))]
+        copy = list(words)
+        for at in rng.sample(range(len(words)), max(1, round(len(words) * rng.uniform(0.018, 0.03)))):
+            copy[at] = "other"
+        texts += [" ".join(words), " ".join(copy)]
+    line, passage = " ".join(f"l{k}" for k in range(9)), " ".join(f"p{k}" for k in range(60))
+    for k in range(60):
+        texts += [f"{line} " * 40 + " ".join(f"x{rng.randrange(9000)}" for _ in range(30)), passage + " " + " ".join(f"x{rng.randrange(9000)}" for _ in range(rng.randrange(5, 120)))]
+    rows = near_copies + [(20_000 + k, t, "en") for k, t in enumerate(texts)] + [(30_000, texts[0].upper(), "en"), (30_001, texts[-1] + " " + texts[-1], "en")]
+    df = table(spark, rows)
+    got = {r.doc_id: r.component_id for r in simhash.group_similar(simhash.set_fingerprints(df), docs=df).collect() if r.doc_id is not None}
+    sets = {}
+    for i, t, _ in rows:
+        sets.setdefault(frozenset(shingles(t)), []).append(i)
+    own, holders, parent = list(sets), {}, {}
+    for k, own_set in enumerate(own):
+        for x in own_set:
+            holders.setdefault(x, []).append(k)
+
+    def root(k):
+        while parent.get(k, k) != k:
+            k = parent[k]
+        return k
+
+    borderline = 0
+    for k, own_set in enumerate(own):
+        for other in {j for x in own_set for j in holders[x] if j < k}:
+            j = jaccard(own_set, own[other])
+            borderline += 0.78 <= j < 0.82
+            if j >= 0.8 and root(k) != root(other):
+                parent[root(k)] = root(other)
+    assert borderline > 100
+    groups, found = {}, {}
+    for k, own_set in enumerate(own):
+        groups.setdefault(root(k), set()).update(i for i in sets[own_set] if i is not None)
+    for i, c in got.items():
+        found.setdefault(c, set()).add(i)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, groups.values()))
+    assert all(c == min(members) for c, members in found.items())
+
+
 def test_simhash_keep_first(spark, corpus):
     kept = simhash.keep_first(table(spark, corpus))
     assert kept.columns == table(spark, []).columns
