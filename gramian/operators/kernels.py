@@ -14,6 +14,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from gramian.runtime import cut
 
 #: A factor has so many columns at most; a kernel that needs more is refused.
 MOST_RANK = 1500
@@ -73,12 +76,12 @@ def _chosen(factor: Factor, x: np.ndarray, error: float, worst: bool, most: int)
     return x[chosen], left
 
 
-def _more(factor: Factor, candidates: np.ndarray, floor: float) -> np.ndarray:
-    """The candidates that become pivots, by what those before them leave of each."""
+def _more(factor: Factor, candidates: np.ndarray, floor: float, every: bool) -> np.ndarray:
+    """The candidates that become pivots, by what those before them leave of each; ``every``: there are no other rows."""
     own = factor.rows(candidates) if factor.rank else np.zeros((len(candidates), 0))
     rest = gaussian(candidates, candidates, factor.gamma) - own @ own.T
     left, chosen = rest.diagonal().copy(), []
-    least = max(floor, 0.1 * float(left.max(initial=0.0)))  # later rounds know better about the rest
+    least = floor if every else max(floor, 0.1 * float(left.max(initial=0.0)))  # later rounds know better about the rest
     while len(left) and left.max() > least:
         p = int(left.argmax())
         column = rest[:, p] / np.sqrt(rest[p, p])
@@ -94,25 +97,29 @@ class TooManyPivots(ArithmeticError):
 
 
 def _by_mean(table: DataFrame, features: Sequence[str], gamma: float, error: float = 1e-8, most: int = MOST_RANK) -> Factor:
-    """The factor of the Gaussian kernel of the rows of ``table``, whose mean error on the diagonal is ``error`` at most; the driver chooses some pivots in each round."""
-    x = table.select(*features)
+    """The factor of the Gaussian kernel of the rows of ``table``, whose mean error on the diagonal is ``error`` at most; the driver chooses some pivots in each round.
+
+    Rows of equal features are one row with a number, else copies of a few rows would be all that tasks report.
+    """
+    x = cut(table.groupBy(*features).agg(F.count(F.lit(1)).alias("times")))
     factor = Factor(gamma, np.zeros((0, len(features))), np.zeros((0, 0)))
     while True:
         now = factor
 
         def left(it, now=now):
-            total, n = 0.0, 0
+            total, n, distinct = 0.0, 0.0, 0
             kept, size = np.zeros((0, len(features))), np.zeros(0)
             for batch in it:
-                own = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+                *columns, times = (c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns)
+                own = np.column_stack(columns)
                 d = np.maximum(0.0, 1 - (now.rows(own) ** 2).sum(1)) if now.rank else np.ones(len(own))
-                total, n = total + d.sum(), n + len(own)
+                total, n, distinct = total + times @ d, n + times.sum(), distinct + len(own)
                 kept, size = np.vstack([kept, own]), np.concatenate([size, d])
                 top = np.argsort(-size, kind="stable")[:CANDIDATES]
                 kept, size = kept[top], size[top]
-            yield pa.record_batch([pa.array([n]), pa.array([total]), pa.array([size.tolist()], pa.list_(pa.float64())), pa.array([kept.ravel().tolist()], pa.list_(pa.float64()))], names=["n", "total", "size", "x"])
+            yield pa.record_batch([pa.array([n]), pa.array([total]), pa.array([distinct]), pa.array([size.tolist()], pa.list_(pa.float64())), pa.array([kept.ravel().tolist()], pa.list_(pa.float64()))], names=["n", "total", "distinct", "size", "x"])
 
-        got = x.mapInArrow(left, "n long, total double, size array<double>, x array<double>").collect()  # CANDIDATES subjects of each task at most
+        got = x.mapInArrow(left, "n double, total double, distinct long, size array<double>, x array<double>").collect()  # CANDIDATES subjects of each task at most
         n = sum(r.n for r in got)
         if not n:
             return factor
@@ -122,7 +129,7 @@ def _by_mean(table: DataFrame, features: Sequence[str], gamma: float, error: flo
             return Factor(gamma, factor.pivots, factor.weights, mean)
         every = np.vstack([np.array(r.x).reshape(-1, len(features)) for r in got])
         order = np.lexsort((*every.T, -size))[: 2 * CANDIDATES]
-        pivots = np.vstack([factor.pivots, _more(factor, every[order], error / 10)])
+        pivots = np.vstack([factor.pivots, _more(factor, every[order], error / 10, len(order) == sum(r.distinct for r in got))])
         if len(pivots) > most:
             raise TooManyPivots(f"the kernel needs more than {most} pivots for a mean error of {error}; {mean} is left")
         if len(pivots) == len(factor.pivots):

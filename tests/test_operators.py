@@ -298,6 +298,45 @@ def test_pivots_take_few_rounds(spark):
     assert kernels.pivoted(far, ["a", "b"], 1.0, 1e-12, worst=True).rank == 700
 
 
+def test_pivots_of_repeated_features(spark):
+    """Copies of a row are one row with a number: 60 distinct rows took some twenty jobs, as tasks reported copies."""
+    df = spark.range(12_000).selectExpr("20D + (id * 7919) % 60 AS a", "CAST(id % 2 AS DOUBLE) AS b").unionAll(spark.range(3000).selectExpr("200D AS a", "0D AS b"))
+    scaled = df.selectExpr("(a - 50) / 17 AS a", "b").repartition(5)
+    spark.sparkContext.setJobGroup("copies", "")
+    factor = kernels.pivoted(scaled, ["a", "b"], 0.5)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    x = scaled.toPandas().to_numpy(float)
+    left = 1 - (factor.rows(x) ** 2).sum(1)
+    assert len(x) == 15_000 and factor.rank < 40 and np.isclose(factor.error, left.mean(), atol=1e-10) and factor.error <= 1e-8
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("copies")) <= 5
+
+
+def test_support_vectors_of_repeated_features(spark, monkeypatch):
+    """A factor has one row for the subjects of equal features, with the products of a row for each; held or made again."""
+    rng = np.random.default_rng(11)
+    distinct = rng.normal(size=(30, 2))
+    x = distinct[rng.integers(0, 30, 2000)]
+    y = np.column_stack([np.sin(x[:, 0]), x[:, 1] ** 2]) + rng.normal(size=(2000, 2)) * 0.2
+    factor = kernels.with_pivots(distinct[:20], 0.3)
+    some, which = svr._distinct(x)
+    assert len(some) == 30 and (some[which] == x).all()
+    each = svr.Rows(factor, x)
+    w, a, mask = rng.normal(size=(20, 3)), rng.normal(size=(2000, 3)), rng.random((2000, 3)) < [0.5, 0.01, 0.0]
+    for held in (svr.HELD, 0):
+        monkeypatch.setattr(svr, "HELD", held)
+        monkeypatch.setattr(svr, "CHUNK", 7)
+        own = svr.Rows(factor, some, which)
+        for f, v in ((svr.Rows.times, w), (svr.Rows.back, a), (svr.Rows.grams, mask)):
+            assert np.allclose(f(own, v), f(each, v), atol=1e-8)
+        assert np.allclose(own.diagonal(), each.diagonal()) and max(len(part) for _, part in own.parts()) <= 7
+    (few, b), (all_rows, b_all) = svr.solve_dual(own, y, 1.0, 0.1), svr.solve_dual(each, y, 1.0, 0.1)
+    assert np.allclose(few, all_rows, atol=1e-3) and np.allclose(b, b_all, atol=1e-4)
+    subj = spark.createDataFrame([(k, float(r[0]), float(r[1])) for k, r in enumerate(x)], "subject_id long, a double, b double")
+    shared = svr.Shared(subj, ["a", "b"], [None])
+    assert len(shared.x) == 30 and np.allclose(shared.x[shared.which], (x - x.mean(0)) / x.std(0))
+    assert len(svr._rows(shared.factors[None], shared, np.arange(1, 2000, 2)).x) <= 30
+
+
 def test_support_vectors_of_many_subjects(spark):
     """20,000 subjects, for which a matrix of all pairs would be 3 GB."""
     n = 20_000
